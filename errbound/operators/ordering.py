@@ -90,19 +90,12 @@ def lag_sparse(df: DataFrame, keys: list[str], order: str, cols: list[str],
     w = Window.partitionBy(*part).orderBy(order)
     local = tagged.withColumns({f"prev_{c}": F.lag(c).over(w) for c in cols}).withColumn(
         "_first", F.lag(order).over(w).isNull())
-    joined = local.join(edges, _null_safe(local, edges, part), "left").drop(*[edges[c] for c in part])
+    joined = local.join(edges, part, "left")
     fill = {f"prev_{c}": F.when(F.col("_first"), F.col(f"_edge._v_{c}")).otherwise(F.col(f"prev_{c}"))
             for c in cols}
     return joined.withColumns(fill).drop("_bucket", "_first", "_edge")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
-
-
 def running_sum(df: DataFrame, keys: list[str], pos: str, col: str, out: str,
                 tile: int = TILE) -> DataFrame:
     """Inclusive running sum of ``col`` along the dense position ``pos`` of each key."""
