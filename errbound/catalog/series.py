@@ -212,21 +212,21 @@ def interpolators_all(spark, sf_dir):
         "cubic_back_1": ip.cubic_back_1(a, b, c, d), "cubic_back_2": ip.cubic_back_2(a, b, c, d),
         "cubic2": ip.cubic_wide(a, b, c, d), "akima": ip.akima(a, b, c, d), "pchip": ip.pchip(a, b, c, d)}
     return near.where(a.isNotNull() & d.isNotNull()).select(
-        "user_id", "pos", *[F.round(e, 6).alias(n) for n, e in forms.items()])
+        "user_id", "pos", *[F.round(e, 8).alias(n) for n, e in forms.items()])
 
 
 INTERPOLATORS_SQL = f"""WITH {SERIES_SQL}, n AS (SELECT user_id, pos, value AS b,
   lag(value) OVER w AS a, lead(value) OVER w AS c, lead(value, 2) OVER w AS d FROM s
   WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
 t AS (SELECT *, 2*b - a - c AS t0, 2*c - b - d AS t1 FROM n WHERE a IS NOT NULL AND d IS NOT NULL)
-SELECT user_id, pos, round((b+c)/2, 6) AS linear, round(-0.5::DOUBLE*a + 1.5::DOUBLE*b, 6) AS linear1,
-  round((3*a+6*b-c)/8, 6) AS quad_1, round((-a+6*b+3*c)/8, 6) AS quad_2, round((3*a-10*b+15*c)/8, 6) AS quad_3,
-  round((-a+9*b+9*c-d)/16, 6) AS "cubic", round((5*a+15*b-5*c+d)/16, 6) AS cubic_front,
-  round((a+6*b-4*c+d)/4, 6) AS cubic_front_2, round((a-5*b+15*c+5*d)/16, 6) AS cubic_back_1,
-  round((-5*a+21*b-35*c+35*d)/16, 6) AS cubic_back_2, round((-3*a+23*b+23*c-3*d)/40, 6) AS cubic2,
+SELECT user_id, pos, round((b+c)/2, 8) AS linear, round(-0.5::DOUBLE*a + 1.5::DOUBLE*b, 8) AS linear1,
+  round((3*a+6*b-c)/8, 8) AS quad_1, round((-a+6*b+3*c)/8, 8) AS quad_2, round((3*a-10*b+15*c)/8, 8) AS quad_3,
+  round((-a+9*b+9*c-d)/16, 8) AS "cubic", round((5*a+15*b-5*c+d)/16, 8) AS cubic_front,
+  round((a+6*b-4*c+d)/4, 8) AS cubic_front_2, round((a-5*b+15*c+5*d)/16, 8) AS cubic_back_1,
+  round((-5*a+21*b-35*c+35*d)/16, 8) AS cubic_back_2, round((-3*a+23*b+23*c-3*d)/40, 8) AS cubic2,
   round(CASE WHEN abs(t0)+abs(t1) > 1e-9 THEN (b+c)/2 + (t0*abs(t1)+t1*abs(t0))/8/(abs(t0)+abs(t1))
-        ELSE (b+c)/2 END, 6) AS akima,
-  round((b+c)/2, 6) AS pchip FROM t"""
+        ELSE (b+c)/2 END, 8) AS akima,
+  round((b+c)/2, 8) AS pchip FROM t"""
 
 
 def prefilter(spark, sf_dir):

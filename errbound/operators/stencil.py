@@ -41,13 +41,17 @@ def difference_inside(row: Column, stride: int, extent: int, layers: int) -> Col
     return F.transform(row, cell)
 
 
+def _add_weighted(weight: int):
+    return lambda a, b: a + weight * F.coalesce(b, F.lit(0))
+
+
 def difference_across(row: Column, earlier: list[Column]) -> Column:
     """L-th backward difference between a slice and the slices before it (NULL slices count as 0)."""
     weights = DIFFERENCE[len(earlier)]
     out = row
     for j, prev in enumerate(earlier, start=1):
         out = F.zip_with(out, F.coalesce(prev, F.array().cast("array<double>")),
-                         lambda a, b, w=weights[j]: a + w * F.coalesce(b, F.lit(0)))
+                         _add_weighted(weights[j]))
     return out
 
 
