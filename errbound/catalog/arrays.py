@@ -256,7 +256,8 @@ SELECT samples, greatest(32, 2 * CAST(pow(2, ceil(log2(2 * (i + 1)))) AS BIGINT)
 def mean_freq(spark, sf_dir):
     """Mode of adjacent value bins around a rough mean."""
     cells = _cells3(spark, sf_dir)
-    rough = cells.where(sampling.on_strided_walk(F.col("i0") * 64 + F.col("p"), 37)).agg(F.avg("v").alias("rm"))
+    rough = sampling.rough_mean(cells.select((F.col("i0") * 64 + F.col("p")).alias("idx"), "v"), "idx", "v",
+                                _dims3(spark, sf_dir)).select(F.col("rough_mean").alias("rm"))
     both = cells.crossJoin(F.broadcast(rough))
     hist = histogram(both.select(sampling.mean_bin(F.col("v"), F.round("rm", 9), EB).alias("bin")), [], "bin")
     best = sampling.mean_frequency(hist, F.lit(0.0), EB)
@@ -265,7 +266,10 @@ def mean_freq(spark, sf_dir):
         F.round(F.round("rm", 9) + F.col("mean_guess"), 7).alias("mean_guess"))
 
 
-MEAN_FREQ_SQL = f"""WITH {CELLS_SQL}, r AS (SELECT round(avg(v), 9) AS rm FROM cells WHERE (i0 * 64 + p) % 37 = 0),
+MEAN_FREQ_SQL = f"""WITH {CELLS_SQL}, n AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) AS st FROM cells),
+w AS (SELECT k * st - k // CAST(ceil(8 / st) AS BIGINT) - k // CAST(ceil(64 / st) AS BIGINT) AS idx
+  FROM n, unnest(range(100000)) AS t(k)),
+r AS (SELECT round(avg(v), 9) AS rm FROM cells JOIN w ON w.idx = i0 * 64 + p),
 b AS (SELECT least(greatest(CASE WHEN v - rm > 0 THEN CAST(floor((v - rm) / {EB!r}::DOUBLE) AS BIGINT) + 4096
     ELSE CAST(ceil((v - rm) / {EB!r}::DOUBLE) AS BIGINT) - 1 + 4096 END, 0), 8191) AS bin FROM cells, r),
 h AS (SELECT bin, count(*) AS f FROM b GROUP BY bin),

@@ -52,10 +52,10 @@ def cumfreq(spark, sf_dir):
     return t.select("q", "freq", "low", "high")
 
 
-CUMFREQ_SQL = f"""{_SYM}, s AS (SELECT q, f, CASE WHEN sum(f) OVER () <= 1048576 THEN f
+CUMFREQ_SQL = f"""{_SYM}, sc AS (SELECT q, f, CASE WHEN sum(f) OVER () <= 1048576 THEN f
   ELSE greatest(1, f // CAST(ceil(sum(f) OVER () / 1048576) AS BIGINT)) END AS g FROM h)
 SELECT CAST(q AS INTEGER) AS q, f AS freq, CAST(sum(g) OVER (ORDER BY q) - g AS BIGINT) AS low,
-  CAST(sum(g) OVER (ORDER BY q) AS BIGINT) AS high FROM s"""
+  CAST(sum(g) OVER (ORDER BY q) AS BIGINT) AS high FROM sc"""
 
 
 def rle_runs(spark, sf_dir):

@@ -83,7 +83,7 @@ def particle_inverse(spark, sf_dir):
     # Block ids come back from their own delta stream.
     blocks = pt.block_table(cells, [], SMALL_BUCKET)
     numbered = pt.with_position(blocks, [], ["block"], "no", SMALL_BUCKET)
-    ids = running_sum(numbered, [], "no", "delta", "restored").select("block", "restored")
+    ids = running_sum(numbered, [], "no", {"delta": "restored"}).select("block", "restored")
     placed = pt.placed_deltas(pt.cell_deltas(cells, [], F.lit(VOLUME), SMALL_BUCKET), [], SMALL_BUCKET)
     back = pt.restore_cells(placed, []).join(ids, "block").withColumn("block", F.col("restored"))
     grid = pt.restore_grid(back.select("block", "oct", "pos", "n"), pt.bounding_box(pts, []), [], EB, (EDGE,) * 3)

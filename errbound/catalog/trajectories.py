@@ -128,9 +128,9 @@ def tight_factor(spark, sf_dir):
     return tm.tight_factor(tr, _sizes(spark, sf_dir), EB)
 
 
-TIGHT_SQL = f"""WITH {_sizes_sql()}, p AS (SELECT max(frame) AS t, count(DISTINCT pid) AS n FROM tr),
-j AS (SELECT count(*) AS jumps FROM tr a JOIN tr b ON a.pid = b.pid AND a.frame = 1 AND b.frame = 0, p
-  WHERE a.pid % greatest(1, n // 100) = 0 AND (abs(a.x - b.x) > 131072 OR abs(a.y - b.y) > 131072 OR abs(a.z - b.z) > 131072)),
+TIGHT_SQL = f"""WITH {_sizes_sql()}, p AS (SELECT max(frame) AS t FROM tr),
+j AS (SELECT count(*) AS jumps FROM tr a JOIN tr b ON a.pid = b.pid AND a.frame = 1 AND b.frame = 0
+  WHERE (abs(a.x - b.x) > 131072 OR abs(a.y - b.y) > 131072 OR abs(a.z - b.z) > 131072)),
 w AS (SELECT count(CASE WHEN sz.t < sz.s THEN 1 END) AS wins FROM sz, p
   WHERE frame = p.t // 2 OR frame = p.t // 4 OR frame = p.t // 4 * 3)
 SELECT p.t + 1 AS frames, jumps, wins, CASE WHEN p.t + 1 >= 64 AND jumps = 0 AND wins > 1 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS factor

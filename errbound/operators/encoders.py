@@ -56,8 +56,12 @@ def fixed_bits(df: DataFrame, keys: list[str], symbol: str) -> DataFrame:
 def cumulative_frequencies(hist: DataFrame, keys: list[str], symbol: str) -> DataFrame:
     """Frequency table of the arithmetic coder: running [low, high) per state in symbol order.
 
-    The table has at most 4096 states per key; totals above 2**20 are scaled down, never to zero.
+    Totals above 2**20 are scaled down, never to zero.  More than 4096 states per key is an error, so
+    the windows below stay small.
     """
+    states = hist.groupBy(*keys).agg(F.assert_true(
+        F.count(F.lit(1)) <= ARITH_MAX_STATES, "arithmetic coding takes at most 4096 states").alias("_ok"))
+    hist = (hist.join(states, keys) if keys else hist.crossJoin(F.broadcast(states))).where("_ok IS NULL").drop("_ok")
     whole = Window.partitionBy(*keys)
     n = F.sum("freq").over(whole)
     step = F.when(n <= ARITH_MAX_TOTAL, F.lit(1)).otherwise(
@@ -77,7 +81,7 @@ def run_lengths(df: DataFrame, keys: list[str], pos: str, symbol: str, tile: int
     marked = with_neighbours(df.select(*keys, pos, symbol), keys, pos, [symbol], before=1, tile=tile)
     marked = marked.withColumn("_new", (~F.col(symbol).eqNullSafe(F.col(f"{symbol}_m1"))
                                         | (F.col(pos) == 0)).cast("bigint"))
-    numbered = running_sum(marked, keys, pos, "_new", "run_id", tile)
+    numbered = running_sum(marked, keys, pos, {"_new": "run_id"}, tile)
     return numbered.groupBy(*keys, "run_id").agg(
         F.min(pos).alias("run_start"), F.first(symbol).alias(symbol), F.count(F.lit(1)).alias("run_length"))
 
@@ -323,13 +327,23 @@ def _ragged_int(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def huffman_code_lengths(hist: DataFrame, keys: list[str], symbol: str) -> DataFrame:
-    """Code length per symbol.  One key's alphabet is at most the quantizer's bin count."""
+    """Code length per symbol.
+
+    A key whose alphabet exceeds the table limit gets fixed-length codes instead, so the gathered
+    alphabets are bounded whatever the symbols are.
+    """
     @F.pandas_udf("array<int>")
     def lengths(freqs: pd.Series) -> pd.Series:
         return freqs.map(lambda f: huffman_lengths(np.asarray(f, np.int64)).astype(np.int32))
 
-    tables = hist.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(symbol, "freq"))).alias("_t"))
+    facts = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), F.min(symbol).alias("_lo"), F.max(symbol).alias("_hi"))
+    tagged = hist.join(facts, keys) if keys else hist.crossJoin(F.broadcast(facts))
+    small = tagged.where(F.col("_k") <= HUFFMAN_MAX_ALPHABET)
+    tables = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(symbol, "freq"))).alias("_t"))
     coded = tables.withColumn("_l", lengths(F.transform("_t", lambda s: s["freq"])))
     flat = coded.select(*keys, F.explode(F.arrays_zip(F.col("_t").alias("t"), F.col("_l").alias("l"))).alias("_e"))
-    return flat.select(*keys, F.col(f"_e.t.{symbol}").alias(symbol), F.col("_e.t.freq").alias("freq"),
-                       F.col("_e.l").alias("code_length"))
+    huffman = flat.select(*keys, F.col(f"_e.t.{symbol}").alias(symbol), F.col("_e.t.freq").alias("freq"),
+                          F.col("_e.l").alias("code_length"))
+    large = tagged.where(F.col("_k") > HUFFMAN_MAX_ALPHABET).select(
+        *keys, symbol, "freq", fixed_width(F.col("_hi") - F.col("_lo") + 1).alias("code_length"))
+    return huffman.unionByName(large)

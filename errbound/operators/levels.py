@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from errbound.functions import quantizer as qz
-from errbound.operators.ordering import with_neighbours
+from errbound.operators.ordering import running_sum, with_neighbours, with_position
 from errbound.operators.sampling import hashed_sample
 
 # Fixed values of level detection and coding.
@@ -45,15 +45,14 @@ def vq(df: DataFrame, keys: list[str], pos: str, value: str, start, offset, leve
 def cost_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values with running counts, sums and square sums: O(1) cluster costs.
 
-    One row per distinct value; the window runs over one key's bounded sample.
+    Counts per distinct value come first, then stitched running sums, so many distinct values are fine.
     """
-    from pyspark.sql import Window
-    grouped = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     v = F.col(value)
-    return grouped.select(*keys, value, F.sum("n").over(w).alias("cum_n"),
-                          F.sum(v * F.col("n")).over(w).alias("cum_sum"),
-                          F.sum(v * v * F.col("n")).over(w).alias("cum_sq"))
+    grouped = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")).withColumns(
+        {"_vn": v * F.col("n"), "_vvn": v * v * F.col("n")})
+    placed = with_position(grouped, keys, [value], "_no")
+    return running_sum(placed, keys, "_no", {"n": "cum_n", "_vn": "cum_sum", "_vvn": "cum_sq"}).select(
+        *keys, value, "cum_n", "cum_sum", "cum_sq")
 
 
 def _costs(cum: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

@@ -14,26 +14,25 @@ ROWS_PER_BUCKET = 1 << 20
 TILE = 1 << 16
 
 
-def _as_long(df: DataFrame, name: str) -> Column:
+def _as_number(df: DataFrame, name: str) -> Column:
     if dict(df.dtypes)[name].startswith("timestamp"):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    return F.floor(F.col(name)).cast("bigint")
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    return F.col(name).cast("double")
 
 
 def with_bucket(df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``_bucket``: equal-width slices of ``order``, as many as the row count asks for.
 
     The slice width comes from a one-row aggregate, so it adapts to the data without an action.
+    Rounding is monotone, so slices never swap the order of two rows.
     """
-    key = _as_long(df, order)
+    key = _as_number(df, order)
     facts = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    facts = facts.select(
-        "_lo",
-        F.greatest(F.lit(1.0), F.ceil(F.col("_n") / F.lit(rows_per_bucket)).cast("double")).alias("_nb"),
-        (F.col("_hi").cast("double") - F.col("_lo") + 1).alias("_span"))
-    offset = key.cast("double") - F.col("_lo")
+    facts = facts.select("_lo", (F.col("_hi") - F.col("_lo")).alias("_span"),
+                         F.ceil(F.col("_n") / F.lit(rows_per_bucket)).alias("_nb"))
+    slot = F.floor(F.try_divide((key - F.col("_lo")) * F.col("_nb"), F.col("_span")))
     return (df.crossJoin(F.broadcast(facts))
-            .withColumn("_bucket", F.floor(offset * F.col("_nb") / F.col("_span")))
+            .withColumn("_bucket", F.coalesce(F.least(slot, F.col("_nb") - 1), F.lit(0)))
             .drop("_lo", "_nb", "_span"))
 
 
@@ -96,17 +95,19 @@ def lag_sparse(df: DataFrame, keys: list[str], order: str, cols: list[str],
     return joined.withColumns(fill).drop("_bucket", "_first", "_edge")
 
 
-def running_sum(df: DataFrame, keys: list[str], pos: str, col: str, out: str,
+def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, str],
                 tile: int = TILE) -> DataFrame:
-    """Inclusive running sum of ``col`` along the dense position ``pos`` of each key."""
+    """Inclusive running sums along the position ``pos`` of each key; ``sums`` maps column to result."""
     tagged = df.withColumn("_tile", F.floor(F.col(pos) / F.lit(tile)))
     part = keys + ["_tile"]
-    sums = tagged.groupBy(*part).agg(F.sum(col).alias("_sum"))
+    totals = tagged.groupBy(*part).agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
     before = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*part, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    starts = totals.select(*part, *[
+        F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in sums])
     w = Window.partitionBy(*part).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return (tagged.withColumn("_local", F.sum(col).over(w)).join(starts, part)
-            .withColumn(out, F.col("_start") + F.col("_local")).drop("_tile", "_local", "_start"))
+    local = tagged.withColumns({f"_local_{c}": F.sum(c).over(w) for c in sums}).join(starts, part)
+    return local.withColumns({out: F.col(f"_start_{c}") + F.col(f"_local_{c}") for c, out in sums.items()}).drop(
+        "_tile", *[f"_local_{c}" for c in sums], *[f"_start_{c}" for c in sums])
 
 
 def to_chunks(df: DataFrame, keys: list[str], pos: str, value: str, length: int,

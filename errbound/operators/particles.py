@@ -130,8 +130,8 @@ def placed_deltas(deltas: DataFrame, keys: list[str], rows_per_bucket: int = ROW
 
 def restore_cells(placed: DataFrame, keys: list[str]) -> DataFrame:
     """Inverse of the deltas: running sums give octant and position back."""
-    octs = running_sum(placed, keys + ["block"], "cell_no", "oct_delta", "oct")
-    return running_sum(octs, keys + ["block", "oct"], "cell_no", "pos_delta", "pos").select(
+    octs = running_sum(placed, keys + ["block"], "cell_no", {"oct_delta": "oct"})
+    return running_sum(octs, keys + ["block", "oct"], "cell_no", {"pos_delta": "pos"}).select(
         *keys, "block", "oct", "pos", "n")
 
 
@@ -159,11 +159,11 @@ def output_order(blocked: DataFrame, keys: list[str], volume: Column,
     """
     cells = occupied_cells(blocked, keys).withColumn("_ord", (F.col("oct") * volume + F.col("pos")).cast("bigint"))
     inner = with_position(cells, keys + ["block"], ["_ord"], "_cell", rows_per_bucket)
-    inner = running_sum(inner, keys + ["block"], "_cell", "n", "_upto")
+    inner = running_sum(inner, keys + ["block"], "_cell", {"n": "_upto"})
     starts = inner.select(*keys, "block", "oct", "pos", (F.col("_upto") - F.col("n")).alias("_in_block"))
     blocks = cells.groupBy(*keys, "block").agg(F.sum("n").alias("n"))
     blocks = with_position(blocks, keys, ["block"], "_no", rows_per_bucket)
-    blocks = running_sum(blocks, keys, "_no", "n", "_end").select(
+    blocks = running_sum(blocks, keys, "_no", {"n": "_end"}).select(
         *keys, "block", (F.col("_end") - F.col("n")).alias("_block_start"))
     ranked = with_position(blocked.select(*keys, "block", "oct", "pos", "pid"),
                            keys + ["block", "oct", "pos"], ["pid"], "_rank", rows_per_bucket)

@@ -66,13 +66,17 @@ def mean_frequency(hist: DataFrame, rough_mean: Column, eb: float, bin_col: str
         (rough_mean + F.lit(float(eb)) * offset).alias("mean_guess"))
 
 
-def rough_mean_positions(n: int, plane: int, row: int) -> tuple[int, int]:
-    """Stride and row length of the walk: every sqrt(n)-th element, one back per row and per plane."""
-    return max(1, math.isqrt(n)), row
+def rough_mean(cells: DataFrame, idx: str, value: str, dims: list[int]) -> DataFrame:
+    """Mean over a strided walk: every sqrt(n)-th cell, one cell back at each row and plane turn.
 
-
-def on_strided_walk(idx: Column, distance: int) -> Column:
-    return idx % distance == 0
+    The k-th stop has a closed form, so the walk is a small range of stops joined to the cells.
+    """
+    n, plane, row = math.prod(dims), math.prod(dims[1:]), dims[-1]
+    step = max(1, math.isqrt(n))
+    k = F.col("id")
+    stop = k * step - F.floor(k / -(-row // step)) - F.floor(k / -(-plane // step))
+    stops = cells.sparkSession.range(2 * (n // step) + 2).select(stop.alias(idx)).where(F.col(idx) < n)
+    return cells.join(stops, idx).agg(F.avg(value).alias("rough_mean"))
 
 
 def sample_block(dims: list[int]) -> int | None:
@@ -97,13 +101,18 @@ def in_grid_sample(coords: list[Column], dims: list[int], block: int) -> Column:
 
 
 def hashed_sample(df: DataFrame, keys: list[str], id_cols: list[str], n: int, seed: int = 16707) -> DataFrame:
-    """A fixed-size sample without replacement, decided by a hash of the id: the sampling feature.
+    """A sample of ``n`` rows per key without replacement, decided by a hash of the id.
 
-    Candidates are thinned by the hash before the ranking, so the ranked set stays near ``n`` per key.
+    Rows are thinned by the hash to about 4n per key before they are ranked, so no task ranks a whole
+    key; a key of up to 4n rows is ranked whole.
     """
-    h = F.xxhash64(F.lit(seed), *id_cols)
-    w = Window.partitionBy(*keys).orderBy("_h", *id_cols)
-    return df.withColumn("_h", h).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_h", "_r")
+    unit = F.pmod(F.xxhash64(F.lit(seed), *id_cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    tagged = df.withColumn("_u", unit)
+    tagged = tagged.join(sizes, keys) if keys else tagged.crossJoin(F.broadcast(sizes))
+    thin = tagged.where(F.col("_u") * F.col("_n") <= 4 * n + 64)
+    w = Window.partitionBy(*keys).orderBy("_u", *id_cols)
+    return thin.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_u", "_n", "_r")
 
 
 def shuffled(df: DataFrame, id_cols: list[str], seed: int = 16707) -> DataFrame:

@@ -118,21 +118,18 @@ def chain_starts(choices: DataFrame, keys: list[str], size: int) -> DataFrame:
 def tight_factor(df: DataFrame, sizes: DataFrame, eb: float) -> DataFrame:
     """5 when spatial frames should use a tighter bound, else 1 (one row).
 
-    Needs at least 64 frames, no particle of the probe jumping far between frames 0 and 1, and
+    Needs at least 64 frames, no particle jumping far between frames 0 and 1 (all are looked at), and
     temporal coding smaller than spatial in two of three probe frames.
     """
-    frames = df.agg(F.max("frame").alias("_t"), F.countDistinct("pid").alias("_n"))
+    frames = df.agg(F.max("frame").alias("_t"))
     two = df.where("frame <= 1").select("pid", "frame", *pt.AXES)
     near = with_neighbours(two, ["pid"], "frame", list(pt.AXES), before=1).where("frame = 1")
-    # Every (n div 100)-th particle is probed, as the heuristic has it.
-    stepped = near.crossJoin(F.broadcast(frames)).where(
-        F.col("pid") % F.greatest(F.lit(1), F.floor(F.col("_n") / 100)) == 0)
-    jumps = stepped.agg(F.count(F.when(
+    jumps = near.agg(F.count(F.when(
         sum(((F.abs(F.col(a) - F.col(f"{a}_m1")) > TIGHT_JUMP * eb).cast("int") for a in pt.AXES), F.lit(0)) > 0,
         1)).alias("_jumps"))
     nt = F.col("_t")
     probes = sizes.crossJoin(F.broadcast(frames)).agg(F.count(F.when(
-        F.col("frame").isin(-1) | (F.col("frame") == F.floor(nt / 2)) | (F.col("frame") == F.floor(nt / 4))
+        (F.col("frame") == F.floor(nt / 2)) | (F.col("frame") == F.floor(nt / 4))
         | (F.col("frame") == F.floor(nt / 4) * 3), F.when(F.col("temporal_bits") < F.col("spatial_bits"), 1))).alias("_wins"))
     return frames.crossJoin(jumps).crossJoin(probes).select(
         (nt + 1).alias("frames"), F.col("_jumps").alias("jumps"), F.col("_wins").alias("wins"),
