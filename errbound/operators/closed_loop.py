@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,11 +198,3 @@ def lorenzo_nd_recover(q: np.ndarray, stored: np.ndarray, shape: tuple[int, ...]
         idx = q[:, cells]
         recon[:, at] = np.where(idx == 0, stored[:, cells], pred + 2 * (idx - radius) * bound)
     return recon[:, where]
-
-
-def by_shape(dims: pd.Series) -> dict[tuple[int, ...], np.ndarray]:
-    """Row numbers of a batch grouped by chunk shape."""
-    groups: dict[tuple[int, ...], list[int]] = {}
-    for i, d in enumerate(dims):
-        groups.setdefault(tuple(int(x) for x in d), []).append(i)
-    return {shape: np.array(rows) for shape, rows in groups.items()}
