@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from errbound.catalog.tables import slabs, table
+from errbound.catalog.particles import INVERSE_SQL
+from errbound.catalog.tables import ORDERS_PARTICLES_SQL, orders_particles, particles, slabs, table
+from errbound.catalog.trajectories import TRAJ_SQL, trajectory
 from errbound.config import Algorithm, Config, ErrorBoundMode, Interpolator
+from errbound.operators import stencil
 from errbound.operators.ordering import to_chunks, with_position
 from errbound.plans import array_codec as codec
+from errbound.plans import md_codec as md
+from errbound.plans import particle_codec as pc
 from errbound.plans import tuner
 
 HEIGHT = 64
@@ -105,3 +110,98 @@ QUERIES = {f"codec_{name}": (_codec(conf), VERIFIED_SQL) for name, conf in CODEC
     "compression_report": (compression_report, None),
     "tuner_report": (tuner_report, None),
 }
+
+
+PARTICLE_EB = 0.05
+
+
+def particle_codec_query(spark, sf_dir):
+    """Spatial codec round trip on particles with ids: positions match through the permutation."""
+    pts = orders_particles(spark, sf_dir)
+    particles = pc.blocked(pts, [], PARTICLE_EB, 8)
+    cells = pc.numbered_cells(particles, [])
+    back = pc.expand_cells(pc.decode_cells(pc.compress_cells(cells, [], PARTICLE_EB), []), [])
+    order = pc.output_positions(particles, cells, [])
+    both = pts.join(order, "pid").join(back.select("position", *[F.col(a).alias(f"d{a}") for a in "xyz"]), "position")
+    worst = F.greatest(*[F.abs(F.col(a) - F.col(f"d{a}")) for a in "xyz"])
+    return both.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("positions"),
+                    (F.max(worst) <= PARTICLE_EB * (1 + 1e-9)).alias("bound_ok"))
+
+
+PARTICLE_CODEC_SQL = "SELECT count(*) AS n, count(*) AS positions, true AS bound_ok FROM orders"
+
+
+def particle_cells_codec(spark, sf_dir):
+    """Spatial codec on the crowded particle set: decoded centres and their counts."""
+    packed = pc.compress_frames(particles(spark, sf_dir), [], 0.5, 8)
+    cells = pc.decode_cells(packed, [])
+    return cells.groupBy(*[F.round(a, 6).alias(a) for a in "xyz"]).agg(F.sum("n").alias("n"))
+
+
+def particle_raw(spark, sf_dir):
+    """A range beyond the grid limits takes the lossless path."""
+    pts = orders_particles(spark, sf_dir).withColumn("x", F.col("x") * 1e6)
+    back = pc.decompress_raw(pc.compress_raw(pts, [], 1e-3), [])
+    return back.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+
+
+RAW_SQL = f"WITH {ORDERS_PARTICLES_SQL} SELECT x * 1e6::DOUBLE AS x, y, z, count(*) AS n FROM pts GROUP BY 1, 2, 3"
+
+
+def trajectory_codec(spark, sf_dir):
+    """Key frames and temporal batches, decoded and matched to the input through the permutation."""
+    tr = trajectory(spark, sf_dir)
+    key_frames, batches, order = pc.compress_trajectory(tr, 2.0, 8, 4, 64)
+    back = pc.decompress_trajectory(key_frames, batches, 2.0, 64)
+    named = back.join(order, ["anchor", "position"]).select(
+        "pid", (F.col("anchor") + F.col("step")).alias("frame"), *[F.col(a).alias(f"d{a}") for a in "xyz"])
+    both = tr.join(named, ["pid", "frame"])
+    worst = F.greatest(*[F.abs(F.col(a) - F.col(f"d{a}")) for a in "xyz"])
+    return both.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), (F.max(worst) <= 2.0 * (1 + 1e-9)).alias("bound_ok"))
+
+
+TRAJECTORY_SQL = f"WITH {TRAJ_SQL} SELECT frame, count(*) AS n, true AS bound_ok FROM tr GROUP BY frame"
+
+
+def _md_rows(spark, sf_dir) -> DataFrame:
+    """Vectors as frames, their 64 components as atoms, on one axis."""
+    cells = stencil.explode_slab(slabs(spark, sf_dir), [], {"row": "v"})
+    return cells.select(F.lit("x").alias("axis"), F.col("i0").alias("frame"), F.col("p").cast("bigint").alias("slot"), "v")
+
+
+MD = Config(dims=(10, 64), mode=ErrorBoundMode.REL, rel_bound=1e-3)
+
+
+def _md(method: int):
+    def run(spark, sf_dir):
+        rows = _md_rows(spark, sf_dir)
+        packed = md.compress(rows, MD, 10, method, 32)
+        back = md.decompress(packed, MD, 10, 32).withColumnRenamed("v", "d")
+        ebs = packed.groupBy("axis", "batch").agg(F.first("eb").alias("eb"))
+        both = rows.join(back, ["axis", "frame", "slot"]).withColumn("batch", F.floor(F.col("frame") / 10)).join(ebs, ["axis", "batch"])
+        return both.groupBy("axis", "batch").agg(F.count(F.lit(1)).alias("n"), F.bool_and(
+            F.abs(F.col("v") - F.col("d")) <= F.col("eb") * (1 + 1e-9)).alias("bound_ok"))
+    return run
+
+
+MD_SQL = """SELECT 'x' AS axis, vec_id // 10 AS batch, CAST(sum(len(embedding)) AS BIGINT) AS n, true AS bound_ok
+FROM embeddings GROUP BY 2"""
+
+
+def md_methods(spark, sf_dir):
+    """Bytes of each method over the whole run and the adaptive choice per period."""
+    prep = md.prepared(_md_rows(spark, sf_dir), MD, 10, 32)
+    return md.select_methods(prep, MD.radius)
+
+
+QUERIES |= {
+    "particle_codec": (particle_codec_query, PARTICLE_CODEC_SQL),
+    "particle_cells_codec": (particle_cells_codec, INVERSE_SQL),
+    "particle_raw": (particle_raw, RAW_SQL),
+    "trajectory_codec": (trajectory_codec, TRAJECTORY_SQL),
+    "md_adaptive": (_md(md.ADAPTIVE), MD_SQL),
+    "md_mt": (_md(md.MT), MD_SQL),
+    "md_lorenzo": (_md(md.LR), MD_SQL),
+    "md_ts": (_md(md.TS), MD_SQL),
+    "md_methods": (md_methods, None),
+}
