@@ -134,8 +134,7 @@ PARTICLE_CODEC_SQL = "SELECT count(*) AS n, count(*) AS positions, true AS bound
 def particle_cells_codec(spark, sf_dir):
     """Spatial codec on the crowded particle set: decoded centres and their counts."""
     packed = pc.compress_frames(particles(spark, sf_dir), [], 0.5, 8)
-    cells = pc.decode_cells(packed, [])
-    return cells.groupBy(*[F.round(a, 6).alias(a) for a in "xyz"]).agg(F.sum("n").alias("n"))
+    return pc.decode_cells(packed, []).groupBy(*[F.round(a, 6).alias(a) for a in "xyz"]).agg(F.sum("n").alias("n"))
 
 
 def particle_raw(spark, sf_dir):

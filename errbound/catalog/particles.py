@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from errbound.catalog.tables import (ORDERS_PARTICLES_SQL, PARTICLES_SQL, orders_particles, particles)
 from errbound.operators import particles as pt
-from errbound.operators.ordering import running_sum
+from errbound.operators.ordering import ordered_prefix
 from errbound.operators.stats import distortion
 
 EB = 0.5
 EDGE = 4
 VOLUME = EDGE ** 3
-SMALL_BUCKET = 4096
+# Small buckets, so that the test tables already span several.
+BLOCK_WIDTH, CELL_WIDTH = 16, 64
 
 
 def _blocked(df: DataFrame, eb: float = EB, edge: int = EDGE) -> DataFrame:
@@ -48,7 +49,7 @@ BOX_SQL = f"""WITH {PARTICLES_SQL} SELECT min(x) AS px, min(y) AS py, min(z) AS
 
 def particle_blocks(spark, sf_dir):
     """Occupied blocks with id deltas: the flagship grouping."""
-    return pt.block_table(_cells(spark, sf_dir), [], SMALL_BUCKET)
+    return pt.block_table(_cells(spark, sf_dir), [], BLOCK_WIDTH)
 
 
 BLOCKS_SQL = f"""WITH {_blocked_sql()}, t AS (
@@ -58,7 +59,7 @@ SELECT block, block - coalesce(lag(block) OVER (ORDER BY block), 0) AS delta, co
 
 def particle_deltas(spark, sf_dir):
     """Octant and position deltas of every occupied cell."""
-    d = pt.cell_deltas(_cells(spark, sf_dir), [], F.lit(VOLUME), SMALL_BUCKET)
+    d = pt.cell_deltas(_cells(spark, sf_dir), [], VOLUME, CELL_WIDTH)
     return d.select("block", "oct", "pos", "n", "oct_delta", "pos_delta")
 
 
@@ -81,10 +82,9 @@ def particle_inverse(spark, sf_dir):
     pts = particles(spark, sf_dir)
     cells = pt.occupied_cells(_blocked(pts), [])
     # Block ids come back from their own delta stream.
-    blocks = pt.block_table(cells, [], SMALL_BUCKET)
-    numbered = pt.with_position(blocks, [], ["block"], "no", SMALL_BUCKET)
-    ids = running_sum(numbered, [], "no", {"delta": "restored"}).select("block", "restored")
-    placed = pt.placed_deltas(pt.cell_deltas(cells, [], F.lit(VOLUME), SMALL_BUCKET), [], SMALL_BUCKET)
+    blocks = pt.block_table(cells, [], BLOCK_WIDTH)
+    ids = ordered_prefix(blocks, [], ["block"], None, {"delta": "restored"}, width=BLOCK_WIDTH).select("block", "restored")
+    placed = pt.placed_deltas(pt.cell_deltas(cells, [], VOLUME), [])
     back = pt.restore_cells(placed, []).join(ids, "block").withColumn("block", F.col("restored"))
     grid = pt.restore_grid(back.select("block", "oct", "pos", "n"), pt.bounding_box(pts, []), [], EB, (EDGE,) * 3)
     return grid.select(*[F.round(a, 6).alias(a) for a in "xyz"], "n")
@@ -115,7 +115,7 @@ def _repair_sql() -> str:
 def particle_order(spark, sf_dir):
     """The permutation from input to output order."""
     blocked = _blocked(orders_particles(spark, sf_dir), EB, EDGE)
-    return pt.output_order(blocked, [], F.lit(VOLUME), SMALL_BUCKET)
+    return pt.output_order(blocked, [], VOLUME, 4096)
 
 
 ORDER_SQL = f"""WITH {_blocked_sql(ORDERS_PARTICLES_SQL)}
@@ -150,7 +150,7 @@ FROM l GROUP BY axis"""
 
 def stream_sizes(spark, sf_dir):
     """Coded size and method of the four streams."""
-    hist = pt.stream_histograms(_cells(spark, sf_dir), [], F.lit(VOLUME))
+    hist = pt.stream_histograms(_cells(spark, sf_dir), [], VOLUME)
     s = pt.stream_sizes(hist, [])
     return s.select("stream", "n", F.round("entropy_bits", 3).alias("entropy_bits"), "fixed_bits", "method")
 

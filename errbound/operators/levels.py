@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from errbound.functions import quantizer as qz
-from errbound.operators.ordering import running_sum, with_neighbours, with_position
+from errbound.operators.ordering import ordered_prefix, with_neighbours
 from errbound.operators.sampling import hashed_sample
 
 # Fixed values of level detection and coding.
@@ -50,8 +50,7 @@ def cost_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     v = F.col(value)
     grouped = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")).withColumns(
         {"_vn": v * F.col("n"), "_vvn": v * v * F.col("n")})
-    placed = with_position(grouped, keys, [value], "_no")
-    return running_sum(placed, keys, "_no", {"n": "cum_n", "_vn": "cum_sum", "_vvn": "cum_sq"}).select(
+    return ordered_prefix(grouped, keys, [value], None, {"n": "cum_n", "_vn": "cum_sum", "_vvn": "cum_sq"}).select(
         *keys, value, "cum_n", "cum_sum", "cum_sq")
 
 

@@ -20,12 +20,17 @@ def _as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def with_bucket(df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add ``_bucket``: equal-width slices of ``order``, as many as the row count asks for.
-
-    The slice width comes from a one-row aggregate, so it adapts to the data without an action.
-    Rounding is monotone, so slices never swap the order of two rows.
+def with_bucket(df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET,
+                width: int | None = None) -> DataFrame:
+    """Add ``_bucket``: order-preserving slices of ``order``.
+
+    With ``width`` the slices are that wide, which bounds them when ``order`` is a unique integer.
+    Otherwise they are equal-width slices, as many as the row count asks for; the width comes from a
+    one-row aggregate, so it adapts to the data without an action.  Rounding is monotone, so slices
+    never swap the order of two rows.
     """
+    if width:
+        return df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)))
     key = _as_number(df, order)
     facts = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_n"))
     facts = facts.select("_lo", (F.col("_hi") - F.col("_lo")).alias("_span"),
@@ -36,22 +41,42 @@ def with_bucket(df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKE
             .drop("_lo", "_nb", "_span"))
 
 
-def with_position(df: DataFrame, keys: list[str], order: list[str], pos: str = "pos",
-                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Dense 0-based position of each row inside its key, ordered by ``order``.
+def ordered_prefix(df: DataFrame, keys: list[str], order: list[str], pos: str | None = None,
+                   sums: dict[str, str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+                   width: int | None = None) -> DataFrame:
+    """Position and inclusive running sums of each row inside its key, ordered by ``order``.
 
-    One shuffle of the rows, on (key, bucket); bucket sizes are pre-aggregated map-side.  Rows that
-    share one exact value of the first order column stay in one bucket (its sort spills to disk).
+    One shuffle of the rows, on (key, bucket); bucket totals are pre-aggregated map-side and their
+    offsets joined back.  Rows that share one exact value of the first order column stay in one bucket
+    (its sort spills to disk).
     """
-    tagged = with_bucket(df, order[0], rows_per_bucket)
+    sums = sums or {}
+    tagged = with_bucket(df, order[0], rows_per_bucket, width)
     part = keys + ["_bucket"]
-    sizes = tagged.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
+    totals = tagged.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"),
+                                       *[F.sum(c).alias(f"_sum_{c}") for c in sums])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*part, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    local = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-    return (tagged.withColumn("_local", local).join(starts, part)
-            .withColumn(pos, F.col("_start") + F.col("_local") - 1)
-            .drop("_bucket", "_local", "_start"))
+    starts = totals.select(*part, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"), *[
+        F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in sums])
+    w = Window.partitionBy(*part).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = tagged.withColumns({"_local": F.row_number().over(w)} | {f"_local_{c}": F.sum(c).over(so_far) for c in sums})
+    added = {out: F.col(f"_start_{c}") + F.col(f"_local_{c}") for c, out in sums.items()}
+    if pos:
+        added[pos] = F.col("_start") + F.col("_local") - 1
+    return local.join(starts, part).withColumns(added).drop(
+        "_bucket", "_local", "_start", *[f"_local_{c}" for c in sums], *[f"_start_{c}" for c in sums])
+
+
+def with_position(df: DataFrame, keys: list[str], order: list[str], pos: str = "pos",
+                  rows_per_bucket: int = ROWS_PER_BUCKET, width: int | None = None) -> DataFrame:
+    """Dense 0-based position of each row inside its key."""
+    return ordered_prefix(df, keys, order, pos, None, rows_per_bucket, width)
+
+
+def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, str], tile: int = TILE) -> DataFrame:
+    """Inclusive running sums along the unique integer ``pos``; ``sums`` maps column to result."""
+    return ordered_prefix(df, keys, [pos], None, sums, width=tile)
 
 
 def with_neighbours(df: DataFrame, keys: list[str], pos: str, cols: list[str], before: int = 0,
@@ -79,9 +104,9 @@ def with_neighbours(df: DataFrame, keys: list[str], pos: str, cols: list[str], b
 
 
 def lag_sparse(df: DataFrame, keys: list[str], order: str, cols: list[str],
-               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+               rows_per_bucket: int = ROWS_PER_BUCKET, width: int | None = None) -> DataFrame:
     """Add ``prev_{col}``: the value in the preceding row by the unique numeric column ``order``."""
-    tagged = with_bucket(df, order, rows_per_bucket)
+    tagged = with_bucket(df, order, rows_per_bucket, width)
     part = keys + ["_bucket"]
     last = tagged.groupBy(*part).agg(F.max(F.struct(order, *[F.col(c).alias(f"_v_{c}") for c in cols])).alias("_last"))
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
@@ -95,21 +120,6 @@ def lag_sparse(df: DataFrame, keys: list[str], order: str, cols: list[str],
     return joined.withColumns(fill).drop("_bucket", "_first", "_edge")
 
 
-def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, str],
-                tile: int = TILE) -> DataFrame:
-    """Inclusive running sums along the position ``pos`` of each key; ``sums`` maps column to result."""
-    tagged = df.withColumn("_tile", F.floor(F.col(pos) / F.lit(tile)))
-    part = keys + ["_tile"]
-    totals = tagged.groupBy(*part).agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
-    before = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*part, *[
-        F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in sums])
-    w = Window.partitionBy(*part).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.withColumns({f"_local_{c}": F.sum(c).over(w) for c in sums}).join(starts, part)
-    return local.withColumns({out: F.col(f"_start_{c}") + F.col(f"_local_{c}") for c, out in sums.items()}).drop(
-        "_tile", *[f"_local_{c}" for c in sums], *[f"_start_{c}" for c in sums])
-
-
 def to_chunks(df: DataFrame, keys: list[str], pos: str, value: str, length: int,
               chunk: str = "chunk_id", out: str = "vals") -> DataFrame:
     """Gather runs of ``length`` consecutive positions into ordered arrays (never more)."""

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from errbound.functions.quantizer import grid_centre, grid_index
 from errbound.functions.scalars import fixed_width
 from errbound.operators.encoders import entropy_bits, histogram
-from errbound.operators.ordering import ROWS_PER_BUCKET, lag_sparse, running_sum, with_position
+from errbound.operators.ordering import lag_sparse, ordered_prefix, running_sum, with_position
 
 AXES = ("x", "y", "z")
 
@@ -99,22 +99,32 @@ def occupied_cells(blocked: DataFrame, keys: list[str]) -> DataFrame:
     return blocked.groupBy(*keys, "block", "oct", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
-def block_table(cells: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+# Block ids per bucket when blocks are put in order, and cells per bucket inside a block.
+BLOCK_BUCKET = 1 << 20
+CELL_BUCKET = 1 << 20
+
+
+def block_table(cells: DataFrame, keys: list[str], width: int = BLOCK_BUCKET) -> DataFrame:
     """Occupied blocks in id order with id deltas and particle counts."""
     blocks = cells.groupBy(*keys, "block").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("cells"))
-    near = lag_sparse(blocks, keys, "block", ["block"], rows_per_bucket)
+    near = lag_sparse(blocks, keys, "block", ["block"], width=width)
     return near.select(*keys, "block", (F.col("block") - F.coalesce("prev_block", F.lit(0))).alias("delta"),
                        "count", "cells")
 
 
-def cell_deltas(cells: DataFrame, keys: list[str], volume: Column,
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def cell_deltas(cells: DataFrame, keys: list[str], volume: int | Column, width: int = CELL_BUCKET) -> DataFrame:
     """Octant and position deltas of each occupied cell against the one before it in its block.
 
-    The position restarts at each octant.  Further particles of a cell have both deltas zero.
+    The position restarts at each octant.  Further particles of a cell have both deltas zero.  Cells are
+    distinct, so a block of known small volume is a bounded window; other blocks are bucketed.
     """
-    ordered = cells.withColumn("_ord", (F.col("oct") * volume + F.col("pos")).cast("bigint"))
-    near = lag_sparse(ordered, keys + ["block"], "_ord", ["oct", "pos"], rows_per_bucket)
+    v = F.lit(volume) if isinstance(volume, int) else volume
+    ordered = cells.withColumn("_ord", (F.col("oct") * v + F.col("pos")).cast("bigint"))
+    if isinstance(volume, int) and 8 * volume <= width:
+        w = Window.partitionBy(*keys, "block").orderBy("_ord")
+        near = ordered.withColumns({"prev_oct": F.lag("oct").over(w), "prev_pos": F.lag("pos").over(w)})
+    else:
+        near = lag_sparse(ordered, keys + ["block"], "_ord", ["oct", "pos"], width=width)
     same = F.col("prev_oct").eqNullSafe(F.col("oct"))
     return near.select(
         *keys, "block", "oct", "pos", "n", "_ord",
@@ -122,16 +132,16 @@ def cell_deltas(cells: DataFrame, keys: list[str], volume: Column,
         (F.col("pos") - F.when(same, F.col("prev_pos")).otherwise(0)).alias("pos_delta"))
 
 
-def placed_deltas(deltas: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def placed_deltas(deltas: DataFrame, keys: list[str], width: int = CELL_BUCKET) -> DataFrame:
     """Number the cells of each block in code order: the stored form of the delta streams."""
-    return with_position(deltas, keys + ["block"], ["_ord"], "cell_no", rows_per_bucket).select(
+    return with_position(deltas, keys + ["block"], ["_ord"], "cell_no", width=width).select(
         *keys, "block", "cell_no", "oct_delta", "pos_delta", "n")
 
 
-def restore_cells(placed: DataFrame, keys: list[str]) -> DataFrame:
+def restore_cells(placed: DataFrame, keys: list[str], width: int = CELL_BUCKET) -> DataFrame:
     """Inverse of the deltas: running sums give octant and position back."""
-    octs = running_sum(placed, keys + ["block"], "cell_no", {"oct_delta": "oct"})
-    return running_sum(octs, keys + ["block", "oct"], "cell_no", {"pos_delta": "pos"}).select(
+    octs = running_sum(placed, keys + ["block"], "cell_no", {"oct_delta": "oct"}, width)
+    return running_sum(octs, keys + ["block", "oct"], "cell_no", {"pos_delta": "pos"}, width).select(
         *keys, "block", "oct", "pos", "n")
 
 
@@ -150,28 +160,25 @@ def restore_grid(cells: DataFrame, box: DataFrame, keys: list[str], eb: float,
     return with_q.withColumns({a: decoded(a, eb) for a in AXES})
 
 
-def output_order(blocked: DataFrame, keys: list[str], volume: Column,
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def output_order(blocked: DataFrame, keys: list[str], volume: int, width: int = CELL_BUCKET) -> DataFrame:
     """Output position of every particle in (block, octant, position, pid) order.
 
     Starts of blocks and of cells come from running sums over the aggregated tables; the rank of a
     particle inside its cell is bucketed by pid, so a crowded cell is ranked by many tasks.
     """
     cells = occupied_cells(blocked, keys).withColumn("_ord", (F.col("oct") * volume + F.col("pos")).cast("bigint"))
-    inner = with_position(cells, keys + ["block"], ["_ord"], "_cell", rows_per_bucket)
-    inner = running_sum(inner, keys + ["block"], "_cell", {"n": "_upto"})
+    inner = ordered_prefix(cells, keys + ["block"], ["_ord"], None, {"n": "_upto"}, width=width)
     starts = inner.select(*keys, "block", "oct", "pos", (F.col("_upto") - F.col("n")).alias("_in_block"))
     blocks = cells.groupBy(*keys, "block").agg(F.sum("n").alias("n"))
-    blocks = with_position(blocks, keys, ["block"], "_no", rows_per_bucket)
-    blocks = running_sum(blocks, keys, "_no", {"n": "_end"}).select(
+    blocks = ordered_prefix(blocks, keys, ["block"], None, {"n": "_end"}, width=BLOCK_BUCKET).select(
         *keys, "block", (F.col("_end") - F.col("n")).alias("_block_start"))
     ranked = with_position(blocked.select(*keys, "block", "oct", "pos", "pid"),
-                           keys + ["block", "oct", "pos"], ["pid"], "_rank", rows_per_bucket)
+                           keys + ["block", "oct", "pos"], ["pid"], "_rank", width=width)
     return (ranked.join(starts, keys + ["block", "oct", "pos"]).join(blocks, keys + ["block"])
             .select(*keys, "pid", (F.col("_block_start") + F.col("_in_block") + F.col("_rank")).alias("position")))
 
 
-def stream_histograms(cells: DataFrame, keys: list[str], volume: Column) -> DataFrame:
+def stream_histograms(cells: DataFrame, keys: list[str], volume: int | Column) -> DataFrame:
     """Symbol frequencies of the four coded streams: block deltas, block counts, octants, positions."""
     blocks = block_table(cells, keys)
     deltas = cell_deltas(cells, keys, volume)
@@ -275,7 +282,7 @@ def entropy_candidates(df: DataFrame, ranges: list[float], eb: float) -> DataFra
     bid = F.floor(F.col("x") / F.col("t.w") + (F.col("y") / F.col("t.w")
                                                + (F.col("z") / F.col("t.w")) * F.col("t.ny")) * F.col("t.nx"))
     ids = rows.groupBy(F.col("t.a").alias("a"), bid.alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    near = lag_sparse(ids, ["a"], "id", ["id"])
+    near = lag_sparse(ids, ["a"], "id", ["id"], width=BLOCK_BUCKET)
     first = F.struct((F.col("id") - F.coalesce("prev_id", F.lit(0))).alias("symbol"), F.lit(1).cast("bigint").alias("w"))
     again = F.struct(F.lit(0).cast("bigint").alias("symbol"), (F.col("n") - 1).alias("w"))
     flat = near.select("a", F.explode(F.array(first, again)).alias("e")).where("e.w > 0")

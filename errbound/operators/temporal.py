@@ -63,7 +63,7 @@ def spatial_sizes(df: DataFrame, keys: list[str], eb: float, edge: int) -> DataF
     """Estimated coded bits of each frame on its own: the four streams of spatial blocking."""
     by_frame = keys + ["frame"]
     blocked = pt.with_block_ids(pt.with_grid(df, by_frame, eb), eb, pt.constant_edge(edge))
-    hist = pt.stream_histograms(pt.occupied_cells(blocked, by_frame), by_frame, F.lit(edge ** 3))
+    hist = pt.stream_histograms(pt.occupied_cells(blocked, by_frame), by_frame, edge ** 3)
     sizes = pt.stream_sizes(hist, by_frame)
     return sizes.groupBy(*by_frame).agg(F.sum(F.least("entropy_bits", "fixed_bits")).alias("spatial_bits"))
 

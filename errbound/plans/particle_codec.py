@@ -17,7 +17,8 @@ from errbound.operators import particles as pt
 from errbound.operators import temporal as tm
 from errbound.operators.closed_loop import quantize_chunks, series_recover
 from errbound.operators.encoders import _ragged_int
-from errbound.operators.ordering import running_sum, with_position
+from errbound.operators.ordering import ordered_prefix, with_position
+from errbound.session import checkpointed
 
 CELLS_PER_CHUNK = 4096
 STREAMS = ("block", "oct", "pos", "fix", "n")
@@ -58,26 +59,29 @@ def blocked(df: DataFrame, keys: list[str], eb: float, edge: int) -> DataFrame:
 
 
 def numbered_cells(particles: DataFrame, keys: list[str]) -> DataFrame:
-    """Occupied cells with their number in code order and the particles before them."""
+    """Occupied cells with their number in code order and the particles before them.
+
+    The aggregated cells feed several ordered steps, so they are checkpointed once.
+    """
     box = [f"{p}{a}" for p in "pr" for a in pt.AXES]
-    cells = particles.groupBy(*keys, "block", "ord", "oct", "pos", "fix").agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in box + ["edge"]])
-    inner = with_position(cells, keys + ["block"], ["ord"], "_in")
-    inner = running_sum(inner, keys + ["block"], "_in", {"n": "_upto"})
+    cells = checkpointed(particles.groupBy(*keys, "block", "ord", "oct", "pos", "fix").agg(
+        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in box + ["edge"]]))
+    inner = ordered_prefix(cells, keys + ["block"], ["ord"], "_in", {"n": "_upto"}, width=pt.CELL_BUCKET)
     blocks = cells.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("_cells"), F.sum("n").alias("_n"))
-    blocks = running_sum(with_position(blocks, keys, ["block"], "_no"), keys, "_no",
-                         {"_cells": "_cells_end", "_n": "_n_end"}).select(
+    blocks = ordered_prefix(blocks, keys, ["block"], None, {"_cells": "_cells_end", "_n": "_n_end"},
+                            width=pt.BLOCK_BUCKET).select(
         *keys, "block", (F.col("_cells_end") - F.col("_cells")).alias("_c0"), (F.col("_n_end") - F.col("_n")).alias("_n0"))
-    return inner.join(blocks, keys + ["block"]).select(
+    return checkpointed(inner.join(blocks, keys + ["block"]).select(
         *keys, "block", "ord", "oct", "pos", "fix", "n", *box, "edge",
         (F.col("_c0") + F.col("_in")).alias("cell_no"),
-        (F.col("_n0") + F.col("_upto") - F.col("n")).alias("first_position"))
+        (F.col("_n0") + F.col("_upto") - F.col("n")).alias("first_position")))
 
 
 def _restart_deltas() -> dict[str, Column]:
     """Delta streams of one chunk; octants restart per block, positions per octant."""
+    # Inputs are named apart from the results: inside a lambda a name could mean either.
     def get(name, i):
-        return F.coalesce(F.get(F.col(name), i), F.lit(0))
+        return F.coalesce(F.get(F.col(f"_{name}"), i), F.lit(0))
 
     def opens_block(i):
         return (i == 0) | (get("block", i) != get("block", i - 1))
@@ -86,10 +90,10 @@ def _restart_deltas() -> dict[str, Column]:
         return opens_block(i) | (get("oct", i) != get("oct", i - 1))
 
     return {
-        "block": F.transform("block", lambda x, i: F.when(i == 0, x).otherwise(x - get("block", i - 1))),
-        "oct": F.transform("oct", lambda x, i: F.when(opens_block(i), x).otherwise(x - get("oct", i - 1))),
-        "pos": F.transform("pos", lambda x, i: F.when(opens_octant(i), x).otherwise(x - get("pos", i - 1))),
-        "fix": F.col("fix"), "n": F.col("n"),
+        "block": F.transform("_block", lambda x, i: F.when(i == 0, x).otherwise(x - get("block", i - 1))),
+        "oct": F.transform("_oct", lambda x, i: F.when(opens_block(i), x).otherwise(x - get("oct", i - 1))),
+        "pos": F.transform("_pos", lambda x, i: F.when(opens_octant(i), x).otherwise(x - get("pos", i - 1))),
+        "fix": F.col("_fix"), "n": F.col("_n"),
     }
 
 
@@ -99,7 +103,7 @@ def compress_cells(cells: DataFrame, keys: list[str], eb: float, size: int = CEL
     chunks = cells.withColumn("chunk_id", F.floor(F.col("cell_no") / size)).groupBy(*keys, "chunk_id").agg(
         F.array_sort(F.collect_list(F.struct("cell_no", *STREAMS))).alias("_s"),
         F.min("first_position").alias("first_position"), *[F.first(c).alias(c) for c in head])
-    arrays = chunks.select(*keys, "chunk_id", "first_position", *head, *[F.col(f"_s.{f}").alias(f) for f in STREAMS])
+    arrays = chunks.select(*keys, "chunk_id", "first_position", *head, *[F.col(f"_s.{f}").alias(f"_{f}") for f in STREAMS])
     deltas = arrays.select(*keys, "chunk_id", "first_position", *head,
                            *[c.alias(f) for f, c in _restart_deltas().items()])
     return deltas.select(*keys, "chunk_id", "first_position", *head, F.lit(eb).alias("eb"), F.size("n").alias("cells"),
@@ -200,7 +204,7 @@ def expand_cells(cells: DataFrame, keys: list[str], piece: int = 1 << 16) -> Dat
 def output_positions(particles: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """The permutation ``pid -> position`` that goes with the container (optional sink)."""
     at = keys + ["block", "ord"]
-    ranked = with_position(particles.select(*at, "pid"), at, ["pid"], "_rank")
+    ranked = with_position(particles.select(*at, "pid"), at, ["pid"], "_rank", width=pt.CELL_BUCKET)
     return ranked.join(cells.select(*at, "first_position"), at).select(
         *keys, "pid", (F.col("first_position") + F.col("_rank")).alias("position"))
 
@@ -216,10 +220,10 @@ def compress_trajectory(df: DataFrame, eb: float, batch: int, edge: int = 8, rad
     and coded per group of particles.
     """
     sizes = tm.spatial_sizes(df, [], eb, edge).join(tm.temporal_sizes(df, [], eb, radius), "frame")
-    chains = tm.chain_starts(tm.choose_frames(sizes, []), [], batch).select("frame", "anchor")
+    chains = checkpointed(tm.chain_starts(tm.choose_frames(sizes, []), [], batch).select("frame", "anchor"))
     placed = df.join(chains, "frame")
     anchors = placed.where("frame = anchor").drop("frame")
-    particles = blocked(anchors, ["anchor"], eb / divisor, edge)
+    particles = checkpointed(blocked(anchors, ["anchor"], eb / divisor, edge))
     cells = numbered_cells(particles, ["anchor"])
     key_frames = compress_cells(cells, ["anchor"], eb / divisor)
     order = output_positions(particles, cells, ["anchor"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: int | str = "*", name: str = "errbound", **conf) -> SparkSession:
@@ -37,3 +37,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = named or tempfile.mkdtemp(prefix="errbound-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Store a table that several later steps read, in the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
