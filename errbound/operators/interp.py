@@ -1,7 +1,7 @@
 """Multi-level interpolation prediction.
 
 A level predicts the odd points of a lattice from its even points.  :func:`level_residuals` is the
-open-loop view of one level as an array expression.  :func:`sweep` is the closed loop: inside a level
+open-loop view of one level.  :func:`sweep` is the closed loop: inside a level
 all points of one axis pass are independent, so each pass is one vectorised step over all lines of all
 chunks of equal shape.
 """
@@ -11,11 +11,13 @@ from __future__ import annotations
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from errbound.functions import interpolators as ip
 from errbound.functions.quantizer import quantize_step
+from errbound.operators.closed_loop import _ragged
 
 # Fixed value: the bound is halved on the coarse levels (3 and above).
 COARSE_RATIO = 0.5
@@ -24,27 +26,24 @@ COARSE_FROM = 3
 
 def level_residuals(values: str, kind: str) -> Column:
     """Array of (i, residual) for the odd positions of the finest level, from original neighbours."""
-    arr = F.col(values)
-    n = F.size(arr)
-
-    def at(i, k):
-        return F.get(arr, i + k)
-
-    def residual(i):
-        a1, a3, b1, b3 = at(i, -1), at(i, -3), at(i, 1), at(i, 3)
-        tail = F.when(n < 4, a1).otherwise(ip.linear_extrapolate(a3, a1))
-        lin = F.when(i == n - 1, tail).otherwise(ip.linear(a1, b1))
-        pred = lin
-        if kind == "cubic":
-            pred = (F.when(n < 5, lin)
-                    .when(i == n - 1, ip.quad_3(at(i, -5), a3, a1))
-                    .when(i == 1, ip.quad_1(a1, b1, b3))
-                    .when(i + 3 < n, ip.cubic(a3, a1, b1, b3))
-                    .otherwise(ip.quad_2(a3, a1, b1)))
-        return F.struct(i.alias("i"), (F.get(arr, i) - pred).alias("residual"))
-
-    odd = F.when(n > 1, F.sequence(F.lit(1), n - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    return F.transform(odd, residual)
+    @F.arrow_udf("array<struct<i: bigint, residual: double>>")
+    def run(vals: pa.Array) -> pa.Array:
+        flat, offsets = _ragged(vals)
+        lengths = np.diff(offsets)
+        counts = lengths // 2
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        where, residual = np.zeros(ends[-1], np.int64), np.zeros(ends[-1])
+        for n in np.unique(lengths):
+            rows = np.flatnonzero(lengths == n)
+            line = flat[offsets[rows][:, None] + np.arange(n)]
+            for at, (stencil, near) in _line_predictions(int(n), kind):
+                slot = ends[rows][:, None] + at // 2
+                where[slot] = at
+                residual[slot] = line[:, at] - stencil(*[line[:, at + o] for o in near])
+        pairs = pa.StructArray.from_arrays([pa.array(where), pa.array(residual)], ["i", "residual"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)
+
+    return run(values)
 
 
 def _line_predictions(n: int, kind: str) -> list[tuple[np.ndarray, tuple]]:

@@ -1,16 +1,18 @@
 """Lorenzo stencils on slab rows ``(keys, i0, row ARRAY)``: one row holds one slice along dim 0.
 
 The L-layer Lorenzo residual is the product over the axes of ``(1 - shift)**L``, with zero outside the
-array.  Along dim 0 it is a tiled ``lag`` of whole rows, inside a row it is an array expression, so
-the 26-term 3-D stencil needs one shuffle.
+array.  Along dim 0 it is a tiled ``lag`` of whole rows, inside the rows of an Arrow batch it is a
+vectorised difference, so the 26-term 3-D stencil needs one shuffle.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from errbound.config import strides
+from errbound.operators.closed_loop import _ragged
 from errbound.operators.ordering import TILE, with_neighbours
 
 # Expected closed-loop noise of a Lorenzo stencil, in error bounds, by (layers, rank).
@@ -26,19 +28,21 @@ def layers_for(rank: int, layers: int) -> int:
     return 1 if rank == 4 else layers
 
 
-def difference_inside(row: Column, stride: int, extent: int, layers: int) -> Column:
-    """L-th backward difference along one inner axis of a row-major slice."""
-    weights = DIFFERENCE[layers]
+def difference_inside(row: str | Column, inner: list[int], axes: list[int], layers: int) -> Column:
+    """L-th backward differences of row-major slices of extents ``inner`` along ``axes``.
 
-    def cell(x, i):
-        along = F.floor(i / stride) % extent
-        total = x
-        for j in range(1, layers + 1):
-            # get() is NULL left of the slice; the guard also stops at the axis boundary inside it.
-            total = total + weights[j] * F.when(along >= j, F.get(row, i - j * stride)).otherwise(F.lit(0))
-        return total
+    A vectorised pass over all slices of an Arrow batch.
+    """
+    @F.arrow_udf("array<double>")
+    def run(rows: pa.Array) -> pa.Array:
+        flat, offsets = _ragged(rows)
+        cube = flat.reshape(-1, *inner)
+        for axis in axes:
+            for _ in range(layers):
+                cube = np.diff(cube, axis=axis + 1, prepend=0.0)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(cube.ravel()))
 
-    return F.transform(row, cell)
+    return run(row)
 
 
 def _add_weighted(weight: int):
@@ -65,7 +69,6 @@ def lorenzo_residual(df: DataFrame, keys: list[str], dims: list[int], row: str =
     rank = len(dims)
     layers = layers_for(rank, layers)
     axes = list(range(rank))[rank - (pred_dim or rank):]
-    inner = strides(dims[1:])
     work = df
     expr = F.col(row)
     if 0 in axes:
@@ -74,11 +77,8 @@ def lorenzo_residual(df: DataFrame, keys: list[str], dims: list[int], row: str =
         work = work.withColumn(out, difference_across(expr, [F.col(c) for c in earlier])).drop(*earlier)
     else:
         work = work.withColumn(out, expr)
-    for axis in axes:
-        if axis:
-            work = work.withColumn(out, difference_inside(
-                F.col(out), inner[axis - 1], dims[axis], layers))
-    return work
+    inside = [a - 1 for a in axes if a]
+    return work.withColumn(out, difference_inside(out, dims[1:], inside, layers)) if inside else work
 
 
 def explode_slab(df: DataFrame, keys: list[str], cols: dict[str, str], i0: str = "i0") -> DataFrame:

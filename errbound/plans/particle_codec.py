@@ -77,24 +77,25 @@ def numbered_cells(particles: DataFrame, keys: list[str]) -> DataFrame:
         (F.col("_n0") + F.col("_upto") - F.col("n")).alias("first_position")))
 
 
-def _restart_deltas() -> dict[str, Column]:
-    """Delta streams of one chunk; octants restart per block, positions per octant."""
-    # Inputs are named apart from the results: inside a lambda a name could mean either.
-    def get(name, i):
-        return F.coalesce(F.get(F.col(f"_{name}"), i), F.lit(0))
+def _restart_deltas() -> Column:
+    """Delta streams of one chunk of cells; octants restart per block, positions per octant."""
+    @F.arrow_udf("struct<block: array<bigint>, oct: array<bigint>, pos: array<bigint>>")
+    def run(block: pa.Array, octant: pa.Array, pos: pa.Array) -> pa.Array:
+        (blocks, off), (octs, _), (at, _) = (_ragged_int(c) for c in (block, octant, pos))
+        opens = np.zeros(len(blocks), bool)
+        opens[off[:-1][np.diff(off) > 0]] = True
 
-    def opens_block(i):
-        return (i == 0) | (get("block", i) != get("block", i - 1))
+        def delta(values, opens):
+            return values - np.where(opens, 0, np.append(0, values[:-1]))
 
-    def opens_octant(i):
-        return opens_block(i) | (get("oct", i) != get("oct", i - 1))
+        opens_block = opens | (np.diff(blocks, prepend=-1) != 0)
+        opens_octant = opens_block | (np.diff(octs, prepend=-1) != 0)
+        ends = pa.array(off.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(d)) for d in (
+            delta(blocks, opens), delta(octs, opens_block), delta(at, opens_octant))]
+        return pa.StructArray.from_arrays(lists, ["block", "oct", "pos"])
 
-    return {
-        "block": F.transform("_block", lambda x, i: F.when(i == 0, x).otherwise(x - get("block", i - 1))),
-        "oct": F.transform("_oct", lambda x, i: F.when(opens_block(i), x).otherwise(x - get("oct", i - 1))),
-        "pos": F.transform("_pos", lambda x, i: F.when(opens_octant(i), x).otherwise(x - get("pos", i - 1))),
-        "fix": F.col("_fix"), "n": F.col("_n"),
-    }
+    return run("_s.block", "_s.oct", "_s.pos")
 
 
 def compress_cells(cells: DataFrame, keys: list[str], eb: float, size: int = CELLS_PER_CHUNK) -> DataFrame:
@@ -103,11 +104,10 @@ def compress_cells(cells: DataFrame, keys: list[str], eb: float, size: int = CEL
     chunks = cells.withColumn("chunk_id", F.floor(F.col("cell_no") / size)).groupBy(*keys, "chunk_id").agg(
         F.array_sort(F.collect_list(F.struct("cell_no", *STREAMS))).alias("_s"),
         F.min("first_position").alias("first_position"), *[F.first(c).alias(c) for c in head])
-    arrays = chunks.select(*keys, "chunk_id", "first_position", *head, *[F.col(f"_s.{f}").alias(f"_{f}") for f in STREAMS])
-    deltas = arrays.select(*keys, "chunk_id", "first_position", *head,
-                           *[c.alias(f) for f, c in _restart_deltas().items()])
-    return deltas.select(*keys, "chunk_id", "first_position", *head, F.lit(eb).alias("eb"), F.size("n").alias("cells"),
-                         *[lossless.compress(encoders.pack(f, "auto")).alias(f) for f in STREAMS])
+    deltas = chunks.withColumn("_d", _restart_deltas())
+    streams = {"block": "_d.block", "oct": "_d.oct", "pos": "_d.pos", "fix": "_s.fix", "n": "_s.n"}
+    return deltas.select(*keys, "chunk_id", "first_position", *head, F.lit(eb).alias("eb"), F.size("_s").alias("cells"),
+                         *[lossless.compress(encoders.pack(c, "auto")).alias(f) for f, c in streams.items()])
 
 
 def compress_frames(df: DataFrame, keys: list[str], eb: float, edge: int = 8) -> DataFrame:
@@ -169,7 +169,7 @@ def decode_cells(container: DataFrame, keys: list[str]) -> DataFrame:
         blocks = _segmented(flat[0], opens_chunk)
         opens_block = opens_chunk | (flat[0] != 0)
         octs = _segmented(flat[1], opens_block)
-        opens_oct = opens_block | (np.append(0, np.diff(octs)) != 0)
+        opens_oct = opens_block | (np.diff(octs, prepend=-1) != 0)
         before = _segmented(flat[4], opens_chunk) - flat[4]
         parts = [blocks, octs, _segmented(flat[2], opens_oct), flat[3], flat[4], before]
         names = ["block", "oct", "pos", "fix", "n", "before"]
