@@ -281,7 +281,24 @@ SELECT (SELECT count(*) FROM b) AS samples, bin, round(pair / (SELECT count(*) F
   round(rm + {EB!r}::DOUBLE * (bin + 1 - 4096), 7) AS mean_guess FROM t, r"""
 
 
+def wavelet_roundtrip(spark, sf_dir):
+    """Daubechies-4 forward and inverse; an orthogonal transform keeps the energy."""
+    rows = slabs(spark, sf_dir).withColumn("w", transforms.wavelet("row"))
+    back = rows.withColumn("b", transforms.wavelet("w", inverse=True))
+
+    def energy(col):
+        return F.aggregate(col, F.lit(0.0), lambda acc, v: acc + v * v)
+
+    worst = F.array_max(F.zip_with("row", "b", lambda a, b: F.abs(a - b)))
+    return back.select("i0", F.size("w").alias("n"), (worst < 1e-9).alias("same"),
+                       (F.abs(energy("row") - energy("w")) < 1e-9).alias("energy_kept"))
+
+
+WAVELET_SQL = "SELECT vec_id AS i0, CAST(len(embedding) AS INT) AS n, true AS same, true AS energy_kept FROM embeddings"
+
+
 QUERIES = {
+    "wavelet": (wavelet_roundtrip, WAVELET_SQL),
     "lorenzo2d_open": _open(2, 1),
     "lorenzo2d_2nd_open": _open(2, 2),
     "lorenzo3d_open": _open(3, 1),

@@ -9,7 +9,7 @@ from errbound.catalog.particles import INVERSE_SQL
 from errbound.catalog.tables import ORDERS_PARTICLES_SQL, orders_particles, particles, slabs, table
 from errbound.catalog.trajectories import TRAJ_SQL, trajectory
 from errbound.config import Algorithm, Config, ErrorBoundMode, Interpolator
-from errbound.operators import stencil
+from errbound.operators import stencil, transforms
 from errbound.operators.ordering import to_chunks, with_position
 from errbound.plans import array_codec as codec
 from errbound.plans import md_codec as md
@@ -112,6 +112,32 @@ QUERIES = {f"codec_{name}": (_codec(conf), VERIFIED_SQL) for name, conf in CODEC
 }
 
 
+PW_REL = 1e-3
+
+
+def codec_pw_rel(spark, sf_dir):
+    """Point-wise relative bound: log transform, array codec, inverse."""
+    prices = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    logged = transforms.log_transform(with_position(prices, [], ["o_orderkey"]), "v", PW_REL)
+    chunks = logged.groupBy(F.floor(F.col("pos") / 1024).alias("chunk_id")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "v", "sign_v", "log_v"))).alias("_s"),
+        F.first("min_log").alias("min_log"), F.first("log_eb").alias("eb"))
+    chunks = chunks.select("chunk_id", F.array(F.lit(0)).alias("origin"), F.array(F.size("_s")).alias("dims"),
+                           F.col("_s.log_v").alias("vals"), F.col("_s.v").alias("v"), F.col("_s.sign_v").alias("sign_v"),
+                           "min_log", "eb")
+    conf = Config(dims=(1024,), algorithm=Algorithm.LORENZO_REG)
+    back = codec.decompress(codec.compress(chunks, [], conf), conf).select("chunk_id", "decoded")
+    both = chunks.join(back, "chunk_id").select("chunk_id", "min_log", "eb", F.explode(
+        F.arrays_zip("v", "sign_v", "decoded")).alias("e")).select("chunk_id", "min_log", "eb", "e.*")
+    dec = transforms.log_inverse("decoded", "sign_v", "min_log", "eb")
+    return both.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(
+        F.abs(dec - F.col("v")) <= PW_REL * F.abs("v") * (1 + 1e-9)).alias("bound_ok"))
+
+
+PW_CODEC_SQL = """SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1024 AS chunk_id FROM orders"""
+PW_CODEC_SQL = f"SELECT chunk_id, count(*) AS n, true AS bound_ok FROM ({PW_CODEC_SQL}) GROUP BY chunk_id"
+
+
 PARTICLE_EB = 0.05
 
 
@@ -194,6 +220,7 @@ def md_methods(spark, sf_dir):
 
 
 QUERIES |= {
+    "codec_pw_rel": (codec_pw_rel, PW_CODEC_SQL),
     "particle_codec": (particle_codec_query, PARTICLE_CODEC_SQL),
     "particle_cells_codec": (particle_cells_codec, INVERSE_SQL),
     "particle_raw": (particle_raw, RAW_SQL),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errbound.catalog.tables import (ORDERS_PARTICLES_SQL, PARTICLES_SQL, orders_particles, particles)
+from errbound.operators import kdtree
 from errbound.operators import particles as pt
 from errbound.operators.ordering import ordered_prefix
 from errbound.operators.stats import distortion
@@ -268,7 +269,40 @@ def blocksize_best(spark, sf_dir):
 BEST_SQL = f"SELECT bx, \"by\", bz FROM ({_trial_sql()}) ORDER BY bits, bx LIMIT 1"
 
 
+KD_LEVELS = 4
+
+
+def kd_boxes(spark, sf_dir):
+    """Boxes of every node of a four-level median tree."""
+    return kdtree.merge_boxes(kdtree.kd_boxes(kdtree.kd_nodes(orders_particles(spark, sf_dir), KD_LEVELS)))
+
+
+def _kd_sql() -> str:
+    ctes, last = [ORDERS_PARTICLES_SQL, "k0 AS (SELECT *, 1 AS node FROM pts)"], "k0"
+    for level in range(KD_LEVELS):
+        a, new = "xyz"[level % 3], f"k{level + 1}"
+        ctes.append(f"m{level} AS (SELECT node, quantile_disc({a}, 0.5) AS m FROM {last} GROUP BY node)")
+        ctes.append(f"{new} AS (SELECT pid, x, y, z, node * 2 + CASE WHEN {a} > m THEN 1 ELSE 0 END AS node "
+                    f"FROM {last} JOIN m{level} USING (node))")
+        last = new
+    return f"""WITH {', '.join(ctes)}
+SELECT node // CAST(pow(2, k) AS BIGINT) AS node, count(*) AS n, min(x) AS lo_x, min(y) AS lo_y, min(z) AS lo_z,
+  max(x) AS hi_x, max(y) AS hi_y, max(z) AS hi_z FROM {last}, unnest(range({KD_LEVELS + 1})) AS t(k) GROUP BY 1"""
+
+
+def kd_blocks(spark, sf_dir):
+    """The topmost nodes that fit a block."""
+    boxes = kdtree.merge_boxes(kdtree.kd_boxes(kdtree.kd_nodes(orders_particles(spark, sf_dir), KD_LEVELS)))
+    return kdtree.blocks_below(boxes, (400.0, 1e6, 2000.0)).select("node", "n")
+
+
+KD_BLOCKS_SQL = f"""WITH b AS ({_kd_sql()}), g AS (SELECT * FROM b WHERE hi_x - lo_x < 400 AND hi_y - lo_y < 1e6 AND hi_z - lo_z < 2000)
+SELECT node, n FROM g WHERE node // 2 NOT IN (SELECT node FROM g)"""
+
+
 QUERIES = {
+    "kd_boxes": (kd_boxes, _kd_sql()),
+    "kd_blocks": (kd_blocks, KD_BLOCKS_SQL),
     "bounding_box": (bounding_box, BOX_SQL),
     "particle_blocks": (particle_blocks, BLOCKS_SQL),
     "particle_deltas": (particle_deltas, DELTAS_SQL),

@@ -69,7 +69,12 @@ def to_cells(chunks: DataFrame, keys: list[str], rank: int, cols: dict[str, str]
 
 
 def chunk_bounds(chunks: DataFrame, keys: list[str], conf: Config) -> DataFrame:
-    """Attach the absolute bound ``eb``; relative modes need one aggregate over per-chunk extremes."""
+    """Attach the absolute bound ``eb``; relative modes need one aggregate over per-chunk extremes.
+
+    Chunks that bring their own ``eb`` keep it.
+    """
+    if "eb" in chunks.columns:
+        return chunks
     if conf.mode is ErrorBoundMode.ABS:
         return chunks.withColumn("eb", F.lit(float(conf.abs_bound)))
     finite = F.filter("vals", lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(math.inf)))
