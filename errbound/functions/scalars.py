@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed value: share of values assumed inside the quantization range by the PSNR bound.
 PSNR_THRESHOLD = 0.99
@@ -49,15 +48,21 @@ def unzigzag(code: Column, states: int) -> Column:
         F.lit(states // 2) + F.shiftright(code, 1))
 
 
-@F.pandas_udf(T.IntegerType())
-def float_bits(v: pd.Series) -> pd.Series:
+def float_bits(value: str | Column) -> Column:
     """Bit pattern of the value as a 32-bit float."""
-    return pd.Series(v.to_numpy(np.float32).view(np.int32))
+    @F.pandas_udf("int")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series(v.to_numpy(np.float32).view(np.int32))
 
+    return run(value)
 
-@F.pandas_udf(T.FloatType())
-def bits_float(bits: pd.Series) -> pd.Series:
-    return pd.Series(bits.to_numpy(np.int32).view(np.float32))
+
+def bits_float(bits: str | Column) -> Column:
+    @F.pandas_udf("float")
+    def run(b: pd.Series) -> pd.Series:
+        return pd.Series(b.to_numpy(np.int32).view(np.float32))
+
+    return run(bits)
 
 
 def truncate_bits(bits: Column, keep_bytes: int) -> Column:

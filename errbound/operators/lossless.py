@@ -6,24 +6,21 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 LEVEL = 3
 
 
-@F.pandas_udf(T.BinaryType())
-def zstd(payload: pd.Series) -> pd.Series:
-    return payload.map(zstandard.ZstdCompressor(level=LEVEL).compress)
-
-
-@F.pandas_udf(T.BinaryType())
-def unzstd(payload: pd.Series) -> pd.Series:
-    return payload.map(zstandard.ZstdDecompressor().decompress)
-
-
 def compress(payload: str | Column, codec: str = "zstd") -> Column:
+    @F.pandas_udf("binary")
+    def zstd(raw: pd.Series) -> pd.Series:
+        return raw.map(zstandard.ZstdCompressor(level=LEVEL).compress)
+
     return zstd(payload) if codec == "zstd" else F.col(payload) if isinstance(payload, str) else payload
 
 
 def decompress(payload: str | Column, codec: str = "zstd") -> Column:
+    @F.pandas_udf("binary")
+    def unzstd(packed: pd.Series) -> pd.Series:
+        return packed.map(zstandard.ZstdDecompressor().decompress)
+
     return unzstd(payload) if codec == "zstd" else F.col(payload) if isinstance(payload, str) else payload
