@@ -155,8 +155,7 @@ FROM bl WHERE d0 > 2 AND d1 > 2 AND d2 > 2 GROUP BY b0, b1, b2"""
 
 def _with_candidates(spark, sf_dir) -> DataFrame:
     dims = _dims3(spark, sf_dir)
-    res = stencil.lorenzo_residual(slabs(spark, sf_dir), [], dims, layers=1, out="r1", tile=128)
-    res = stencil.lorenzo_residual(res, [], dims, layers=2, out="r2", tile=128)
+    res = stencil.lorenzo_residuals(slabs(spark, sf_dir), [], dims, {"r1": 1, "r2": 2}, tile=128)
     cells = _cells3(spark, sf_dir, {"row": "v", "r1": "r1", "r2": "r2"}, res)
     cells = blocks.with_blocks(cells, dims, BLOCK)
     coefs = blocks.regression_coefficients(cells, [], 3)

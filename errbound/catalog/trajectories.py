@@ -154,7 +154,7 @@ START, OFFSET, LEVELS, VQ_EB = 0.0, 5.0, 100, 0.5
 def vq_levels(spark, sf_dir):
     """Level number, biased level delta across particles, index and reconstruction, per frame."""
     tr = trajectory(spark, sf_dir)
-    by_frame = with_position(tr, ["frame"], ["pid"], "slot")
+    by_frame = with_position(tr, ["frame"], ["pid"], "slot", width=1 << 20)
     out = lv.vq(by_frame, ["frame"], "slot", "x", F.lit(START), F.lit(OFFSET), LEVELS, VQ_EB, RADIUS)
     return out.select("pid", "frame", "level", "code", "q", F.round("recon", 6).alias("recon"))
 

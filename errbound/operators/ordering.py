@@ -108,16 +108,16 @@ def lag_sparse(df: DataFrame, keys: list[str], order: str, cols: list[str],
     """Add ``prev_{col}``: the value in the preceding row by the unique numeric column ``order``."""
     tagged = with_bucket(df, order, rows_per_bucket, width)
     part = keys + ["_bucket"]
-    last = tagged.groupBy(*part).agg(F.max(F.struct(order, *[F.col(c).alias(f"_v_{c}") for c in cols])).alias("_last"))
+    last = tagged.groupBy(*part).agg(*[F.max_by(c, order).alias(f"_v_{c}") for c in cols])
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
-    edges = last.select(*part, F.lag("_last").over(by_bucket).alias("_edge"))
+    edges = last.select(*part, *[F.lag(f"_v_{c}").over(by_bucket).alias(f"_edge_{c}") for c in cols])
     w = Window.partitionBy(*part).orderBy(order)
     local = tagged.withColumns({f"prev_{c}": F.lag(c).over(w) for c in cols}).withColumn(
         "_first", F.lag(order).over(w).isNull())
     joined = local.join(edges, part, "left")
-    fill = {f"prev_{c}": F.when(F.col("_first"), F.col(f"_edge._v_{c}")).otherwise(F.col(f"prev_{c}"))
+    fill = {f"prev_{c}": F.when(F.col("_first"), F.col(f"_edge_{c}")).otherwise(F.col(f"prev_{c}"))
             for c in cols}
-    return joined.withColumns(fill).drop("_bucket", "_first", "_edge")
+    return joined.withColumns(fill).drop("_bucket", "_first", *[f"_edge_{c}" for c in cols])
 
 
 def to_chunks(df: DataFrame, keys: list[str], pos: str, value: str, length: int,

@@ -59,26 +59,31 @@ def difference_across(row: Column, earlier: list[Column]) -> Column:
     return out
 
 
-def lorenzo_residual(df: DataFrame, keys: list[str], dims: list[int], row: str = "row", i0: str = "i0",
-                     layers: int = 1, pred_dim: int | None = None, out: str = "residual",
-                     tile: int = TILE) -> DataFrame:
-    """Add the Lorenzo residual of each slice; ``dims`` are the array extents, ``dims[0]`` is open.
+def lorenzo_residuals(df: DataFrame, keys: list[str], dims: list[int], layers: dict[str, int],
+                      row: str = "row", i0: str = "i0", pred_dim: int | None = None,
+                      tile: int = TILE) -> DataFrame:
+    """Add one residual per entry of ``layers`` (result name -> order), all from the same shuffle.
 
-    ``pred_dim`` < rank uses the fastest axes only.
+    ``dims`` are the array extents, ``dims[0]`` is open.  ``pred_dim`` < rank uses the fastest axes only.
     """
     rank = len(dims)
-    layers = layers_for(rank, layers)
     axes = list(range(rank))[rank - (pred_dim or rank):]
-    work = df
-    expr = F.col(row)
-    if 0 in axes:
-        work = with_neighbours(df, keys, i0, [row], before=layers, tile=tile)
-        earlier = [f"{row}_m{j}" for j in range(1, layers + 1)]
-        work = work.withColumn(out, difference_across(expr, [F.col(c) for c in earlier])).drop(*earlier)
-    else:
-        work = work.withColumn(out, expr)
     inside = [a - 1 for a in axes if a]
-    return work.withColumn(out, difference_inside(out, dims[1:], inside, layers)) if inside else work
+    orders = {out: layers_for(rank, n) for out, n in layers.items()}
+    reach = max(orders.values())
+    work = with_neighbours(df, keys, i0, [row], before=reach, tile=tile) if 0 in axes else df
+    for out, n in orders.items():
+        expr = F.col(row)
+        if 0 in axes:
+            expr = difference_across(expr, [F.col(f"{row}_m{j}") for j in range(1, n + 1)])
+        work = work.withColumn(out, difference_inside(expr, dims[1:], inside, n) if inside else expr)
+    return work.drop(*[f"{row}_m{j}" for j in range(1, reach + 1)])
+
+
+def lorenzo_residual(df: DataFrame, keys: list[str], dims: list[int], layers: int = 1, out: str = "residual",
+                     **how) -> DataFrame:
+    """A single residual; see :func:`lorenzo_residuals`."""
+    return lorenzo_residuals(df, keys, dims, {out: layers}, **how)
 
 
 def explode_slab(df: DataFrame, keys: list[str], cols: dict[str, str], i0: str = "i0") -> DataFrame:

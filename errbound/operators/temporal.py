@@ -10,6 +10,7 @@ from errbound.operators import particles as pt
 from errbound.operators.closed_loop import quantize_chunks
 from errbound.operators.encoders import entropy_bits
 from errbound.operators.ordering import to_chunks, with_neighbours
+from errbound.session import checkpointed
 
 # Fixed values of the back-off after spatial wins: the limit doubles up to 64, half of it is skipped.
 BACKOFF_LIMIT = 64
@@ -60,10 +61,13 @@ def temporal_sizes(df: DataFrame, keys: list[str], eb: float, radius: int) -> Da
 
 
 def spatial_sizes(df: DataFrame, keys: list[str], eb: float, edge: int) -> DataFrame:
-    """Estimated coded bits of each frame on its own: the four streams of spatial blocking."""
+    """Estimated coded bits of each frame on its own: the four streams of spatial blocking.
+
+    The occupied cells feed three ordered steps, so they are checkpointed once.
+    """
     by_frame = keys + ["frame"]
     blocked = pt.with_block_ids(pt.with_grid(df, by_frame, eb), eb, pt.constant_edge(edge))
-    hist = pt.stream_histograms(pt.occupied_cells(blocked, by_frame), by_frame, edge ** 3)
+    hist = pt.stream_histograms(checkpointed(pt.occupied_cells(blocked, by_frame)), by_frame, edge ** 3)
     sizes = pt.stream_sizes(hist, by_frame)
     return sizes.groupBy(*by_frame).agg(F.sum(F.least("entropy_bits", "fixed_bits")).alias("spatial_bits"))
 
