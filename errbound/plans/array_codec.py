@@ -151,7 +151,8 @@ def _predict(data, shape, eb, conf: Config):
     if conf.algorithm is Algorithm.LORENZO_REG:
         return _code_blocks(data, shape, eb, conf)
     kind = "linear" if conf.interpolator is Interpolator.LINEAR else "cubic"
-    q, recon = interp.sweep(data, shape, eb, conf.radius, kind, conf.interp_direction, conf.interp_block_size)
+    q, recon = interp.sweep(data, shape, eb, conf.radius, kind, conf.interp_direction,
+                            conf.interp_block_size or None)
     return q, recon, [b""] * len(data)
 
 
@@ -203,7 +204,7 @@ def dequantized(confs: dict[str, Config], choice: Column) -> Column:
             else:
                 kind = "linear" if conf.interpolator is Interpolator.LINEAR else "cubic"
                 back = interp.unsweep(qs, stored, shape, bound[rows], conf.radius, kind,
-                                      conf.interp_direction, conf.interp_block_size)
+                                      conf.interp_direction, conf.interp_block_size or None)
             for k, r in enumerate(rows):
                 values[off[r]:off[r + 1]] = back[k]
         return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))

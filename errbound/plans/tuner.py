@@ -15,7 +15,9 @@ from errbound.plans import array_codec as codec
 DIRECTION_GAIN = 1.02
 LORENZO_RATIO_LIMIT = 80.0
 LORENZO_TRIAL_BLOCK = 5
+LORENZO_GAIN = 1.02
 SMALL_BINS = 16384
+SMALL_BINS_FROM_RATIO = 5.0
 TIGHT_RELATIVE = 1.01e-6
 
 
@@ -28,15 +30,23 @@ def sample_chunks(chunks: DataFrame, keys: list[str], share: float = SAMPLE_SHAR
 
 
 def candidates(conf: Config) -> dict[str, Config]:
+    """Configurations that compete; the last two refine Lorenzo in 3-D and under very tight bounds."""
     interp = conf.with_(algorithm=Algorithm.INTERP)
-    return {
-        "lorenzo": conf.with_(algorithm=Algorithm.LORENZO_REG, lorenzo=True, lorenzo2=True, regression=False,
-                              regression2=False, block_size=LORENZO_TRIAL_BLOCK),
+    last = math.factorial(conf.rank) - 1
+    lorenzo = conf.with_(algorithm=Algorithm.LORENZO_REG, lorenzo=True, lorenzo2=True, regression=False,
+                         regression2=False, block_size=LORENZO_TRIAL_BLOCK)
+    named = {
+        "lorenzo": lorenzo,
         "linear": interp.with_(interpolator=Interpolator.LINEAR),
         "cubic": interp.with_(interpolator=Interpolator.CUBIC),
-        "linear_reversed": interp.with_(interpolator=Interpolator.LINEAR, interp_direction=math.factorial(conf.rank) - 1),
-        "cubic_reversed": interp.with_(interpolator=Interpolator.CUBIC, interp_direction=math.factorial(conf.rank) - 1),
+        "linear_reversed": interp.with_(interpolator=Interpolator.LINEAR, interp_direction=last),
+        "cubic_reversed": interp.with_(interpolator=Interpolator.CUBIC, interp_direction=last),
     }
+    if conf.rank == 3:
+        named["lorenzo_planes"] = lorenzo.with_(pred_dim=2)
+    if conf.rel_bound < TIGHT_RELATIVE and conf.quant_bins != SMALL_BINS:
+        named["lorenzo_few_bins"] = lorenzo.with_(quant_bins=SMALL_BINS)
+    return named
 
 
 def tune(chunks: DataFrame, keys: list[str], conf: Config) -> DataFrame:
@@ -60,7 +70,12 @@ def tune(chunks: DataFrame, keys: list[str], conf: Config) -> DataFrame:
     best = F.when(turned, reverse).otherwise(forward)
     use_lorenzo = (F.col("lorenzo") > best) & (F.col("lorenzo") < LORENZO_RATIO_LIMIT) & (best < LORENZO_RATIO_LIMIT)
     name = F.concat(F.when(cubic, "cubic").otherwise("linear"), F.when(turned, "_reversed").otherwise(""))
-    return table.withColumn("choice", F.when(use_lorenzo, "lorenzo").otherwise(name))
+    stencil, ratio = F.lit("lorenzo"), F.col("lorenzo")
+    for variant, floor in (("lorenzo_planes", 0.0), ("lorenzo_few_bins", SMALL_BINS_FROM_RATIO)):
+        if variant in trials:
+            gains = (F.col(variant) > ratio * LORENZO_GAIN) & (ratio > floor)
+            stencil, ratio = F.when(gains, variant).otherwise(stencil), F.when(gains, F.col(variant)).otherwise(ratio)
+    return table.withColumn("choice", F.when(use_lorenzo, stencil).otherwise(name))
 
 
 def compress_tuned(chunks: DataFrame, keys: list[str], conf: Config) -> DataFrame:
