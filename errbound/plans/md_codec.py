@@ -17,6 +17,7 @@ from errbound.operators import encoders, levels, lossless
 from errbound.operators.closed_loop import _ragged, lorenzo_nd_recover, lorenzo_nd_step
 from errbound.operators.transforms import unpivot_axes
 from errbound.plans.array_codec import _doubles, _from_doubles, chunk_bounds
+from errbound.session import checkpointed
 
 # Method numbers, and batches between two selections.
 ADAPTIVE, VQ, VQT, MT, LR, TS = -1, 0, 1, 2, 3, 4
@@ -35,7 +36,7 @@ def tiles(df: DataFrame, batch: int, atoms: int = ATOMS_PER_TILE) -> DataFrame:
     tagged = df.withColumn("batch", F.floor(F.col("frame") / batch)).withColumn("tile", F.floor(F.col("slot") / atoms))
     grouped = tagged.groupBy("axis", "batch", "tile").agg(
         F.array_sort(F.collect_list(F.struct("frame", "slot", "v"))).alias("_s"),
-        F.countDistinct("slot").cast("int").alias("width"))
+        (F.max("slot") - F.min("slot") + 1).cast("int").alias("width"))
     first = df.where("frame = 0").withColumn("tile", F.floor(F.col("slot") / atoms)).groupBy("axis", "tile").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("start"))
     return grouped.join(first, ["axis", "tile"]).select(
@@ -129,9 +130,15 @@ def streams(struct_col: str) -> dict[str, Column]:
             "unpred": lossless.compress(_doubles(s["unpred"], "<f8"))}
 
 
-def prepared(rows: DataFrame, conf: Config, batch: int, atoms: int = ATOMS_PER_TILE) -> DataFrame:
-    """Tiles with level fit and the batch's absolute bound."""
-    t = tiles(rows, batch, atoms).join(axis_levels(rows), "axis")
+def prepared(rows: DataFrame, conf: Config, batch: int, atoms: int = ATOMS_PER_TILE,
+             method: int = ADAPTIVE) -> DataFrame:
+    """Tiles with level fit (where the method may use it) and the batch's absolute bound."""
+    t = tiles(rows, batch, atoms)
+    if method in (MT, LR, TS):
+        t = t.withColumn("lv", F.struct(F.lit(0.0).alias("start"), F.lit(0.0).alias("offset"), F.lit(0).alias("levels")))
+    else:
+        # One row per axis, read by the trial and by the coding.
+        t = t.join(checkpointed(axis_levels(rows)), "axis")
     return chunk_bounds(t, ["axis", "batch"], conf)
 
 
@@ -153,7 +160,7 @@ def select_methods(prep: DataFrame, radius: int) -> DataFrame:
 def compress(rows: DataFrame, conf: Config, batch: int = 10, method: int = ADAPTIVE,
              atoms: int = ATOMS_PER_TILE) -> DataFrame:
     """``(axis, slot, frame, v)`` to container rows; ``start`` is kept once per tile and batch."""
-    prep = prepared(rows, conf, batch, atoms)
+    prep = prepared(rows, conf, batch, atoms, method)
     if method == ADAPTIVE:
         period = F.floor(F.col("batch") / SELECT_EVERY)
         prep = prep.withColumn("period", period).join(select_methods(prep, conf.radius), ["axis", "period"]).drop("period")
