@@ -261,6 +261,35 @@ def xor_bytes(spark, sf_dir):
                        (back == F.col("bits")).alias("same"))
 
 
+# Bits of a positive float32 from its exponent and mantissa.
+XOR_SQL = f"""WITH {SERIES_SQL}, f AS (SELECT user_id, pos, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM s),
+b AS (SELECT user_id, pos, CAST((floor(log2(v)) + 127) * 8388608 + (v / pow(2::DOUBLE, floor(log2(v))) - 1) * 8388608 AS BIGINT) AS bits FROM f),
+x AS (SELECT user_id, pos, xor(bits, coalesce(lag(bits) OVER (PARTITION BY user_id ORDER BY pos), 0)) AS x FROM b)
+SELECT user_id, pos, CASE WHEN x = 0 THEN 0 WHEN x < 256 THEN 1 WHEN x < 65536 THEN 2 WHEN x < 16777216 THEN 3 ELSE 4 END AS n_bytes,
+  true AS same FROM x"""
+
+
+def quant_rel(spark, sf_dir):
+    """Range-relative bound resolved per series, then quantization with it."""
+    conf = Config(mode=ErrorBoundMode.REL, rel_bound=0.01)
+    bounded = stats.with_bound(placed_series(spark, sf_dir), ["user_id"], "value", conf)
+    near = with_neighbours(bounded, ["user_id"], "pos", ["value"], before=1, tile=CHUNK)
+    pred = F.coalesce("value_m1", F.lit(0.0))
+    q = near.withColumn("q", qz.quantize("value", pred, F.col("eb"), RADIUS))
+    return q.select("user_id", "pos", F.round("eb", 9).alias("eb"), "q",
+                    F.round(qz.requantized("value", pred, F.col("eb"), RADIUS), 6).alias("recon"))
+
+
+_H = "((CAST(floor(abs(value - pred) * (1.0::DOUBLE / eb)) AS BIGINT) + 1) // 2)"
+_R = f"(pred + CAST(2 * sg * {_H} AS DOUBLE) * eb)"
+_OK = f"floor(abs(value - pred) * (1.0::DOUBLE / eb)) + 1 < {2 * RADIUS} AND abs({_R} - value) <= eb"
+QUANT_REL_SQL = f"""WITH {SERIES_SQL}, e AS (SELECT user_id, 0.01::DOUBLE * (max(value) - min(value)) AS eb FROM s GROUP BY user_id),
+o AS (SELECT user_id, pos, value, eb, coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY pos), 0) AS pred FROM s JOIN e USING (user_id)),
+g AS (SELECT *, CASE WHEN value < pred THEN -1 ELSE 1 END AS sg FROM o)
+SELECT user_id, pos, round(eb, 9) AS eb, CAST(CASE WHEN {_OK} THEN {RADIUS} + sg * {_H} ELSE 0 END AS INTEGER) AS q,
+  round(CASE WHEN {_OK} THEN {_R} ELSE value END, 6) AS recon FROM g"""
+
+
 def pw_rel_roundtrip(spark, sf_dir):
     """Point-wise relative bound on order prices through the log transform."""
     rel = 1e-3
@@ -295,6 +324,7 @@ QUERIES = {
     "interpolators": (interpolators_all, INTERPOLATORS_SQL),
     "prefilter": (prefilter, PREFILTER_SQL),
     "truncate": (truncate_bytes, TRUNCATE_SQL),
-    "xor_bytes": (xor_bytes, None),
+    "xor_bytes": (xor_bytes, XOR_SQL),
+    "quant_rel": (quant_rel, QUANT_REL_SQL),
     "pw_rel_roundtrip": (pw_rel_roundtrip, PW_REL_SQL),
 }
