@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from errbound.catalog.series import CHUNK, EB, RADIUS, _OPEN_SQL, _open_loop, _closed
+from errbound.catalog.series import CHUNK, EB, RADIUS, _OPEN_SQL, _open_loop
 from errbound.catalog.tables import table
 from errbound.functions import scalars
 from errbound.operators import encoders as en

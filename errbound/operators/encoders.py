@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from errbound.functions.scalars import fixed_width
-from errbound.operators.closed_loop import _ragged
 from errbound.operators.ordering import running_sum, with_neighbours
 
 # Limits of the arithmetic coder's frequency table.

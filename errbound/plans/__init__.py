@@ -1 +1 @@
-
+"""Codecs composed from operators."""

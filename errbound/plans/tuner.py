@@ -21,7 +21,7 @@ SMALL_BINS_FROM_RATIO = 5.0
 TIGHT_RELATIVE = 1.01e-6
 
 
-def sample_chunks(chunks: DataFrame, keys: list[str], share: float = SAMPLE_SHARE, at_least: int = 8) -> DataFrame:
+def sample_chunks(chunks: DataFrame, keys: list[str], share: float = SAMPLE_SHARE, at_least: int = 4) -> DataFrame:
     """The chunks that trials run on, decided by a hash of their id; small fields are used whole."""
     sizes = chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
     both = chunks.join(sizes, keys) if keys else chunks.crossJoin(F.broadcast(sizes))

@@ -1 +1 @@
-
+"""Data sources, sinks and containers."""

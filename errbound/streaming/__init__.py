@@ -1 +1 @@
-
+"""Live processing."""
