@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 from errbound.config import Algorithm, Config
 from errbound.operators import stats
 from errbound.plans import array_codec, tuner
 
+TRIAL_CHUNKS = 3
 CHUNK_EDGE = {1: 1 << 16, 2: 256, 3: 64, 4: 16}
 
 
@@ -17,7 +20,8 @@ def compress(cells: DataFrame, dims: list[int], conf: Config, keys: list[str] |
     keys, edge = keys or [], edge or [CHUNK_EDGE[len(dims)]] * len(dims)
     chunks = array_codec.to_chunks(cells, keys, dims, edge)
     if conf.algorithm is Algorithm.INTERP_LORENZO:
-        return tuner.compress_tuned(chunks, keys, conf)
+        count = math.prod(-(-n // e) for n, e in zip(dims, edge))
+        return tuner.compress_tuned(chunks, keys, conf, max(tuner.SAMPLE_SHARE, TRIAL_CHUNKS / count))
     return array_codec.compress(chunks, keys, conf)
 
 

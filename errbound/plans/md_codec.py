@@ -31,7 +31,8 @@ LEVELS = "struct<start: double, offset: double, levels: int>"
 def tiles(df: DataFrame, batch: int, atoms: int = ATOMS_PER_TILE) -> DataFrame:
     """``(axis, slot, frame, v)`` to tiles: frame-major values of up to ``batch`` x ``atoms``.
 
-    ``slot`` is the dense atom number.  ``start`` holds the tile's values in frame 0 of the run.
+    The matrix must be dense: ``slot`` is the atom number and every frame holds every atom.  ``start``
+    holds the tile's values in frame 0 of the run.
     """
     tagged = df.withColumn("batch", F.floor(F.col("frame") / batch)).withColumn("tile", F.floor(F.col("slot") / atoms))
     grouped = tagged.groupBy("axis", "batch", "tile").agg(
@@ -163,7 +164,9 @@ def compress(rows: DataFrame, conf: Config, batch: int = 10, method: int = ADAPT
     prep = prepared(rows, conf, batch, atoms, method)
     if method == ADAPTIVE:
         period = F.floor(F.col("batch") / SELECT_EVERY)
-        prep = prep.withColumn("period", period).join(select_methods(prep, conf.radius), ["axis", "period"]).drop("period")
+        prep = prep.withColumn("period", period).join(
+            select_methods(prep, conf.radius), ["axis", "period"], "left").drop("period").withColumn(
+            "method", F.coalesce("method", F.lit(MT)))
     else:
         prep = prep.withColumn("method", F.lit(method))
     done = prep.withColumn("_c", coded(F.col("method"), conf.radius))

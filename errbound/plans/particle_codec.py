@@ -217,7 +217,7 @@ def compress_trajectory(df: DataFrame, eb: float, batch: int, edge: int = 8, rad
 
     Frames that start a chain (spatial choice or batch start) are spatial containers keyed by
     ``anchor``.  The frames after it are quantized against reconstructions, in the anchor's output order,
-    and coded per group of particles.
+    and coded per group of particles.  A particle must be in every frame from its anchor to its last.
     """
     sizes = tm.spatial_sizes(df, [], eb, edge).join(tm.temporal_sizes(df, [], eb, radius), "frame")
     chains = checkpointed(tm.chain_starts(tm.choose_frames(sizes, []), [], batch).select("frame", "anchor"))

@@ -21,12 +21,19 @@ SMALL_BINS_FROM_RATIO = 5.0
 TIGHT_RELATIVE = 1.01e-6
 
 
-def sample_chunks(chunks: DataFrame, keys: list[str], share: float = SAMPLE_SHARE, at_least: int = 4) -> DataFrame:
-    """The chunks that trials run on, decided by a hash of their id; small fields are used whole."""
+def sample_chunks(chunks: DataFrame, keys: list[str], share: float | None = None, at_least: int = 4) -> DataFrame:
+    """The chunks that trials run on, decided by a hash of their id; chunk 0 is always in.
+
+    A known ``share`` is a plain filter on the chunk id, which moves below the gathering of chunks, so
+    only sampled cells are shuffled.  Otherwise chunks are counted per key; small fields are used whole.
+    """
+    unit = F.pmod(F.xxhash64(*keys, "chunk_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    if share is not None:
+        return chunks.where((unit < share) | (F.col("chunk_id") == 0))
     sizes = chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
     both = chunks.join(sizes, keys) if keys else chunks.crossJoin(F.broadcast(sizes))
-    unit = F.pmod(F.xxhash64(*keys, "chunk_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return both.where(unit < F.greatest(F.lit(share), F.lit(float(at_least)) / F.col("_k"))).drop("_k")
+    wanted = F.greatest(F.lit(SAMPLE_SHARE), F.lit(float(at_least)) / F.col("_k"))
+    return both.where((unit < wanted) | (F.col("chunk_id") == 0)).drop("_k")
 
 
 def candidates(conf: Config) -> dict[str, Config]:
@@ -49,7 +56,7 @@ def candidates(conf: Config) -> dict[str, Config]:
     return named
 
 
-def tune(chunks: DataFrame, keys: list[str], conf: Config) -> DataFrame:
+def tune(chunks: DataFrame, keys: list[str], conf: Config, share: float | None = None) -> DataFrame:
     """One row per key: the ratios of all candidates and the ``choice``.
 
     Cubic must beat linear, a reversed axis order must gain 2 %, and Lorenzo must beat interpolation
@@ -57,7 +64,7 @@ def tune(chunks: DataFrame, keys: list[str], conf: Config) -> DataFrame:
     """
     width = 4 if conf.element_type == "float32" else 8
     trials = candidates(conf)
-    picked = codec.chunk_bounds(sample_chunks(chunks, keys), keys, conf)
+    picked = codec.chunk_bounds(sample_chunks(chunks, keys, share), keys, conf)
     coded = picked.withColumns({f"_c_{n}": codec.quantized({"": c}, F.lit("")) for n, c in trials.items()})
     sizes = coded.select(*keys, F.size("vals").alias("n"), *[
         sum((F.octet_length(c) for c in codec.coded_columns(f"_c_{name}", conf).values()), F.lit(0)).alias(name)
@@ -78,10 +85,14 @@ def tune(chunks: DataFrame, keys: list[str], conf: Config) -> DataFrame:
     return table.withColumn("choice", F.when(use_lorenzo, stencil).otherwise(name))
 
 
-def compress_tuned(chunks: DataFrame, keys: list[str], conf: Config) -> DataFrame:
-    """Compress each key with the candidate that won its trial; the choice travels with the rows."""
-    choice = tune(chunks, keys, conf).select(*keys, "choice")
-    both = chunks.join(choice, keys) if keys else chunks.crossJoin(F.broadcast(choice))
+def compress_tuned(chunks: DataFrame, keys: list[str], conf: Config, share: float | None = None) -> DataFrame:
+    """Compress each key with the candidate that won its trial; the choice travels with the rows.
+
+    A key without a trial keeps all its chunks and takes the cubic default.
+    """
+    choice = tune(chunks, keys, conf, share).select(*keys, "choice")
+    both = chunks.join(choice, keys, "left") if keys else chunks.crossJoin(F.broadcast(choice))
+    both = both.withColumn("choice", F.coalesce("choice", F.lit("cubic")))
     return codec.compress(both, keys, conf, candidates(conf))
 
 
