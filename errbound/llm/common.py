@@ -48,7 +48,14 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def text_slices(texts: list, limit: int = 2_000_000):
+def small_batches(batches, rows: int = 512):
+    """Cut Arrow batches, so that only a few texts at a time become Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def text_slices(texts: list, limit: int = 600_000):
     """Cut a list of texts into runs (first, last) of about `limit` characters."""
     first, held = 0, 0
     for i, text in enumerate(texts):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_bytes
+from .common import small_batches, stored, utf8_bytes
 from .encoders import counter, version_digest
 
 CACHE_SCHEMA = "content_digest binary, n_tokens long"
@@ -24,7 +24,7 @@ def _count(tokenizer: str):
     def count(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small_batches(batches):
             found = counter(tokenizer).count(batch.column("content").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array(found, pa.int64())],
                                             names=["content_digest", "n_tokens"])
@@ -56,5 +56,6 @@ def token_counts(docs: DataFrame, folder: str, tokenizer: str, limit: int = 1024
     fill_cache(docs, folder, tokenizer)
     digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     rows = docs.select("doc_id", utf8_bytes(F.col("text")).alias("n_bytes"), digest.alias("content_digest"))
-    return (rows.join(read_cache(docs.sparkSession, folder, tokenizer), "content_digest", "left")
+    known = stored(read_cache(docs.sparkSession, folder, tokenizer), "counts")  # a plain table: a common digest's rows can be split
+    return (rows.join(known, "content_digest", "left")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))

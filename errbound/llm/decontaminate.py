@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_slices
+from .common import small_batches, text_slices
 
 BIN = 16
 RANK = 96
@@ -72,7 +72,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[int, di
         import pyarrow as pa
 
         seen, terms = Counter(), known.value
-        for batch in batches:
+        for batch in small_batches(batches):
             for text in batch.column("text").to_pylist():
                 seen.update(terms.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
@@ -240,7 +240,7 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
     def search(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small_batches(batches, 1024):
             keys, texts = batch.column("doc_id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
             for a, b in text_slices(texts, 4_000_000):
                 found = searcher.value.search(keys[a:b], texts[a:b])

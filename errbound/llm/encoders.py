@@ -11,31 +11,58 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 from .common import text_slices
 
+#: Characters beyond these, or the start of a special string, send a text to the coarse pattern.
+_UNUSUAL = re.compile("[\x1c-\x1f\u0130\u0180-\U0010ffff]|<\\|")
 #: Controls that Python counts as white space and the tokenizers' patterns do not.
 _ODD = re.compile("[\x1c-\x1f]")
-MEMO_ENTRIES = 500_000
+_LETTER, _DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+MEMO_ENTRIES = 400_000
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class Cuts:
+    """Places where a tokenizer's pre-tokens always end: finely in usual texts, else at white space only."""
 
+    def __init__(self, fine: str, coarse: str, lower: bool):
+        self.fine, self.coarse, self.lower = re.compile(fine), re.compile(coarse), lower
 
-def _cut_pattern(spec: dict) -> re.Pattern | None:
-    """Chunks that can be encoded alone, for the two makes whose patterns are known; else None."""
+    def __call__(self, text: str) -> list[str]:
+        if not _UNUSUAL.search(text):
+            return self.fine.findall(text.lower() if self.lower else text)
+        return [text] if _ODD.search(text) else self.coarse.findall(text)
+
+
+def _cuts(spec: dict) -> Cuts | None:
+    """Chunks that can be encoded alone, for the two makes whose patterns are known; else None.
+
+    An apostrophe keeps the letters after it, as contractions are pre-tokens of their own.
+    """
     before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-    added = [x for x in spec.get("added_tokens", []) if re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"]]
+    added = [x for x in spec.get("added_tokens", []) if not x["content"].startswith("<|") or re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"]]
     if added or spec.get("model", {}).get("type") != "BPE":
         return None
     if before.get("type") == "ByteLevel" and not norm and before.get("use_regex") and not before.get("add_prefix_space"):
-        return re.compile(r"\s*\S+|\s+")  # no pre-token holds white space after another character
+        fine = rf"'[{_LETTER}]+| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+"
+        return Cuts(fine, r"\s*\S+|\s+", False)
     steps = [x["type"] for x in (norm or {}).get("normalizers", [])]
     parts = before.get("pretokenizers", [{}])
     if steps == ["NFC", "Replace", "Lowercase"] and parts[0].get("invert") and parts[0].get("behavior") == "Removed":
         pattern = parts[0].get("pattern", {}).get("Regex", "")
         if pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
-            return re.compile(r"[^ \t\n\r]+")  # white space is dropped and never inside a pre-token
+            return Cuts(rf"'[{_LETTER}]+|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+", r"[^ \t\n\r]+", True)
     return None
 
 
@@ -49,25 +76,29 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut = _cut_pattern(spec)
+        self.cuts = _cuts(spec)
         self.memo: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        out = []
+        for a in range(0, len(texts), 4_000):
+            found = self.tokenizer.encode_batch_fast(texts[a:a + 4_000], add_special_tokens=False)
+            out += [_packed(x.ids) for x in found]
+        return out
 
     def _chunks(self, texts: list[str]) -> list[list[str]]:
-        parts = [[t] if _ODD.search(t) else self.cut.findall(t) for t in texts]
-        new = list(set().union(*parts).difference(self.memo))
+        parts = [self.cuts(t) for t in texts]
+        used = set().union(*parts)
+        new = list(used.difference(self.memo))
         if len(self.memo) + len(new) > MEMO_ENTRIES:
             self.memo.clear()
-            new = list(set().union(*parts))
+            new = list(used)
         self.memo.update(zip(new, self._library(new), strict=True))
         return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if self.cut is None:
+        if self.cuts is None:
             return self._library(texts)
         out = []
         for a, b in text_slices(texts):
@@ -75,7 +106,7 @@ class ChunkEncoder:
         return out
 
     def count(self, texts: list[str]) -> list[int]:
-        if self.cut is None:
+        if self.cuts is None:
             return [len(x) // 4 for x in self._library(texts)]
         out = []
         for a, b in text_slices(texts):

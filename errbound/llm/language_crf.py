@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_slices
+from .common import small_batches, text_slices
 
 UNDETERMINED = "und"
 FEATURES = 1 << 16
@@ -294,7 +294,7 @@ def detect_languages(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         tagger = Tagger(known.value) if known.value.labels else None
-        for batch in batches:
+        for batch in small_batches(batches, 2048):
             texts = batch.column("text").to_pylist()
             found = tagger.predict(texts) if tagger else [(UNDETERMINED, 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays(

@@ -25,7 +25,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .components import components
 
 WORDS = 5
@@ -98,7 +98,7 @@ def _signatures(batches):
     import numpy as np
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in small_batches(batches):
         sizes, ids, bands = [], [], []
         for text in batch.column("text").to_pylist():
             found = shingle_set(text)
@@ -116,7 +116,7 @@ def _compare(batches):
     import numpy as np
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in small_batches(batches):
         found, last, held = [], None, None
         for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
             if a != last:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir
+from .common import filesystem, fresh_dir, small_batches
 from .encoders import encoder
 
 PART_SCHEMA = "part int, stem string, n_null long, n_docs long, n_ids long"
@@ -36,7 +36,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, kind: str):
         offsets, n_null, ids_file = [0], 0, None
         fs, root = filesystem(folder)
         doc_file = None
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             if not texts:
                 continue

@@ -26,6 +26,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .encoders import encoder
 
 ROW_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -47,6 +48,7 @@ def token_bytes(path: str) -> list[bytes]:
 
 def decode(ids, path: str) -> str:
     """Text of ids; bytes that form no character become the replacement character."""
+    ids = ids if isinstance(ids, list) else ids.tolist()
     return b"".join(map(token_bytes(path).__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -146,11 +148,10 @@ def _whole(path: str):
     def run(batches):
         import numpy as np
 
-        for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a in range(0, len(keys), 256):
-                found = encoder(path).encode(texts[a:a + 256])
-                yield from _table([_row(k, np.frombuffer(x, "<u4").tolist(), path) for k, x in zip(keys[a:a + 256], found, strict=True)]).to_batches()
+        for batch in small_batches(batches):
+            found = encoder(path).encode(batch.column("text").to_pylist())
+            rows = [_row(k, np.frombuffer(x, "<u4"), path) for k, x in zip(batch.column("doc_id").to_pylist(), found, strict=True)]
+            yield from _table(rows).to_batches()
     return run
 
 
@@ -158,7 +159,7 @@ def _leaf(path: str):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small_batches(batches, 64):
             found = encoder(path).encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "digest", "leaf")), pa.array(found, pa.binary())],
                                             names=["doc_id", "digest", "leaf", "ids"])

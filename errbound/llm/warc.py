@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, utf8_bytes
+from .common import filesystem, fresh_dir, small_batches, utf8_bytes
 
 #: Fixed values of the format.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -143,7 +143,7 @@ def _writer(folder: str, known: bytes, level: int):
         fs, root = filesystem(folder)
         out, path, n = None, f"{root}/part-{uuid.uuid4().hex}.warc.zst", 0
         pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(known))
-        for batch in batches:
+        for batch in small_batches(batches, 64):
             for row in batch.to_pylist():
                 if out is None:
                     out = fs.open_output_stream(path)

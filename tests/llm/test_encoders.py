@@ -1,0 +1,42 @@
+"""Chunked encoding against the library on whole texts."""
+
+import random
+
+import pytest
+
+from errbound.llm.encoders import ChunkEncoder, counter, public_path, version_digest
+
+FIXED = ["", " ", "\n\n", "a  b   c", "it's  we'll''s 'tis ''s .'s", "x<|endoftext|>y <|endof text|> (<|endoftext|>)", "éá é", "İstanbul ſs",
+         "tab\there\x1cthere\x1d\x1e", "²³x½1 12,345.6", "你好，世界 \U0001f600\U0001f600", "a b c\x85d", "A" * 500, "\r\n mixed \r\n\t x", "_a_1_ªº",
+         "ends with space ", " 's", "'", "'S don'T"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_same_ids_as_library(name):
+    own = ChunkEncoder(public_path(name))
+    assert own.cuts is not None
+    rng = random.Random(3)
+    alphabet = list("ab \n\t'.s1<|>éß²́\x1c世") + ["<|endoftext|>", " the", "ing", "'ll", "  "]
+    texts = FIXED + ["".join(rng.choices(alphabet, k=rng.randrange(1, 60))) for _ in range(4000)]
+    assert own.encode(texts) == own._library(texts)
+    assert own.count(texts) == [len(x) // 4 for x in own._library(texts)]
+
+
+def test_memo_bound(monkeypatch):
+    monkeypatch.setattr("errbound.llm.encoders.MEMO_ENTRIES", 5)
+    own = ChunkEncoder(public_path("byte_bpe_50k.json"))
+    texts = [f"one two three w{i}" for i in range(30)]
+    for t in texts:
+        assert own.encode([t]) == own._library([t])
+
+
+def test_piece_counter():
+    import sentencepiece
+    path = public_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert counter(path).count(["Hello world", ""]) == [len(model.encode("Hello world")), 0]
+
+
+def test_version_digest():
+    a, b = version_digest(public_path("byte_bpe_50k.json")), version_digest(public_path("piece_bpe_32k.model"))
+    assert a != b and a == version_digest(public_path("byte_bpe_50k.json"))
