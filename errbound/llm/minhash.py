@@ -8,10 +8,11 @@ shingle offers to all coordinates are one window of the table, and the signature
 
 Equal sets are one class.  Class representatives meet in band buckets; each bucket compares its members with a pivot, by exact
 Jaccard similarity on full sets made again from the texts.  Linked members are merged into components, and buckets
-that still hold several components get another pivot.  After PIVOT_ROUNDS rounds the remaining pairs of a bucket
-are compared directly, except those within one component and those whose set sizes or whose distances from a
-pivot already tested differ by too much to be linked (the Jaccard distance is a metric).  So no pair of a bucket that
-could change a component is left out, and no bucket of copies is squared.
+documents of buckets that still hold several components are dealt anew, by their rarest shingles of which linked documents must
+share one; there buckets get more pivots, picked at random.  Once the remaining pairs are few for the number of
+bucket entries, or pivots find nothing more, they are compared directly, except those within one component and those
+whose set sizes or whose distances from the first pivot differ by too much to be linked (the Jaccard distance is
+a metric).  So no pair of a band bucket that could change a component is left out, and no bucket of copies is squared.
 
 Rows: null or wordless texts have an empty set and are linked with nothing; fewer than five words are one shingle; every row
 gives a row, repeated rows too; texts that share a doc_id are one document, linked by any of them; rows without a
@@ -24,6 +25,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import small_batches, stored
 from .components import components
@@ -31,7 +33,8 @@ from .components import components
 WORDS = 5
 BANDS, ROWS = 32, 4
 SLOT_BITS = 22
-PIVOT_ROUNDS = 3
+#: The remaining pairs are compared directly once they are at most so many for each bucket entry.
+SPARE = 4
 #: Odd multipliers of the shingle hash, and the multipliers of the mixing step.
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, set_id string, bands array<long>"
@@ -154,33 +157,10 @@ def labelled(signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     full = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket")
     members = stored(rows.join(full, "bucket"), "members")
     texts = stored(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "texts")  # few of all
-    tested = None
-    labels = classes.sparkSession.createDataFrame([], "node long, component long")
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = (members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-                  .select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
-        rank = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                             F.min(F.struct(rank.alias("rank"), "rep", "n_shingles", "component")).alias("p"))
-        open_ = open_.where("low < high")
-        if turn < PIVOT_ROUNDS:
-            near = placed.join(open_.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n_shingles").alias("n_p"), F.col("p.component").alias("c_p")), "bucket")
-            near = near.where("component <> c_p").where(_sizes_fit("n_shingles", "n_p", percent))
-            pairs = near.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-        else:
-            pairs = _rest(placed, open_, tested, percent)
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if not pairs.limit(1).count():
-            if turn == 0 or turn == PIVOT_ROUNDS:
-                break
-            continue
-        fresh = stored(_verified(pairs, texts), "verified")
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        links = tested.where(_linked(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = stored(components(links), "labels")
+    state = _State(texts, percent)
+    state.compare(members, rounds=1)
+    state.compare(_rare_prefixes(state.still_open(members), texts, percent))
+    labels = state.labels
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("class_component"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
     return (rows.join(found, "set_id", "left")
@@ -188,6 +168,95 @@ def labelled(signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+class _State:
+    """Pairs tested so far and the components that their links make."""
+
+    def __init__(self, texts: DataFrame, percent: int):
+        self.texts, self.percent, self.tested = texts, percent, None
+        self.labels = texts.sparkSession.createDataFrame([], "node long, component long")
+
+    def _placed(self, members: DataFrame) -> DataFrame:
+        return (members.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left")
+                .select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
+
+    def _open(self, placed: DataFrame, turn: int) -> DataFrame:
+        """Buckets of several components, with their sizes, main component and next pivot."""
+        rank = F.xxhash64("rep", "bucket", F.lit(turn)) if turn else F.col("rep")
+        groups = placed.groupBy("bucket", "component").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(rank.alias("rank"), "rep", "n_shingles")).alias("p"))
+        return stored(groups.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"),
+            F.min(F.struct("p.rank", "p.rep", "p.n_shingles", "component")).alias("p")).where("groups > 1"), "open")
+
+    def still_open(self, members: DataFrame) -> DataFrame:
+        """Documents of buckets that hold several components."""
+        placed = self._placed(members)
+        return stored(placed.join(self._open(placed, 0).select("bucket"), "bucket").select("rep").distinct(), "open-documents")
+
+    def compare(self, members: DataFrame, rounds: int | None = None) -> None:
+        """Compare members of a bucket with pivots, and without a limit of rounds all pairs that may still matter."""
+        room, turn, last = SPARE * members.count(), 0, False
+        while turn != rounds:
+            placed = self._placed(members)
+            open_ = self._open(placed, turn)
+            rest = open_.agg(F.sum(F.col("n") * (F.col("n") - F.col("main.n")))).first()[0] or 0
+            last = last or (turn > 0 and rest <= room)
+            if last:
+                pairs = _rest(placed, open_, self.tested, self.percent)
+            else:
+                pivots = open_.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n_shingles").alias("n_p"), F.col("p.component").alias("c_p"))
+                near = placed.join(pivots, "bucket").where("component <> c_p").where(_sizes_fit("n_shingles", "n_p", self.percent))
+                pairs = near.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+            found = self._test(pairs.distinct())
+            if last:
+                return
+            turn, last = turn + 1, not found
+
+    def _test(self, pairs: DataFrame) -> bool:
+        """Test new pairs and merge what they link; whether there was a link."""
+        if self.tested is not None:
+            pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = stored(_verified(stored(pairs, "pairs"), self.texts), "verified")
+        linked = _linked(F.col("shared"), F.col("n_a"), F.col("n_b"), self.percent)
+        self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
+        if not fresh.where(linked).limit(1).count():
+            return False
+        links = self.tested.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        self.labels = stored(components(links), "labels")
+        return True
+
+
+def _shingle_rows(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in small_batches(batches, 128):
+        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        sizes = np.array([len(x) for x in sets], np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(owner)), batch.column("version").take(pa.array(owner)), pa.array(sizes[owner]),
+                                          pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], names=["rep", "version", "n_shingles", "bucket"])
+
+
+def _rare_prefixes(documents: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """bucket, rep, n_shingles: each document under the rarest shingles of which linked documents must share one.
+
+    Of n shingles, rarest first, linked documents share one of the first n - ceil(n * percent / 100) + 1.  Shingles that only
+    one document has fill places but join nothing, so documents that share only a common passage drop out here.
+    """
+    whole = texts.join(documents, texts["doc_id"] == documents["rep"]).select("rep", F.xxhash64("text").alias("version"), "text")
+    rows = stored(whole.mapInArrow(_shingle_rows, "rep long, version long, n_shingles long, bucket long"), "shingles")
+    counts = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "uses")
+    common = stored(rows.join(counts, "bucket"), "common")
+    size = F.col("n_shingles")
+    places = size - F.ceil(size * percent / 100) + 1
+    left = (common.groupBy("rep", "version", "n_shingles").agg(F.count(F.lit(1)).alias("shared"))
+            .select("rep", "version", (places - (size - F.col("shared"))).alias("places")).where("places > 0"))
+    order = Window.partitionBy("rep", "version").orderBy("uses", "bucket")
+    ranked = common.join(left, ["rep", "version"]).withColumn("at", F.row_number().over(order)).where("at <= places")
+    return stored(ranked.select("bucket", "rep", "n_shingles"), "prefixes")
+
+
 def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -199,7 +268,7 @@ def _rest(placed: DataFrame, open_: DataFrame, tested: DataFrame | None, percent
     (they joined its component by others, or their sizes do not fit) have no bound.
     """
     first = placed.groupBy("bucket").agg(F.min("rep").alias("pivot"))
-    left = placed.join(open_.select("bucket"), "bucket").join(first, "bucket")
+    left = placed.join(first, "bucket")
     if tested is not None:
         far = tested.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("d"))
         left = left.join(far, ["pivot", "rep"], "left")
@@ -207,9 +276,7 @@ def _rest(placed: DataFrame, open_: DataFrame, tested: DataFrame | None, percent
         left = left.withColumn("d", F.lit(None).cast("double"))
     left = left.withColumn("d", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d")))
     # the largest component of a bucket is compared with the rest, and the rest with each other
-    most = (left.groupBy("bucket", "component").count().groupBy("bucket")
-            .agg(F.max(F.struct("count", "component"))["component"].alias("main")))
-    left = left.join(most, "bucket")
+    left = left.join(open_.select("bucket", F.col("main.component").alias("main")), "bucket")
     x = left.where("component <> main").select("bucket", F.col("rep").alias("x"), F.col("n_shingles").alias("n_x"), F.col("component").alias("c_x"), F.col("d").alias("d_x"))
     y = left.select("bucket", F.col("rep").alias("y"), F.col("n_shingles").alias("n_y"), F.col("component").alias("c_y"), F.col("d").alias("d_y"))
     slack = 1 - percent / 100 + 1e-9
