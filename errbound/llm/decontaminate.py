@@ -18,6 +18,7 @@ repeated pair the best match counts; an empty table on either side gives an empt
 from __future__ import annotations
 
 import re
+from itertools import chain, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import small_batches, text_slices
 
 BIN = 16
-RANK = 96
+RANK = 192
 _WORD = re.compile(r"\w+")
 HIT_SCHEMA = "doc_id long, item_id long, word_start long, matched long, item_words long, cosine double"
 
@@ -130,14 +131,20 @@ def latent_basis(rows: DataFrame, n_terms: int, rank: int = RANK, rounds: int =
 class Searcher:
     """Latent passages of one block of items and the checks on candidates."""
 
-    def __init__(self, items: list[tuple[int, str]], weights: dict[str, float], terms: dict[str, int], basis, cosine: float,
-                 share: float, answer_share: float):
+    def __init__(self, items: list[tuple[int, str]], weights: dict[str, float], terms: dict[str, int], basis, n_docs: int,
+                 cosine: float, share: float, answer_share: float):
+        import math
+
         import numpy as np
 
         self.words = {i: words_of(t) for i, t in items}
         self.answers = {i: self.words[i][len(self.words[i]) - answer_length(t, len(self.words[i])):] for i, t in items}
-        self.terms, self.cosine, self.share, self.answer_share = terms, cosine, share, answer_share
-        self.vectors = (basis * np.array([weights[w] for w in terms])[:, None]).astype(np.float32)
+        self.cosine, self.share, self.answer_share = cosine, share, answer_share
+        # codes: a term's number; -2 for words without weight; -1 (not in the table) for words outside the benchmark
+        self.codes = {w: -2 for words in self.words.values() for w in words} | terms
+        weight = np.array([weights[w] for w in terms])
+        self.mass = np.append(weight, [0.0, 0.5 * math.log(n_docs + 1)]) ** 2  # by code; the last two are codes -2 and -1
+        self.vectors = (basis * weight[:, None]).astype(np.float32)
         owner, rows = [], []
         for i, w in self.words.items():
             for p in passages(w):
@@ -154,29 +161,45 @@ class Searcher:
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
     def candidates(self, split: list[list[str]]):
-        """(text, window's first bin, item, cosine) of the pairs above the threshold."""
+        """(text, window's first bin, item, cosine) of the pairs above the threshold.
+
+        The cosine is that of the latent vectors times the share of the window's length that its terms make up; words
+        outside the benchmark count with half the weight of an unseen one.  A window below the threshold by that
+        share alone needs no vector.
+        """
         import numpy as np
 
         sizes = np.array([len(x) for x in split], np.int64)
-        ids = np.fromiter((self.terms.get(w, -1) for x in split for w in x), np.int64, int(sizes.sum()))
+        ends = np.cumsum(sizes)
+        ids = np.fromiter(map(self.codes.get, chain.from_iterable(split), repeat(-1)), np.int64, int(ends[-1]) if len(ends) else 0)
+        if not len(ids) or not len(self.passages):
+            return
         bins = -(-sizes // BIN) + 1  # the last one stays empty, so no window spans two texts
         first = np.cumsum(bins) - bins
-        place = np.repeat(first, sizes) + (np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // BIN
-        used = np.flatnonzero(ids >= 0)
-        if not len(used) or not len(self.passages):
+        place = np.repeat(first, sizes) + (np.arange(len(ids)) - np.repeat(ends - sizes, sizes)) // BIN
+        total, mass = int(bins.sum()) + 1, self.mass[ids]
+        every, own = np.bincount(place, mass, total), np.bincount(place, np.where(ids >= 0, mass, 0.0), total)
+        covered = np.sqrt((own[:-1] + own[1:]) / np.maximum(every[:-1] + every[1:], 1e-12))
+        asked = np.flatnonzero(covered >= self.cosine)
+        if not len(asked):
             return
+        needed = np.zeros(total, bool)
+        needed[asked] = needed[asked + 1] = True
+        used = np.flatnonzero((ids >= 0) & needed[place])
         heads = np.flatnonzero(np.diff(place[used], prepend=-1))
-        sums = np.zeros((int(bins.sum()) + 1, self.vectors.shape[1]), np.float32)
-        step = 200_000
-        for a in range(0, len(heads), step):
-            lo, hi = heads[a], heads[a + step] if a + step < len(heads) else len(used)
-            sums[place[used[heads[a:a + step]]]] = np.add.reduceat(self.vectors[ids[used[lo:hi]]], heads[a:a + step] - lo, axis=0)
+        slot = np.full(total, len(heads))
+        slot[place[used[heads]]] = np.arange(len(heads))
+        sums = np.zeros((len(heads) + 1, self.vectors.shape[1]), np.float32)
+        for a in range(0, len(heads), 50_000):
+            lo, hi = heads[a], heads[a + 50_000] if a + 50_000 < len(heads) else len(used)
+            sums[a:min(a + 50_000, len(heads))] = np.add.reduceat(self.vectors[ids[used[lo:hi]]], heads[a:a + 50_000] - lo, axis=0)
         owner = np.repeat(np.arange(len(split)), bins)
-        for a in range(0, len(owner), 16_384):
-            b = min(a + 16_384, len(owner))
-            near = self._unit(sums[a:b] + sums[a + 1:b + 1]) @ self.passages.T
+        for a in range(0, len(asked), 8192):
+            at = asked[a:a + 8192]
+            near = (self._unit(sums[slot[at]] + sums[slot[at + 1]]) @ self.passages.T) * covered[at, None]
             for r, c in zip(*np.nonzero(near >= self.cosine), strict=True):
-                yield int(owner[a + r]), int(a + r - first[owner[a + r]]), int(self.owner[c]), float(near[r, c])
+                text = owner[at[r]]
+                yield int(text), int(at[r] - first[text]), int(self.owner[c]), float(near[r, c])
 
     def matches(self, words: list[str], at: int, item: int) -> int | None:
         """Words of an item that a window and its surroundings hold in order, or None if they are too few."""
@@ -235,7 +258,7 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["ids", "weights"])
 
     matrix = bench.select("text").mapInArrow(rows, "ids array<long>, weights array<double>").where(F.size("ids") > 0)
-    searcher = spark.sparkContext.broadcast(Searcher(items, weights, terms, latent_basis(matrix, len(terms)), cosine, share, answer_share))
+    searcher = spark.sparkContext.broadcast(Searcher(items, weights, terms, latent_basis(matrix, len(terms)), n, cosine, share, answer_share))
 
     def search(batches):
         import pyarrow as pa
@@ -251,7 +274,7 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
     return docs.mapInArrow(search, HIT_SCHEMA)
 
 
-def benchmark_matches(docs: DataFrame, bench: DataFrame, cosine: float = 0.4, share: float = 0.6, answer_share: float = 0.5,
+def benchmark_matches(docs: DataFrame, bench: DataFrame, cosine: float = 0.3, share: float = 0.6, answer_share: float = 0.5,
                       common: float = 0.2, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, item_id, word_start, matched, item_words, cosine: one row for each document and item that it holds."""
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")

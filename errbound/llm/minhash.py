@@ -10,7 +10,7 @@ Equal sets are one class.  Class representatives meet in band buckets; each buck
 Jaccard similarity on full sets made again from the texts.  Linked members are merged into components, and buckets
 documents of buckets that still hold several components are dealt anew, by their rarest shingles of which linked documents must
 share one; there buckets get more pivots, picked at random.  Once the remaining pairs are few for the number of
-bucket entries, or pivots find nothing more, they are compared directly, except those within one component and those
+bucket entries, or pivots find nothing more, they are compared directly (with large components by block scans), except those within one component and those
 whose set sizes or whose distances from the first pivot differ by too much to be linked (the Jaccard distance is
 a metric).  So no pair of a band bucket that could change a component is left out, and no bucket of copies is squared.
 
@@ -35,6 +35,9 @@ BANDS, ROWS = 32, 4
 SLOT_BITS = 22
 #: The remaining pairs are compared directly once they are at most so many for each bucket entry.
 SPARE = 4
+#: Components of more documents are scanned in blocks and runs of so many documents, instead of pair by pair.
+LARGE, BLOCK, RUN = 16, 1024, 1024
+PAIR_SCHEMA = "a long, b long, shared long, n_a long, n_b long"
 #: Odd multipliers of the shingle hash, and the multipliers of the mixing step.
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, set_id string, bands array<long>"
@@ -135,7 +138,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, shared, n_a, n_b of pairs of representatives, on full sets made from their texts."""
     one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, shared long, n_a long, n_b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, PAIR_SCHEMA)
 
 
 def _linked(shared, n_a, n_b, percent: int):
@@ -202,7 +205,10 @@ class _State:
             rest = open_.agg(F.sum(F.col("n") * (F.col("n") - F.col("main.n")))).first()[0] or 0
             last = last or (turn > 0 and rest <= room)
             if last:
-                pairs = _rest(placed, open_, self.tested, self.percent)
+                sizes = placed.select("rep", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("held"))
+                large = stored(sizes.where(F.col("held") > LARGE), "large")
+                pairs = _rest(placed.join(large, "component", "left_anti"), placed, open_, self.tested, self.percent)
+                self._keep(stored(self._scanned(placed, open_, large), "scanned"))
             else:
                 pivots = open_.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n_shingles").alias("n_p"), F.col("p.component").alias("c_p"))
                 near = placed.join(pivots, "bucket").where("component <> c_p").where(_sizes_fit("n_shingles", "n_p", self.percent))
@@ -216,7 +222,30 @@ class _State:
         """Test new pairs and merge what they link; whether there was a link."""
         if self.tested is not None:
             pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = stored(_verified(stored(pairs, "pairs"), self.texts), "verified")
+        return self._keep(stored(_verified(stored(pairs, "pairs"), self.texts), "verified"))
+
+    def _scanned(self, placed: DataFrame, open_: DataFrame, large: DataFrame) -> DataFrame:
+        """Links between large components and the documents outside that share a bucket with them.
+
+        A large component is cut into blocks of documents and its askers into runs; a task counts the shingles that each asker
+        shares with all documents of a block at once and returns links only.
+        """
+        outside = placed.join(open_.select("bucket", F.col("main.component").alias("main")), "bucket").where("component <> main")
+        inside = placed.join(large, "component").groupBy("bucket", "component").agg(F.first("held").alias("held"))
+        asks = outside.select("bucket", "rep", F.col("component").alias("own")).join(inside, "bucket").where("own <> component")
+        asks = stored(asks.select("rep", "component", "held").distinct(), "asks")
+        plan = stored(asks.groupBy("component").agg(F.ceil(F.first("held") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs")), "plan")
+
+        def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+            placed_ = rows.join(plan, "component").withColumn(own, F.pmod(F.xxhash64("rep"), F.col(f"{own}s")).cast("int"))
+            spread = placed_.select("component", "rep", own, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other))
+            return (spread.join(self.texts.withColumnRenamed("doc_id", "rep"), "rep")
+                    .select(*(F.col(c).alias(c) for c in ("component", "block", "run", "rep", "text"))).groupBy("component", "block", "run"))
+
+        held = dealt(placed.select("component", "rep").distinct(), "block", "run")
+        return held.cogroup(dealt(asks.select("component", "rep"), "run", "block")).applyInArrow(_scan(self.percent), PAIR_SCHEMA)
+
+    def _keep(self, fresh: DataFrame) -> bool:
         linked = _linked(F.col("shared"), F.col("n_a"), F.col("n_b"), self.percent)
         self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
         if not fresh.where(linked).limit(1).count():
@@ -226,6 +255,33 @@ class _State:
         return True
 
 
+def _scan(percent: int):
+    def run(block, asks):
+        import numpy as np
+        import pyarrow as pa
+
+        out = []
+        if block.num_rows and asks.num_rows:
+            sets = [shingle_set(t) for t in block.column("text").to_pylist()]
+            reps, sizes = block.column("rep").to_numpy(), np.array([len(x) for x in sets])
+            keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], owner[order]
+            for rep, text in zip(asks.column("rep").to_pylist(), asks.column("text").to_pylist(), strict=True):
+                mine = shingle_set(text)
+                low, high = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+                n = high - low
+                hits = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+                shared = np.bincount(owner[hits], minlength=len(sets))
+                for i in np.flatnonzero(_linked(shared, len(mine), sizes, percent) & (reps != rep)):
+                    pair = sorted(((rep, len(mine)), (int(reps[i]), int(sizes[i]))))
+                    out.append((pair[0][0], pair[1][0], int(shared[i]), pair[0][1], pair[1][1]))
+                    break  # one link joins the asker to the whole component
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "shared", "n_a", "n_b"])
+    return run
+
+
 def _shingle_rows(batches):
     import numpy as np
     import pyarrow as pa
@@ -261,8 +317,8 @@ def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _rest(placed: DataFrame, open_: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of the still open buckets that no bound rules out: other component, fitting sizes, fitting distances.
+def _rest(few: DataFrame, placed: DataFrame, open_: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs with a member of `few` in still open buckets that no bound rules out: other component, fitting sizes and distances.
 
     The distances are those from the bucket's first pivot, its smallest member; members that were never compared with it
     (they joined its component by others, or their sizes do not fit) have no bound.
@@ -278,7 +334,7 @@ def _rest(placed: DataFrame, open_: DataFrame, tested: DataFrame | None, percent
     # the largest component of a bucket is compared with the rest, and the rest with each other
     left = left.join(open_.select("bucket", F.col("main.component").alias("main")), "bucket")
     x = left.where("component <> main").select("bucket", F.col("rep").alias("x"), F.col("n_shingles").alias("n_x"), F.col("component").alias("c_x"), F.col("d").alias("d_x"))
-    y = left.select("bucket", F.col("rep").alias("y"), F.col("n_shingles").alias("n_y"), F.col("component").alias("c_y"), F.col("d").alias("d_y"))
+    y = left.join(few.select("bucket", "rep"), ["bucket", "rep"], "left_semi").select("bucket", F.col("rep").alias("y"), F.col("n_shingles").alias("n_y"), F.col("component").alias("c_y"), F.col("d").alias("d_y"))
     slack = 1 - percent / 100 + 1e-9
     pairs = x.join(y, "bucket").where("c_x <> c_y").where(_sizes_fit("n_x", "n_y", percent))
     pairs = pairs.where(F.col("d_x").isNull() | F.col("d_y").isNull() | (F.abs(F.col("d_x") - F.col("d_y")) <= slack))
