@@ -93,19 +93,22 @@ def _product(rows: DataFrame, matrix) -> object:
         import pyarrow as pa
 
         x = known.value
-        total = np.zeros_like(x)
+        total, held = np.zeros_like(x), False
         for batch in batches:
+            held = held or batch.num_rows > 0
             for ids, weights in zip(batch.column("ids").to_pylist(), batch.column("weights").to_pylist(), strict=True):
                 w = np.array(weights)
                 np.add.at(total, ids, w[:, None] * (w @ x[ids]))
-        for a in range(0, len(total), slab):
+        for a in range(0, len(total) if held else 0, slab):
             yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([total[a:a + slab].tobytes()], pa.binary())], names=["a", "m"])
 
     def add(group):
         import pyarrow as pa
 
-        parts = [np.frombuffer(x) for x in group.column("m").to_pylist()]
-        return pa.Table.from_arrays([pa.array([group.column("a")[0].as_py()]), pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())], names=["a", "m"])
+        total = 0.0
+        for part in group.column("m"):
+            total = total + np.frombuffer(part.as_py())
+        return pa.Table.from_arrays([pa.array([group.column("a")[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["a", "m"])
 
     schema = "a long, m binary"
     found = rows.mapInArrow(run, schema).groupBy("a").applyInArrow(add, schema).collect()
@@ -257,7 +260,8 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
                     values.append([x / size for x in counts.values()])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["ids", "weights"])
 
-    matrix = bench.select("text").mapInArrow(rows, "ids array<long>, weights array<double>").where(F.size("ids") > 0)
+    # a block of items is small, so a few partitions do and few partial products meet
+    matrix = bench.select("text").repartition(8).mapInArrow(rows, "ids array<long>, weights array<double>").where(F.size("ids") > 0)
     searcher = spark.sparkContext.broadcast(Searcher(items, weights, terms, latent_basis(matrix, len(terms)), n, cosine, share, answer_share))
 
     def search(batches):

@@ -190,10 +190,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, level:
     light = rows.select("page_id", "digest", utf8_bytes(F.col("html")).alias("n")).where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull())
     first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last")
     again = light.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
-    picked = rows.orderBy(F.xxhash64("page_id", "digest")).limit(sample_rows)
-    samples = picked.select("page_id", "url", F.substring("html", 1, sample_chars).alias("html"), "digest").collect()
+    low = rows.select("page_id", "digest").orderBy(F.xxhash64("page_id", "digest")).limit(sample_rows)
+    samples = rows.join(F.broadcast(low.distinct()), ["page_id", "digest"]).select(
+        "page_id", "url", F.substring("html", 1, sample_chars).alias("html"), "digest").limit(2 * sample_rows).collect()
     known = dictionary([record(r.page_id, r.url, r.html.encode(), r.digest, None) for r in samples])
-    whole = rows.join(again, ["page_id", "digest"], "left").repartition("page_id").select("page_id", "url", "html", "digest", "refers_to")
+    whole = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
     return [(r.path, r.n_records) for r in whole.mapInArrow(_writer(folder, known, level), ARCHIVE_SCHEMA).collect()]
 
 
