@@ -98,7 +98,7 @@ class Block:
         padded = np.zeros((self.words * 64, self.dims), np.int64)
         padded[:n] = coarse
         planes = ((padded.T[:, None, :] >> np.arange(self.bits)[None, :, None]) & 1).astype(bool)
-        self.slices = np.packbits(planes, axis=2, bitorder="little").view(np.uint64)  # component, bit, word
+        self.slices = np.ascontiguousarray(np.packbits(planes, axis=2, bitorder="little")).view(np.uint64)  # component, bit, word
         rows = np.zeros(self.words * 64, bool)
         rows[:n] = True
         self.every = np.packbits(rows, bitorder="little").view(np.uint64)

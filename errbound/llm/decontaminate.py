@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import small_batches, text_slices
 
 BIN = 16
-RANK = 192
+RANK = 128
 _WORD = re.compile(r"\w+")
 HIT_SCHEMA = "doc_id long, item_id long, word_start long, matched long, item_words long, cosine double"
 

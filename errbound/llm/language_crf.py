@@ -89,6 +89,7 @@ def posteriors(scores, begins, transitions, start, steps: int = 256):
     first = np.zeros(blocks * steps, bool)
     first[:n] = begins
     first[0] = True
+    first[n:] = True  # what fills the last block stands apart
     psi, first = psi.reshape(blocks, steps, k).swapaxes(0, 1).copy(), first.reshape(blocks, steps).T.copy()
     products = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
     for t in range(steps):
