@@ -29,7 +29,7 @@ def run_array(spark: SparkSession, a: argparse.Namespace) -> None:
         dims = a.dims
         base = Config.from_ini(a.config, tuple(dims)) if a.config else Config(dims=tuple(dims), algorithm=Algorithm(a.algorithm))
         conf = base if a.config else base.with_(
-            mode=ErrorBoundMode(a.mode), abs_bound=a.abs or base.abs_bound, rel_bound=a.rel or base.rel_bound,
+            mode=ErrorBoundMode(a.mode), abs_bound=base.abs_bound if a.abs is None else a.abs, rel_bound=base.rel_bound if a.rel is None else a.rel,
             psnr_bound=a.psnr or 0.0, l2norm_bound=a.norm or 0.0, element_type=a.type)
         cells = cells_of(raw.read_raw(spark, a.input, conf.element_type), dims)
         container.write_container(api.compress(cells, dims, conf), a.packed, conf.with_(dims=tuple(dims)))

@@ -129,7 +129,7 @@ class Config:
 
     def to_row(self) -> dict:
         row = asdict(self)
-        row.pop("extra")
+        row["extra"] = {k: int(v) for k, v in self.extra.items()}
         return {k: (v.value if isinstance(v, Enum) else list(v) if isinstance(v, tuple) else v)
                 for k, v in row.items()}
 
@@ -140,6 +140,7 @@ class Config:
         row["algorithm"] = Algorithm(row["algorithm"])
         row["mode"] = ErrorBoundMode(row["mode"])
         row["interpolator"] = Interpolator(row["interpolator"])
+        row["extra"] = dict(row.get("extra") or {})
         return Config(**row)
 
     @staticmethod
@@ -189,4 +190,5 @@ CONFIG_SCHEMA = T.StructType([
     T.StructField("interp_block_size", T.IntegerType()),
     T.StructField("quant_bins", T.IntegerType()), T.StructField("block_size", T.IntegerType()),
     T.StructField("pred_dim", T.IntegerType()), T.StructField("element_type", T.StringType()),
+    T.StructField("extra", T.MapType(T.StringType(), T.LongType())),
 ])

@@ -25,9 +25,6 @@ RAW_CELLS = 2 ** 32
 SINGLE_CELLS = 16
 MAX_BLOCKS_PER_AXIS = 2e5
 MAX_TRIAL_EXPONENT = 16
-SAMPLE_ALL = 1 << 20
-SAMPLE_EDGE = 7
-SAMPLE_PROBE = 100
 
 # Quartic in -log10(eb) for the formula mode, lowest power first.
 FORMULA = (1.0, -14.75, 27.9583333333333333, -16.25, 3.04166666666666667)
@@ -100,6 +97,7 @@ def occupied_cells(blocked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # Block ids per bucket when blocks are put in order, and cells per bucket inside a block.
+SAMPLE_EDGE = 7
 BLOCK_BUCKET = 1 << 20
 CELL_BUCKET = 1 << 20
 
@@ -240,29 +238,6 @@ def formula_edge(ranges: list[float], eb: float) -> int:
     return min([edge] + [1 << s[1] for s in spans])
 
 
-def densest_sample(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Particles of one sub-cell of a 7x7x7 division, the one the first 100 particles favour.
-
-    Sets of up to 2**20 particles are used whole.  This is the sampler behind the block-size search,
-    its result never replaces data.  Needs ``pid``.
-    """
-    boxed = with_box(df, keys)
-    cell = None
-    for k, a in enumerate(AXES):
-        part = F.coalesce(F.floor(F.try_divide(F.col(a) - F.col(f"p{a}"), F.col(f"r{a}")) * SAMPLE_EDGE), F.lit(0))
-        cell = part if cell is None else cell + part * SAMPLE_EDGE ** k
-    tagged = boxed.withColumn("_cell", cell)
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    probe = tagged.orderBy("pid").limit(SAMPLE_PROBE).groupBy("_cell").agg(F.count(F.lit(1)).alias("_c"))
-    centre = SAMPLE_EDGE // 2 * (1 + SAMPLE_EDGE + SAMPLE_EDGE ** 2)
-    votes = probe.crossJoin(F.broadcast(total)).where(F.col("_c") <= F.floor(F.col("_n") / SAMPLE_PROBE))
-    best = votes.agg(F.max(F.struct("_c", (-F.col("_cell")).alias("_k"))).alias("_b")).select(
-        F.coalesce(-F.col("_b._k"), F.lit(centre)).alias("_best"))
-    return (tagged.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(best))
-            .where((F.col("_n") <= SAMPLE_ALL) | (F.col("_cell") == F.col("_best")))
-            .select(*df.columns))
-
-
 def entropy_candidates(df: DataFrame, ranges: list[float], eb: float) -> DataFrame:
     """Estimated bits per particle for each cubic block edge 2**a: coded id deltas plus 3a.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -73,12 +74,23 @@ def _arrow(values: np.ndarray, dtype: str) -> pa.Array:
     return pa.array(values.astype(WIDENED.get(dtype, dtype)))
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    end: int
+
+
 class RawWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, dtype: str):
-        self.path, self.dtype = path, dtype
+    """Writes values at their positions; an overwritten file ends after the last of them."""
+
+    def __init__(self, path: str, dtype: str, overwrite: bool = False):
+        self.path, self.dtype, self.overwrite = path, dtype, overwrite
+
+    def commit(self, messages):
+        if self.overwrite:
+            os.truncate(self.path, max((m.end for m in messages if m), default=0))
 
     def write(self, batches):
-        size = np.dtype(self.dtype).itemsize
+        size, end = np.dtype(self.dtype).itemsize, 0
         fd = os.open(self.path, os.O_RDWR | os.O_CREAT)
         try:
             for batch in batches:
@@ -92,9 +104,10 @@ class RawWriter(DataSourceArrowWriter):
                 for run, where in zip(np.split(values, cuts), np.split(idx, cuts)):
                     if len(run):
                         os.pwrite(fd, run.tobytes(), int(where[0]) * size)
+                        end = max(end, (int(where[-1]) + 1) * size)
         finally:
             os.close(fd)
-        return WriterCommitMessage()
+        return Written(end)
 
 
 class RawBinary(DataSource):
@@ -119,7 +132,7 @@ class RawBinary(DataSource):
                          int(self.options.get("rowsPerPartition", ROWS_PER_PARTITION)))
 
     def writer(self, schema, overwrite):
-        return RawWriter(self.options["path"], self.options.get("dtype", "float32"))
+        return RawWriter(self.options["path"], self.options.get("dtype", "float32"), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -148,4 +161,4 @@ def write_raw(df: DataFrame, path: str, dtype: str = "float32") -> None:
     """``idx, v`` to one raw file.  Range partitioning keeps each task's writes contiguous."""
     register(df.sparkSession)
     (df.select("idx", "v").repartitionByRange("idx").sortWithinPartitions("idx")
-     .write.format("rawbinary").option("path", path).option("dtype", dtype).mode("append").save())
+     .write.format("rawbinary").option("path", path).option("dtype", dtype).mode("overwrite").save())

@@ -34,3 +34,8 @@ def test_ini(tmp_path):
     assert conf.algorithm is Algorithm.INTERP and conf.mode is ErrorBoundMode.ABS_AND_REL
     assert conf.interpolator is Interpolator.LINEAR and conf.lorenzo2 and not conf.regression and conf.parallel
     assert (conf.abs_bound, conf.rel_bound, conf.block_size, conf.radius) == (0.5, 1e-2, 8, 512)
+
+
+def test_extra_parameters_are_stored():
+    conf = Config(dims=(4,), extra={"keep_bytes": 3})
+    assert Config.from_row(conf.to_row()).extra == {"keep_bytes": 3}

@@ -59,3 +59,12 @@ def test_permutation_bits(spark, tmp_path):
     order = spark.range(10).selectExpr("id AS position", "9 - id AS pid")
     container.write_permutation(order, str(tmp_path / "o"), 32)
     assert dict(spark.read.parquet(str(tmp_path / "o")).dtypes) == {"position": "int", "pid": "int"}
+
+
+def test_overwrite_sets_the_length(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "short.dat")
+    for n in (1000, 10):
+        raw.write_raw(spark.range(n).selectExpr("id as idx", "cast(id as float) as v"), path, "float32")
+        assert os.path.getsize(path) == 4 * n

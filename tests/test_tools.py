@@ -68,20 +68,6 @@ def test_exhaustive_edges(spark):
     assert {r.bx: r.bits for r in sizes if r.bx == r.by == r.bz} == pytest.approx(cubes)
 
 
-def test_densest_sample(spark, monkeypatch):
-    """Above the size limit only the favoured sub-cell is sampled; below it everything is."""
-    rng = np.random.default_rng(4)
-    xyz = rng.random((20000, 3))
-    xyz[:10] = 0.93
-    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "pid long, x double, y double, z double")
-    assert pt.densest_sample(pts, []).count() == 20000
-    monkeypatch.setattr(pt, "SAMPLE_ALL", 1000)
-    got = pt.densest_sample(pts, []).toPandas()
-    cell = np.floor((xyz - xyz.min(0)) / (xyz.max(0) - xyz.min(0)) * 7)
-    want = (cell == np.floor((0.93 - xyz.min(0)) / (xyz.max(0) - xyz.min(0)) * 7)).all(axis=1)
-    assert sorted(got["pid"]) == np.flatnonzero(want).tolist()
-
-
 def test_tight_schedule(spark):
     frames = spark.range(0, 100, 2).selectExpr("id AS frame")
     got = {r.frame: r.divisor for r in temporal.tight_schedule(frames, [], 100, 5.0, 16).collect()}
