@@ -269,7 +269,7 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
 
         for batch in small_batches(batches, 1024):
             keys, texts = batch.column("doc_id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
-            for a, b in text_slices(texts, 4_000_000):
+            for a, b in text_slices(texts, 1_000_000):
                 found = searcher.value.search(keys[a:b], texts[a:b])
                 columns = list(zip(*found, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.float64()], strict=True)],

@@ -22,7 +22,7 @@ _UNUSUAL = re.compile("[\x1c-\x1f\u0130\u0180-\U0010ffff]|<\\|")
 #: Controls that Python counts as white space and the tokenizers' patterns do not.
 _ODD = re.compile("[\x1c-\x1f]")
 _LETTER, _DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 
 
 def _packed(ids: list[int]) -> bytes:

@@ -28,7 +28,7 @@ from .common import small_batches, text_slices
 
 UNDETERMINED = "und"
 FEATURES = 1 << 16
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 ROW_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -263,7 +263,7 @@ class Tagger:
 
     def predict(self, texts: list) -> list[tuple[str, float]]:
         out = []
-        for a, b in text_slices([t or "" for t in texts], 4_000_000):
+        for a, b in text_slices([t or "" for t in texts], 800_000):
             for words, found in self.label(texts[a:b]):
                 if words:
                     mean = found.mean(axis=0)
