@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import small_batches, stored
-from .components import components
+from .components import merged
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -250,8 +250,8 @@ class _State:
         self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
         if not fresh.where(linked).limit(1).count():
             return False
-        links = self.tested.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        self.labels = stored(components(links), "labels")
+        links = fresh.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        self.labels = stored(merged(self.labels, links), "labels")
         return True
 
 

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from errbound.llm import bitsliced, count_cache, decontaminate, hilbert, language_crf, minhash, snapshots, token_files, tree_bpe, warc
-from errbound.llm.common import fresh_dir
+from errbound.llm import bitsliced, components, count_cache, decontaminate, hilbert, language_crf, minhash, snapshots, token_files, tree_bpe, warc
+from errbound.llm.common import fresh_dir, stored
 from errbound.llm.encoders import encoder, public_path
 
 BYTE, WORD = public_path("byte_bpe_50k.json"), public_path("word_bpe_49k.json")
@@ -245,3 +245,22 @@ def test_common_length():
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
         assert decontaminate.common_length(a, b) == row[-1]
+
+
+def test_merged_components(spark):
+    rng, parent, labels = random.Random(3), {}, spark.createDataFrame([], "node long, component long")
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    chain = [(i, i + 1) for i in range(20)]
+    for links in (chain, [(rng.randrange(60), rng.randrange(60)) for _ in range(25)], [], [(5, 5), (70, 3), (80, 81), (80, 81)]):
+        for u, v in links:
+            if u != v:
+                a, b = sorted((root(u), root(v)))
+                parent[b] = a
+        labels = stored(components.merged(labels, spark.createDataFrame(links, "u long, v long")), "labels")
+        assert {r.node: r.component for r in labels.collect()} == {x: root(x) for x in parent}
+        assert labels.count() == len(parent)
