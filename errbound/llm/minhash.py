@@ -180,7 +180,7 @@ class _State:
 
     def _placed(self, members: DataFrame) -> DataFrame:
         return (members.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left")
-                .select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
+                .withColumn("component", F.coalesce("component", "rep")))
 
     def _open(self, placed: DataFrame, turn: int) -> DataFrame:
         """Buckets of several components, with their sizes, main component and next pivot."""
@@ -207,7 +207,7 @@ class _State:
             if last:
                 sizes = placed.select("rep", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("held"))
                 large = stored(sizes.where(F.col("held") > LARGE), "large")
-                pairs = _rest(placed.join(large, "component", "left_anti"), placed, open_, self.tested, self.percent)
+                pairs = _rest(placed, open_, large, self.tested, self.percent)
                 self._keep(stored(self._scanned(placed, open_, large), "scanned"))
             else:
                 pivots = open_.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n_shingles").alias("n_p"), F.col("p.component").alias("c_p"))
@@ -307,19 +307,22 @@ def _rare_prefixes(documents: DataFrame, texts: DataFrame, percent: int) -> Data
     size = F.col("n_shingles")
     places = size - F.ceil(size * percent / 100) + 1
     left = (common.groupBy("rep", "version", "n_shingles").agg(F.count(F.lit(1)).alias("shared"))
-            .select("rep", "version", (places - (size - F.col("shared"))).alias("places")).where("places > 0"))
+            .select("rep", "version", "shared", (places - (size - F.col("shared"))).alias("places")).where("places > 0"))
     order = Window.partitionBy("rep", "version").orderBy("uses", "bucket")
     ranked = common.join(left, ["rep", "version"]).withColumn("at", F.row_number().over(order)).where("at <= places")
-    return stored(ranked.select("bucket", "rep", "n_shingles"), "prefixes")
+    # a document's place counts its shingles that nobody shares, too
+    return stored(ranked.select("bucket", "rep", "n_shingles", (size - F.col("shared") + F.col("at")).alias("place")), "prefixes")
 
 
 def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _rest(few: DataFrame, placed: DataFrame, open_: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs with a member of `few` in still open buckets that no bound rules out: other component, fitting sizes and distances.
+def _rest(placed: DataFrame, open_: DataFrame, large: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs in still open buckets that no scan covers and no bound rules out: other component, fitting sizes, places and distances.
 
+    A bucket's main component is compared with the rest unless it is large, and the rest with each other once; the scans cover
+    large components.  Linked documents meet at their first common shingle, and what follows it in both must suffice.
     The distances are those from the bucket's first pivot, its smallest member; members that were never compared with it
     (they joined its component by others, or their sizes do not fit) have no bound.
     """
@@ -331,12 +334,18 @@ def _rest(few: DataFrame, placed: DataFrame, open_: DataFrame, tested: DataFrame
     else:
         left = left.withColumn("d", F.lit(None).cast("double"))
     left = left.withColumn("d", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-    # the largest component of a bucket is compared with the rest, and the rest with each other
-    left = left.join(open_.select("bucket", F.col("main.component").alias("main")), "bucket")
-    x = left.where("component <> main").select("bucket", F.col("rep").alias("x"), F.col("n_shingles").alias("n_x"), F.col("component").alias("c_x"), F.col("d").alias("d_x"))
-    y = left.join(few.select("bucket", "rep"), ["bucket", "rep"], "left_semi").select("bucket", F.col("rep").alias("y"), F.col("n_shingles").alias("n_y"), F.col("component").alias("c_y"), F.col("d").alias("d_y"))
+    left = left.join(open_.select("bucket", F.col("main.component").alias("main")), "bucket").join(large, "component", "left")
+    left = left.withColumn("large", F.col("held").isNotNull()).withColumn("in_main", F.col("component") == F.col("main"))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        kept = (("n_shingles", "n"), ("component", "c"), ("place", "p"), ("d", "d"), ("large", "large"), ("in_main", "in_main"))
+        return rows.select("bucket", F.col("rep").alias(name), *(F.col(c).alias(f"{short}_{name}") for c, short in kept))
+
     slack = 1 - percent / 100 + 1e-9
-    pairs = x.join(y, "bucket").where("c_x <> c_y").where(_sizes_fit("n_x", "n_y", percent))
+    follow = 1 + F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
+    pairs = side(left.where(~F.col("in_main")), "x").join(side(left.where(~F.col("large")), "y"), "bucket").where("c_x <> c_y")
+    pairs = pairs.where("in_main_y or (not large_x and x < y)").where(_sizes_fit("n_x", "n_y", percent))
+    pairs = pairs.where((100 + percent) * follow >= percent * (F.col("n_x") + F.col("n_y")))
     pairs = pairs.where(F.col("d_x").isNull() | F.col("d_y").isNull() | (F.abs(F.col("d_x") - F.col("d_y")) <= slack))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
