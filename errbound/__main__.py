@@ -56,10 +56,8 @@ def run_particles(spark: SparkSession, a: argparse.Namespace) -> None:
         return
     packed = particle_codec.compress_frames(rows, ["frame"], a.bound, a.edge)
     packed.write.mode("overwrite").partitionBy("frame").parquet(f"{a.packed}/frames")
-    particle_codec.compress_raw(rows, ["frame"], a.bound).write.mode("overwrite").parquet(f"{a.packed}/raw")
     if a.order:
-        particles = particle_codec.blocked(rows, ["frame"], a.bound, a.edge)
-        order = particle_codec.output_positions(particles, particle_codec.numbered_cells(particles, ["frame"]), ["frame"])
+        order = particle_codec.frame_order(rows, ["frame"], a.bound, a.edge)
         container.write_permutation(order, f"{a.packed}/order", a.order, ["frame"])
 
 

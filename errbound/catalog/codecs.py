@@ -201,7 +201,7 @@ def _md(method: int):
     def run(spark, sf_dir):
         rows = _md_rows(spark, sf_dir)
         packed = md.compress(rows, MD, 10, method, 32)
-        back = md.decompress(packed, MD, 10, 32).withColumnRenamed("v", "d")
+        back = md.decompress(packed, MD).withColumnRenamed("v", "d")
         ebs = packed.groupBy("axis", "batch").agg(F.first("eb").alias("eb"))
         both = rows.join(back, ["axis", "frame", "slot"]).withColumn("batch", F.floor(F.col("frame") / 10)).join(ebs, ["axis", "batch"])
         return both.groupBy("axis", "batch").agg(F.count(F.lit(1)).alias("n"), F.bool_and(
@@ -231,3 +231,62 @@ QUERIES |= {
     "md_ts": (_md(md.TS), MD_SQL),
     "md_methods": (md_methods, None),
 }
+
+
+# ---------------------------------------------------------------- rows that are not everywhere
+
+def daily(spark, sf_dir) -> DataFrame:
+    """A user is a particle in each day with events: late starts, gaps and early ends as they come."""
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000)
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("pid"), day.alias("frame")).agg(
+        F.count(F.lit(1)).cast("double").alias("x"), F.max(F.floor("value")).cast("double").alias("y"),
+        F.min(F.col("event_id") % 100000).cast("double").alias("z"))
+
+
+DAILY_SQL = """daily AS (SELECT user_id AS pid, epoch_us(ts) // 86400000000 AS frame, CAST(count(*) AS DOUBLE) AS x,
+  CAST(max(floor(value)) AS DOUBLE) AS y, CAST(min(event_id % 100000) AS DOUBLE) AS z FROM events GROUP BY 1, 2)"""
+
+
+def _trajectory_rows(tr: DataFrame, edge: int) -> DataFrame:
+    """Whole coordinates under a bound of a quarter come back exactly once they are rounded."""
+    key_frames, batches, order = pc.compress_trajectory(tr, 0.25, 8, edge)
+    back = pc.decompress_trajectory(key_frames, batches, 0.25).join(order, ["anchor", "position"])
+    return back.select("pid", (F.col("anchor") + F.col("step")).alias("frame"), *[F.round(a).alias(a) for a in "xyz"])
+
+
+def trajectory_ragged(spark, sf_dir):
+    """Late and returning particles keep their rows."""
+    return _trajectory_rows(daily(spark, sf_dir), 8)
+
+
+def trajectory_wide(spark, sf_dir):
+    """Every other frame is too wide for the grid."""
+    far = F.when(F.col("frame") % 2 == 1, F.col("x") * 1e6).otherwise(F.col("x"))
+    return _trajectory_rows(daily(spark, sf_dir).withColumn("x", far), 8)
+
+
+def particle_fine_grid(spark, sf_dir):
+    """A grid of up to thousands of millions of cells per axis: the edge grows until block ids fit."""
+    pts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pid"), F.col("o_totalprice").cast("double").alias("x"),
+                                                F.col("o_custkey").cast("double").alias("y"), F.col("o_orderkey").cast("double").alias("z"))
+    back = pc.decode_frames(pc.compress_frames(pts, [], 2e-4, 8), []).join(pc.frame_order(pts, [], 2e-4, 8), "position")
+    return back.select("pid", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("z", 2).alias("z"))
+
+
+def md_ragged(spark, sf_dir):
+    """Atoms that come and go, tiles that the first frame lacks."""
+    rows = daily(spark, sf_dir).select(F.lit("x").alias("axis"), "frame", F.col("pid").alias("slot"), F.col("x").alias("v"))
+    conf = Config(dims=(10, 64), mode=ErrorBoundMode.ABS, abs_bound=0.25)
+    return md.decompress(md.compress(rows, conf, 10, md.ADAPTIVE, 64), conf).select("axis", "frame", "slot", F.round("v").alias("v"))
+
+
+FINE_SQL = """SELECT o_orderkey AS pid, round(CAST(o_totalprice AS DOUBLE), 2) AS x, CAST(o_custkey AS DOUBLE) AS y,
+  CAST(o_orderkey AS DOUBLE) AS z FROM orders"""
+WIDE_SQL = f"WITH {DAILY_SQL} SELECT pid, frame, CASE WHEN frame % 2 = 1 THEN x * 1e6::DOUBLE ELSE x END AS x, y, z FROM daily"
+
+QUERIES |= {
+    "trajectory_ragged": (trajectory_ragged, f"WITH {DAILY_SQL} SELECT pid, frame, x, y, z FROM daily"),
+    "trajectory_wide": (trajectory_wide, WIDE_SQL),
+    "particle_fine_grid": (particle_fine_grid, FINE_SQL),
+    "md_ragged": (md_ragged, f"WITH {DAILY_SQL} SELECT 'x' AS axis, frame, pid AS slot, x AS v FROM daily"),
+}

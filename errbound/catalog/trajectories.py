@@ -205,8 +205,7 @@ SELECT l_returnflag, l_discount, CAST(sum(n) OVER w AS BIGINT) AS cum_n, round(s
 
 def kmeans_levels(spark, sf_dir):
     """Regular levels found in discounts: eleven levels one hundredth apart."""
-    d = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_discount")
-    fit = lv.fit_levels(d, ["l_returnflag"], "l_discount", ["l_orderkey", "l_linenumber", "l_partkey"], 2000)
+    fit = lv.fit_levels(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_discount"), ["l_returnflag"], "l_discount")
     return fit.select("l_returnflag", F.round("start", 4).alias("start"), F.round("offset", 4).alias("offset"), "levels")
 
 

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from errbound.functions import quantizer as qz
 from errbound.operators.ordering import ordered_prefix, with_neighbours
-from errbound.operators.sampling import hashed_sample
 
 # Fixed values of level detection and coding.
 MAX_LEVELS = 150
 STOP_RATIO = 1.5
 LEVEL_BIAS = 200
-SAMPLE_SHARE, SAMPLE_MAX, SAMPLE_MIN = 0.1, 20000, 5000
 MAX_LEVEL_SHARE = 0.25
+# Slices of a key's range in which values are summed before levels are fitted.
+LEVEL_BINS = 1 << 14
 
 
 def level_number(value: str | Column, start, offset) -> Column:
@@ -55,8 +55,8 @@ def cost_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _costs(cum: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Within-cluster squared error of sorted elements lo..hi from prefix sums (n, sum, squares)."""
-    n = np.maximum(hi - lo + 1, 1)
+    """Within-cluster squared error of sorted elements lo..hi from prefix sums: sums, squares and, if elements repeat, counts."""
+    n = np.maximum(cum[2][hi + 1] - cum[2][lo] if len(cum) > 2 else hi - lo + 1, 1)
     s = cum[0][hi + 1] - cum[0][lo]
     return np.where(hi < lo, 0.0, cum[1][hi + 1] - cum[1][lo] - s * s / n)
 
@@ -88,11 +88,23 @@ def _next_row(prev: np.ndarray, cum: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def cluster_centres(sample: np.ndarray, limit: int = MAX_LEVELS) -> np.ndarray:
-    """Optimal 1-D k-means centres; k is where the cost ratio stops standing out, empty if nowhere."""
+    """Optimal 1-D k-means centres of plain values."""
     x = np.sort(np.asarray(sample, np.float64))
-    n = len(x)
-    shifted = x - x.mean()
-    cum = np.stack([np.append(0.0, np.cumsum(shifted)), np.append(0.0, np.cumsum(shifted * shifted))])
+    return weighted_centres(np.ones(len(x)), x, x * x, limit)
+
+
+def weighted_centres(count: np.ndarray, total: np.ndarray, squares: np.ndarray, limit: int = MAX_LEVELS) -> np.ndarray:
+    """Optimal 1-D k-means centres of ordered elements, each a count, a sum and a sum of squares.
+
+    k is where the cost ratio stops standing out; empty if nowhere.
+    """
+    n = len(count)
+    if not n:
+        return np.zeros(0)
+    middle = total.sum() / count.sum()
+    shifted = total - count * middle
+    parts = (shifted, squares - 2 * middle * total + count * middle * middle, count)
+    cum = np.stack([np.append(0.0, np.cumsum(part)) for part in parts])
     row = _costs(cum, np.zeros(n, np.int64), np.arange(n))
     args, average, chosen = [np.zeros(n, np.int64)], 0.0, 0
     for k in range(1, min(limit, n)):
@@ -106,12 +118,11 @@ def cluster_centres(sample: np.ndarray, limit: int = MAX_LEVELS) -> np.ndarray:
             chosen = k + 1
         elif chosen:
             break
-    if not chosen:
-        return np.zeros(0)
     centres, end = np.zeros(chosen), n
     for k in range(chosen - 1, -1, -1):
-        begin = int(args[k][end - 1])
-        centres[k] = x[begin:end].mean() if end > begin else x[min(begin, n - 1)]
+        begin = min(int(args[k][end - 1]), n - 1)
+        stop = max(end, begin + 1)
+        centres[k] = middle + (cum[0][stop] - cum[0][begin]) / (cum[2][stop] - cum[2][begin])
         end = max(begin, 1)
     return centres
 
@@ -126,22 +137,31 @@ def regular_levels(centres: np.ndarray, top: float) -> tuple[float, float, int]:
     return start, float(offset), int(np.floor((top - start) / offset + 0.5)) + 1
 
 
-def fit_levels(frame0: DataFrame, keys: list[str], value: str, ids: list[str], sample: int = SAMPLE_MAX) -> DataFrame:
-    """Level start, offset and count per key from a bounded sample of the first frame.
+def fit_levels(frame0: DataFrame, keys: list[str], value: str, bins: int = LEVEL_BINS) -> DataFrame:
+    """Level start, offset and count per key from all values of the first frame.
 
-    The sample holds at most 20000 values per key, so one group is one small array.  Zero levels means
-    none were found, or more than a quarter of the particle count.
+    Values are summed (count, sum, squares) in ``bins`` equal slices of a key's range before they meet, so one group is one
+    small array however many rows it has; levels closer than a slice are not told apart.  Null and non-finite values
+    take no part.  Zero levels means none were found, or more than a quarter of the particle count.
     """
-    facts = frame0.groupBy(*keys).agg(F.max(value).alias("_top"), F.count(F.lit(1)).alias("_n"))
-    picked = hashed_sample(frame0.select(*keys, *ids, value), keys, ids, sample)
+    v = F.col(value).cast("double")
+    fine = frame0.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    facts = fine.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_top"), F.count(F.lit(1)).alias("_n"))
+    placed = fine.select(*keys, v.alias("_v")).join(facts, keys) if keys else fine.select(v.alias("_v")).crossJoin(F.broadcast(facts))
+    d = F.col("_v") - F.col("_lo")
+    slot = F.least(F.floor(F.coalesce(F.try_divide(d * bins, F.col("_top") - F.col("_lo")), F.lit(0.0))), F.lit(bins - 1))
+    cells = placed.groupBy(*keys, slot.alias("_bin")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("sq"),
+        *[F.first(c).alias(c) for c in ("_lo", "_top", "_n")])
 
     @F.pandas_udf("struct<start: double, offset: double, levels: int>")
-    def fit(values: pd.Series, top: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([regular_levels(cluster_centres(np.asarray(v)), t) for v, t in zip(values, top)],
+    def fit(n: pd.Series, s: pd.Series, sq: pd.Series, span: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([regular_levels(weighted_centres(*map(np.asarray, row)), top) for *row, top in zip(n, s, sq, span)],
                             columns=["start", "offset", "levels"])
 
-    arrays = picked.groupBy(*keys).agg(F.collect_list(value).alias("_v"))
-    both = arrays.join(facts, keys) if keys else arrays.crossJoin(F.broadcast(facts))
-    fitted = both.withColumn("_f", fit("_v", "_top"))
-    return fitted.select(*keys, "_f.start", "_f.offset", F.when(
-        F.col("_f.levels") > F.col("_n") * F.lit(MAX_LEVEL_SHARE), 0).otherwise(F.col("_f.levels")).alias("levels"))
+    arrays = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_bin", "n", "s", "sq"))).alias("_c"),
+                                      *[F.first(c).alias(c) for c in ("_lo", "_top", "_n")])
+    fitted = arrays.withColumn("_f", fit("_c.n", "_c.s", "_c.sq", F.col("_top") - F.col("_lo")))
+    levels = F.when(F.col("_f.levels") > F.col("_n") * F.lit(MAX_LEVEL_SHARE), 0).otherwise(F.col("_f.levels"))
+    start = F.when(F.col("_f.levels") > 0, F.col("_f.start") + F.col("_lo")).otherwise(F.col("_f.start"))
+    return fitted.select(*keys, start.alias("start"), "_f.offset", levels.alias("levels"))

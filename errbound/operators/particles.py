@@ -47,6 +47,20 @@ def with_grid(df: DataFrame, keys: list[str], eb: float) -> DataFrame:
     return with_box(df, keys).withColumns({f"q{a}": grid_index(a, f"p{a}", F.lit(eb)) for a in AXES})
 
 
+def needs_raw(eb: float) -> Column:
+    """Too wide a range for grid cells (or no numbers at all): such frames are stored as they are."""
+    wide = F.lit(False)
+    for a in AXES:
+        wide = wide | (F.col(f"r{a}") > RAW_RANGE) | (F.col(f"r{a}") / F.lit(eb) >= RAW_CELLS)
+    return F.coalesce(wide, F.lit(True))
+
+
+def least_edge(eb: float) -> Column:
+    """Smallest power of two that keeps the blocks per axis within their limit, so that block ids fit 64 bits."""
+    need = F.greatest(*[F.col(f"r{a}") for a in AXES]) / F.lit(2.0 * eb * MAX_BLOCKS_PER_AXIS)
+    return F.when(need > 1, F.pow(F.lit(2.0), F.ceil(F.log2(need)))).otherwise(1.0).cast("bigint")
+
+
 def repair_sign(axis: str, eb: float) -> Column:
     """0 when the cell centre honours the bound, else the direction the decoder must move (-1, +1)."""
     centre = grid_centre(f"q{axis}", f"p{axis}", F.lit(eb))
@@ -119,7 +133,7 @@ def cell_deltas(cells: DataFrame, keys: list[str], volume: int | Column, width:
     v = F.lit(volume) if isinstance(volume, int) else volume
     ordered = cells.withColumn("_ord", (F.col("oct") * v + F.col("pos")).cast("bigint"))
     if isinstance(volume, int) and 8 * volume <= width:
-        w = Window.partitionBy(*keys, "block").orderBy("_ord")
+        w = Window.partitionBy(*keys, "block").orderBy("oct", "pos")
         near = ordered.withColumns({"prev_oct": F.lag("oct").over(w), "prev_pos": F.lag("pos").over(w)})
     else:
         near = lag_sparse(ordered, keys + ["block"], "_ord", ["oct", "pos"], width=width)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from errbound.functions import quantizer as qz
@@ -18,8 +19,6 @@ BACKOFF_LIMIT = 64
 TIGHT_FACTOR = 5.0
 TIGHT_MIN_FRAMES = 64
 TIGHT_JUMP = 1 << 16
-# Frames per independent decision segment.
-SEGMENT = 512
 
 
 def with_batch(df: DataFrame, size: int, frame: str = "frame") -> DataFrame:
@@ -63,60 +62,64 @@ def temporal_sizes(df: DataFrame, keys: list[str], eb: float, radius: int) -> Da
 def spatial_sizes(df: DataFrame, keys: list[str], eb: float, edge: int) -> DataFrame:
     """Estimated coded bits of each frame on its own: the four streams of spatial blocking.
 
+    Frames too wide for the grid cost their coordinates as they are; on a fine grid the edge grows with the frame.
     The occupied cells feed three ordered steps, so they are checkpointed once.
     """
     by_frame = keys + ["frame"]
-    blocked = pt.with_block_ids(pt.with_grid(df, by_frame, eb), eb, pt.constant_edge(edge))
+    boxed = pt.with_box(df, by_frame)
+    raw = boxed.where(pt.needs_raw(eb)).groupBy(*by_frame).agg((F.count(F.lit(1)) * 192.0).alias("spatial_bits"))
+    grid = boxed.where(~pt.needs_raw(eb)).withColumns({f"q{a}": pt.grid_index(a, f"p{a}", F.lit(eb)) for a in pt.AXES})
+    blocked = pt.with_block_ids(grid, eb, (F.greatest(F.lit(edge).cast("bigint"), pt.least_edge(eb)),) * 3)
     hist = pt.stream_histograms(checkpointed(pt.occupied_cells(blocked, by_frame)), by_frame, edge ** 3)
     sizes = pt.stream_sizes(hist, by_frame)
-    return sizes.groupBy(*by_frame).agg(F.sum(F.least("entropy_bits", "fixed_bits")).alias("spatial_bits"))
-
-
-def _decide(sizes: Column) -> Column:
-    """Ordered fold over (frame, spatial, temporal) structs; yields (frame, temporal?, tested?)."""
-    start = F.struct(
-        F.lit(None).cast("double").alias("last"), F.lit(0).alias("skip"), F.lit(1).alias("limit"),
-        F.array().cast("array<struct<frame: bigint, mode: int, tested: boolean>>").alias("out"))
-
-    def step(s, e):
-        opening = s["last"].isNull()
-        tested = (s["skip"] == 0) & ~opening
-        temporal = tested & (e["temporal_bits"] <= s["last"])
-        lost = tested & ~temporal
-        return F.struct(
-            F.when(temporal, s["last"]).otherwise(e["spatial_bits"]).alias("last"),
-            F.when(lost, F.shiftright(s["limit"], 1)).when(temporal | opening, F.lit(0))
-            .otherwise(s["skip"] - 1).alias("skip"),
-            F.when(temporal, F.lit(1)).when(lost & (s["limit"] < BACKOFF_LIMIT), s["limit"] * 2)
-            .otherwise(s["limit"]).alias("limit"),
-            F.concat(s["out"], F.array(F.struct(
-                e["frame"].cast("bigint").alias("frame"), temporal.cast("int").alias("mode"),
-                tested.alias("tested")))).alias("out"))
-
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
-
-
-def choose_frames(sizes: DataFrame, keys: list[str], segment: int = SEGMENT) -> DataFrame:
+    return sizes.groupBy(*by_frame).agg(F.sum(F.least("entropy_bits", "fixed_bits")).alias("spatial_bits")).unionByName(raw)
+
+
+def choose_frames(sizes: DataFrame, keys: list[str]) -> DataFrame:
     """Spatial (0) or temporal (1) coding per frame.
 
     Temporal wins when its estimate is at most the last spatial size; after spatial wins the test is
-    skipped for a while.  Sizes are one row per frame; a segment's frames fold in order, bounded.
+    skipped for a while.  The decision runs through all frames of a key in order; sizes are one small row per
+    frame and stream through a sorted partition, so only three numbers are held.
     """
-    parts = sizes.withColumn("_segment", F.floor(F.col("frame") / F.lit(segment)))
-    folded = parts.groupBy(*keys, "_segment").agg(F.array_sort(F.collect_list(
-        F.struct("frame", "spatial_bits", "temporal_bits"))).alias("_s"))
-    return folded.select(*keys, F.explode(_decide(F.col("_s"))).alias("e")).select(*keys, "e.*")
+    names = [*keys, "frame"]
+    rows = sizes.select(*keys, F.col("frame").cast("bigint").alias("frame"), "spatial_bits", "temporal_bits")
+    ordered = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*names)
+    schema = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in names) + ", mode int, tested boolean"
+
+    def decide(batches):
+        key, last, skip, limit = None, None, 0, 1
+        for batch in batches:
+            modes, tests = [], []
+            owners = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+            for owner, spatial, temporal in zip(owners, batch.column("spatial_bits").to_pylist(), batch.column("temporal_bits").to_pylist()):
+                if owner != key:
+                    key, last, skip, limit = owner, None, 0, 1
+                tested = last is not None and skip == 0
+                mode = int(tested and temporal <= last)
+                if mode:
+                    limit = 1
+                elif tested:
+                    last, skip, limit = spatial, limit >> 1, limit * 2 if limit < BACKOFF_LIMIT else limit
+                else:
+                    last, skip = spatial, max(skip - 1, 0)
+                modes.append(mode)
+                tests.append(tested)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(modes, pa.int32()), pa.array(tests, pa.bool_())],
+                                             names=[*names, "mode", "tested"])
+
+    return ordered.mapInArrow(decide, schema)
 
 
 def chain_starts(choices: DataFrame, keys: list[str], size: int) -> DataFrame:
     """For each frame the spatial frame its temporal chain starts from, inside its batch.
 
-    Batch-opening frames are key frames of their batch.
+    The first frame that a batch has is its key frame.
     """
-    w = Window.partitionBy(*keys, "batch").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, "batch").orderBy("frame")
     opened = with_batch(choices, size).withColumn(
-        "_anchor", F.when((F.col("mode") == 0) | (F.col("frame") % size == 0), F.col("frame")))
-    return opened.withColumn("anchor", F.last("_anchor", ignorenulls=True).over(w)).drop("_anchor")
+        "_anchor", F.when((F.col("mode") == 0) | (F.row_number().over(w) == 1), F.col("frame")))
+    return opened.withColumn("anchor", F.last("_anchor", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_anchor")
 
 
 def tight_factor(df: DataFrame, sizes: DataFrame, eb: float) -> DataFrame:

@@ -31,17 +31,47 @@ LEVELS = "struct<start: double, offset: double, levels: int>"
 def tiles(df: DataFrame, batch: int, atoms: int = ATOMS_PER_TILE) -> DataFrame:
     """``(axis, slot, frame, v)`` to tiles: frame-major values of up to ``batch`` x ``atoms``.
 
-    The matrix must be dense: ``slot`` is the atom number and every frame holds every atom.  ``start``
-    holds the tile's values in frame 0 of the run.
+    ``slot`` is the atom number, once a frame at most.  A tile spans the frames it has (``frames``) and the slots from ``slot0``;
+    atoms that a frame lacks are filled with their last value and listed in ``absent``.  ``start`` holds the atoms' values
+    in frame 0 of the run, 0 where there is none.
     """
     tagged = df.withColumn("batch", F.floor(F.col("frame") / batch)).withColumn("tile", F.floor(F.col("slot") / atoms))
     grouped = tagged.groupBy("axis", "batch", "tile").agg(
-        F.array_sort(F.collect_list(F.struct("frame", "slot", "v"))).alias("_s"),
-        (F.max("slot") - F.min("slot") + 1).cast("int").alias("width"))
+        F.array_sort(F.collect_list(F.struct("frame", "slot", "v"))).alias("_s"))
     first = df.where("frame = 0").withColumn("tile", F.floor(F.col("slot") / atoms)).groupBy("axis", "tile").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("start"))
-    return grouped.join(first, ["axis", "tile"]).select(
-        "axis", "batch", "tile", "width", F.col("_s.v").alias("vals"), "start")
+        F.collect_list(F.struct("slot", "v")).alias("_f"))
+    return grouped.join(first, ["axis", "tile"], "left").select("axis", "batch", "tile", _dense().alias("_d")).select(
+        "axis", "batch", "tile", "_d.*")
+
+
+def _dense() -> Column:
+    """Frame-major values of a tile without holes, and which of them are fill."""
+    @F.arrow_udf("struct<frames: array<bigint>, slot0: bigint, width: int, vals: array<double>, absent: array<int>, start: array<double>>")
+    def run(frame: pa.Array, slot: pa.Array, v: pa.Array, slot_0: pa.Array, v_0: pa.Array) -> pa.Array:
+        out = []
+        for r in range(len(frame)):
+            at, atom, value = (c[r].values.to_numpy(zero_copy_only=False) for c in (frame, slot, v))
+            frames, row = np.unique(at, return_inverse=True)
+            low = int(atom.min())
+            width = int(atom.max()) - low + 1
+            vals, held = np.zeros((len(frames), width)), np.zeros((len(frames), width), bool)
+            vals[row, atom - low], held[row, atom - low] = value, True
+            if not held.all():
+                vals[0, ~held[0]] = value[0]
+                for t in range(1, len(frames)):
+                    vals[t, ~held[t]] = vals[t - 1, ~held[t]]
+            start = np.zeros(width)
+            if slot_0[r].is_valid:
+                first = slot_0[r].values.to_numpy(zero_copy_only=False) - low
+                inside = (first >= 0) & (first < width)
+                start[first[inside]] = v_0[r].values.to_numpy(zero_copy_only=False)[inside]
+            out.append({"frames": frames, "slot0": low, "width": width, "vals": vals.ravel(),
+                        "absent": np.flatnonzero(~held).astype(np.int32), "start": start})
+        lists = {"frames": pa.list_(pa.int64()), "slot0": pa.int64(), "width": pa.int32(), "vals": pa.list_(pa.float64()),
+                 "absent": pa.list_(pa.int32()), "start": pa.list_(pa.float64())}
+        return pa.StructArray.from_arrays([pa.array([o[n] for o in out], t) for n, t in lists.items()], list(lists))
+
+    return run("_s.frame", "_s.slot", "_s.v", "_f.slot", "_f.v")
 
 
 def axis_rows(df: DataFrame) -> DataFrame:
@@ -51,7 +81,7 @@ def axis_rows(df: DataFrame) -> DataFrame:
 
 def axis_levels(rows: DataFrame) -> DataFrame:
     """Level fit per axis from the first frame."""
-    fit = levels.fit_levels(rows.where("frame = 0"), ["axis"], "v", ["slot"])
+    fit = levels.fit_levels(rows.where("frame = 0"), ["axis"], "v")
     return fit.select("axis", F.struct("start", "offset", "levels").alias("lv"))
 
 
@@ -135,11 +165,12 @@ def prepared(rows: DataFrame, conf: Config, batch: int, atoms: int = ATOMS_PER_T
              method: int = ADAPTIVE) -> DataFrame:
     """Tiles with level fit (where the method may use it) and the batch's absolute bound."""
     t = tiles(rows, batch, atoms)
+    none = F.struct(F.lit(0.0).alias("start"), F.lit(0.0).alias("offset"), F.lit(0).alias("levels"))
     if method in (MT, LR, TS):
-        t = t.withColumn("lv", F.struct(F.lit(0.0).alias("start"), F.lit(0.0).alias("offset"), F.lit(0).alias("levels")))
+        t = t.withColumn("lv", none)
     else:
         # One row per axis, read by the trial and by the coding.
-        t = t.join(checkpointed(axis_levels(rows)), "axis")
+        t = t.join(checkpointed(axis_levels(rows)), "axis", "left").withColumn("lv", F.coalesce("lv", none))
     return chunk_bounds(t, ["axis", "batch"], conf)
 
 
@@ -160,7 +191,7 @@ def select_methods(prep: DataFrame, radius: int) -> DataFrame:
 
 def compress(rows: DataFrame, conf: Config, batch: int = 10, method: int = ADAPTIVE,
              atoms: int = ATOMS_PER_TILE) -> DataFrame:
-    """``(axis, slot, frame, v)`` to container rows; ``start`` is kept once per tile and batch."""
+    """``(axis, slot, frame, v)`` to container rows; ``start`` is kept where the method reads it."""
     prep = prepared(rows, conf, batch, atoms, method)
     if method == ADAPTIVE:
         period = F.floor(F.col("batch") / SELECT_EVERY)
@@ -170,32 +201,40 @@ def compress(rows: DataFrame, conf: Config, batch: int = 10, method: int = ADAPT
     else:
         prep = prep.withColumn("method", F.lit(method))
     done = prep.withColumn("_c", coded(F.col("method"), conf.radius))
-    return done.select("axis", "batch", "tile", "width", "method", "eb", "lv", "start",
+    start = F.when(F.col("method") == MT, F.col("start")).otherwise(F.array().cast("array<double>"))
+    return done.select("axis", "batch", "tile", "frames", "slot0", "width", "absent", "method", "eb", "lv", start.alias("start"),
                        *[c.alias(n) for n, c in streams("_c").items()])
 
 
-def decompress(container: DataFrame, conf: Config, batch: int = 10, atoms: int = ATOMS_PER_TILE) -> DataFrame:
-    @F.arrow_udf("array<double>")
+def decompress(container: DataFrame, conf: Config) -> DataFrame:
+    """Container rows to ``(axis, frame, slot, v)``: the rows that were put in."""
+    @F.arrow_udf("array<struct<i: int, v: double>>")
     def run(q: pa.Array, codes: pa.Array, unpred: pa.Array, start: pa.Array, width: pa.Array, lv: pa.Array,
-            eb: pa.Array, how: pa.Array) -> pa.Array:
+            eb: pa.Array, how: pa.Array, absent: pa.Array) -> pa.Array:
         idx, off = _ragged(q)
         code, code_off = _ragged(codes)
         raw, raw_off = _ragged(unpred)
         first, first_off = _ragged(start)
-        out = []
-        for r, (w, level, bound, m) in enumerate(zip(*(c.to_pylist() for c in (width, lv, eb, how)))):
+        at, out, ends = [], [], [0]
+        for r, (w, level, bound, m, gone) in enumerate(zip(*(c.to_pylist() for c in (width, lv, eb, how, absent)))):
             qs = idx[off[r]:off[r + 1]].astype(np.int64).reshape(-1, w)
             stored = np.zeros(qs.shape)
             stored[qs == 0] = raw[raw_off[r]:raw_off[r + 1]]
-            out.append(_decode(qs, code[code_off[r]:code_off[r + 1]].astype(np.int64), stored,
-                               first[first_off[r]:first_off[r + 1]], level, bound, m, conf.radius).ravel())
-        return pa.array(out, pa.list_(pa.float64()))
-
-    opened = container.select("axis", "batch", "tile", "width", "method", "eb", "lv", "start",
+            vals = _decode(qs, code[code_off[r]:code_off[r + 1]].astype(np.int64), stored,
+                           first[first_off[r]:first_off[r + 1]], level, bound, m, conf.radius).ravel()
+            kept = np.delete(np.arange(len(vals), dtype=np.int32), gone)
+            at.append(kept)
+            out.append(vals[kept])
+            ends.append(ends[-1] + len(kept))
+        rows = pa.StructArray.from_arrays([pa.array(np.concatenate([*at, np.empty(0, np.int32)])),
+                                           pa.array(np.concatenate([*out, np.empty(0)]))], ["i", "v"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    opened = container.select("axis", "frames", "slot0", "width", "absent", "method", "eb", "lv", "start",
                               encoders.unpack(lossless.decompress("q"), "auto").alias("q"),
                               encoders.unpack(lossless.decompress("codes"), "auto").alias("codes"),
                               _from_doubles(lossless.decompress("unpred"), "<f8").alias("unpred"))
-    vals = opened.select("axis", "batch", "tile", "width", F.posexplode(
-        run("q", "codes", "unpred", "start", "width", "lv", "eb", "method")).alias("_i", "v"))
-    return vals.select("axis", (F.col("batch") * batch + F.floor(F.col("_i") / F.col("width"))).alias("frame"),
-                       (F.col("tile") * atoms + F.col("_i") % F.col("width")).alias("slot"), "v")
+    vals = opened.select("axis", "frames", "slot0", "width", F.explode(
+        run("q", "codes", "unpred", "start", "width", "lv", "eb", "method", "absent")).alias("e"))
+    row = F.floor(F.col("e.i") / F.col("width")).cast("int")
+    return vals.select("axis", F.get("frames", row).alias("frame"), (F.col("slot0") + F.col("e.i") % F.col("width")).alias("slot"), "e.v")

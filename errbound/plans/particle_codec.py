@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from errbound.operators import encoders, lossless
@@ -33,24 +33,19 @@ def _with_fix(df: DataFrame, eb: float) -> DataFrame:
     return df.withColumn("fix", fix.cast("bigint"))
 
 
-def needs_raw(eb: float) -> Column:
-    """Too wide a range for grid cells: such frames are stored as they are."""
-    wide = F.lit(False)
-    for a in pt.AXES:
-        wide = wide | (F.col(f"r{a}") > pt.RAW_RANGE) | (F.col(f"r{a}") / F.lit(eb) >= pt.RAW_CELLS)
-    return wide
-
-
 def _edge(eb: float, edge: int) -> Column:
     small = F.lit(True)
     for a in pt.AXES:
         small = small & (F.col(f"r{a}") / F.lit(eb) <= pt.SINGLE_CELLS)
-    return F.when(small, 1).otherwise(edge).cast("bigint")
+    return F.when(small, 1).otherwise(F.greatest(F.lit(edge), pt.least_edge(eb))).cast("bigint")
 
 
 def blocked(df: DataFrame, keys: list[str], eb: float, edge: int) -> DataFrame:
-    """Attach box, grid, repair digits, block edge, block ids and the code-order key ``ord``."""
-    boxed = pt.with_box(df, keys).where(~needs_raw(eb))
+    """Attach box, grid, repair digits, block edge, block ids and the code-order key ``ord``.
+
+    Frames too wide for the grid are left to :func:`raw_rows`; on a fine grid the edge grows until the ids fit.
+    """
+    boxed = pt.with_box(df, keys).where(~pt.needs_raw(eb))
     grid = boxed.withColumns({f"q{a}": pt.grid_index(a, f"p{a}", F.lit(eb)) for a in pt.AXES})
     grid = _with_fix(grid, eb).withColumn("edge", _edge(eb, edge))
     e = F.col("edge")
@@ -111,8 +106,41 @@ def compress_cells(cells: DataFrame, keys: list[str], eb: float, size: int = CEL
 
 
 def compress_frames(df: DataFrame, keys: list[str], eb: float, edge: int = 8) -> DataFrame:
-    """Compress each key's particle set (the single-frame and per-frame containers)."""
-    return compress_cells(numbered_cells(blocked(df, keys, eb, edge), keys), keys, eb)
+    """Compress each key's particle set (the single-frame and per-frame containers), wide frames as raw rows."""
+    cells = compress_cells(numbered_cells(blocked(df, keys, eb, edge), keys), keys, eb)
+    return cells.unionByName(raw_chunks(raw_rows(df, keys, eb), keys), allowMissingColumns=True)
+
+
+def frame_order(df: DataFrame, keys: list[str], eb: float, edge: int = 8) -> DataFrame:
+    """The permutation ``pid -> position`` of :func:`compress_frames`."""
+    particles = blocked(df, keys, eb, edge)
+    order = output_positions(particles, numbered_cells(particles, keys), keys)
+    return order.unionByName(raw_rows(df, keys, eb).select(*keys, "pid", "position"))
+
+
+def raw_rows(df: DataFrame, keys: list[str], eb: float) -> DataFrame:
+    """Particles of frames outside the grid limits with their output position: id order, or coordinate order without ids."""
+    wide = pt.with_box(df, keys).where(pt.needs_raw(eb))
+    if "pid" in df.columns:
+        return with_position(wide.select(*keys, "pid", *pt.AXES), keys, ["pid"], "position", width=pt.CELL_BUCKET)
+    return with_position(wide.select(*keys, *pt.AXES), keys, list(pt.AXES), "position")
+
+
+def raw_chunks(rows: DataFrame, keys: list[str], size: int = CELLS_PER_CHUNK) -> DataFrame:
+    """Container rows of raw particles: exact coordinates in ``raw``, in output order."""
+    grouped = rows.groupBy(*keys, F.floor(F.col("position") / size).alias("chunk_id")).agg(
+        F.array_sort(F.collect_list(F.struct("position", *pt.AXES))).alias("_r"), F.min("position").alias("first_position"))
+    return grouped.select(*keys, "chunk_id", "first_position", F.transform(
+        "_r", lambda r: F.struct(*[r[a].alias(a) for a in pt.AXES])).alias("raw"))
+
+
+def decode_frames(container: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per particle: output position and coordinates, from cells and raw rows."""
+    cells = expand_cells(decode_cells(container, keys), keys)
+    if "raw" not in container.columns:
+        return cells
+    raw = container.where("raw IS NOT NULL").select(*keys, "first_position", F.posexplode("raw").alias("_i", "_r"))
+    return cells.unionByName(raw.select(*keys, (F.col("first_position") + F.col("_i")).alias("position"), "_r.*"))
 
 
 RAW_SCHEMA_TAIL = ", n bigint, payload binary"
@@ -120,7 +148,7 @@ RAW_SCHEMA_TAIL = ", n bigint, payload binary"
 
 def compress_raw(df: DataFrame, keys: list[str], eb: float) -> DataFrame:
     """Frames outside the grid limits, stored losslessly batch by batch without a shuffle."""
-    wide = pt.with_box(df, keys).where(needs_raw(eb)).select(*keys, *pt.AXES)
+    wide = pt.with_box(df, keys).where(pt.needs_raw(eb)).select(*keys, *pt.AXES)
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
 
     def store(batches):
@@ -158,7 +186,10 @@ def _segmented(delta: np.ndarray, opens: np.ndarray) -> np.ndarray:
 
 
 def decode_cells(container: DataFrame, keys: list[str]) -> DataFrame:
-    """Container rows back to occupied cells with centres, counts and output positions."""
+    """Container rows back to occupied cells with centres, counts and output positions; raw rows are not cells."""
+    if "raw" in container.columns:
+        container = container.where("raw IS NULL")
+
     @F.arrow_udf("array<struct<block: bigint, oct: bigint, pos: bigint, fix: bigint, n: bigint, before: bigint>>")
     def restore(block: pa.Array, octant: pa.Array, pos: pa.Array, fix: pa.Array, n: pa.Array) -> pa.Array:
         columns = [_ragged_int(c) for c in (block, octant, pos, fix, n)]
@@ -211,24 +242,34 @@ def output_positions(particles: DataFrame, cells: DataFrame, keys: list[str]) ->
 
 # ---------------------------------------------------------------- trajectories
 
+def _own_anchors(placed: DataFrame) -> DataFrame:
+    """Anchor of each row: where the particle's unbroken run inside the frame's chain begins (a chain is at most a batch)."""
+    run = F.col("frame") - F.row_number().over(Window.partitionBy("pid", "anchor").orderBy("frame"))
+    return placed.withColumn("_run", run).withColumn(
+        "anchor", F.min("frame").over(Window.partitionBy("pid", "anchor", "_run"))).drop("_run")
+
+
 def compress_trajectory(df: DataFrame, eb: float, batch: int, edge: int = 8, radius: int = 32768,
                         divisor: float = 1.0, group: int = 1024):
     """Compress ``(pid, frame, x, y, z)``: returns (key frames, temporal batches, permutation).
 
     Frames that start a chain (spatial choice or batch start) are spatial containers keyed by
     ``anchor``.  The frames after it are quantized against reconstructions, in the anchor's output order,
-    and coded per group of particles.  A particle must be in every frame from its anchor to its last.
+    and coded per group of particles.  A particle that appears late, or again after a gap, opens a chain of its own in
+    that frame; anchors too wide for the grid are raw rows.  A particle is in a frame at most once.
     """
     sizes = tm.spatial_sizes(df, [], eb, edge).join(tm.temporal_sizes(df, [], eb, radius), "frame")
     chains = checkpointed(tm.chain_starts(tm.choose_frames(sizes, []), [], batch).select("frame", "anchor"))
-    placed = df.join(chains, "frame")
+    placed = _own_anchors(df.join(chains, "frame"))
     anchors = placed.where("frame = anchor").drop("frame")
     particles = checkpointed(blocked(anchors, ["anchor"], eb / divisor, edge))
     cells = numbered_cells(particles, ["anchor"])
-    key_frames = compress_cells(cells, ["anchor"], eb / divisor)
-    order = output_positions(particles, cells, ["anchor"])
+    raw = checkpointed(raw_rows(anchors, ["anchor"], eb / divisor))
+    key_frames = compress_cells(cells, ["anchor"], eb / divisor).unionByName(raw_chunks(raw, ["anchor"]), allowMissingColumns=True)
+    order = output_positions(particles, cells, ["anchor"]).unionByName(raw.select("anchor", "pid", "position"))
     start = particles.select("anchor", "pid", *[
         pt.decoded(a, eb / divisor, pt.repair_sign(a, eb / divisor)).alias(f"start_{a}") for a in pt.AXES])
+    start = start.unionByName(raw.select("anchor", "pid", *[F.col(a).alias(f"start_{a}") for a in pt.AXES]))
     later = placed.where("frame > anchor").withColumn("step", F.col("frame") - F.col("anchor") - 1)
     chained = later.groupBy("anchor", "pid").agg(
         F.array_sort(F.collect_list(F.struct("step", *pt.AXES))).alias("_s"))
@@ -253,7 +294,7 @@ def decompress_trajectory(key_frames: DataFrame, batches: DataFrame, eb: float,
 
     Batches meet their key frame through the equi-join on (anchor, position).
     """
-    base = expand_cells(decode_cells(key_frames, ["anchor"]), ["anchor"])
+    base = decode_frames(key_frames, ["anchor"])
     opened = batches.select("anchor", "axis", *[
         encoders.unpack(lossless.decompress(c), "auto").alias(c) for c in ("position", "frames", "q")], "unpred")
 

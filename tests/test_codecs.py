@@ -99,7 +99,7 @@ def test_md_methods(spark, method):
     packed = md.compress(rows, conf, 10, method, 128).cache()
     if method == md.ADAPTIVE:
         assert packed.select("lv.levels").distinct().first()[0] == 12
-    back = md.decompress(packed, conf, 10, 128).toPandas()
+    back = md.decompress(packed, conf).toPandas()
     assert len(back) == 7500
     got = back.pivot(index="frame", columns="slot", values="v").to_numpy()
     assert np.abs(got - frames).max() <= 1e-2 * (1 + 1e-12)
