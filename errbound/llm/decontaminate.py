@@ -1,10 +1,12 @@
 """Benchmark passages in documents by latent semantic retrieval.
 
-1. Terms are the words of the benchmark; document frequencies over all documents give their weights, and terms that most
-   documents hold get none.
+1. Terms are the words of the benchmark; document frequencies over all documents give their weights, and terms that more
+   than `common` of the documents hold get none.
 2. Benchmark texts are cut into overlapping passages; their TF-IDF matrix A gets a randomised SVD: products A'(A X) are
    summed over partitions, with X a random matrix first and the basis found so far afterwards.
 3. Every document is cut into windows of two bins of 16 words; windows and passages meet by cosine in the latent space.
+   Every item is searched exactly as well, so what is found depends neither on weights nor on the cosine: a place that
+   holds `share` of an item can lack only so many of its words, hence it holds some of the item's rarest ones.
 4. A candidate counts if the longest common subsequence of words holds `share` of the item, and `answer_share` of its
    answer: the words after the last question mark, else the last quarter.
 
@@ -17,7 +19,9 @@ repeated pair the best match counts; an empty table on either side gives an empt
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from itertools import chain, repeat
 
 from pyspark.sql import DataFrame
@@ -68,8 +72,6 @@ def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[int, di
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        from collections import Counter
-
         import pyarrow as pa
 
         seen, terms = Counter(), known.value
@@ -135,18 +137,18 @@ class Searcher:
     """Latent passages of one block of items and the checks on candidates."""
 
     def __init__(self, items: list[tuple[int, str]], weights: dict[str, float], terms: dict[str, int], basis, n_docs: int,
-                 cosine: float, share: float, answer_share: float):
-        import math
-
+                 cosine: float, share: float, answer_share: float, seen: dict[str, int]):
         import numpy as np
 
         self.words = {i: words_of(t) for i, t in items}
         self.answers = {i: self.words[i][len(self.words[i]) - answer_length(t, len(self.words[i])):] for i, t in items}
         self.cosine, self.share, self.answer_share = cosine, share, answer_share
-        # codes: a term's number; -2 for words without weight; -1 (not in the table) for words outside the benchmark
-        self.codes = {w: -2 for words in self.words.values() for w in words} | terms
+        # codes: a term's number, then those of the words without weight; the last (not in the table) is for words outside the benchmark
+        self.n_terms = len(terms)
+        plain = sorted({w for words in self.words.values() for w in words}.difference(terms))
+        self.codes = terms | {w: i for i, w in enumerate(plain, len(terms))}
         weight = np.array([weights[w] for w in terms])
-        self.mass = np.append(weight, [0.0, 0.5 * math.log(n_docs + 1)]) ** 2  # by code; the last two are codes -2 and -1
+        self.mass = np.concatenate([weight, np.zeros(len(plain)), [0.5 * math.log(n_docs + 1)]]) ** 2  # by code
         self.vectors = (basis * weight[:, None]).astype(np.float32)
         owner, rows = [], []
         for i, w in self.words.items():
@@ -155,7 +157,34 @@ class Searcher:
                 if ids:
                     rows.append(self.vectors[ids].sum(axis=0))
                     owner.append(i)
-        self.owner, self.passages = np.array(owner, np.int64), self._unit(np.array(rows, np.float32).reshape(len(rows), -1))
+        self.owner, self.passages = np.array(owner, np.int64), self._unit(np.array(rows, np.float32).reshape(len(rows), self.vectors.shape[1]))
+        self._list_rare(seen)
+
+    def _list_rare(self, seen: dict[str, int]) -> None:
+        """Postings by code: the items of which a word is among the rarest, and how often it stands in the item.
+
+        A match may lack `spare` of the item's words; of any set of them it holds all but `spare`.
+        """
+        import numpy as np
+
+        self.listed = list(self.words)
+        self.least, self.span, posted = np.zeros(len(self.listed), np.int64), np.zeros(len(self.listed), np.int64), []
+        for k, i in enumerate(self.listed):
+            n = len(self.words[i])
+            held = max(1, math.ceil(self.share * n))
+            self.span[k] = 2 * BIN + 2 * n
+            if held > n:
+                continue
+            spare, total = n - held, 0
+            for w, c in sorted(Counter(self.words[i]).items(), key=lambda x: (seen.get(x[0], 0), x[0])):
+                if total >= spare + -(-held // 4):
+                    break
+                posted.append((self.codes[w], k, c))
+                total += c
+            self.least[k] = total - spare
+        posted = np.array(sorted(posted), np.int64).reshape(-1, 3)
+        self.degree = np.bincount(posted[:, 0], minlength=len(self.codes) + 1)
+        self.post_at, self.post_item, self.post_n = np.cumsum(self.degree) - self.degree, posted[:, 1], posted[:, 2]
 
     @staticmethod
     def _unit(rows):
@@ -163,7 +192,12 @@ class Searcher:
 
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
-    def candidates(self, split: list[list[str]]):
+    def _ids(self, split: list[list[str]], sizes):
+        import numpy as np
+
+        return np.fromiter(map(self.codes.get, chain.from_iterable(split), repeat(len(self.codes))), np.int64, int(sizes.sum()))
+
+    def candidates(self, split: list[list[str]], ids):
         """(text, window's first bin, item, cosine) of the pairs above the threshold.
 
         The cosine is that of the latent vectors times the share of the window's length that its terms make up; words
@@ -174,21 +208,20 @@ class Searcher:
 
         sizes = np.array([len(x) for x in split], np.int64)
         ends = np.cumsum(sizes)
-        ids = np.fromiter(map(self.codes.get, chain.from_iterable(split), repeat(-1)), np.int64, int(ends[-1]) if len(ends) else 0)
         if not len(ids) or not len(self.passages):
             return
         bins = -(-sizes // BIN) + 1  # the last one stays empty, so no window spans two texts
         first = np.cumsum(bins) - bins
         place = np.repeat(first, sizes) + (np.arange(len(ids)) - np.repeat(ends - sizes, sizes)) // BIN
         total, mass = int(bins.sum()) + 1, self.mass[ids]
-        every, own = np.bincount(place, mass, total), np.bincount(place, np.where(ids >= 0, mass, 0.0), total)
+        every, own = np.bincount(place, mass, total), np.bincount(place, np.where(ids < self.n_terms, mass, 0.0), total)
         covered = np.sqrt((own[:-1] + own[1:]) / np.maximum(every[:-1] + every[1:], 1e-12))
         asked = np.flatnonzero(covered >= self.cosine)
         if not len(asked):
             return
         needed = np.zeros(total, bool)
         needed[asked] = needed[asked + 1] = True
-        used = np.flatnonzero((ids >= 0) & needed[place])
+        used = np.flatnonzero((ids < self.n_terms) & needed[place])
         heads = np.flatnonzero(np.diff(place[used], prepend=-1))
         slot = np.full(total, len(heads))
         slot[place[used[heads]]] = np.arange(len(heads))
@@ -204,6 +237,64 @@ class Searcher:
                 text = owner[at[r]]
                 yield int(text), int(at[r] - first[text]), int(self.owner[c]), float(near[r, c])
 
+    def exact(self, split: list[list[str]], ids):
+        """(text, window's first bin, item) of all windows whose surroundings may hold `share` of the item's words.
+
+        An item's cells are two spans long and start a span apart, so that one of them holds all of a window's surroundings.
+        """
+        import numpy as np
+
+        sizes = np.array([len(x) for x in split], np.int64)
+        first = np.cumsum(sizes) - sizes
+        rare = np.flatnonzero(self.degree[ids])
+        text = np.searchsorted(first, rare, "right") - 1
+        load = np.cumsum(self.degree[ids[rare]])
+        a = 0
+        while a < len(rare):
+            # whole texts of together about a million postings, at least one
+            b = int(np.searchsorted(load, (load[a - 1] if a else 0) + 1_000_000))
+            b = max(int(np.searchsorted(text, text[b])), int(np.searchsorted(text, text[a], "right"))) if b < len(rare) else len(rare)
+            at, many = rare[a:b], self.degree[ids[rare[a:b]]]
+            row = np.repeat(np.arange(b - a), many)
+            post = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + self.post_at[ids[at]][row]
+            item, d = self.post_item[post], text[a:b][row]
+            cell = (at[row] - first[d]) // self.span[item] + 1  # and the one before it
+            width = int(cell.max()) + 1
+            key = (d * len(self.listed) + item) * width + cell
+            # a word counts once in a cell, as often as the item has it
+            key, code, n = (np.concatenate([x, y]) for x, y in ((key, key - 1), (ids[at][row],) * 2, (self.post_n[post],) * 2))
+            order = np.lexsort((code, key))
+            key, code, n = key[order], code[order], n[order]
+            new = np.diff(key, prepend=-1) > 0
+            heads = np.flatnonzero(new)
+            held = np.add.reduceat(np.where(new | (np.diff(code, prepend=-1) != 0), n, 0), heads)
+            key = key[heads]
+            item = key // width % len(self.listed)
+            for x in np.flatnonzero(held >= self.least[item]):
+                k, d, c = int(item[x]), int(key[x] // width // len(self.listed)), int(key[x] % width) - 1
+                i, span = self.listed[k], int(self.span[k])
+                size, words = len(self.words[i]), split[d]
+                if self.may_hold(words[max(0, c * span):(c + 2) * span], i):
+                    for w in range(max(0, -(-(c * span + size) // BIN)), -(-min((c + 1) * span + size, len(words)) // BIN)):
+                        yield d, w, i
+            a = b
+
+    def score(self, words: list[str], at: int, item: int) -> float:
+        """The cosine of a window and an item, as in candidates."""
+        import numpy as np
+
+        ids = self._ids([words[at * BIN:(at + 2) * BIN]], np.array([len(words[at * BIN:(at + 2) * BIN])]))
+        known, mine = ids[ids < self.n_terms], self.passages[self.owner == item]
+        if not len(known) or not len(mine):
+            return 0.0
+        near = float((mine @ self._unit(self.vectors[known].sum(axis=0)[None])[0]).max())
+        return near * math.sqrt(self.mass[known].sum() / max(self.mass[ids].sum(), 1e-12))
+
+    def may_hold(self, region: list[str], item: int) -> bool:
+        """Whether a region has enough of an item's words, in whatever order."""
+        wanted, here = Counter(self.words[item]), Counter(region)
+        return sum(min(n, here[w]) for w, n in wanted.items()) >= self.share * len(self.words[item])
+
     def matches(self, words: list[str], at: int, item: int) -> int | None:
         """Words of an item that a window and its surroundings hold in order, or None if they are too few."""
         wanted, answer = self.words[item], self.answers[item]
@@ -216,19 +307,26 @@ class Searcher:
         return n
 
     def search(self, keys: list, texts: list):
+        import numpy as np
+
         split = [words_of(t) for t in texts]
+        ids = self._ids(split, np.array([len(x) for x in split], np.int64))
         tried, best = {}, {}
-        for d, at, item, cosine in self.candidates(split):
+        for d, at, item, cosine in chain(self.candidates(split, ids), ((*x, None) for x in self.exact(split, ids))):
             if (d, at, item) not in tried:
                 tried[d, at, item] = self.matches(split[d], at, item)
+            elif cosine is None:
+                continue
             n = tried[d, at, item]
+            if n is not None and cosine is None:
+                cosine = self.score(split[d], at, item)
             if n is not None and (n, cosine) > best.get((d, item), (0, 0.0, 0))[:2]:
                 best[d, item] = (n, cosine, at * BIN)
         return [(keys[d], i, at, n, len(self.words[i]), c) for (d, i), (n, c, at) in best.items()]
 
 
 def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: float, answer_share: float, common: float) -> DataFrame | None:
-    import math
+    import numpy as np
 
     spark = docs.sparkSession
     items = [(r.item_id, r.text) for r in bench.collect()]  # bounded by block_bytes
@@ -239,8 +337,6 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
     weights = {w: math.log((n + 1) / (seen.get(w, 0) + 1)) for w in sorted(vocabulary) if seen.get(w, 0) <= common * n or n < 10}
     weights = {w: max(x, 1e-3) for w, x in weights.items()}
     terms = {w: i for i, w in enumerate(weights)}
-    if not terms:
-        return None
     known = spark.sparkContext.broadcast((weights, terms))
 
     def rows(batches):
@@ -262,7 +358,8 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
 
     # a block of items is small, so a few partitions do and few partial products meet
     matrix = bench.select("text").repartition(8).mapInArrow(rows, "ids array<long>, weights array<double>").where(F.size("ids") > 0)
-    searcher = spark.sparkContext.broadcast(Searcher(items, weights, terms, latent_basis(matrix, len(terms)), n, cosine, share, answer_share))
+    basis = latent_basis(matrix, len(terms)) if terms else np.zeros((0, 0))
+    searcher = spark.sparkContext.broadcast(Searcher(items, weights, terms, basis, n, cosine, share, answer_share, seen))
 
     def search(batches):
         import pyarrow as pa

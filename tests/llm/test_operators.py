@@ -234,6 +234,26 @@ def test_decontamination(spark):
     assert decontaminate.benchmark_matches(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_a_passage_in_a_third_of_the_rows(spark):
+    rng = random.Random(12)
+    hot, rare = ([f"{k}{rng.randrange(3000)}" for _ in range(30)] for k in "hr")
+    everyday = [f"e{i}" for i in range(25)]  # its words stand in all documents, its order in one
+    rows, want = [], {(7, 1), (8, 2)}
+    for d in range(90):
+        words = [f"n{rng.randrange(5000)}" for _ in range(rng.randrange(40, 300))]
+        if d % 3 == 0:
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = hot
+            want.add((d, 0))
+        words[len(words) // 2:len(words) // 2] = everyday if d == 7 else rare if d == 8 else everyday[::-1]
+        rows.append((d, " ".join(words)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((hot, everyday, rare))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.benchmark_matches(docs(spark, rows), bench).collect()} == want
+    assert decontaminate.without_benchmark(docs(spark, rows), bench).count() == len(rows) - len({d for d, _ in want})
+    only = spark.createDataFrame([(1, " ".join(everyday))], "item_id long, text string")  # no item with a weight
+    assert {(r.doc_id, r.item_id) for r in decontaminate.benchmark_matches(docs(spark, rows), only).collect()} == {(7, 1)}
+
+
 def test_common_length():
     rng = random.Random(9)
     for _ in range(200):
