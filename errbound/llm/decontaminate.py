@@ -32,6 +32,8 @@ from .common import small_batches, text_slices
 
 BIN = 16
 RANK = 128
+#: Weight of a word outside the benchmark: half that of a word in one of 10,000 documents, whatever the table's size.
+OUTSIDE = 0.5 * math.log(10_000)
 _WORD = re.compile(r"\w+")
 HIT_SCHEMA = "doc_id long, item_id long, word_start long, matched long, item_words long, cosine double"
 
@@ -136,7 +138,7 @@ def latent_basis(rows: DataFrame, n_terms: int, rank: int = RANK, rounds: int =
 class Searcher:
     """Latent passages of one block of items and the checks on candidates."""
 
-    def __init__(self, items: list[tuple[int, str]], weights: dict[str, float], terms: dict[str, int], basis, n_docs: int,
+    def __init__(self, items: list[tuple[int, str]], weights: dict[str, float], terms: dict[str, int], basis,
                  cosine: float, share: float, answer_share: float, seen: dict[str, int]):
         import numpy as np
 
@@ -148,7 +150,7 @@ class Searcher:
         plain = sorted({w for words in self.words.values() for w in words}.difference(terms))
         self.codes = terms | {w: i for i, w in enumerate(plain, len(terms))}
         weight = np.array([weights[w] for w in terms])
-        self.mass = np.concatenate([weight, np.zeros(len(plain)), [0.5 * math.log(n_docs + 1)]]) ** 2  # by code
+        self.mass = np.concatenate([weight, np.zeros(len(plain)), [OUTSIDE]]) ** 2  # by code
         self.vectors = (basis * weight[:, None]).astype(np.float32)
         owner, rows = [], []
         for i, w in self.words.items():
@@ -201,7 +203,7 @@ class Searcher:
         """(text, window's first bin, item, cosine) of the pairs above the threshold.
 
         The cosine is that of the latent vectors times the share of the window's length that its terms make up; words
-        outside the benchmark count with half the weight of an unseen one.  A window below the threshold by that
+        outside the benchmark count with the weight OUTSIDE.  A window below the threshold by that
         share alone needs no vector.
         """
         import numpy as np
@@ -359,7 +361,7 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
     # a block of items is small, so a few partitions do and few partial products meet
     matrix = bench.select("text").repartition(8).mapInArrow(rows, "ids array<long>, weights array<double>").where(F.size("ids") > 0)
     basis = latent_basis(matrix, len(terms)) if terms else np.zeros((0, 0))
-    searcher = spark.sparkContext.broadcast(Searcher(items, weights, terms, basis, n, cosine, share, answer_share, seen))
+    searcher = spark.sparkContext.broadcast(Searcher(items, weights, terms, basis, cosine, share, answer_share, seen))
 
     def search(batches):
         import pyarrow as pa

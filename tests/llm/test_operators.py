@@ -254,6 +254,21 @@ def test_decontamination_of_a_passage_in_a_third_of_the_rows(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.benchmark_matches(docs(spark, rows), only).collect()} == {(7, 1)}
 
 
+def test_decontamination_cosine_does_not_fall_with_the_table(spark):
+    rng = random.Random(13)
+    items = [(i, " ".join(f"b{rng.randrange(3000)}" for _ in range(30))) for i in range(10)]
+    rows = []
+    for d in range(40):
+        words = [f"n{rng.randrange(5000)}" for _ in range(60)]
+        if d < 10:
+            words[20:20] = [w if rng.random() > 0.3 else f"n{rng.randrange(5000)}" for w in items[d][1].split()[:24]] + items[d][1].split()[24:]
+        rows.append((d, " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    few, many = ({(r.doc_id % 1000, r.item_id): r.cosine for r in decontaminate.benchmark_matches(docs(spark, x), bench).collect()}
+                 for x in (rows, [(1000 * k + d, t) for k in range(20) for d, t in rows]))
+    assert few and few.keys() == many.keys() and all(many[x] > few[x] - 0.01 for x in few)
+
+
 def test_common_length():
     rng = random.Random(9)
     for _ in range(200):
