@@ -142,18 +142,20 @@ class Searcher:
                  cosine: float, share: float, answer_share: float, seen: dict[str, int]):
         import numpy as np
 
-        self.words = {i: words_of(t) for i, t in items}
-        self.answers = {i: self.words[i][len(self.words[i]) - answer_length(t, len(self.words[i])):] for i, t in items}
+        # by place in the block: texts that share an item_id are items of their own
+        self.item_ids, self.words = [i for i, _ in items], [words_of(t) for _, t in items]
+        self.answers = [w[len(w) - answer_length(t, len(w)):] for w, (_, t) in zip(self.words, items, strict=True)]
+        self.counts = [Counter(w) for w in self.words]
         self.cosine, self.share, self.answer_share = cosine, share, answer_share
         # codes: a term's number, then those of the words without weight; the last (not in the table) is for words outside the benchmark
         self.n_terms = len(terms)
-        plain = sorted({w for words in self.words.values() for w in words}.difference(terms))
+        plain = sorted({w for words in self.words for w in words}.difference(terms))
         self.codes = terms | {w: i for i, w in enumerate(plain, len(terms))}
         weight = np.array([weights[w] for w in terms])
         self.mass = np.concatenate([weight, np.zeros(len(plain)), [OUTSIDE]]) ** 2  # by code
         self.vectors = (basis * weight[:, None]).astype(np.float32)
         owner, rows = [], []
-        for i, w in self.words.items():
+        for i, w in enumerate(self.words):
             for p in passages(w):
                 ids = [terms[x] for x in p if x in terms]
                 if ids:
@@ -169,21 +171,20 @@ class Searcher:
         """
         import numpy as np
 
-        self.listed = list(self.words)
-        self.least, self.span, posted = np.zeros(len(self.listed), np.int64), np.zeros(len(self.listed), np.int64), []
-        for k, i in enumerate(self.listed):
-            n = len(self.words[i])
+        self.least, self.span, posted = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64), []
+        for i, words in enumerate(self.words):
+            n = len(words)
             held = max(1, math.ceil(self.share * n))
-            self.span[k] = 2 * BIN + 2 * n
+            self.span[i] = 2 * BIN + 2 * n
             if held > n:
                 continue
             spare, total = n - held, 0
-            for w, c in sorted(Counter(self.words[i]).items(), key=lambda x: (seen.get(x[0], 0), x[0])):
+            for w, c in sorted(self.counts[i].items(), key=lambda x: (seen.get(x[0], 0), x[0])):
                 if total >= spare + -(-held // 4):
                     break
-                posted.append((self.codes[w], k, c))
+                posted.append((self.codes[w], i, c))
                 total += c
-            self.least[k] = total - spare
+            self.least[i] = total - spare
         posted = np.array(sorted(posted), np.int64).reshape(-1, 3)
         self.degree = np.bincount(posted[:, 0], minlength=len(self.codes) + 1)
         self.post_at, self.post_item, self.post_n = np.cumsum(self.degree) - self.degree, posted[:, 1], posted[:, 2]
@@ -262,7 +263,7 @@ class Searcher:
             item, d = self.post_item[post], text[a:b][row]
             cell = (at[row] - first[d]) // self.span[item] + 1  # and the one before it
             width = int(cell.max()) + 1
-            key = (d * len(self.listed) + item) * width + cell
+            key = (d * len(self.words) + item) * width + cell
             # a word counts once in a cell, as often as the item has it
             key, code, n = (np.concatenate([x, y]) for x, y in ((key, key - 1), (ids[at][row],) * 2, (self.post_n[post],) * 2))
             order = np.lexsort((code, key))
@@ -271,10 +272,10 @@ class Searcher:
             heads = np.flatnonzero(new)
             held = np.add.reduceat(np.where(new | (np.diff(code, prepend=-1) != 0), n, 0), heads)
             key = key[heads]
-            item = key // width % len(self.listed)
+            item = key // width % len(self.words)
             for x in np.flatnonzero(held >= self.least[item]):
-                k, d, c = int(item[x]), int(key[x] // width // len(self.listed)), int(key[x] % width) - 1
-                i, span = self.listed[k], int(self.span[k])
+                i, d, c = int(item[x]), int(key[x] // width // len(self.words)), int(key[x] % width) - 1
+                span = int(self.span[i])
                 size, words = len(self.words[i]), split[d]
                 if self.may_hold(words[max(0, c * span):(c + 2) * span], i):
                     for w in range(max(0, -(-(c * span + size) // BIN)), -(-min((c + 1) * span + size, len(words)) // BIN)):
@@ -294,14 +295,14 @@ class Searcher:
 
     def may_hold(self, region: list[str], item: int) -> bool:
         """Whether a region has enough of an item's words, in whatever order."""
-        wanted, here = Counter(self.words[item]), Counter(region)
-        return sum(min(n, here[w]) for w, n in wanted.items()) >= self.share * len(self.words[item])
+        here = Counter(region)
+        return sum(min(n, here[w]) for w, n in self.counts[item].items()) >= self.share * len(self.words[item])
 
     def matches(self, words: list[str], at: int, item: int) -> int | None:
         """Words of an item that a window and its surroundings hold in order, or None if they are too few."""
         wanted, answer = self.words[item], self.answers[item]
         region = words[max(0, at * BIN - len(wanted)):(at + 2) * BIN + len(wanted)]
-        if len(set(wanted).intersection(region)) < self.share * len(set(wanted)) * 0.9:
+        if not self.may_hold(region, item):
             return None
         n = common_length(wanted, region)
         if n < self.share * len(wanted) or common_length(answer, region) < self.answer_share * len(answer):
@@ -324,7 +325,7 @@ class Searcher:
                 cosine = self.score(split[d], at, item)
             if n is not None and (n, cosine) > best.get((d, item), (0, 0.0, 0))[:2]:
                 best[d, item] = (n, cosine, at * BIN)
-        return [(keys[d], i, at, n, len(self.words[i]), c) for (d, i), (n, c, at) in best.items()]
+        return [(keys[d], self.item_ids[i], at, n, len(self.words[i]), c) for (d, i), (n, c, at) in best.items()]
 
 
 def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: float, answer_share: float, common: float) -> DataFrame | None:

@@ -269,6 +269,17 @@ def test_decontamination_cosine_does_not_fall_with_the_table(spark):
     assert few and few.keys() == many.keys() and all(many[x] > few[x] - 0.01 for x in few)
 
 
+def test_decontamination_of_repeated_ids_and_words(spark):
+    rng = random.Random(14)
+    one, two = (" ".join(f"{k}{i}" for i in range(20)) for k in "xy")
+    often = " ".join(["again"] * 14 + [f"z{i}" for i in range(10)])  # 60 % of it are few of its distinct words
+    noise = [[f"n{rng.randrange(5000)}" for _ in range(120)] for _ in range(30)]
+    held = " ".join(["again"] * 14 + [f"z{i}" for i in range(5)])
+    rows = [(d, " ".join(w[:50]) + " " + {3: one, 4: two, 5: held}.get(d, "") + " " + " ".join(w[50:])) for d, w in enumerate(noise)]
+    bench = spark.createDataFrame([(1, one), (1, two), (2, often + " ? " + " ".join(["again"] * 4))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.benchmark_matches(docs(spark, rows), bench).collect()} == {(3, 1), (4, 1), (5, 2)}
+
+
 def test_common_length():
     rng = random.Random(9)
     for _ in range(200):
