@@ -5,7 +5,7 @@
 2. Benchmark texts are cut into overlapping passages; their TF-IDF matrix A gets a randomised SVD: products A'(A X) are
    summed over partitions, with X a random matrix first and the basis found so far afterwards.
 3. Every document is cut into windows of two bins of 16 words; windows and passages meet by cosine in the latent space.
-   Every item is searched exactly as well, so what is found depends neither on weights nor on the cosine: a place that
+   Every item is searched exactly before, so what is found depends neither on weights nor on the cosine: a place that
    holds `share` of an item can lack only so many of its words, hence it holds some of the item's rarest ones.
 4. A candidate counts if the longest common subsequence of words holds `share` of the item, and `answer_share` of its
    answer: the words after the last question mark, else the last quarter.
@@ -313,9 +313,12 @@ class Searcher:
         import numpy as np
 
         split = [words_of(t) for t in texts]
-        ids = self._ids(split, np.array([len(x) for x in split], np.int64))
+        windows = list(self.exact(split, self._ids(split, np.array([len(x) for x in split], np.int64))))
+        held = sorted({d for d, _, _ in windows})  # no other text can hold an item, so the latent search leaves them out
+        some = [split[d] for d in held]
+        near = self.candidates(some, self._ids(some, np.array([len(x) for x in some], np.int64)))
         tried, best = {}, {}
-        for d, at, item, cosine in chain(self.candidates(split, ids), ((*x, None) for x in self.exact(split, ids))):
+        for d, at, item, cosine in chain(((held[d], *x) for d, *x in near), ((*x, None) for x in windows)):
             if (d, at, item) not in tried:
                 tried[d, at, item] = self.matches(split[d], at, item)
             elif cosine is None:
