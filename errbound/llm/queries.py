@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, count_cache, decontaminate, hilbert, language_crf, minhash, snapshots, token_files, tree_bpe, warc
+from . import bitsliced, count_cache, decontaminate, divergence, hilbert, language_crf, minhash, snapshots, token_files, tree_bpe, warc
 from .common import fresh_dir, table
 from .encoders import public_path
 
@@ -53,6 +53,10 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_pointer_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,5 +74,6 @@ QUERIES = {
     "op8_zstd_warc": (op8_zstd_warc, warc.ORACLE),
     "op9_bitsliced_topk": (op9_bitsliced_topk, bitsliced.ORACLE),
     "op10_latent_decontamination": (op10_latent_decontamination, None),
+    "op11_pointer_divergence": (op11_pointer_divergence, divergence.ORACLE),
     "pipeline": (pipeline, None),
 }
