@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, count_cache, decontaminate, divergence, hilbert, language_crf, minhash, snapshots, token_files, tree_bpe, warc
+from . import alignment, bitsliced, count_cache, decontaminate, divergence, hilbert, language_crf, minhash, snapshots, token_files, tree_bpe, warc
 from .common import fresh_dir, table
 from .encoders import public_path
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_pointer_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), public_path(BYTE_BPE), public_path(PIECE_BPE))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,5 +79,6 @@ QUERIES = {
     "op9_bitsliced_topk": (op9_bitsliced_topk, bitsliced.ORACLE),
     "op10_latent_decontamination": (op10_latent_decontamination, None),
     "op11_pointer_divergence": (op11_pointer_divergence, divergence.ORACLE),
+    "op12_lockstep_alignment": (op12_lockstep_alignment, None),
     "pipeline": (pipeline, None),
 }
