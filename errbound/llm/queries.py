@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bitsliced, count_cache, decontaminate, divergence, hilbert, language_crf, minhash, snapshots, token_files, tree_bpe, warc
+from . import alignment, bitsliced, count_cache, decontaminate, divergence, hilbert, language_crf, minhash, snapshots, token_files, tree_bpe, vertical_join, warc
 from .common import fresh_dir, table
 from .encoders import public_path
 
@@ -61,6 +61,10 @@ def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(table(spark, sf_dir, "documents"), public_path(BYTE_BPE), public_path(PIECE_BPE))
 
 
+def op13_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertical_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,5 +84,6 @@ QUERIES = {
     "op10_latent_decontamination": (op10_latent_decontamination, None),
     "op11_pointer_divergence": (op11_pointer_divergence, divergence.ORACLE),
     "op12_lockstep_alignment": (op12_lockstep_alignment, None),
+    "op13_vertical_join": (op13_vertical_join, vertical_join.ORACLE),
     "pipeline": (pipeline, None),
 }
