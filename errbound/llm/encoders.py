@@ -11,9 +11,8 @@ import hashlib
 import json
 import os
 import re
-import sys
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 from .common import text_slices
 
@@ -22,15 +21,8 @@ _UNUSUAL = re.compile("[\x1c-\x1f\u0130\u0180-\U0010ffff]|<\\|")
 #: Controls that Python counts as white space and the tokenizers' patterns do not.
 _ODD = re.compile("[\x1c-\x1f]")
 _LETTER, _DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-MEMO_ENTRIES = 250_000
-
-
-def _packed(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+#: The memo is begun anew beyond so many characters of chunks.
+MEMO_CHARS = 5_000_000
 
 
 class Cuts:
@@ -66,7 +58,28 @@ def _cuts(spec: dict) -> Cuts | None:
     return None
 
 
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        import numpy as np
+
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, more) -> None:
+        import numpy as np
+
+        if self.size + len(more) > len(self.room):
+            room = np.zeros(2 * (self.size + len(more)), self.room.dtype)
+            room[:self.size] = self.room[:self.size]
+            self.room = room
+        self.room[self.size:self.size + len(more)] = more
+        self.size += len(more)
+
+
 class ChunkEncoder:
+    """A tokenizer with a memo: each known chunk has a number, its ids lie in one array."""
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -77,40 +90,75 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cuts = _cuts(spec)
-        self.memo: dict[str, bytes] = {}
+        self._forget()
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        out = []
+    def _forget(self):
+        self.number: dict[str, int] = {}
+        self.held, self.ids, self.starts, self.sizes = 0, Growing("i4"), Growing("i8"), Growing("i8")
+
+    def _library(self, texts: list[str]):
+        """Joined ids and the number of ids of each text."""
+        import numpy as np
+
+        sizes, ids = [], []
         for a in range(0, len(texts), 4_000):
-            found = self.tokenizer.encode_batch_fast(texts[a:a + 4_000], add_special_tokens=False)
-            out += [_packed(x.ids) for x in found]
-        return out
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[a:a + 4_000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def _numbers(self, texts: list[str]):
+        """Numbers of all chunks of the texts, and how many each text has; new chunks are encoded and kept."""
+        import numpy as np
 
-    def _chunks(self, texts: list[str]) -> list[list[str]]:
         parts = [self.cuts(t) for t in texts]
         used = set().union(*parts)
-        new = list(used.difference(self.memo))
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.memo.clear()
+        new = list(used.difference(self.number))
+        if self.held + sum(map(len, new)) > MEMO_CHARS:
+            self._forget()
             new = list(used)
-        self.memo.update(zip(new, self._library(new), strict=True))
-        return parts
+        self.held += sum(map(len, new))
+        ids, sizes = self._library(new)
+        self.starts.extend(self.ids.size + np.cumsum(sizes) - sizes)
+        self.ids.extend(ids)
+        self.sizes.extend(sizes)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum())), count
+
+    def slices(self, texts: list[str]):
+        """Runs of texts: their joined ids and the number of ids of each."""
+        import numpy as np
+
+        for a, b in text_slices(texts):
+            if self.cuts is None:
+                yield self._library(texts[a:b])
+                continue
+            at, count = self._numbers(texts[a:b])
+            sizes = self.sizes.room[at]
+            upto = np.append(0, np.cumsum(sizes))
+            yield self.ids.room[np.arange(upto[-1]) + np.repeat(self.starts.room[at] - upto[:-1], sizes)], np.diff(upto[np.append(0, np.cumsum(count))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if self.cuts is None:
-            return self._library(texts)
+        import numpy as np
+
         out = []
-        for a, b in text_slices(texts):
-            out += [b"".join(map(self.memo.__getitem__, p)) for p in self._chunks(texts[a:b])]
+        for ids, sizes in self.slices(texts):
+            flat, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(sizes)
+            out += [flat[b - n:b] for b, n in zip(ends.tolist(), (4 * sizes).tolist(), strict=True)]
         return out
 
     def count(self, texts: list[str]) -> list[int]:
-        if self.cuts is None:
-            return [len(x) // 4 for x in self._library(texts)]
+        import numpy as np
+
         out = []
         for a, b in text_slices(texts):
-            out += [sum(map(len, map(self.memo.__getitem__, p))) // 4 for p in self._chunks(texts[a:b])]
+            if self.cuts is None:
+                out += self._library(texts[a:b])[1].tolist()
+            else:
+                at, count = self._numbers(texts[a:b])
+                out += np.diff(np.append(0, np.cumsum(self.sizes.room[at]))[np.append(0, np.cumsum(count))]).tolist()
         return out
 
 

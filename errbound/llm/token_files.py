@@ -5,7 +5,7 @@ A part of the output is three flat files: `<stem>.ids` (unsigned 16-bit ids when
 `<stem>.doc` (n 64-bit document ids).  Parts follow each other in ascending doc_id order; the manifest holds the
 part's base, the prefix sum of the ids of all parts before it.
 
-Rows: a null text is an empty one (its only id is the end id); null doc_ids come first, in text order; repeated
+Rows: a null text is an empty one (its only id is the end id); null doc_ids come first, and rows of one doc_id lie in the order of their texts' CRC-32; repeated
 rows are written each; an empty table gives no part.  Other columns are ignored.
 Recovery: a try of a task writes under its own random name, and only names that a finished task returned reach
 the manifest.  A rerun writes new files; nothing reads the remains of a lost try.
@@ -33,7 +33,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, kind: str):
         import pyarrow as pa
 
         part, stem = TaskContext.get().partitionId(), None
-        offsets, n_null, ids_file = [0], 0, None
+        offsets, n_null, ids_file = [np.zeros(1, np.int64)], 0, None
         fs, root = filesystem(folder)
         doc_file = None
         for batch in small_batches(batches):
@@ -46,17 +46,20 @@ def _writer(folder: str, tokenizer: str, end_id: int, kind: str):
             keys = batch.column("doc_id")
             n_null += keys.null_count
             doc_file.write(keys.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-            for found in encoder(tokenizer).encode(texts):
-                ids = np.append(np.frombuffer(found, "<u4"), np.uint32(end_id)).astype(kind)
-                ids_file.write(ids.tobytes())
-                offsets.append(offsets[-1] + len(ids))
+            for ids, sizes in encoder(tokenizer).slices(texts):
+                ends = np.cumsum(sizes + 1)
+                flat = np.full(int(ends[-1]), end_id, kind)
+                flat[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+                ids_file.write(flat.tobytes())
+                offsets.append(offsets[-1][-1] + ends)
         if stem is not None:
             ids_file.close()
             doc_file.close()
             with fs.open_output_stream(f"{root}/{stem}.off") as f:
-                f.write(np.array(offsets, "<i8").tobytes())
+                offsets = np.concatenate(offsets)
+                f.write(offsets.astype("<i8").tobytes())
             yield pa.RecordBatch.from_pylist([{"part": part, "stem": stem, "n_null": n_null,
-                                              "n_docs": len(offsets) - 1, "n_ids": offsets[-1]}],
+                                              "n_docs": len(offsets) - 1, "n_ids": int(offsets[-1])}],
                                             schema=pa.schema([("part", pa.int32()), ("stem", pa.string()), ("n_null", pa.int64()),
                                                               ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
     return write
@@ -70,8 +73,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     kind = "<u2" if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.crc32(F.col("text").cast("binary")))
-    parts = ordered.sortWithinPartitions("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id, kind), PART_SCHEMA)
+    digest = F.crc32(F.col("text").cast("binary")).alias("digest")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest).repartitionByRange("doc_id", "digest")
+    parts = ordered.sortWithinPartitions("doc_id", "digest", "text").select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id, kind), PART_SCHEMA)
     manifest, base = [], 0
     for row in sorted(parts.collect(), key=lambda r: r.part):
         manifest.append({**row.asDict(), "folder": folder, "kind": kind, "base": base})
