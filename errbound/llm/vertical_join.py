@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import small_batches, stored
 from .components import merged
@@ -39,6 +38,17 @@ SPARE, RUN = 2, 1024
 SIGNED_SCHEMA = "doc_id long, n_shingles long, set_id string, owner long, hashes array<long>"
 
 
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    """Store a table; the shuffles that made it are no longer needed, and Spark removes their files at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return stored(df, tag)
+    finally:
+        conf.set(name, before)
+
+
 def _allowance(n: Column, percent: int) -> Column:
     """How many of n shingles a linked document may lack."""
     return n - F.ceil(n * percent / F.lit(100)).cast("long")
@@ -78,44 +88,59 @@ def _lacking(sets: DataFrame) -> DataFrame:
 def _survivors(docs: DataFrame, classes: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """node, rep, set_id, n, hashes: classes that may be linked, after all fragments."""
     n = F.col("n_shingles")
-    first = classes.join(_lacking(signed.where("doc_id is not null")), "owner", "left").na.fill(0, ["lacking"])
+    lacking = _stored(_lacking(signed.where("doc_id is not null")), "lacking")
+    first = classes.join(lacking, "owner", "left").na.fill(0, ["lacking"])
     open_ = first.where(F.col("lacking") <= _allowance(n, percent)).select(F.col("rep").alias("doc_id"), F.col("set_id").alias("class_id"), "lacking")
     texts = docs.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
     made = texts.mapInArrow(_sets(None), SIGNED_SCHEMA).where("set_id is not null").dropDuplicates(["doc_id", "set_id"])
-    sets = stored(made.join(open_.withColumnRenamed("class_id", "set_id"), ["doc_id", "set_id"]), "open-sets")
+    sets = _stored(made.join(open_.withColumnRenamed("class_id", "set_id"), ["doc_id", "set_id"]), "open-sets")
     rest = sets.select("owner", F.filter("hashes", lambda h: h >= int(FIRST_SHARE * 2**HASH_BITS)).alias("hashes"))
     more = sets.join(_lacking(rest).withColumnRenamed("lacking", "more"), "owner", "left").na.fill(0, ["more"])
     kept = more.where(F.col("lacking") + F.col("more") <= _allowance(n, percent))
-    return stored(kept.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").alias("rep"), "set_id", n.alias("n"), "hashes"), "survivors")
+    return _stored(kept.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").alias("rep"), "set_id", n.alias("n"), "hashes"), "survivors")
+
+
+def _cell(shingle: Column) -> Column:
+    """Where in the global order a shingle lies: its level of frequency and the leading bits of its hash."""
+    return shingle["level"] * (1 << CELL_BITS) + F.shiftright(shingle["h"], HASH_BITS - CELL_BITS).cast("int")
 
 
 def _ordered(survivors: DataFrame) -> DataFrame:
-    """node, n, level, h: the shingles that several survivors hold; (level, h) is the global order."""
-    rows = survivors.select("node", "n", F.explode("hashes").alias("h"))
-    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return stored(rows.join(counts, "h").select("node", "n", F.floor(F.log2("df")).cast("int").alias("level"), "h"), "ordered")
+    """node, n, shared: the shingles (level, h) that other survivors hold as well, in the global order."""
+    rows = survivors.select("node", F.explode("hashes").alias("h"))
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h", F.floor(F.log2("df")).cast("int").alias("level"))
+    found = rows.join(counts, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("level", "h"))).alias("shared"))
+    return _stored(found.join(survivors.select("node", "n"), "node"), "ordered")
 
 
-def _fragment(ordered: DataFrame, fragments: int) -> Column:
-    """Number of the fragment of a shingle; borders lie between cells of the order (at most 64 levels of 2**CELL_BITS), evenly by use."""
-    cell = F.col("level") * (1 << CELL_BITS) + F.shiftright("h", HASH_BITS - CELL_BITS).cast("int")
-    uses = sorted(tuple(r) for r in ordered.groupBy(cell.alias("cell")).count().collect())
+def _segments(ordered: DataFrame, fragments: int) -> DataFrame:
+    """node, fragment, hashes: the sets cut at borders between cells of the order, evenly by use; at most 64 * 2**CELL_BITS cells."""
+    cells = ordered.select(F.explode("shared").alias("s")).groupBy(_cell(F.col("s")).alias("cell")).count().collect()
+    uses = sorted(tuple(r) for r in cells)
     total, upto, borders = sum(n for _, n in uses), 0, []
     for at, n in uses:
         if upto * fragments >= (len(borders) + 1) * total:
             borders.append(at)
         upto += n
-    return sum(((cell >= b).cast("int") for b in borders), F.lit(0))
+
+    def before(border: int) -> Column:
+        return F.size(F.filter("shared", lambda s: _cell(s) < border))
+
+    ends = [*map(before, borders), F.size("shared")]
+    placed = ordered.select("node", "shared", F.array(F.lit(0), *ends).alias("ends"))
+    cut = placed.select("node", "shared", F.posexplode(F.arrays_zip(F.slice("ends", 1, len(ends)).alias("a"), F.slice("ends", 2, len(ends)).alias("b"))).alias("fragment", "e"))
+    some = cut.where("e.a < e.b")
+    return some.select("node", "fragment", F.transform(F.slice("shared", F.col("e.a") + 1, F.col("e.b") - F.col("e.a")), lambda s: s["h"]).alias("hashes"))
 
 
 def _buckets(ordered: DataFrame, percent: int) -> DataFrame:
     """bucket, node, n, place: each class under the first shingles of its order of which linked classes share one."""
-    in_order = Window.partitionBy("node").orderBy("level", "h")
-    ranked = ordered.withColumn("at", F.row_number().over(in_order)).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("node")))
-    place = F.col("n") - F.col("shared") + F.col("at")  # shingles of its own come first
-    rows = ranked.select(F.col("h").alias("bucket"), "node", "n", place.alias("place")).where(F.col("place") <= _allowance(F.col("n"), percent) + 1)
+    own = F.col("n") - F.size("shared")  # shingles that no other has come first
+    room = F.greatest(_allowance(F.col("n"), percent) + 1 - own, F.lit(0)).cast("int")
+    first = ordered.select("node", "n", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "s"))
+    rows = first.select(F.col("s.h").alias("bucket"), "node", "n", (F.col("own") + F.col("at") + 1).alias("place"))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
-    return stored(rows.join(full, "bucket"), "members")
+    return _stored(rows.join(full, "bucket"), "members")
 
 
 class _Linker:
@@ -146,13 +171,13 @@ class _Linker:
         fresh = pairs.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
         if self.tested is not None:
             fresh = fresh.join(self.tested, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "pairs")
+        fresh = _stored(fresh, "pairs")
         self.tested = fresh.select("a", "b") if self.tested is None else self.tested.union(fresh.select("a", "b"))
         linked = (100 + self.percent) * F.col("shared") >= self.percent * (F.col("n_a") + F.col("n_b"))
-        links = stored(fresh.join(self.overlaps(fresh), ["a", "b"]).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        links = _stored(fresh.join(self.overlaps(fresh), ["a", "b"]).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
         if not links.limit(1).count():
             return False
-        self.labels = stored(merged(self.labels, links), "labels")
+        self.labels = _stored(merged(self.labels, links), "labels")
         return True
 
     def _room(self, x: str, y: str) -> Column:
@@ -169,7 +194,7 @@ class _Linker:
             rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("place")
             groups = placed.groupBy("bucket", "component").agg(
                 F.count(F.lit(1)).alias("held"), F.min(F.struct(rank.alias("rank"), "node", "n", "place", "component")).alias("pivot"))
-            open_ = stored(groups.groupBy("bucket").agg(
+            open_ = _stored(groups.groupBy("bucket").agg(
                 F.count(F.lit(1)).alias("groups"), F.sum("held").alias("held"), F.max(F.struct("held", "component")).alias("main"),
                 F.min("pivot").alias("pivot")).where("groups > 1"), "open-buckets")
             rest = open_.agg(F.sum(F.col("held") * (F.col("held") - F.col("main.held")))).first()[0] or 0
@@ -205,14 +230,13 @@ class _Linker:
 def similar_documents(docs: DataFrame, percent: int = 80, fragments: int = FRAGMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(texts.mapInArrow(_sets(FIRST_SHARE), SIGNED_SCHEMA), "sets")
+    signed = _stored(texts.mapInArrow(_sets(FIRST_SHARE), SIGNED_SCHEMA), "sets")
     named = signed.where("doc_id is not null and set_id is not null")
-    classes = stored(named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("owner").alias("owner")), "classes")
+    classes = _stored(named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("owner").alias("owner")), "classes")
     survivors = _survivors(texts, classes, signed, percent)
     ordered = _ordered(survivors)
     members = _buckets(ordered, percent)
-    segments = stored(ordered.join(members.select("node").distinct(), "node").groupBy("node", _fragment(ordered, fragments).alias("fragment"))
-                      .agg(F.collect_list("h").alias("hashes")), "segments")
+    segments = _stored(_segments(ordered.join(members.select("node").distinct(), "node"), fragments), "segments")
     labels = _Linker(members, segments, percent).run()
     linked = survivors.select("node", "rep", "set_id").join(labels, "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))

@@ -78,8 +78,7 @@ def test_overlaps_are_sums_over_fragments(spark):
     sets = {r.doc_id: set(r.hashes) for r in signed.collect()}
     survivors = signed.selectExpr("doc_id as node", "n_shingles as n", "hashes")
     ordered = vertical_join._ordered(survivors)
-    fragment = vertical_join._fragment(ordered, 5).alias("fragment")
-    segments = ordered.groupBy("node", fragment).agg({"h": "collect_list"}).withColumnRenamed("collect_list(h)", "hashes")
+    segments = vertical_join._segments(ordered, 5)
     assert segments.select("fragment").distinct().count() > 1
     members = vertical_join._buckets(ordered, 80)
     pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(a)], "b long, a long")
