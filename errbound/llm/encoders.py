@@ -12,12 +12,14 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 from .common import text_slices
 
 #: Characters beyond these, or the start of a special string, send a text to the coarse pattern.
 _UNUSUAL = re.compile("[\x1c-\x1f\u0130\u0180-\U0010ffff]|<\\|")
+#: What of these an ASCII text may hold.
+_MARKS = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Controls that Python counts as white space and the tokenizers' patterns do not.
 _ODD = re.compile("[\x1c-\x1f]")
 _LETTER, _DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -32,7 +34,7 @@ class Cuts:
         self.fine, self.coarse, self.lower = re.compile(fine), re.compile(coarse), lower
 
     def __call__(self, text: str) -> list[str]:
-        if not _UNUSUAL.search(text):
+        if not any(map(text.__contains__, _MARKS)) if text.isascii() else not _UNUSUAL.search(text):
             return self.fine.findall(text.lower() if self.lower else text)
         return [text] if _ODD.search(text) else self.coarse.findall(text)
 
@@ -112,19 +114,21 @@ class ChunkEncoder:
         import numpy as np
 
         parts = [self.cuts(t) for t in texts]
-        used = set().union(*parts)
-        new = list(used.difference(self.number))
+        flat = list(chain.from_iterable(parts))
+        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        missed = np.flatnonzero(at < 0)
+        new = list(dict.fromkeys(map(flat.__getitem__, missed.tolist())))
         if self.held + sum(map(len, new)) > MEMO_CHARS:
             self._forget()
-            new = list(used)
+            new, missed = list(dict.fromkeys(flat)), np.arange(len(flat))
         self.held += sum(map(len, new))
         ids, sizes = self._library(new)
         self.starts.extend(self.ids.size + np.cumsum(sizes) - sizes)
         self.ids.extend(ids)
         self.sizes.extend(sizes)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum())), count
+        at[missed] = np.fromiter(map(self.number.__getitem__, map(flat.__getitem__, missed.tolist())), np.int64, len(missed))
+        return at, np.fromiter(map(len, parts), np.int64, len(parts))
 
     def slices(self, texts: list[str]):
         """Runs of texts: their joined ids and the number of ids of each."""
