@@ -10,32 +10,29 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from errbound.llm import decontaminate, language_crf, minhash, tree_bpe
 from errbound.llm.common import shared_dir, table
 from errbound.llm.encoders import public_path
 
-#: Least mean posterior of the named language.
-LEAST_SCORE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a determined language; rows without a doc_id cannot be named and go."""
-    found = language_crf.detect_languages(docs, language_crf.train(docs))
-    fine = found.where((F.col("lang_pred") != language_crf.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(fine, "doc_id", "left_semi").select(*docs.columns)
+    """Keep documents with a language, whatever its share; null texts and texts without letters go, rows without a doc_id are judged too."""
+    return language_crf.determined(docs, language_crf.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each near-duplicate group; empty texts, rows without a doc_id and repeated rows of a kept one stay."""
     return minhash.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item; null and empty texts and rows without a doc_id stay."""
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a row: the digests of its ids and of the text they decode to; a null text is an empty one."""
     return tree_bpe.encode_decode(docs, public_path("byte_bpe_50k.json"))
 
 

@@ -5,9 +5,10 @@ stands in each language's lexicon.  A chain is a whole text; learned transitions
 changes from word to word.  Forward-backward gives each word's distribution over languages; their mean over the
 text names the language and its score, and words can be labelled in code-switched text (`label_words`).
 
-Fit: the sample is `per_language` whole labelled texts of at most `max_bytes` bytes a language (chosen by a hash of the
-doc_id) for at most `max_languages` languages, the most frequent; training chains switch languages at random between
-runs of these texts' words.  Only text and lang are read.  Everything else covers all words of all rows.
+Fit: the sample is `per_language` labelled texts a language (chosen by a hash), fewer where `most_texts` texts would not
+suffice for all languages, and an error where they are fewer than the languages; of a text beyond `max_chars` characters a
+piece at a place chosen by hash is read.  Training chains switch languages at random between runs of these texts' words.
+Only text and lang are read.  Everything else covers all words of all rows; a word beyond 64 characters is several.
 
 Rows: a null text or one without letters is `und` with score 0; without labelled rows every text is `und`; every row
 gives a row, repeated ones too; labels that are null are not learned; an empty table gives an empty result; other
@@ -29,7 +30,7 @@ from .common import small_batches, text_slices
 UNDETERMINED = "und"
 FEATURES = 1 << 16
 MEMO_ENTRIES = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,64}")  # what is longer, as in scripts without spaces, is several words of the chain
 ROW_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -52,8 +53,7 @@ def words_of(text: str | None) -> list[str]:
 
 def features(word: str, lexicon: dict) -> list[int]:
     """Hashed features of a word."""
-    w = word[:64]  # of a longer word only the affixes and the first characters' n-grams count
-    marked = f"^{w}$"
+    marked = f"^{word}$"
     named = [f"p{word[:i]}" for i in (1, 2, 3)] + [f"s{word[-i:]}" for i in (1, 2, 3)]
     named += [marked[i:i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
     named.append(f"L{lexicon.get(word, -1)}")
@@ -125,14 +125,17 @@ def posteriors(scores, begins, transitions, start, steps: int = 256):
     return out / out.sum(axis=1, keepdims=True)
 
 
-def training_sample(labelled: DataFrame, per_language: int, max_bytes: int, max_languages: int) -> dict[str, list[str]]:
-    """lang to whole texts; at most max_languages * per_language texts of max_bytes bytes reach the driver."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    langs = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+def training_sample(labelled: DataFrame, per_language: int, max_chars: int, most_texts: int) -> dict[str, list[str]]:
+    """lang to texts, of a longer one a piece of max_chars characters at a place chosen by hash; at most most_texts reach the driver."""
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    langs = usable.select("lang").distinct().limit(most_texts + 1).count()
+    if langs > most_texts:
+        raise ValueError(f"more than {most_texts} languages: a larger sample is needed to learn them all")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    light = usable.where(F.col("lang").isin(langs)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    light = usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= min(per_language, most_texts // max(langs, 1)))
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1) + 1
     out: dict[str, list[str]] = {}
-    for r in light.select("lang", "text", "n").orderBy("lang", "n").collect():
+    for r in light.select("lang", F.substring("text", start.cast("int"), F.lit(max_chars)).alias("text"), "n").orderBy("lang", "n").collect():
         out.setdefault(r.lang, []).append(r.text)
     return out
 
@@ -282,9 +285,17 @@ def label_words(text: str, model: Model) -> list[tuple[str, str]]:
     return [(w, model.labels[i]) for w, i in zip(words, found.argmax(axis=1) if len(words) else [], strict=True)]
 
 
-def train(docs: DataFrame, per_language: int = 200, max_bytes: int = 16_384, max_languages: int = 64) -> Model:
+def train(docs: DataFrame, per_language: int = 200, max_chars: int = 8192, most_texts: int = 12_800) -> Model:
     """Fit on the documents that are not held out."""
-    return fit(training_sample(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), per_language, max_bytes, max_languages))
+    return fit(training_sample(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), per_language, max_chars, most_texts))
+
+
+def _tagger(known):
+    return Tagger(known.value) if known.value.labels else None
+
+
+def _predicted(tagger: Tagger | None, texts: list) -> list[tuple[str, float]]:
+    return tagger.predict(texts) if tagger else [(UNDETERMINED, 0.0)] * len(texts)
 
 
 def detect_languages(docs: DataFrame, model: Model) -> DataFrame:
@@ -294,13 +305,26 @@ def detect_languages(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        tagger = Tagger(known.value) if known.value.labels else None
+        tagger = _tagger(known)
         for batch in small_batches(batches, 2048):
-            texts = batch.column("text").to_pylist()
-            found = tagger.predict(texts) if tagger else [(UNDETERMINED, 0.0)] * len(texts)
+            found = _predicted(tagger, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, ROW_SCHEMA)
+
+
+def determined(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text has a language, whole and in one pass; a text in several languages has one, the most of its words'."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        tagger = _tagger(known)
+        for batch in small_batches(batches):
+            yield batch.filter(pa.array([x != UNDETERMINED for x, _ in _predicted(tagger, batch.column("text").to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
