@@ -269,11 +269,11 @@ def blocksize_best(spark, sf_dir):
 BEST_SQL = f"SELECT bx, \"by\", bz FROM ({_trial_sql()}) ORDER BY bits, bx LIMIT 1"
 
 
-KD_LEVELS = 4
+KD_LEVELS = 8
 
 
 def kd_boxes(spark, sf_dir):
-    """Boxes of every node of a four-level median tree."""
+    """Boxes of every node of an eight-level median tree."""
     return kdtree.merge_boxes(kdtree.kd_boxes(kdtree.kd_nodes(orders_particles(spark, sf_dir), KD_LEVELS)))
 
 

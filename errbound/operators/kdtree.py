@@ -1,26 +1,74 @@
-"""k-d blocking: all nodes of a level split together at their median, axis by axis."""
+"""k-d blocking: all nodes of a level split together at their exact median, axis by axis.
+
+The tree is a small table of cuts, at most 2**levels numbers; a particle's node follows from it by one expression, so the plan
+does not grow with the levels.  The medians of a level are found by counting: a first scan counts each node's values by sign and
+power of two, further scans cut the part that holds the median into equal slices until it is one value.  A scan
+leaves at most 2**level times as many counts as there are slices, whatever the number of particles.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from errbound.operators.particles import AXES
+from errbound.session import checkpointed
+
+SLICES = 4096
+
+
+def _node(levels: int) -> Column:
+    """Node of a particle after some levels of cuts: values equal to the median, and missing ones, stay left."""
+    if not levels:
+        return F.lit(1).cast("bigint")
+    values = F.array(*[F.col(a).cast("double") for a in AXES])
+
+    def down(node: Column, level: Column) -> Column:
+        return node * 2 + F.when(F.element_at(values, level % 3 + 1) > F.element_at(F.col("_cuts"), node.cast("int")), 1).otherwise(0)
 
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), F.lit(1).cast("bigint"), down)
 
-def kd_nodes(df: DataFrame, levels: int, accuracy: int = 1_000_000) -> DataFrame:
-    """Give each particle the node it falls in after ``levels`` median splits.
 
-    Each level is one partial aggregation per node (a quantile sketch) and a join of at most
-    2**level medians; values equal to the median stay left.
-    """
-    work = df.withColumn("node", F.lit(1).cast("bigint"))
+def _medians(places: DataFrame, cuts: list, level: int) -> dict[int, float]:
+    """Exact lower median of each node's values along the level's axis."""
+    spark, v, first = places.sparkSession, F.col(AXES[level % 3]).cast("double"), 1 << level
+    known: dict[int, tuple[float, float, int]] = {}
+    while True:
+        lo, hi, rank = ([known[n][k] if n in known else None for n in range(first, 2 * first)] for k in range(3))
+        state = spark.createDataFrame([(cuts, lo, hi, rank)], "_cuts array<double>, _lo array<double>, _hi array<double>, _rank array<bigint>")
+        rows = places.where(v.isNotNull() & ~F.isnan(v)).crossJoin(F.broadcast(state)).withColumn("node", _node(level)).withColumn("_v", v)
+        at = (F.col("node") - first + 1).cast("int")
+        x, low, high = F.col("_v"), F.element_at("_lo", at), F.element_at("_hi", at)
+        if known:
+            rows = rows.where((low < high) & x.between(low, high))
+            slot = F.least(F.floor((x - low) / (high - low) * SLICES), F.lit(SLICES - 1))
+        else:
+            slot = F.when(x == 0, 0).otherwise(F.signum(x) * (F.floor(F.least(F.log2(F.abs(x)), F.lit(1e4))) + 1100))
+        counts = rows.groupBy("node", slot.cast("bigint").alias("slot"), F.element_at("_rank", at).alias("rank")).agg(
+            F.sum("n").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        by_node = Window.partitionBy("node")
+        upto = counts.withColumn("upto", F.sum("n").over(by_node.orderBy("slot"))).withColumn(
+            "rank", F.coalesce("rank", F.floor((F.sum("n").over(by_node) + 1) / 2)))
+        found = upto.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).collect()
+        known.update({r.node: (r.lo, r.hi, r["rank"] - r.upto + r.n) for r in found})
+        if all(low == high for low, high, _ in known.values()):
+            return {node: low for node, (low, _, _) in known.items()}
+
+
+def kd_cuts(df: DataFrame, levels: int) -> list:
+    """Cut of each inner node by its number less one; None where there is no particle."""
+    places = checkpointed(df.groupBy(*AXES).agg(F.count(F.lit(1)).alias("n")))
+    cuts = [None] * max((1 << levels) - 1, 1)
     for level in range(levels):
-        axis = AXES[level % 3]
-        cut = work.groupBy("node").agg(F.percentile_approx(axis, 0.5, accuracy).alias("_m"))
-        work = work.join(F.broadcast(cut), "node").withColumn(
-            "node", F.col("node") * 2 + (F.col(axis) > F.col("_m")).cast("bigint")).drop("_m")
-    return work
+        for node, cut in _medians(places, cuts, level).items():
+            cuts[node - 1] = cut
+    return cuts
+
+
+def kd_nodes(df: DataFrame, levels: int) -> DataFrame:
+    """Give each particle the node it falls in after ``levels`` median splits."""
+    cuts = df.sparkSession.createDataFrame([(kd_cuts(df, levels),)], "_cuts array<double>")
+    return df.crossJoin(F.broadcast(cuts)).withColumn("node", _node(levels)).drop("_cuts")
 
 
 def kd_boxes(nodes: DataFrame) -> DataFrame:
