@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from errbound.session import checkpointed
 
 # Fixed values of the back-off after spatial wins: the limit doubles up to 64, half of it is skipped.
 BACKOFF_LIMIT = 64
+# Frames that are summed up together when frames are chosen.
+FRAME_SEGMENT = 4096
 # Fixed values of the tighter bound on spatial frames.
 TIGHT_FACTOR = 5.0
 TIGHT_MIN_FRAMES = 64
@@ -75,40 +79,113 @@ def spatial_sizes(df: DataFrame, keys: list[str], eb: float, edge: int) -> DataF
     return sizes.groupBy(*by_frame).agg(F.sum(F.least("entropy_bits", "fixed_bits")).alias("spatial_bits")).unionByName(raw)
 
 
-def choose_frames(sizes: DataFrame, keys: list[str]) -> DataFrame:
+# Entry states of a segment that do not depend on an earlier size: frames still to skip, by limit.
+_LIMITS = [1 << k for k in range(BACKOFF_LIMIT.bit_length())]
+_WAITING = [(skip, limit) for skip in range(1, BACKOFF_LIMIT // 2 + 1) for limit in _LIMITS]
+
+
+def _follow(spatial: np.ndarray, temporal: np.ndarray):
+    """What a segment of frames does to every state it may be entered with.
+
+    While frames are skipped, the size to beat is the last frame's.  Else it is an earlier one: all that matters is the first
+    frame whose temporal size is above it, one of the records of the temporal sizes.  Returns the records and, for each way through
+    the segment, the state it ends in: ways that wait, that fail at the first frame (by limit), that begin the key, that fail at
+    a later record.
+    """
+    top = np.maximum.accumulate(temporal)
+    records = np.flatnonzero(np.append(True, temporal[1:] > top[:-1]))
+    later = records[records > 0]
+    starts = [(0, 0.0, skip, limit) for skip, limit in _WAITING]
+    starts += [(1, spatial[0], limit >> 1, min(2 * limit, BACKOFF_LIMIT)) for limit in _LIMITS] + [(1, spatial[0], 0, 1)]
+    starts += [(t + 1, spatial[t], 0, 2) for t in later]
+    at, last, skip, limit = (np.array(x) for x in zip(*starts))
+    last, active = last.astype(float), 0
+    for t in range(len(spatial)):
+        while active < len(at) and at[active] <= t:
+            active += 1
+        tested = skip[:active] == 0
+        won = tested & (temporal[t] <= last[:active])
+        lost = tested & ~won
+        skip[:active] = np.where(lost, limit[:active] >> 1, np.maximum(skip[:active] - 1, 0))
+        limit[:active] = np.where(won, 1, np.where(lost, np.minimum(2 * limit[:active], BACKOFF_LIMIT), limit[:active]))
+        last[:active] = np.where(won, last[:active], spatial[t])
+    return temporal[records], last, skip, limit
+
+
+def _leave(state: tuple, records, last, skip, limit) -> tuple:
+    """State after a segment, from the state before it: (size to beat, frames to skip, limit), or None before the first frame."""
+    if state is None:
+        way = len(_WAITING) + len(_LIMITS)
+    elif state[1]:
+        way = (state[1] - 1) * len(_LIMITS) + _LIMITS.index(state[2])
+    else:
+        record = int(np.searchsorted(records, state[0], "right"))
+        if record == len(records):
+            return (state[0], 0, 1)
+        way = len(_WAITING) + (_LIMITS.index(state[2]) if record == 0 else len(_LIMITS) + record)
+    return (float(last[way]), int(skip[way]), int(limit[way]))
+
+
+def _decide(state: tuple | None, spatial: np.ndarray, temporal: np.ndarray):
+    """Modes and tests of a segment's frames from the state it is entered with."""
+    modes, tests = np.zeros(len(spatial), np.int32), np.zeros(len(spatial), bool)
+    last, skip, limit = state or (None, 0, 1)
+    for t, (own, diff) in enumerate(zip(spatial.tolist(), temporal.tolist())):
+        tested = last is not None and skip == 0
+        tests[t] = tested
+        if tested and diff <= last:
+            modes[t], limit = 1, 1
+        elif tested:
+            last, skip, limit = own, limit >> 1, min(limit * 2, BACKOFF_LIMIT)
+        else:
+            last, skip = own, max(skip - 1, 0)
+    return modes, tests
+
+
+def choose_frames(sizes: DataFrame, keys: list[str], segment: int = FRAME_SEGMENT) -> DataFrame:
     """Spatial (0) or temporal (1) coding per frame.
 
     Temporal wins when its estimate is at most the last spatial size; after spatial wins the test is
-    skipped for a while.  The decision runs through all frames of a key in order; sizes are one small row per
-    frame and stream through a sorted partition, so only three numbers are held.
+    skipped for a while.  Segments of frames are summed up side by side, each for every state it may be entered with; only
+    these summaries, one a segment, are followed in order, and then all segments decide their frames from their own entry states.
     """
-    names = [*keys, "frame"]
-    rows = sizes.select(*keys, F.col("frame").cast("bigint").alias("frame"), "spatial_bits", "temporal_bits")
-    ordered = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*names)
-    schema = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in names) + ", mode int, tested boolean"
+    types = dict(sizes.dtypes)
+    frame = F.col("frame").cast("bigint")
+    row = F.struct(frame.alias("frame"), F.col("spatial_bits").cast("double").alias("spatial"), F.col("temporal_bits").cast("double").alias("temporal"))
+    packed = sizes.groupBy(*keys, F.floor(frame / segment).alias("_segment")).agg(F.array_sort(F.collect_list(row)).alias("_f"))
+    packed = checkpointed(packed.select(*keys, "_segment", "_f.frame", "_f.spatial", "_f.temporal"))
+    named = ", ".join(f"{k} {types[k]}" for k in keys) + (", " if keys else "")
+
+    def follow(batches):
+        for batch in batches:
+            found = [_follow(np.array(s), np.array(t)) for s, t in zip(batch.column("spatial").to_pylist(), batch.column("temporal").to_pylist())]
+            lists = [pa.array([x[k].tolist() for x in found], pa.list_(kind)) for k, kind in enumerate((pa.float64(), pa.float64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("_segment"), *lists], names=[*keys, "_segment", "records", "last", "skip", "limit"])
+
+    def enter(group: pa.Table) -> pa.Table:
+        group, state, entered = group.sort_by("_segment"), None, []
+        for records, last, skip, limit in zip(*(group.column(c) for c in ("records", "last", "skip", "limit"))):
+            entered.append(state)
+            state = _leave(state, *(np.array(x.values) for x in (records, last, skip, limit)))
+        columns = [pa.array([s[k] if s else None for s in entered], kind) for k, kind in enumerate((pa.float64(), pa.int32(), pa.int32()))]
+        return pa.table([*(group.column(k) for k in keys), group.column("_segment"), *columns], names=[*keys, "_segment", "_last", "_skip", "_limit"])
 
     def decide(batches):
-        key, last, skip, limit = None, None, 0, 1
         for batch in batches:
-            modes, tests = [], []
-            owners = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
-            for owner, spatial, temporal in zip(owners, batch.column("spatial_bits").to_pylist(), batch.column("temporal_bits").to_pylist()):
-                if owner != key:
-                    key, last, skip, limit = owner, None, 0, 1
-                tested = last is not None and skip == 0
-                mode = int(tested and temporal <= last)
-                if mode:
-                    limit = 1
-                elif tested:
-                    last, skip, limit = spatial, limit >> 1, limit * 2 if limit < BACKOFF_LIMIT else limit
-                else:
-                    last, skip = spatial, max(skip - 1, 0)
-                modes.append(mode)
-                tests.append(tested)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(modes, pa.int32()), pa.array(tests, pa.bool_())],
-                                             names=[*names, "mode", "tested"])
-
-    return ordered.mapInArrow(decide, schema)
+            frames = batch.column("frame")
+            ends = np.append(0, np.cumsum(pa.compute.list_value_length(frames).to_numpy(zero_copy_only=False)))
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends)))
+            entry = [None if a is None else (a, b, c) for a, b, c in zip(*(batch.column(x).to_pylist() for x in ("_last", "_skip", "_limit")))]
+            done = [_decide(e, np.array(s), np.array(t)) for e, s, t in zip(entry, batch.column("spatial").to_pylist(), batch.column("temporal").to_pylist())]
+            modes, tests = (np.concatenate([np.zeros(0, kind), *(d[k] for d in done)]) for k, kind in ((0, np.int32), (1, bool)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(owner) for k in keys), frames.flatten(), pa.array(modes), pa.array(tests)], names=[*keys, "frame", "mode", "tested"])
+
+    summaries = packed.select(*keys, "_segment", "spatial", "temporal").mapInArrow(
+        follow, named + "_segment bigint, records array<double>, last array<double>, skip array<int>, limit array<int>")
+    entries = summaries.withColumn("_one", F.lit(0)).groupBy(*keys, "_one").applyInArrow(
+        lambda group: enter(group.drop_columns(["_one"])), named + "_segment bigint, _last double, _skip int, _limit int")
+    both = packed.alias("p").join(entries.select(*(F.col(c).alias(c) for c in entries.columns)), [*keys, "_segment"])
+    return both.mapInArrow(decide, named + "frame bigint, mode int, tested boolean")
 
 
 def chain_starts(choices: DataFrame, keys: list[str], size: int) -> DataFrame:
