@@ -34,12 +34,14 @@ def temporal_batches(df: DataFrame, keys: list[str], value: str, eb: float, size
     """Closed-loop prediction along time, restarted per batch of ``size`` frames.
 
     Each particle's batch is one bounded array.  The first frame of a batch is predicted from
-    ``key_frame`` (``keys, start``), an equi-join on the particle, or from zero.
+    ``key_frame`` (``keys, start``), an equi-join on the particle, or from zero; particles that the key frame
+    lacks start from zero as well.
     """
     chunks = to_chunks(df, keys, "frame", value, size, chunk="batch")
     if key_frame is None:
         return quantize_chunks(chunks, F.lit(0.0), eb, layers, radius)
-    return quantize_chunks(chunks.join(key_frame, keys), F.col("start"), eb, layers, radius)
+    started = chunks.join(key_frame, keys, "left").withColumn("start", F.coalesce("start", F.lit(0.0)))
+    return quantize_chunks(started, F.col("start"), eb, layers, radius)
 
 
 def first_frame(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -31,7 +31,7 @@ LEVELS = "struct<start: double, offset: double, levels: int>"
 def tiles(df: DataFrame, batch: int, atoms: int = ATOMS_PER_TILE) -> DataFrame:
     """``(axis, slot, frame, v)`` to tiles: frame-major values of up to ``batch`` x ``atoms``.
 
-    ``slot`` is the atom number, once a frame at most.  A tile spans the frames it has (``frames``) and the slots from ``slot0``;
+    ``slot`` is the atom number, once a frame at most: a second value for it is an error.  A tile spans the frames it has (``frames``) and the slots from ``slot0``;
     atoms that a frame lacks are filled with their last value and listed in ``absent``.  ``start`` holds the atoms' values
     in frame 0 of the run, 0 where there is none.
     """
@@ -52,6 +52,8 @@ def _dense() -> Column:
         for r in range(len(frame)):
             at, atom, value = (c[r].values.to_numpy(zero_copy_only=False) for c in (frame, slot, v))
             frames, row = np.unique(at, return_inverse=True)
+            if len(np.unique(np.stack([at, atom]), axis=1).T) < len(at):
+                raise ValueError("an atom has several values in one frame")
             low = int(atom.min())
             width = int(atom.max()) - low + 1
             vals, held = np.zeros((len(frames), width)), np.zeros((len(frames), width), bool)
