@@ -1,14 +1,14 @@
 """Benchmark passages in documents by latent semantic retrieval.
 
-1. Terms are the words of the benchmark; document frequencies over all documents give their weights, and terms that more
-   than `common` of the documents hold get none.
+1. Terms are the words of the benchmark; document frequencies over all documents give their weights.
 2. Benchmark texts are cut into overlapping passages; their TF-IDF matrix A gets a randomised SVD: products A'(A X) are
    summed over partitions, with X a random matrix first and the basis found so far afterwards.
 3. Every document is cut into windows of two bins of 16 words; windows and passages meet by cosine in the latent space.
-   Every item is searched exactly before, so what is found depends neither on weights nor on the cosine: a place that
-   holds `share` of an item can lack only so many of its words, hence it holds some of the item's rarest ones.
+   Beside it every item is searched exactly: a place that holds `share` of an item can lack only so many of its words, hence
+   it holds some of the item's rarest ones.  The candidates of both searches are checked.
 4. A candidate counts if the longest common subsequence of words holds `share` of the item, and `answer_share` of its
-   answer: the words after the last question mark, else the last quarter.
+   answer: the words after the last question mark, else the last quarter.  Of an item as near as `near` by cosine
+   `near_share` will do: a paraphrase, which only the latent search finds.
 
 Benchmark texts are dealt into blocks of about `block_bytes` bytes, one search of all documents a block, so what is sent
 to the executors is bounded whatever the benchmark's size.
@@ -139,20 +139,18 @@ class Searcher:
     """Latent passages of one block of items and the checks on candidates."""
 
     def __init__(self, items: list[tuple[int, str]], weights: dict[str, float], terms: dict[str, int], basis,
-                 cosine: float, share: float, answer_share: float, seen: dict[str, int]):
+                 cosine: float, share: float, answer_share: float, seen: dict[str, int], near: float, near_share: float):
         import numpy as np
 
         # by place in the block: texts that share an item_id are items of their own
         self.item_ids, self.words = [i for i, _ in items], [words_of(t) for _, t in items]
         self.answers = [w[len(w) - answer_length(t, len(w)):] for w, (_, t) in zip(self.words, items, strict=True)]
         self.counts = [Counter(w) for w in self.words]
-        self.cosine, self.share, self.answer_share = cosine, share, answer_share
-        # codes: a term's number, then those of the words without weight; the last (not in the table) is for words outside the benchmark
-        self.n_terms = len(terms)
-        plain = sorted({w for words in self.words for w in words}.difference(terms))
-        self.codes = terms | {w: i for i, w in enumerate(plain, len(terms))}
+        self.cosine, self.share, self.answer_share, self.near, self.near_share = cosine, share, answer_share, near, near_share
+        # codes: a term's number; the last (not in the table) is for words outside the benchmark
+        self.n_terms, self.codes = len(terms), terms
         weight = np.array([weights[w] for w in terms])
-        self.mass = np.concatenate([weight, np.zeros(len(plain)), [OUTSIDE]]) ** 2  # by code
+        self.mass = np.append(weight, OUTSIDE) ** 2  # by code
         self.vectors = (basis * weight[:, None]).astype(np.float32)
         owner, rows = [], []
         for i, w in enumerate(self.words):
@@ -277,7 +275,7 @@ class Searcher:
                 i, d, c = int(item[x]), int(key[x] // width // len(self.words)), int(key[x] % width) - 1
                 span = int(self.span[i])
                 size, words = len(self.words[i]), split[d]
-                if self.may_hold(words[max(0, c * span):(c + 2) * span], i):
+                if self.may_hold(words[max(0, c * span):(c + 2) * span], i, self.share):
                     for w in range(max(0, -(-(c * span + size) // BIN)), -(-min((c + 1) * span + size, len(words)) // BIN)):
                         yield d, w, i
             a = b
@@ -293,19 +291,20 @@ class Searcher:
         near = float((mine @ self._unit(self.vectors[known].sum(axis=0)[None])[0]).max())
         return near * math.sqrt(self.mass[known].sum() / max(self.mass[ids].sum(), 1e-12))
 
-    def may_hold(self, region: list[str], item: int) -> bool:
+    def may_hold(self, region: list[str], item: int, share: float) -> bool:
         """Whether a region has enough of an item's words, in whatever order."""
         here = Counter(region)
-        return sum(min(n, here[w]) for w, n in self.counts[item].items()) >= self.share * len(self.words[item])
+        return sum(min(n, here[w]) for w, n in self.counts[item].items()) >= share * len(self.words[item])
 
-    def matches(self, words: list[str], at: int, item: int) -> int | None:
+    def matches(self, words: list[str], at: int, item: int, cosine: float) -> int | None:
         """Words of an item that a window and its surroundings hold in order, or None if they are too few."""
         wanted, answer = self.words[item], self.answers[item]
+        share = self.near_share if cosine >= self.near else self.share
         region = words[max(0, at * BIN - len(wanted)):(at + 2) * BIN + len(wanted)]
-        if not self.may_hold(region, item):
+        if not self.may_hold(region, item, share):
             return None
         n = common_length(wanted, region)
-        if n < self.share * len(wanted) or common_length(answer, region) < self.answer_share * len(answer):
+        if n < share * len(wanted) or common_length(answer, region) < self.answer_share * len(answer):
             return None
         return n
 
@@ -313,25 +312,23 @@ class Searcher:
         import numpy as np
 
         split = [words_of(t) for t in texts]
-        windows = list(self.exact(split, self._ids(split, np.array([len(x) for x in split], np.int64))))
-        held = sorted({d for d, _, _ in windows})  # no other text can hold an item, so the latent search leaves them out
-        some = [split[d] for d in held]
-        near = self.candidates(some, self._ids(some, np.array([len(x) for x in some], np.int64)))
-        tried, best = {}, {}
-        for d, at, item, cosine in chain(((held[d], *x) for d, *x in near), ((*x, None) for x in windows)):
-            if (d, at, item) not in tried:
-                tried[d, at, item] = self.matches(split[d], at, item)
-            elif cosine is None:
-                continue
-            n = tried[d, at, item]
-            if n is not None and cosine is None:
+        ids = self._ids(split, np.array([len(x) for x in split], np.int64))
+        cosines: dict[tuple, float] = {}
+        for d, at, item, cosine in self.candidates(split, ids):
+            cosines[d, at, item] = max(cosine, cosines.get((d, at, item), 0.0))
+        for d, at, item in self.exact(split, ids):
+            cosines.setdefault((d, at, item), -1.0)
+        best: dict[tuple, tuple] = {}
+        for (d, at, item), cosine in cosines.items():
+            n = self.matches(split[d], at, item, cosine)
+            if n is not None and cosine < 0:
                 cosine = self.score(split[d], at, item)
             if n is not None and (n, cosine) > best.get((d, item), (0, 0.0, 0))[:2]:
                 best[d, item] = (n, cosine, at * BIN)
         return [(keys[d], self.item_ids[i], at, n, len(self.words[i]), c) for (d, i), (n, c, at) in best.items()]
 
 
-def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: float, answer_share: float, common: float) -> DataFrame | None:
+def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: float, answer_share: float, near: float, near_share: float) -> DataFrame | None:
     import numpy as np
 
     spark = docs.sparkSession
@@ -340,8 +337,7 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
     if not vocabulary:
         return None
     n, seen = document_frequencies(docs, vocabulary)
-    weights = {w: math.log((n + 1) / (seen.get(w, 0) + 1)) for w in sorted(vocabulary) if seen.get(w, 0) <= common * n or n < 10}
-    weights = {w: max(x, 1e-3) for w, x in weights.items()}
+    weights = {w: max(math.log((n + 1) / (seen.get(w, 0) + 1)), 1e-3) for w in sorted(vocabulary)}
     terms = {w: i for i, w in enumerate(weights)}
     known = spark.sparkContext.broadcast((weights, terms))
 
@@ -362,10 +358,9 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
                     values.append([x / size for x in counts.values()])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["ids", "weights"])
 
-    # a block of items is small, so a few partitions do and few partial products meet
-    matrix = bench.select("text").repartition(8).mapInArrow(rows, "ids array<long>, weights array<double>").where(F.size("ids") > 0)
-    basis = latent_basis(matrix, len(terms)) if terms else np.zeros((0, 0))
-    searcher = spark.sparkContext.broadcast(Searcher(items, weights, terms, basis, cosine, share, answer_share, seen))
+    matrix = bench.select("text").mapInArrow(rows, "ids array<long>, weights array<double>").where(F.size("ids") > 0)
+    basis = latent_basis(matrix, len(terms))
+    searcher = spark.sparkContext.broadcast(Searcher(items, weights, terms, basis, cosine, share, answer_share, seen, near, near_share))
 
     def search(batches):
         import pyarrow as pa
@@ -382,7 +377,7 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
 
 
 def benchmark_matches(docs: DataFrame, bench: DataFrame, cosine: float = 0.3, share: float = 0.6, answer_share: float = 0.5,
-                      common: float = 0.2, block_bytes: int = 1 << 20) -> DataFrame:
+                      near: float = 0.45, near_share: float = 0.45, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, item_id, word_start, matched, item_words, cosine: one row for each document and item that it holds."""
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = bench.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
@@ -390,7 +385,7 @@ def benchmark_matches(docs: DataFrame, bench: DataFrame, cosine: float = 0.3, sh
     n_blocks = -(-total // block_bytes)
     out = docs.sparkSession.createDataFrame([], HIT_SCHEMA)
     for b in range(n_blocks):
-        found = _block_matches(texts, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b), cosine, share, answer_share, common)
+        found = _block_matches(texts, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b), cosine, share, answer_share, near, near_share)
         out = out if found is None else found if n_blocks == 1 else out.unionByName(found)
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("matched"), F.desc("cosine"), "word_start")
     return out.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
