@@ -9,6 +9,7 @@ from errbound.catalog.particles import INVERSE_SQL
 from errbound.catalog.tables import ORDERS_PARTICLES_SQL, orders_particles, particles, slabs, table
 from errbound.catalog.trajectories import TRAJ_SQL, trajectory
 from errbound.config import Algorithm, Config, ErrorBoundMode, Interpolator
+from errbound.operators import particles as pt
 from errbound.operators import stencil, transforms
 from errbound.operators.ordering import to_chunks, with_position
 from errbound.plans import array_codec as codec
@@ -157,6 +158,61 @@ def particle_codec_query(spark, sf_dir):
 PARTICLE_CODEC_SQL = "SELECT count(*) AS n, count(*) AS positions, true AS bound_ok FROM orders"
 
 
+def _yearly(spark, sf_dir):
+    """The particle set with ids, one frame per year."""
+    return orders_particles(spark, sf_dir).withColumn("year", F.floor(F.col("z") / 366).cast("int"))
+
+
+def particle_codec_tuned(spark, sf_dir):
+    """Frames by year, each coded with the block edge that codes it best: edge, rows and whether all come back within the bound."""
+    pts = _yearly(spark, sf_dir)
+    edges = pc.best_edges(pts, ["year"], TUNED_EB)
+    packed = pc.compress_frames(pts, ["year"], TUNED_EB, edges)
+    order = pc.frame_order(pts, ["year"], TUNED_EB, edges)
+    back = pc.decode_frames(packed, ["year"]).select("year", "position", *[F.col(a).alias(f"d{a}") for a in "xyz"])
+    both = pts.join(order, ["year", "pid"]).join(back, ["year", "position"])
+    worst = F.greatest(*[F.abs(F.col(a) - F.col(f"d{a}")) for a in "xyz"])
+    found = both.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("positions"), (F.max(worst) <= TUNED_EB * (1 + 1e-9)).alias("bound_ok"))
+    return found.join(edges, "year")
+
+
+def edge_bits(spark, sf_dir):
+    """Coded bits of every candidate edge of every year's frame."""
+    pts = _yearly(spark, sf_dir)
+    return pt.edge_bits(pt.grid_cells(pts, ["year"], TUNED_EB), ["year"], TUNED_EB).select("year", "edge", F.round("bits", 2).alias("bits"))
+
+
+TUNED_EB = 2.0
+
+
+def _edge_bits_sql() -> str:
+    eb = f"{TUNED_EB!r}::DOUBLE"
+    cells = ", ".join(f"CAST(floor(({a} - p{a}) / {eb}) AS BIGINT) // 2 AS q{a}" for a in "xyz")
+    return f"""{ORDERS_PARTICLES_SQL}, f AS (SELECT *, CAST(floor(z / 366) AS INT) AS year FROM pts),
+bx AS (SELECT year, min(x) px, min(y) py, min(z) pz, max(x) - min(x) AS rx, max(y) - min(y) AS ry, max(z) - min(z) AS rz FROM f GROUP BY year),
+t AS (SELECT *, CAST(pow(2, a) AS BIGINT) AS e, (CAST(ceil(rx / (2.0::DOUBLE * pow(2, a) * {eb})) AS BIGINT) + 2) // 2 AS nx,
+  (CAST(ceil(ry / (2.0::DOUBLE * pow(2, a) * {eb})) AS BIGINT) + 2) // 2 AS ny FROM bx, unnest(range(17)) AS k(a)
+  WHERE a <= greatest(0, least(ceil(log2(rx / {eb})), ceil(log2(ry / {eb})), ceil(log2(rz / {eb}))))),
+q AS (SELECT year, e, nx, ny, {cells} FROM f JOIN t USING (year)),
+c AS (SELECT year, e, qx // e // 2 + (qy // e // 2) * nx + (qz // e // 2) * nx * ny AS block,
+  (qx // e) % 2 + ((qy // e) % 2) * 2 + ((qz // e) % 2) * 4 AS oct, qx % e + (qy % e) * e + (qz % e) * e * e AS pos, count(*) AS n FROM q GROUP BY ALL),
+d AS (SELECT *, oct - coalesce(lag(oct) OVER (PARTITION BY year, e, block ORDER BY oct, pos), 0) AS od,
+  pos - coalesce(lag(pos) OVER (PARTITION BY year, e, block, oct ORDER BY pos), 0) AS pd FROM c),
+hs AS (SELECT year, e, 'block' AS stream, block - coalesce(lag(block) OVER (PARTITION BY year, e ORDER BY block), 0) AS symbol, 1 AS w
+    FROM (SELECT DISTINCT year, e, block FROM c)
+  UNION ALL SELECT year, e, 'count', sum(n), 1 FROM c GROUP BY year, e, block
+  UNION ALL SELECT year, e, 'octant', od, 1 FROM d UNION ALL SELECT year, e, 'octant', 0, n - 1 FROM d
+  UNION ALL SELECT year, e, 'position', pd, 1 FROM d UNION ALL SELECT year, e, 'position', 0, n - 1 FROM d),
+h AS (SELECT year, e, stream, symbol, sum(w) AS f FROM hs WHERE w > 0 GROUP BY ALL),
+z AS (SELECT year, e, stream, least(sum(f) * log2(sum(f)) - sum(f * log2(f)), sum(f) * greatest(1, ceil(log2(max(symbol) - min(symbol) + 1)))) AS bits FROM h GROUP BY ALL),
+s AS (SELECT year, e AS edge, round(sum(bits), 2) AS bits FROM z GROUP BY ALL)"""
+
+
+EDGE_BITS_SQL = f"WITH {_edge_bits_sql()} SELECT year, edge, bits FROM s"
+TUNED_SQL = f"""WITH {_edge_bits_sql()}, b AS (SELECT year, arg_min(edge, bits * 1000000 + edge) AS edge FROM s GROUP BY year)
+SELECT f.year, count(*) AS n, count(*) AS positions, true AS bound_ok, any_value(edge) AS edge FROM f JOIN b USING (year) GROUP BY f.year"""
+
+
 def particle_cells_codec(spark, sf_dir):
     """Spatial codec on the crowded particle set: decoded centres and their counts."""
     packed = pc.compress_frames(particles(spark, sf_dir), [], 0.5, 8)
@@ -221,6 +277,8 @@ def md_methods(spark, sf_dir):
 
 QUERIES |= {
     "codec_pw_rel": (codec_pw_rel, PW_CODEC_SQL),
+    "edge_bits": (edge_bits, EDGE_BITS_SQL),
+    "particle_codec_tuned": (particle_codec_tuned, TUNED_SQL),
     "particle_codec": (particle_codec_query, PARTICLE_CODEC_SQL),
     "particle_cells_codec": (particle_cells_codec, INVERSE_SQL),
     "particle_raw": (particle_raw, RAW_SQL),

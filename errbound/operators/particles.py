@@ -16,6 +16,7 @@ from errbound.functions.quantizer import grid_centre, grid_index
 from errbound.functions.scalars import fixed_width
 from errbound.operators.encoders import entropy_bits
 from errbound.operators.ordering import lag_sparse, ordered_prefix, running_sum, with_position
+from errbound.session import checkpointed
 
 AXES = ("x", "y", "z")
 
@@ -302,3 +303,38 @@ def trial_sizes(df: DataFrame, ranges: list[float], eb: float,
 def best_edge(sizes: DataFrame) -> DataFrame:
     """Smallest size wins, the smaller edge wins ties."""
     return sizes.agg(F.min(F.struct("bits", "bx", "by", "bz")).alias("s")).select("s.bx", "s.by", "s.bz", "s.bits")
+
+
+def grid_cells(df: DataFrame, keys: list[str], eb: float) -> DataFrame:
+    """Occupied grid cells of each key with their particle counts and the key's box; frames outside the grid are left out."""
+    box = [f"{p}{a}" for p in "pr" for a in AXES]
+    boxed = with_box(df.select(*keys, *AXES), keys).where(~needs_raw(eb))
+    grid = boxed.withColumns({f"q{a}": grid_index(a, f"p{a}", F.lit(eb)) for a in AXES})
+    return grid.groupBy(*keys, *[f"q{a}" for a in AXES]).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in box])
+
+
+def candidate_edges(eb: float, most: int = MAX_TRIAL_EXPONENT) -> Column:
+    """Cubic block edges worth trying for a key's box: powers of two whose block ids fit, up to the shortest axis."""
+    low = F.log2(least_edge(eb).cast("double")).cast("int")
+    spans = [F.when(F.col(f"r{a}") > 0, F.ceil(F.log2(F.col(f"r{a}") / F.lit(eb)))).otherwise(0) for a in AXES]
+    high = F.greatest(F.least(*spans, F.lit(most)).cast("int"), low)
+    return F.transform(F.sequence(low, high), lambda k: F.pow(F.lit(2.0), k).cast("bigint"))
+
+
+def edge_bits(cells: DataFrame, keys: list[str], eb: float) -> DataFrame:
+    """Coded bits of the four streams of each key's frame for every candidate edge.
+
+    Particles are counted into occupied cells once; each candidate numbers those cells anew, so the work follows the
+    occupied cells and not the particles, and frames choose side by side.
+    """
+    tried = cells.withColumn("edge", F.explode(candidate_edges(eb)))
+    edge = F.col("edge")
+    placed = with_block_ids(tried, eb, (edge, edge, edge)).select(*keys, "edge", "block", "oct", "pos", "n")
+    sizes = stream_sizes(stream_histograms(checkpointed(placed), [*keys, "edge"], edge * edge * edge), [*keys, "edge"])
+    return sizes.groupBy(*keys, "edge").agg(F.sum(F.least("entropy_bits", "fixed_bits")).alias("bits"))
+
+
+def best_edges(df: DataFrame, keys: list[str], eb: float) -> DataFrame:
+    """keys, ``edge``: the block edge that codes each key's frame in the fewest bits; the smaller edge wins ties."""
+    bits = edge_bits(grid_cells(df, keys, eb), keys, eb)
+    return bits.groupBy(*keys).agg(F.min(F.struct("bits", "edge")).alias("s")).select(*keys, "s.edge")

@@ -33,21 +33,27 @@ def _with_fix(df: DataFrame, eb: float) -> DataFrame:
     return df.withColumn("fix", fix.cast("bigint"))
 
 
-def _edge(eb: float, edge: int) -> Column:
+def _edge(eb: float, edge: Column) -> Column:
     small = F.lit(True)
     for a in pt.AXES:
         small = small & (F.col(f"r{a}") / F.lit(eb) <= pt.SINGLE_CELLS)
-    return F.when(small, 1).otherwise(F.greatest(F.lit(edge), pt.least_edge(eb))).cast("bigint")
+    return F.when(small, 1).otherwise(F.greatest(edge, pt.least_edge(eb))).cast("bigint")
 
 
-def blocked(df: DataFrame, keys: list[str], eb: float, edge: int) -> DataFrame:
+def blocked(df: DataFrame, keys: list[str], eb: float, edge: int | DataFrame) -> DataFrame:
     """Attach box, grid, repair digits, block edge, block ids and the code-order key ``ord``.
 
-    Frames too wide for the grid are left to :func:`raw_rows`; on a fine grid the edge grows until the ids fit.
+    The edge is one number or a table of one per key (``keys, edge``), as :func:`best_edges` gives it.  Frames too wide for
+    the grid are left to :func:`raw_rows`; on a fine grid the edge grows until the ids fit.
     """
     boxed = pt.with_box(df, keys).where(~pt.needs_raw(eb))
+    if isinstance(edge, DataFrame):
+        named = edge.withColumnRenamed("edge", "_edge")
+        boxed = boxed.join(named, keys) if keys else boxed.crossJoin(F.broadcast(named))
+    else:
+        boxed = boxed.withColumn("_edge", F.lit(edge).cast("bigint"))
     grid = boxed.withColumns({f"q{a}": pt.grid_index(a, f"p{a}", F.lit(eb)) for a in pt.AXES})
-    grid = _with_fix(grid, eb).withColumn("edge", _edge(eb, edge))
+    grid = _with_fix(grid, eb).withColumn("edge", _edge(eb, F.col("_edge"))).drop("_edge")
     e = F.col("edge")
     ids = pt.with_block_ids(grid, eb, (e, e, e))
     return ids.withColumn("ord", ((F.col("oct") * e * e * e + F.col("pos")) * 27 + F.col("fix")).cast("bigint"))
@@ -105,14 +111,24 @@ def compress_cells(cells: DataFrame, keys: list[str], eb: float, size: int = CEL
                          *[lossless.compress(encoders.pack(c, "auto")).alias(f) for f, c in streams.items()])
 
 
-def compress_frames(df: DataFrame, keys: list[str], eb: float, edge: int = 8) -> DataFrame:
-    """Compress each key's particle set (the single-frame and per-frame containers), wide frames as raw rows."""
+def best_edges(df: DataFrame, keys: list[str], eb: float) -> DataFrame:
+    """The edges of the default mode, one per key, as a stored table that compression and permutation share."""
+    return checkpointed(pt.best_edges(df, keys, eb))
+
+
+def compress_frames(df: DataFrame, keys: list[str], eb: float, edge: int | DataFrame | None = None) -> DataFrame:
+    """Compress each key's particle set (the single-frame and per-frame containers), wide frames as raw rows.
+
+    Without an edge each frame gets the one that codes it best.
+    """
+    edge = best_edges(df, keys, eb) if edge is None else edge
     cells = compress_cells(numbered_cells(blocked(df, keys, eb, edge), keys), keys, eb)
     return cells.unionByName(raw_chunks(raw_rows(df, keys, eb), keys), allowMissingColumns=True)
 
 
-def frame_order(df: DataFrame, keys: list[str], eb: float, edge: int = 8) -> DataFrame:
-    """The permutation ``pid -> position`` of :func:`compress_frames`."""
+def frame_order(df: DataFrame, keys: list[str], eb: float, edge: int | DataFrame | None = None) -> DataFrame:
+    """The permutation ``pid -> position`` of :func:`compress_frames` with the same edges."""
+    edge = best_edges(df, keys, eb) if edge is None else edge
     particles = blocked(df, keys, eb, edge)
     order = output_positions(particles, numbered_cells(particles, keys), keys)
     return order.unionByName(raw_rows(df, keys, eb).select(*keys, "pid", "position"))
