@@ -24,7 +24,7 @@ _MARKS = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 _ODD = re.compile("[\x1c-\x1f]")
 _LETTER, _DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The memo is begun anew beyond so many characters of chunks.
-MEMO_CHARS = 5_000_000
+MEMO_CHARS = 2_500_000
 
 
 class Cuts:

@@ -231,19 +231,20 @@ def _expected_pairs(scores, begins, transitions, start, chain: int):
 class Tagger:
     """A model with a memo of the scores of recurring words."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, entries: int = MEMO_ENTRIES, chars: int = 800_000):
         import numpy as np
 
-        self.model, self.memo, self.scores = model, {}, np.empty((MEMO_ENTRIES, len(model.labels)), np.float32)
+        self.model, self.memo, self.entries, self.chars = model, {}, entries, chars
+        self.scores = np.empty((entries, len(model.labels)), np.float32)
 
     def _word_scores(self, words: list[str]):
         import numpy as np
 
         new = list(set(words).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
+        if len(self.memo) + len(new) > self.entries:
             self.memo.clear()
             new = list(set(words))
-            if len(new) > MEMO_ENTRIES:
+            if len(new) > self.entries:
                 place = {w: i for i, w in enumerate(new)}
                 return emissions(new, self.model)[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
         at = len(self.memo)
@@ -266,7 +267,7 @@ class Tagger:
 
     def predict(self, texts: list) -> list[tuple[str, float]]:
         out = []
-        for a, b in text_slices([t or "" for t in texts], 800_000):
+        for a, b in text_slices([t or "" for t in texts], self.chars):
             for words, found in self.label(texts[a:b]):
                 if words:
                     mean = found.mean(axis=0)
@@ -290,8 +291,8 @@ def train(docs: DataFrame, per_language: int = 200, max_chars: int = 8192, most_
     return fit(training_sample(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), per_language, max_chars, most_texts))
 
 
-def _tagger(known):
-    return Tagger(known.value) if known.value.labels else None
+def _tagger(known, **sizes):
+    return Tagger(known.value, **sizes) if known.value.labels else None
 
 
 def _predicted(tagger: Tagger | None, texts: list) -> list[tuple[str, float]]:
@@ -323,8 +324,8 @@ def determined(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        tagger = _tagger(known)
-        for batch in small_batches(batches):
+        tagger = _tagger(known, entries=80_000, chars=300_000)  # whole rows pass through beside it
+        for batch in small_batches(batches, 128):
             yield batch.filter(pa.array([x != UNDETERMINED for x, _ in _predicted(tagger, batch.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
