@@ -8,10 +8,10 @@ the k-th coarse score is scored exactly from its integers.  Local top rows of al
 
 Blocks and runs of queries are paired by co-grouping: each task holds one block and one run of queries.
 
-Rows: vectors that are null, empty, or hold null, non-finite or too large components (above 2**25 when quantised)
-take no part, nor do rows without a vec_id; of repeated vec_ids the greatest vector counts; vectors are compared
-with those of their own length; ties go to the smaller vec_id; an empty table gives an empty result; other columns
-are ignored.
+Rows: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without a
+vec_id; rows that repeat a vec_id are candidates and queries each; vectors are compared with those of their own length;
+ties go to the smaller vec_id; an empty table gives an empty result; other columns are ignored.  Integers beyond 2**61
+and scores beyond 64 bits are errors, not losses.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LIMIT = 1 << 25
-HIT_SCHEMA = "query_id long, vec_id long, score long"
+LIMIT = 1 << 61
+HIT_SCHEMA = "query_row long, query_id long, vec_id long, score long"
 
 
 def _add_planes(planes: dict, words: int):
@@ -86,11 +86,12 @@ def _at_least(slices: list, every, value: int):
 class Block:
     """Slices of one block of rows."""
 
-    def __init__(self, ids, vectors, dropped: int):
+    def __init__(self, rows, ids, vectors, dropped: int):
         import numpy as np
 
         n, self.dims = vectors.shape
-        self.ids, self.vectors, self.dropped = ids, vectors, dropped
+        self.rows, self.ids, self.vectors, self.dropped = rows, ids, vectors, dropped
+        self.most = float(np.abs(vectors).max())
         self.base = vectors.min(axis=0)
         coarse = (vectors - self.base) >> dropped
         self.bits = max(1, int(coarse.max()).bit_length())
@@ -103,8 +104,16 @@ class Block:
         rows[:n] = True
         self.every = np.packbits(rows, bitorder="little").view(np.uint64)
 
+    def scores(self, rows, query):
+        """Inner products; in whole numbers of any size where 64 bits may not do."""
+        import numpy as np
+
+        if self.dims * self.most * float(np.abs(query).max()) < 2.0**62:
+            return self.vectors[rows] @ query
+        return self.vectors[rows].astype(object) @ query.astype(object)
+
     def top(self, query, own: int, k: int):
-        """Ids and scores of the k best rows without the query's own."""
+        """Ids and scores of the k best rows without the query's own row."""
         import numpy as np
 
         planes: dict = {}
@@ -117,17 +126,17 @@ class Block:
                     planes.setdefault(j + b, []).append(signed[used, b])
         slices = _add_planes(planes, self.words)
         every = self.every
-        mine = np.flatnonzero(self.ids == own)
+        mine = np.flatnonzero(self.rows == own)
         if len(mine):
             every = every.copy()
             every[mine // 64] &= ~(np.uint64(1) << (mine % 64).astype(np.uint64))
-        width = int(size.sum()) * ((1 << self.dropped) - 1)
+        width = sum(size.tolist()) * ((1 << self.dropped) - 1)
         floor = (_kth_value(slices, every, k) << self.dropped) - width
         chosen = _at_least(slices, every, max(0, -(-floor >> self.dropped)) if floor > 0 else 0)
         rows = np.flatnonzero(np.unpackbits(chosen.view(np.uint8), bitorder="little"))
-        scores = self.vectors[rows] @ query
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows][best], scores[best]
+        scores, ids = self.scores(rows, query).tolist(), self.ids[rows].tolist()
+        best = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[i]))[:k]
+        return [ids[i] for i in best], [scores[i] for i in best]
 
 
 def _search(k: int, dropped: int):
@@ -135,31 +144,28 @@ def _search(k: int, dropped: int):
         import numpy as np
         import pyarrow as pa
 
-        ids, own, found = [], [], []
+        out: list[list] = [[], [], [], []]
         if block.num_rows and queries.num_rows:
             def matrix(t):
-                return np.frombuffer(b"".join(t.column("v").to_pylist()), ">i4").astype(np.int64).reshape(t.num_rows, -1)
-
-            index = Block(block.column("vec_id").to_numpy(), matrix(block), dropped)
-            for q, v in zip(queries.column("query_id").to_pylist(), matrix(queries), strict=True):
-                a, s = index.top(v, q, k)
-                ids.append(a)
-                found.append(s)
-                own.append(np.full(len(a), q))
-        parts = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (own, ids, found)]
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in parts], names=["query_id", "vec_id", "score"])
+                return np.frombuffer(b"".join(t.column("v").to_pylist()), ">i8").astype(np.int64).reshape(t.num_rows, -1)
+
+            index = Block(block.column("row").to_numpy(), block.column("vec_id").to_numpy(), matrix(block), dropped)
+            for r, q, v in zip(queries.column("row").to_pylist(), queries.column("query_id").to_pylist(), matrix(queries), strict=True):
+                ids, scores = index.top(v, r, k)
+                for column, values in zip(out, ([r] * len(ids), [q] * len(ids), ids, scores), strict=True):
+                    column.extend(values)
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_row", "query_id", "vec_id", "score"])
     return run
 
 
 def integer_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id, n (length) and v (big-endian 32-bit integers) of the vectors that take part."""
+    """row, vec_id, n (length) and v (big-endian 64-bit integers) of the vectors that take part."""
     x = F.col(vector).cast("array<double>")
-    good = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < LIMIT / 1024))
-    whole = F.transform(x, lambda e: F.floor(e * 1024).cast("int"))
-    rows = df.where(F.col("vec_id").isNotNull() & (F.size(vector) > 0) & good).select(F.col("vec_id").cast("long"), whole.alias("w"))
-    one = rows.groupBy("vec_id").agg(F.max("w").alias("w"))
-    packed = F.unhex(F.array_join(F.transform("w", lambda e: F.lpad(F.right(F.hex(e.cast("long")), F.lit(8)), 8, "0")), ""))
-    return one.select("vec_id", F.size("w").alias("n"), packed.alias("v"))
+    good = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    rows = df.where(F.col("vec_id").isNotNull() & (F.size(vector) > 0) & good).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    whole = F.transform("x", lambda e: F.when(F.abs(e) * 1024 < float(LIMIT), F.floor(e * 1024)).otherwise(F.raise_error(F.lit("a component is too large for 64 bits")).cast("long")))
+    packed = F.unhex(F.array_join(F.transform(whole, lambda e: F.lpad(F.hex(e), 16, "0")), ""))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("x").alias("n"), packed.alias("v"))
 
 
 def top_k(df: DataFrame, is_query, k: int = 10, block_rows: int = 8192, query_rows: int = 4096, dropped: int = 3) -> DataFrame:
@@ -172,14 +178,14 @@ def top_k(df: DataFrame, is_query, k: int = 10, block_rows: int = 8192, query_ro
     rows = stored(integer_vectors(df).withColumn("asks", is_query), "vectors")
     sizes = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
     n_blocks, n_runs = max(1, -(-sizes[0] // block_rows)), max(1, -(-sizes[1] // query_rows))
-    key = F.xxhash64("vec_id")
-    blocks = rows.select("vec_id", "v", F.concat_ws("/", "n", F.pmod(key, F.lit(n_blocks))).alias("block"),
+    key = F.xxhash64("row")
+    blocks = rows.select("row", "vec_id", "v", F.concat_ws("/", "n", F.pmod(key, F.lit(n_blocks))).alias("block"),
                          F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run"))
-    asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v", "n", F.pmod(key, F.lit(n_runs)).cast("int").alias("run"))
-    asked = asked.select("query_id", "v", "run", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "n")
-    asked = asked.select("query_id", "v", "run", F.concat_ws("/", "n", "b").alias("block"))
+    asked = rows.where("asks").select("row", F.col("vec_id").alias("query_id"), "v", "n", F.pmod(key, F.lit(n_runs)).cast("int").alias("run"))
+    asked = asked.select("row", "query_id", "v", "run", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "n")
+    asked = asked.select("row", "query_id", "v", "run", F.concat_ws("/", "n", "b").alias("block"))
     local = blocks.groupBy("block", "run").cogroup(asked.groupBy("block", "run")).applyInArrow(_search(k, dropped), HIT_SCHEMA)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -159,6 +159,22 @@ def test_bitsliced(spark):
     assert bitsliced.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_bitsliced_large_components_and_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0]), (5, [40000.0, 0.0]), (5, [1.0, 1.0]), (5, [1.0, 1.0]), (7, [5.0, 5.0]), (8, [0.5, 0.5]), (9, [-3e9, 2e9]), (100, [2.0, 0.0]), (0, [1.5, 0.0]), (11, [0.0, float("inf")])]
+    df = spark.createDataFrame([(i, v, "q", 1) for i, v in rows], "vec_id long, embedding array<double>, block string, row long")
+    vectors = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if np.isfinite(v).all()]
+    want = []
+    for a, (q, v) in enumerate(vectors):
+        if q % 100 == 0:
+            hits = sorted((-sum(x * y for x, y in zip(v, w)), i) for b, (i, w) in enumerate(vectors) if a != b)[:5]
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(hits, 1)]
+    for block, dropped in ((2, 3), (100, 0)):
+        got = bitsliced.top_k(df, F.col("vec_id") % 100 == 0, k=5, block_rows=block, query_rows=2, dropped=dropped)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    with pytest.raises(Exception, match="too large"):
+        bitsliced.top_k(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+
+
 def test_warc(spark):
     page = "<p>" + "x" * 200
     rows = [(i, f"http://h/{i}", page + str(i % 3)) for i in range(90)] + [(100, None, None), (101, "u v", "short"), (102, "u", "short"), (0, "http://h/0", page + "0"), (None, "n", page + "0")]
