@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from errbound import api
 from errbound.config import Algorithm, Config, ErrorBoundMode, strides
-from errbound.plans import md_codec, particle_codec
+from errbound.plans import md_codec
 from errbound.sources import container, raw
 
 
@@ -44,31 +44,65 @@ def run_array(spark: SparkSession, a: argparse.Namespace) -> None:
             api.verify(original, back, len(dims)).show(truncate=False, vertical=True)
 
 
+def write_axes(rows: DataFrame, paths: list[str], dtype: str) -> None:
+    """``idx`` and one column per axis to one raw file each."""
+    for axis, path in zip("xyz", paths):
+        raw.write_raw(rows.select("idx", F.col(axis).alias("v")), path, dtype)
+
+
 def run_particles(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Particle files per axis; with frames and a batch size temporal prediction is used."""
-    axes = raw.read_raw_columns(spark, dict(zip("xyz", a.input)))
-    frames, n = a.shape
-    rows = axes.select(F.floor(F.col("idx") / n).alias("frame"), (F.col("idx") % n).alias("pid"), "x", "y", "z")
-    rows = rows.select("frame", "pid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    if frames > 1 and a.batch:
-        key_frames, batches, order = particle_codec.compress_trajectory(rows, a.bound, a.batch, a.edge)
-        container.write_trajectory(key_frames, batches, a.packed, order if a.order else None)
+    """Compress three files ``-i`` to ``-z``, decompress ``-z`` to three files ``-o`` (or the inputs' names with ``.out``), report with ``-a``.
+
+    With frames and a batch size prediction runs along time.  Output files are in input order if ``-O`` kept it.
+    """
+    def rows() -> DataFrame:
+        axes = raw.read_raw_columns(spark, dict(zip("xyz", a.input)), a.type)
+        placed = axes.select(F.floor(F.col("idx") / a.shape[1]).alias("frame"), (F.col("idx") % a.shape[1]).alias("pid"), "x", "y", "z")
+        return placed.select("frame", "pid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+    if a.input and a.bound:
+        if not a.shape:
+            raise ValueError("-s frames particles is needed to compress")
+        api.compress_particles(rows(), a.packed, a.bound, tuple(a.shape), a.batch, a.edge, a.order or 0)
+    outputs = a.output or ([f"{path}.out" for path in a.input] if a.same_name and a.input else None)
+    if not outputs and not a.analyse:
         return
-    packed = particle_codec.compress_frames(rows, ["frame"], a.bound, a.edge)
-    packed.write.mode("overwrite").partitionBy("frame").parquet(f"{a.packed}/frames")
-    if a.order:
-        order = particle_codec.frame_order(rows, ["frame"], a.bound, a.edge)
-        container.write_permutation(order, f"{a.packed}/order", a.order, ["frame"])
+    facts, _, order = container.read_particles(spark, a.packed)
+    back = api.decompress_particles(spark, a.packed)
+    if outputs:
+        write_axes(back.select((F.col("frame") * facts["particles"] + F.col("place")).alias("idx"), "x", "y", "z"), outputs, a.type)
+    if a.analyse:
+        if order is None or not a.input:
+            raise ValueError("a report needs the input files and a container with its permutation (-O)")
+        a.shape = a.shape or [facts["frames"], facts["particles"]]
+        api.verify_particles(rows(), back).show(truncate=False, vertical=True)
 
 
 def run_md(spark: SparkSession, a: argparse.Namespace) -> None:
-    frames, atoms = a.shape
-    flat = raw.read_raw(spark, a.input)
-    rows = flat.select(F.lit("x").alias("axis"), F.floor(F.col("idx") / atoms).alias("frame"),
-                       (F.col("idx") % atoms).alias("slot"), F.col("v").cast("double").alias("v"))
-    mode = ErrorBoundMode.REL if a.rel else ErrorBoundMode.ABS
-    conf = Config(dims=(frames, atoms), mode=mode, abs_bound=a.abs or 0.0, rel_bound=a.rel or 0.0, quant_bins=a.bins)
-    container.write_container(md_codec.compress(rows, conf, a.batch, a.method), a.packed, conf, ["batch"])
+    """Compress one file, or one per axis, ``-i`` to ``-z``, decompress ``-z`` to as many files ``-o``, report with ``-a``."""
+    def rows(atoms: int) -> DataFrame:
+        names = "xyz"[:len(a.input)]
+        flat = raw.read_raw_columns(spark, dict(zip(names, a.input)), a.type)
+        axes = F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), F.col(n).cast("double").alias("v")) for n in names]))
+        placed = flat.select(F.floor(F.col("idx") / atoms).alias("frame"), (F.col("idx") % atoms).alias("slot"), axes.alias("e"))
+        return placed.select("e.axis", "frame", "slot", "e.v")
+
+    if a.input and (a.abs or a.rel):
+        if not a.shape:
+            raise ValueError("-s frames atoms is needed to compress")
+        mode = ErrorBoundMode.REL if a.rel else ErrorBoundMode.ABS
+        conf = Config(dims=tuple(a.shape), mode=mode, abs_bound=a.abs or 0.0, rel_bound=a.rel or 0.0, quant_bins=a.bins)
+        api.compress_md(rows(a.shape[1]), a.packed, conf, a.batch, a.method)
+    if not a.output and not a.analyse:
+        return
+    atoms = list(container.read_container(spark, a.packed)[1].dims)[1]
+    back = api.decompress_md(spark, a.packed)
+    for axis, path in zip("xyz", a.output or []):
+        raw.write_raw(back.where(F.col("axis") == axis).select((F.col("frame") * atoms + F.col("slot")).alias("idx"), "v"), path, a.type)
+    if a.analyse:
+        if not a.input:
+            raise ValueError("a report needs the input files")
+        api.verify_md(rows(atoms), back).show(truncate=False, vertical=True)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -90,18 +124,25 @@ def parser() -> argparse.ArgumentParser:
     arr.add_argument("-a", dest="analyse", action="store_true")
     arr.set_defaults(run=run_array)
     par = sub.add_parser("particles")
-    par.add_argument("-i", dest="input", nargs=3, required=True)
+    par.add_argument("-i", dest="input", nargs=3)
     par.add_argument("-z", dest="packed", required=True)
-    par.add_argument("-s", dest="shape", type=int, nargs=2, required=True, metavar=("FRAMES", "PARTICLES"))
-    par.add_argument("-e", dest="bound", type=float, required=True)
+    par.add_argument("-o", dest="output", nargs=3)
+    par.add_argument("-osn", dest="same_name", action="store_true")
+    par.add_argument("-s", dest="shape", type=int, nargs=2, metavar=("FRAMES", "PARTICLES"))
+    par.add_argument("-e", dest="bound", type=float)
     par.add_argument("-b", dest="batch", type=int, default=0)
-    par.add_argument("-E", dest="edge", type=int, default=8)
+    par.add_argument("-E", dest="edge", type=int)
+    par.add_argument("-t", dest="type", default="float32")
+    par.add_argument("-a", dest="analyse", action="store_true")
     par.add_argument("-O", dest="order", type=int, choices=(32, 64))
     par.set_defaults(run=run_particles)
     mol = sub.add_parser("md")
-    mol.add_argument("-i", dest="input", required=True)
+    mol.add_argument("-i", dest="input", nargs="+")
     mol.add_argument("-z", dest="packed", required=True)
-    mol.add_argument("-s", dest="shape", type=int, nargs=2, required=True, metavar=("FRAMES", "ATOMS"))
+    mol.add_argument("-o", dest="output", nargs="+")
+    mol.add_argument("-s", dest="shape", type=int, nargs=2, metavar=("FRAMES", "ATOMS"))
+    mol.add_argument("-t", dest="type", default="float32")
+    mol.add_argument("-a", dest="analyse", action="store_true")
     mol.add_argument("-A", dest="abs", type=float)
     mol.add_argument("-R", dest="rel", type=float)
     mol.add_argument("-b", dest="batch", type=int, default=10)

@@ -265,19 +265,25 @@ def _own_anchors(placed: DataFrame) -> DataFrame:
         "anchor", F.min("frame").over(Window.partitionBy("pid", "anchor", "_run"))).drop("_run")
 
 
-def compress_trajectory(df: DataFrame, eb: float, batch: int, edge: int = 8, radius: int = 32768,
+#: Block edge in the size estimates of a trajectory's frames.
+ESTIMATE_EDGE = 8
+
+
+def compress_trajectory(df: DataFrame, eb: float, batch: int, edge: int | None = 8, radius: int = 32768,
                         divisor: float = 1.0, group: int = 1024):
     """Compress ``(pid, frame, x, y, z)``: returns (key frames, temporal batches, permutation).
 
     Frames that start a chain (spatial choice or batch start) are spatial containers keyed by
     ``anchor``.  The frames after it are quantized against reconstructions, in the anchor's output order,
     and coded per group of particles.  A particle that appears late, or again after a gap, opens a chain of its own in
-    that frame; anchors too wide for the grid are raw rows.  A particle is in a frame at most once.
+    that frame; anchors too wide for the grid are raw rows.  A particle is in a frame at most once.  Without an edge each
+    anchor gets the one that codes it best.
     """
-    sizes = tm.spatial_sizes(df, [], eb, edge).join(tm.temporal_sizes(df, [], eb, radius), "frame")
+    sizes = tm.spatial_sizes(df, [], eb, ESTIMATE_EDGE if edge is None else edge).join(tm.temporal_sizes(df, [], eb, radius), "frame")
     chains = checkpointed(tm.chain_starts(tm.choose_frames(sizes, []), [], batch).select("frame", "anchor"))
     placed = _own_anchors(df.join(chains, "frame"))
     anchors = placed.where("frame = anchor").drop("frame")
+    edge = best_edges(anchors, ["anchor"], eb / divisor) if edge is None else edge
     particles = checkpointed(blocked(anchors, ["anchor"], eb / divisor, edge))
     cells = numbered_cells(particles, ["anchor"])
     raw = checkpointed(raw_rows(anchors, ["anchor"], eb / divisor))

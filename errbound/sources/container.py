@@ -38,6 +38,31 @@ def read_trajectory(spark: SparkSession, path: str, anchors: list[int] | None =
     return tables if anchors is None else tuple(t.where(F.col("anchor").isin(anchors)) for t in tables)
 
 
+FACTS_SCHEMA = "kind string, eb double, radius int, frames bigint, particles bigint, ordered boolean"
+
+
+def write_particles(spark: SparkSession, path: str, facts: dict, tables: tuple[DataFrame, ...], order: DataFrame | None = None, bits: int = 64) -> None:
+    """A particle container that describes itself: what decodes it, one table of frames or key frames with batches, optionally the permutation."""
+    if facts["kind"] == "trajectory":
+        write_trajectory(*tables, path)
+    else:
+        tables[0].write.mode("overwrite").partitionBy("frame").parquet(f"{path}/frames")
+    if order is not None:
+        write_permutation(order, f"{path}/order", bits, ["anchor" if facts["kind"] == "trajectory" else "frame"])
+    row = tuple((facts | {"ordered": order is not None})[c.split()[0]] for c in FACTS_SCHEMA.split(", "))
+    spark.createDataFrame([row], FACTS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def read_particles(spark: SparkSession, path: str, frames: list[int] | None = None) -> tuple[dict, tuple[DataFrame, ...], DataFrame | None]:
+    """Facts, tables and permutation; ``frames`` prunes single-frame containers to their folders."""
+    facts = spark.read.parquet(f"{path}/facts").first().asDict()
+    order = spark.read.parquet(f"{path}/order") if facts["ordered"] else None
+    if facts["kind"] == "trajectory":
+        return facts, read_trajectory(spark, path), order
+    table = spark.read.parquet(f"{path}/frames")
+    return facts, (table if frames is None else table.where(F.col("frame").isin(frames)),), order
+
+
 def write_permutation(order: DataFrame, path: str, bits: int = 64, keys: list[str] | None = None) -> None:
     """Input id per output position, as 32- or 64-bit integers."""
     kind = {32: "int", 64: "bigint"}[bits]

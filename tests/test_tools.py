@@ -4,9 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from errbound import api
 from errbound.__main__ import main
+from errbound.config import Config
 from errbound.operators import particles as pt
 from errbound.operators import sampling, temporal, transforms
+from errbound.plans import md_codec
 from errbound.plans import particle_codec as pc
 from errbound.sources import container
 
@@ -42,6 +45,55 @@ def test_particle_command(spark, tmp_path):
     assert [r.n for r in cells.groupBy("frame").agg(F.sum("n").alias("n")).collect()] == [200] * 6
 
 
+@pytest.mark.parametrize("batch", ["0", "4"])
+def test_particle_files_come_back(spark, tmp_path, capsys, batch):
+    rng = np.random.default_rng(5)
+    files, outs = [str(tmp_path / a) for a in "xyz"], [str(tmp_path / f"{a}.back") for a in "xyz"]
+    data = [(rng.normal(0, 5, 150) + rng.normal(0, 0.01, (5, 150)).cumsum(axis=0)).astype("<f4") for _ in files]
+    for x, path in zip(data, files):
+        x.tofile(path)
+    main(["particles", "-i", *files, "-z", str(tmp_path / "p"), "-s", "5", "150", "-e", "0.02", "-b", batch, "-O", "64", "-a"])
+    assert "max_abs_err" in capsys.readouterr().out
+    main(["particles", "-z", str(tmp_path / "p"), "-o", *outs])  # from the container alone
+    for x, path in zip(data, outs):
+        assert np.abs(np.fromfile(path, "<f4").reshape(x.shape) - x).max() <= 0.02 * (1 + 1e-4)
+    one = api.decompress_particles(spark, str(tmp_path / "p"), [2])
+    assert one.count() == 150 and {r.frame for r in one.select("frame").distinct().collect()} == {2}
+    main(["particles", "-i", *files, "-z", str(tmp_path / "u"), "-s", "5", "150", "-e", "0.02", "-b", batch, "-osn"])  # no permutation: own order
+    assert np.allclose(np.sort(np.fromfile(f"{files[0]}.out", "<f4").reshape(5, 150)), np.sort(data[0]), atol=0.0201)
+    with pytest.raises(ValueError, match="permutation"):
+        main(["particles", "-i", *files, "-z", str(tmp_path / "u"), "-a"])
+
+
+@pytest.mark.parametrize("axes", ["x", "xyz"])
+def test_md_files_come_back(spark, tmp_path, capsys, axes):
+    rng = np.random.default_rng(6)
+    files, outs = [str(tmp_path / a) for a in axes], [str(tmp_path / f"{a}.back") for a in axes]
+    data = [(rng.integers(0, 6, 30) + rng.normal(0, 0.02, (23, 30)).cumsum(axis=0)).astype("<f4") for _ in files]
+    for x, path in zip(data, files):
+        x.tofile(path)
+    main(["md", "-i", *files, "-z", str(tmp_path / "p"), "-s", "23", "30", "-A", "0.01", "-a"])
+    assert capsys.readouterr().out.count("max_abs_err") == len(axes)
+    main(["md", "-z", str(tmp_path / "p"), "-o", *outs])
+    for x, path in zip(data, outs):
+        assert np.abs(np.fromfile(path, "<f4").reshape(x.shape) - x).max() <= 0.01 * (1 + 1e-4)
+    part = api.decompress_md(spark, str(tmp_path / "p"), [1])
+    assert {r.frame for r in part.select("frame").distinct().collect()} == set(range(10, 20))
+
+
+def test_md_rejects_two_values_of_an_atom(spark):
+    rows = spark.createDataFrame([("x", 0, 0, 1.0), ("x", 0, 0, 2.0), ("x", 0, 1, 3.0)], "axis string, frame long, slot long, v double")
+    with pytest.raises(Exception, match="several values"):
+        md_codec.compress(rows, Config(dims=(1, 2), abs_bound=0.1), 10).collect()
+
+
+def test_particles_missing_from_frame_0_start_from_zero(spark):
+    rows = [(p, f, float(p + f)) for p in range(10) for f in range(6) if p or f]
+    df = spark.createDataFrame(rows, "pid long, frame long, x double")
+    done = temporal.temporal_batches(df, ["pid"], "x", 0.1, 6, 64, temporal.first_frame(df, ["pid"], "x"))
+    assert done.count() == 10
+
+
 def test_md_command(spark, tmp_path):
     np.random.default_rng(2).normal(size=(20, 40)).astype("<f4").tofile(tmp_path / "m")
     main(["md", "-i", str(tmp_path / "m"), "-z", str(tmp_path / "z"), "-s", "20", "40", "-R", "1e-3"])
