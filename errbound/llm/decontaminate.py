@@ -34,6 +34,8 @@ BIN = 16
 RANK = 128
 #: Weight of a word outside the benchmark: half that of a word in one of 10,000 documents, whatever the table's size.
 OUTSIDE = 0.5 * math.log(10_000)
+#: Words of a smaller weight, those that more than an eighth of the documents hold, are everyday ones in a bound of the check.
+EVERYDAY = math.log(8)
 _WORD = re.compile(r"\w+")
 HIT_SCHEMA = "doc_id long, item_id long, word_start long, matched long, item_words long, cosine double"
 
@@ -159,6 +161,12 @@ class Searcher:
                 if ids:
                     rows.append(self.vectors[ids].sum(axis=0))
                     owner.append(i)
+        self.holds, self.rare = (np.zeros((len(self.words), len(terms) + 1), bool) for _ in range(2))  # item, code: any word, words that are not everyday
+        self.everyday = np.zeros(len(self.words), np.int64)
+        for i, w in enumerate(self.words):
+            self.holds[i, [terms[x] for x in w]] = True
+            self.rare[i, [terms[x] for x in w if weights[x] >= EVERYDAY]] = True
+            self.everyday[i] = sum(weights[x] < EVERYDAY for x in w)
         self.owner, self.passages = np.array(owner, np.int64), self._unit(np.array(rows, np.float32).reshape(len(rows), self.vectors.shape[1]))
         self._list_rare(seen)
 
@@ -199,7 +207,7 @@ class Searcher:
         return np.fromiter(map(self.codes.get, chain.from_iterable(split), repeat(len(self.codes))), np.int64, int(sizes.sum()))
 
     def candidates(self, split: list[list[str]], ids):
-        """(text, window's first bin, item, cosine) of the pairs above the threshold.
+        """Texts, windows' first bins, items and cosines of the pairs above the threshold, each once.
 
         The cosine is that of the latent vectors times the share of the window's length that its terms make up; words
         outside the benchmark count with the weight OUTSIDE.  A window below the threshold by that
@@ -209,8 +217,9 @@ class Searcher:
 
         sizes = np.array([len(x) for x in split], np.int64)
         ends = np.cumsum(sizes)
+        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
         if not len(ids) or not len(self.passages):
-            return
+            return none
         bins = -(-sizes // BIN) + 1  # the last one stays empty, so no window spans two texts
         first = np.cumsum(bins) - bins
         place = np.repeat(first, sizes) + (np.arange(len(ids)) - np.repeat(ends - sizes, sizes)) // BIN
@@ -219,7 +228,7 @@ class Searcher:
         covered = np.sqrt((own[:-1] + own[1:]) / np.maximum(every[:-1] + every[1:], 1e-12))
         asked = np.flatnonzero(covered >= self.cosine)
         if not len(asked):
-            return
+            return none
         needed = np.zeros(total, bool)
         needed[asked] = needed[asked + 1] = True
         used = np.flatnonzero((ids < self.n_terms) & needed[place])
@@ -230,13 +239,41 @@ class Searcher:
         for a in range(0, len(heads), 50_000):
             lo, hi = heads[a], heads[a + 50_000] if a + 50_000 < len(heads) else len(used)
             sums[a:min(a + 50_000, len(heads))] = np.add.reduceat(self.vectors[ids[used[lo:hi]]], heads[a:a + 50_000] - lo, axis=0)
-        owner = np.repeat(np.arange(len(split)), bins)
+        owner, parts = np.repeat(np.arange(len(split)), bins), []
         for a in range(0, len(asked), 8192):
             at = asked[a:a + 8192]
             near = (self._unit(sums[slot[at]] + sums[slot[at + 1]]) @ self.passages.T) * covered[at, None]
-            for r, c in zip(*np.nonzero(near >= self.cosine), strict=True):
-                text = owner[at[r]]
-                yield int(text), int(at[r] - first[text]), int(self.owner[c]), float(near[r, c])
+            r, c = np.nonzero(near >= self.cosine)
+            if not len(r):
+                continue
+            item = self.owner[c]
+            heads = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))  # an item's best passage
+            text = owner[at[r[heads]]]
+            parts.append((text, at[r[heads]] - first[text], item[heads], np.maximum.reduceat(near[r, c], heads).astype(float)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
+
+    def roomy(self, split: list[list[str]], ids, text, at, item, cosine):
+        """Whether the windows' surroundings have as many of the items' words as a match needs: each time they occur, or
+        the rare ones each time they occur and the everyday ones as often as the item has them."""
+        import numpy as np
+
+        sizes = np.array([len(x) for x in split], np.int64)
+        first = np.cumsum(sizes) - sizes
+        n = np.array([len(w) for w in self.words])[item]
+        places = np.flatnonzero(ids < self.n_terms)
+        low = np.searchsorted(places, first[text] + np.maximum(0, at * BIN - n))
+        high = np.searchsorted(places, first[text] + np.minimum(sizes[text], (at + 2) * BIN + n))
+        needed = np.where(cosine >= self.near, min(self.near_share, self.share), self.share) * n
+        order, codes, fine = np.argsort(item, kind="stable"), ids[places], np.zeros(len(item), bool)
+        for group in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+            if len(group):
+                i = item[group[0]]
+                held = np.full(len(group), len(codes))
+                for table, more in ((self.holds, 0), (self.rare, self.everyday[i])):
+                    upto = np.append(0, np.cumsum(table[i][codes]))
+                    held = np.minimum(held, upto[high[group]] - upto[low[group]] + more)
+                fine[group] = held >= needed[group] - 1e-9
+        return fine
 
     def exact(self, split: list[list[str]], ids):
         """(text, window's first bin, item) of all windows whose surroundings may hold `share` of the item's words.
@@ -314,8 +351,10 @@ class Searcher:
         split = [words_of(t) for t in texts]
         ids = self._ids(split, np.array([len(x) for x in split], np.int64))
         cosines: dict[tuple, float] = {}
-        for d, at, item, cosine in self.candidates(split, ids):
-            cosines[d, at, item] = max(cosine, cosines.get((d, at, item), 0.0))
+        near = self.candidates(split, ids)
+        fine = self.roomy(split, ids, *near)
+        for d, at, item, cosine in zip(*(x[fine].tolist() for x in near), strict=True):
+            cosines[d, at, item] = cosine
         for d, at, item in self.exact(split, ids):
             cosines.setdefault((d, at, item), -1.0)
         best: dict[tuple, tuple] = {}
