@@ -206,11 +206,11 @@ def interpolators_all(spark, sf_dir):
     near = with_neighbours(placed_series(spark, sf_dir), ["user_id"], "pos", ["value"], before=1, after=2)
     a, b, c, d = F.col("value_m1"), F.col("value"), F.col("value_p1"), F.col("value_p2")
     forms = {
-        "linear": ip.linear(b, c), "linear1": ip.linear_extrapolate(a, b), "quad_1": ip.quad_1(a, b, c),
+        "linear": ip.linear(b, c), "linear1": ip.linear1(a, b), "quad_1": ip.quad_1(a, b, c),
         "quad_2": ip.quad_2(a, b, c), "quad_3": ip.quad_3(a, b, c), "cubic": ip.cubic(a, b, c, d),
         "cubic_front": ip.cubic_front(a, b, c, d), "cubic_front_2": ip.cubic_front_2(a, b, c, d),
         "cubic_back_1": ip.cubic_back_1(a, b, c, d), "cubic_back_2": ip.cubic_back_2(a, b, c, d),
-        "cubic2": ip.cubic_wide(a, b, c, d), "akima": ip.akima(a, b, c, d), "pchip": ip.pchip(a, b, c, d)}
+        "cubic2": ip.cubic2(a, b, c, d), "akima": ip.akima(a, b, c, d), "pchip": ip.pchip(a, b, c, d)}
     return near.where(a.isNotNull() & d.isNotNull()).select(
         "user_id", "pos", *[F.round(e, 8).alias(n) for n, e in forms.items()])
 

@@ -7,11 +7,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The weights of the stencils from here to cubic2 are those of the inventory.
+
 def linear(a, b):
     return (a + b) / 2
 
 
-def linear_extrapolate(a, b):
+def linear1(a, b):
     return -0.5 * a + 1.5 * b
 
 
@@ -47,7 +49,7 @@ def cubic_back_2(a, b, c, d):
     return (-5 * a + 21 * b - 35 * c + 35 * d) / 16
 
 
-def cubic_wide(a, b, c, d):
+def cubic2(a, b, c, d):
     return (-3 * a + 23 * b + 23 * c - 3 * d) / 40
 
 

@@ -55,7 +55,7 @@ def _line_predictions(n: int, kind: str) -> list[tuple[np.ndarray, tuple]]:
         mid = odd[odd + 1 < n]
         plan = [(mid, (ip.linear, (-1, 1)))]
         if n % 2 == 0:
-            plan.append((np.array([n - 1]), (lambda a: a, (-1,)) if n < 4 else (ip.linear_extrapolate, (-3, -1))))
+            plan.append((np.array([n - 1]), (lambda a: a, (-1,)) if n < 4 else (ip.linear1, (-3, -1))))
         return [(at, how) for at, how in plan if len(at)]
     mid = odd[(odd >= 3) & (odd + 3 < n)]
     last = n - 3 if n % 2 == 0 else n - 2

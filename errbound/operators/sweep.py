@@ -44,7 +44,7 @@ def pass_of(axes: list[str], order: tuple[int, ...]) -> Column:
 
 def prediction(near: Callable[[int], Column], at: Column, n: Column, kind: str) -> Column:
     """Value of the stencil for the odd place ``at`` of a line of ``n`` lattice points; ``near(o)`` is the point ``o`` places on."""
-    tail = F.when(n < 4, near(-1)).otherwise(ip.linear_extrapolate(near(-3), near(-1)))
+    tail = F.when(n < 4, near(-1)).otherwise(ip.linear1(near(-3), near(-1)))
     linear = F.when(at + 1 < n, ip.linear(near(-1), near(1))).otherwise(tail)
     if kind == "linear":
         return linear
