@@ -291,8 +291,8 @@ def train(docs: DataFrame, per_language: int = 200, max_chars: int = 8192, most_
     return fit(training_sample(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), per_language, max_chars, most_texts))
 
 
-def _tagger(known, **sizes):
-    return Tagger(known.value, **sizes) if known.value.labels else None
+def _tagger(known):
+    return Tagger(known.value) if known.value.labels else None
 
 
 def _predicted(tagger: Tagger | None, texts: list) -> list[tuple[str, float]]:
@@ -324,8 +324,8 @@ def determined(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        tagger = _tagger(known, entries=80_000, chars=300_000)  # whole rows pass through beside it
-        for batch in small_batches(batches, 128):
+        tagger = _tagger(known)
+        for batch in small_batches(batches):
             yield batch.filter(pa.array([x != UNDETERMINED for x, _ in _predicted(tagger, batch.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
