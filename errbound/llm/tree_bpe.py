@@ -155,6 +155,30 @@ def _whole(path: str):
     return run
 
 
+def leaves_of(text: str, leaf_chars: int) -> list[str]:
+    """A text cut into a power of two of almost equal parts of at most `leaf_chars` characters."""
+    n, m = len(text), 1
+    while m * leaf_chars < n:
+        m *= 2
+    return [text[i * n // m:(i + 1) * n // m] for i in range(m)]
+
+
+def _cut(leaf_chars: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in small_batches(batches, 16):
+            for key, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                text = text.as_py()
+                digest, parts = hashlib.sha256(text.encode()).hexdigest(), leaves_of(text, leaf_chars)
+                for a in range(0, len(parts), 256):
+                    some = parts[a:a + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(some), pa.int64()), pa.array([digest] * len(some)),
+                                                      pa.array(range(a, a + len(some)), pa.int64()), pa.array(some, pa.string())],
+                                                     names=["doc_id", "digest", "leaf", "text"])
+    return run
+
+
 def _leaf(path: str):
     def run(batches):
         import pyarrow as pa
@@ -179,14 +203,8 @@ def _merge(path: str):
 
 def encode_decode(docs: DataFrame, tokenizer: str, leaf_chars: int = 16_384) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the text decoded from them, for every row."""
-    named = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     short = named.where(F.length("text") <= leaf_chars).mapInArrow(_whole(tokenizer), ROW_SCHEMA)
-    n = F.length("text").cast("long")
-    leaves = F.expr(f"cast(shiftleft(1L, cast(ceil(log2(length(text) / {leaf_chars}D)) as int)) as long)")
-    cut = (named.where(F.length("text") > leaf_chars)
-           .select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text", n.alias("n"), leaves.alias("m"))
-           .select("doc_id", "digest", "text", "n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("leaf"))
-           .select("doc_id", "digest", "leaf", F.expr(
-               "substring(text, cast(leaf * n div m as int) + 1, cast((leaf + 1) * n div m - leaf * n div m as int))").alias("text")))
+    cut = named.where(F.length("text") > leaf_chars).mapInArrow(_cut(leaf_chars), "doc_id long, digest string, leaf long, text string")
     spread = cut.repartition("doc_id", "digest", "leaf").mapInArrow(_leaf(tokenizer), "doc_id long, digest string, leaf long, ids binary")
     return short.unionByName(spread.groupBy("doc_id", "digest").applyInArrow(_merge(tokenizer), ROW_SCHEMA))

@@ -66,6 +66,16 @@ def test_tree_bpe(spark, leaf):
     assert sorted(str(tuple(r)) for r in tree_bpe.encode_decode(docs(spark, rows), BYTE, leaf).collect()) == sorted(want)
 
 
+def test_tree_of_a_text_of_several_megabytes(spark):
+    text = LONG * 60 + "é" * 40_000 + "ab" * 30_000
+    parts = tree_bpe.leaves_of(text, 16_384)
+    assert "".join(parts) == text and max(map(len, parts)) <= 16_384 and len(parts) & (len(parts) - 1) == 0
+    t = encoder(BYTE).tokenizer
+    ids = t.encode(text, add_special_tokens=False).ids
+    (got,) = tree_bpe.encode_decode(docs(spark, [(1, text)]), BYTE).collect()
+    assert (got.n_tokens, got.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
 def test_tree_join_on_unsplit_texts():
     rng, t = random.Random(2), encoder(BYTE).tokenizer
     for alphabet in ("ab", "abcdefghijklmnop", "0123456789", "!?-", "ab 's\n<|endoftext|>", "é世\U0001f600a"):
