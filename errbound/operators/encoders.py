@@ -297,6 +297,11 @@ _CODERS = {
 }
 
 
+def coder(name: str) -> tuple:
+    """The two functions of a coder: integers to bytes and back."""
+    return _CODERS[name]
+
+
 def pack(symbols: str | Column, coder: str = "huffman") -> Column:
     """Array of integers to a self-contained BINARY stream."""
     encode = _CODERS[coder][0]

@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 LEVEL = 3
 
 
+def shrink(raw: bytes, codec: str = "zstd") -> bytes:
+    """One stream inside a Python pass."""
+    return zstandard.ZstdCompressor(level=LEVEL).compress(raw) if codec == "zstd" else raw
+
+
+def restore(packed: bytes, codec: str = "zstd") -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed) if codec == "zstd" else packed
+
+
 def compress(payload: str | Column, codec: str = "zstd") -> Column:
     @F.arrow_udf("binary")
     def zstd(raw: pa.Array) -> pa.Array:

@@ -13,16 +13,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from errbound.config import Algorithm, Config, ErrorBoundMode, Interpolator, strides
 from errbound.operators import block_codec as bc
 from errbound.operators import encoders, interp, lossless, stats
 from errbound.operators.closed_loop import _ragged, lorenzo_nd_recover, lorenzo_nd_step
+from errbound.operators.slices import VALUES, by_slices
 
 # Fixed value: chunks with fewer values than this are stored as they are.
 MIN_VALUES = 20
 
 CODED = "struct<q: array<int>, unpred: array<double>, side: binary>"
+PACKED = "struct<payload: binary, unpred_bytes: binary, side: binary>"
 
 
 def to_chunks(cells: DataFrame, keys: list[str], dims: list[int], edge: list[int], value: str = "v") -> DataFrame:
@@ -166,7 +169,7 @@ def quantized(confs: dict[str, Config], choice: Column) -> Column:
         flat, off = _ragged(vals)
         bound = eb.to_numpy(zero_copy_only=False).astype(np.float64)
         out: list[dict] = [{}] * len(bound)
-        for (shape, name), rows in by_shape_and_name(dims, names).items():
+        for shape, name, rows in by_shape_and_name(dims, names):
             data = np.stack([flat[off[r]:off[r + 1]] for r in rows])
             q, _, side = _predict(data, shape, bound[rows], confs[name])
             for k, r in enumerate(rows):
@@ -177,39 +180,65 @@ def quantized(confs: dict[str, Config], choice: Column) -> Column:
     return run("vals", "dims", "eb", choice)
 
 
-def by_shape_and_name(dims: pa.Array, names: pa.Array) -> dict[tuple, np.ndarray]:
+def by_shape_and_name(dims: pa.Array, names: pa.Array) -> list[tuple[tuple, str, np.ndarray]]:
+    """Rows of one shape and configuration, few enough at a time that working arrays stay bounded."""
     groups: dict[tuple, list[int]] = {}
     for i, (d, name) in enumerate(zip(dims.to_pylist(), names.to_pylist())):
         groups.setdefault((tuple(d), name), []).append(i)
-    return {key: np.array(rows) for key, rows in groups.items()}
+    parts = []
+    for (shape, name), rows in groups.items():
+        few = max(VALUES // math.prod(shape), 1)
+        parts += [(shape, name, np.array(rows[k:k + few])) for k in range(0, len(rows), few)]
+    return parts
 
 
-def dequantized(confs: dict[str, Config], choice: Column) -> Column:
-    """Inverse of :func:`quantized` from columns q, unpred, side, dims, eb."""
-    @F.arrow_udf("array<double>")
-    def run(q: pa.Array, unpred: pa.Array, side: pa.Array, dims: pa.Array, eb: pa.Array, names: pa.Array) -> pa.Array:
-        idx, off = _ragged(q)
-        raw, raw_off = _ragged(unpred)
-        sides = side.to_pylist()
+def packed_chunks(confs: dict[str, Config], choice: Column, conf: Config) -> Column:
+    """Struct (payload, unpred_bytes, side) of a chunk: what :func:`coded_columns` makes of :func:`quantized`, in one pass of one worker."""
+    encode, dtype = encoders.coder(_coder(conf))[0], _element(conf)
+
+    @F.arrow_udf(PACKED)
+    def run(vals: pa.Array, dims: pa.Array, eb: pa.Array, names: pa.Array) -> pa.Array:
+        flat, off = _ragged(vals)
         bound = eb.to_numpy(zero_copy_only=False).astype(np.float64)
-        values = np.zeros(len(idx))
-        for (shape, name), rows in by_shape_and_name(dims, names).items():
-            conf = confs[name]
-            qs = np.stack([idx[off[r]:off[r + 1]] for r in rows]).astype(np.int64)
+        out: list[dict] = [{}] * len(bound)
+        for shape, name, rows in by_shape_and_name(dims, names):
+            data = np.stack([flat[off[r]:off[r + 1]] for r in rows])
+            q, _, side = _predict(data, shape, bound[rows], confs[name])
+            for k, r in enumerate(rows):
+                out[r] = {"payload": lossless.shrink(encode(q[k].astype(np.int64)), conf.lossless),
+                          "unpred_bytes": lossless.shrink(data[k][q[k] == 0].astype(dtype).tobytes()), "side": lossless.shrink(side[k])}
+        return pa.array(out, pa.struct([(n, pa.binary()) for n in ("payload", "unpred_bytes", "side")]))
+
+    return run("vals", "dims", "eb", choice)
+
+
+def _unpacked(confs: dict[str, Config], conf: Config, named: bool):
+    """Batches of container rows to batches of decoded chunks, without the bytes."""
+    decode, dtype = encoders.coder(_coder(conf))[1], _element(conf)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names = batch.column("choice") if named else pa.array([""] * len(batch))
+        payload, stored_bytes, sides = (batch.column(n).to_pylist() for n in ("payload", "unpred_bytes", "side"))
+        bound = batch.column("eb").to_numpy(zero_copy_only=False).astype(np.float64)
+        out: list = [None] * len(batch)
+        for shape, name, rows in by_shape_and_name(batch.column("dims"), names):
+            one = confs[name]
+            qs = np.stack([decode(lossless.restore(payload[r], conf.lossless)) for r in rows])
             stored = np.zeros(qs.shape)
             for k, r in enumerate(rows):
-                stored[k][qs[k] == 0] = raw[raw_off[r]:raw_off[r + 1]]
-            if conf.algorithm is Algorithm.LORENZO_REG:
-                back = _decode_blocks(qs, stored, [sides[r] for r in rows], shape, bound[rows], conf)
+                stored[k][qs[k] == 0] = np.frombuffer(lossless.restore(stored_bytes[r]), dtype)
+            if one.algorithm is Algorithm.LORENZO_REG:
+                back = _decode_blocks(qs, stored, [lossless.restore(sides[r]) for r in rows], shape, bound[rows], one)
             else:
-                kind = "linear" if conf.interpolator is Interpolator.LINEAR else "cubic"
-                back = interp.unsweep(qs, stored, shape, bound[rows], conf.radius, kind,
-                                      conf.interp_direction, conf.interp_block_size or None)
+                kind = "linear" if one.interpolator is Interpolator.LINEAR else "cubic"
+                back = interp.unsweep(qs, stored, shape, bound[rows], one.radius, kind,
+                                      one.interp_direction, one.interp_block_size or None)
             for k, r in enumerate(rows):
-                values[off[r]:off[r + 1]] = back[k]
-        return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
+                out[r] = back[k]
+        left = {n: batch.column(n) for n in batch.schema.names if n not in ("payload", "unpred_bytes", "side")}
+        return pa.RecordBatch.from_pydict(left | {"decoded": pa.array(out, pa.list_(pa.float64()))})
 
-    return run("q", "unpred", "side", "dims", "eb", choice)
+    return run
 
 
 def _doubles(col: str | Column, dtype: str) -> Column:
@@ -288,9 +317,8 @@ def compress(chunks: DataFrame, keys: list[str], conf: Config, options: dict[str
         return stored(bounded, Algorithm.LOSSLESS.value, as_is)
     tiny = (F.col("n") < MIN_VALUES) | (F.col("eb") <= 0)
     choice = F.col("choice") if options else F.lit("")
-    coded = bounded.where(~tiny).withColumn("_c", quantized(options or {"": conf}, choice))
-    packed = coded.select(*kept, F.lit(conf.algorithm.value).alias("algo"),
-                          *[c.alias(n) for n, c in coded_columns("_c", conf).items()])
+    coded = bounded.where(~tiny).withColumn("_c", packed_chunks(options or {"": conf}, choice, conf))
+    packed = coded.select(*kept, F.lit(conf.algorithm.value).alias("algo"), "_c.*")
     return packed.unionByName(stored(bounded.where(tiny), Algorithm.LOSSLESS.value, as_is))
 
 
@@ -303,12 +331,9 @@ def decompress(container: DataFrame, conf: Config, options: dict[str, Config] |
         *keep, _from_doubles(lossless.decompress("payload"), _element(conf)).alias("decoded"))
     if conf.algorithm is Algorithm.LOSSLESS:
         return raw
-    coded = container.where(F.col("algo") == conf.algorithm.value).select(
-        *keep, encoders.unpack(lossless.decompress("payload", conf.lossless), _coder(conf)).alias("q"),
-        _from_doubles(lossless.decompress("unpred_bytes"), _element(conf)).alias("unpred"),
-        lossless.decompress("side").alias("side"))
-    choice = F.col("choice") if options else F.lit("")
-    return coded.select(*keep, dequantized(options or {"": conf}, choice).alias("decoded")).unionByName(raw)
+    coded = container.where(F.col("algo") == conf.algorithm.value).select(*keep, "payload", "unpred_bytes", "side")
+    schema = StructType([*[coded.schema[c] for c in keep], StructField("decoded", ArrayType(DoubleType()))])
+    return by_slices(coded, schema, "n", _unpacked(options or {"": conf}, conf, bool(options))).unionByName(raw)
 
 
 def packed_bytes() -> Column:
