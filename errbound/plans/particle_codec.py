@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from errbound.operators import encoders, lossless
 from errbound.operators import particles as pt
@@ -18,6 +19,7 @@ from errbound.operators import temporal as tm
 from errbound.operators.closed_loop import quantize_chunks, series_recover
 from errbound.operators.encoders import _ragged_int
 from errbound.operators.ordering import ordered_prefix, with_position
+from errbound.operators.slices import by_slices
 from errbound.session import checkpointed
 
 CELLS_PER_CHUNK = 4096
@@ -78,25 +80,28 @@ def numbered_cells(particles: DataFrame, keys: list[str]) -> DataFrame:
         (F.col("_n0") + F.col("_upto") - F.col("n")).alias("first_position")))
 
 
-def _restart_deltas() -> Column:
-    """Delta streams of one chunk of cells; octants restart per block, positions per octant."""
-    @F.arrow_udf("struct<block: array<bigint>, oct: array<bigint>, pos: array<bigint>>")
-    def run(block: pa.Array, octant: pa.Array, pos: pa.Array) -> pa.Array:
-        (blocks, off), (octs, _), (at, _) = (_ragged_int(c) for c in (block, octant, pos))
-        opens = np.zeros(len(blocks), bool)
-        opens[off[:-1][np.diff(off) > 0]] = True
+def _coded_streams() -> Column:
+    """Delta streams of one chunk of cells, coded; octants restart per block, positions per octant.  One chunk is worked on at a time."""
+    @F.arrow_udf("struct<" + ", ".join(f"{f}: binary" for f in STREAMS) + ">")
+    def run(block: pa.Array, octant: pa.Array, pos: pa.Array, fix: pa.Array, n: pa.Array) -> pa.Array:
+        columns = [_ragged_int(c) for c in (block, octant, pos, fix, n)]
+        off = columns[0][1]
 
         def delta(values, opens):
             return values - np.where(opens, 0, np.append(0, values[:-1]))
 
-        opens_block = opens | (np.diff(blocks, prepend=-1) != 0)
-        opens_octant = opens_block | (np.diff(octs, prepend=-1) != 0)
-        ends = pa.array(off.astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(d)) for d in (
-            delta(blocks, opens), delta(octs, opens_block), delta(at, opens_octant))]
-        return pa.StructArray.from_arrays(lists, ["block", "oct", "pos"])
+        out: dict[str, list[bytes]] = {f: [] for f in STREAMS}
+        for start, end in zip(off[:-1], off[1:]):
+            blocks, octs, at, fixes, counts = (c[0][start:end] for c in columns)
+            opens = np.arange(end - start) == 0
+            opens_block = opens | (np.diff(blocks, prepend=-1) != 0)
+            opens_octant = opens_block | (np.diff(octs, prepend=-1) != 0)
+            coded = (delta(blocks, opens), delta(octs, opens_block), delta(at, opens_octant), fixes, counts)
+            for f, symbols in zip(STREAMS, coded):
+                out[f].append(lossless.shrink(encoders.smaller_pack(symbols)))
+        return pa.StructArray.from_arrays([pa.array(v, pa.binary()) for v in out.values()], list(out))
 
-    return run("_s.block", "_s.oct", "_s.pos")
+    return run(*[f"_s.{f}" for f in STREAMS])
 
 
 def compress_cells(cells: DataFrame, keys: list[str], eb: float, size: int = CELLS_PER_CHUNK) -> DataFrame:
@@ -105,10 +110,8 @@ def compress_cells(cells: DataFrame, keys: list[str], eb: float, size: int = CEL
     chunks = cells.withColumn("chunk_id", F.floor(F.col("cell_no") / size)).groupBy(*keys, "chunk_id").agg(
         F.array_sort(F.collect_list(F.struct("cell_no", *STREAMS))).alias("_s"),
         F.min("first_position").alias("first_position"), *[F.first(c).alias(c) for c in head])
-    deltas = chunks.withColumn("_d", _restart_deltas())
-    streams = {"block": "_d.block", "oct": "_d.oct", "pos": "_d.pos", "fix": "_s.fix", "n": "_s.n"}
-    return deltas.select(*keys, "chunk_id", "first_position", *head, F.lit(eb).alias("eb"), F.size("_s").alias("cells"),
-                         *[lossless.compress(encoders.pack(c, "auto")).alias(f) for f, c in streams.items()])
+    return chunks.select(*keys, "chunk_id", "first_position", *head, F.lit(eb).alias("eb"), F.size("_s").alias("cells"),
+                         _coded_streams().alias("_c")).select("*", "_c.*").drop("_c")
 
 
 def best_edges(df: DataFrame, keys: list[str], eb: float) -> DataFrame:
@@ -206,27 +209,29 @@ def decode_cells(container: DataFrame, keys: list[str]) -> DataFrame:
     if "raw" in container.columns:
         container = container.where("raw IS NULL")
 
-    @F.arrow_udf("array<struct<block: bigint, oct: bigint, pos: bigint, fix: bigint, n: bigint, before: bigint>>")
-    def restore(block: pa.Array, octant: pa.Array, pos: pa.Array, fix: pa.Array, n: pa.Array) -> pa.Array:
-        columns = [_ragged_int(c) for c in (block, octant, pos, fix, n)]
-        off = columns[0][1]
-        flat = [c[0] for c in columns]
-        opens_chunk = np.zeros(len(flat[0]), bool)
-        opens_chunk[off[:-1][np.diff(off) > 0]] = True
+    head = [f"{p}{a}" for p in "pr" for a in pt.AXES] + ["edge", "eb", "first_position"]
+    names = ["block", "oct", "pos", "fix", "n", "before"]
+
+    def restore(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat, lengths = [], None
+        for f in STREAMS:
+            parts = [encoders.smaller_unpack(lossless.restore(b)) for b in batch.column(f).to_pylist()]
+            lengths = [len(p) for p in parts]
+            flat.append(np.concatenate(parts))
+        row = np.repeat(np.arange(len(batch)), lengths)
+        opens_chunk = np.diff(row, prepend=-1) != 0
         blocks = _segmented(flat[0], opens_chunk)
         opens_block = opens_chunk | (flat[0] != 0)
         octs = _segmented(flat[1], opens_block)
         opens_oct = opens_block | (np.diff(octs, prepend=-1) != 0)
         before = _segmented(flat[4], opens_chunk) - flat[4]
         parts = [blocks, octs, _segmented(flat[2], opens_oct), flat[3], flat[4], before]
-        names = ["block", "oct", "pos", "fix", "n", "before"]
-        return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)),
-                                        pa.StructArray.from_arrays([pa.array(p) for p in parts], names))
+        left = batch.select([*keys, *head]).take(pa.array(row))
+        return pa.RecordBatch.from_pydict({c: left.column(c) for c in left.schema.names} | {c: pa.array(p) for c, p in zip(names, parts)})
 
-    head = [f"{p}{a}" for p in "pr" for a in pt.AXES] + ["edge", "eb", "first_position"]
-    opened = container.select(*keys, *head, *[
-        encoders.unpack(lossless.decompress(f), "auto").alias(f) for f in STREAMS])
-    cells = opened.select(*keys, *head, F.explode(restore(*STREAMS)).alias("c")).select(*keys, *head, "c.*")
+    opened = container.select(*keys, *head, "cells", *STREAMS)
+    schema = StructType([*[opened.schema[c] for c in (*keys, *head)], *[StructField(c, LongType()) for c in names]])
+    cells = by_slices(opened, schema, "cells", restore)
     e = F.col("edge")
     nx, ny = (F.floor((F.ceil(F.col(f"r{a}") / (2.0 * e * F.col("eb"))) + 2) / F.lit(2)) for a in ("x", "y"))
     block = {"x": F.col("block") % nx, "y": F.floor(F.col("block") / nx) % ny, "z": F.floor(F.col("block") / (nx * ny))}
@@ -317,25 +322,23 @@ def decompress_trajectory(key_frames: DataFrame, batches: DataFrame, eb: float,
     Batches meet their key frame through the equi-join on (anchor, position).
     """
     base = decode_frames(key_frames, ["anchor"])
-    opened = batches.select("anchor", "axis", *[
-        encoders.unpack(lossless.decompress(c), "auto").alias(c) for c in ("position", "frames", "q")], "unpred")
-
-    @F.arrow_udf("array<struct<position: bigint, q: array<int>, unpred: array<double>>>")
-    def cut(position: pa.Array, frames: pa.Array, q: pa.Array, unpred: pa.Array) -> pa.Array:
-        out = []
-        for ps, fs, qs, us in zip(*(c.to_pylist() for c in (position, frames, q, unpred))):
-            rows, at, lost = [], 0, 0
-            for p, f in zip(ps, fs):
-                piece = qs[at:at + f]
-                k = piece.count(0)
-                rows.append({"position": p, "q": piece, "unpred": us[lost:lost + k]})
-                at, lost = at + f, lost + k
-            out.append(rows)
-        return pa.array(out, pa.list_(pa.struct([("position", pa.int64()), ("q", pa.list_(pa.int32())),
-                                                 ("unpred", pa.list_(pa.float64()))])))
-
-    rows = opened.select("anchor", "axis", F.explode(cut("position", "frames", "q", "unpred")).alias("e")).select(
-        "anchor", "axis", "e.*")
+
+    def cut(pieces):
+        """A group of a batch is bounded, so groups are opened one at a time."""
+        names = {"position": pa.int64(), "q": pa.list_(pa.int32()), "unpred": pa.list_(pa.float64())}
+        for batch in pieces:
+            for r in range(len(batch)):
+                position, frames, q = (encoders.smaller_unpack(lossless.restore(batch.column(c)[r].as_py())) for c in ("position", "frames", "q"))
+                ends = np.concatenate([[0], np.cumsum(frames)])
+                lost = np.concatenate([[0], np.cumsum(q == 0)])[ends]
+                held = {"position": pa.array(position), "q": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(q, pa.int32())),
+                        "unpred": pa.ListArray.from_arrays(pa.array(lost, pa.int32()), batch.column("unpred")[r].values)}
+                same = batch.select(["anchor", "axis"]).take(pa.array(np.full(len(position), r)))
+                yield pa.RecordBatch.from_pydict({c: same.column(c) for c in ("anchor", "axis")} | {c: held[c].cast(t) for c, t in names.items()})
+
+    schema = StructType([StructField("anchor", batches.schema["anchor"].dataType), StructField("axis", StringType()), StructField("position", LongType()),
+                         StructField("q", ArrayType(IntegerType())), StructField("unpred", ArrayType(DoubleType()))])
+    rows = batches.select("anchor", "axis", "position", "frames", "q", "unpred").mapInArrow(cut, schema)
     long_base = base.select("anchor", "position", F.explode(F.array(*[
         F.struct(F.lit(a).alias("axis"), F.col(a).alias("start")) for a in pt.AXES])).alias("e")).select(
         "anchor", "position", "e.*")
