@@ -2,12 +2,14 @@
 
 An array is cut into tiles.  Tiles with equal coordinate sums depend on earlier sums only and run side by side; each takes
 its lower halo from the faces of the finished tiles before it, one along each axis.  A face is a slab of the padded tile, so
-the edges and corners that diagonal neighbours share travel in it as well.  Each front is one job over one
+the edges and corners that diagonal neighbours share travel in it as well.  An axis that is much longer than the others would
+make a front of few tiles many times over, so its tiles are lengthened up to a bounded size.  Each front is one job over one
 stored partition of tiles and the faces of the front before, and is written once: a lost executor costs its tiles of one front.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from itertools import product
 
@@ -15,9 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errbound.functions.quantizer import DEFAULT_RADIUS, quantize_step
+from errbound.operators.slices import cuts
 from errbound.session import ensure_checkpoint_dir
 
 TILE = 64
+#: Cells that a lengthened tile may hold.
+CELLS = 1 << 18
+
+
+def tile_edges(shape: list[int], tile: int) -> list[int]:
+    """Tile edge of each axis: ``tile``, doubled on an axis with more tiles than all others, which only adds fronts."""
+    edges = [tile] * len(shape)
+    while True:
+        counts = [-(-n // e) for n, e in zip(shape, edges, strict=True)]
+        k = max(range(len(shape)), key=counts.__getitem__)
+        cells = math.prod(min(2 * e if a == k else e, n) for a, (e, n) in enumerate(zip(edges, shape, strict=True)))
+        if counts[k] <= max(sum(counts) - counts[k], 1) or cells > CELLS:
+            return edges
+        edges[k] *= 2
 
 
 def _fronts(extent: tuple[int, ...]):
@@ -51,14 +68,18 @@ def fill_tiles(padded, source, extent: tuple[int, ...], eb: float, radius: int,
     return out
 
 
-def _runner(keys: list[str], axes: list[str], shape: list[int], tile: int, eb: float, radius: int, decode: bool):
+def _runner(keys: list[str], axes: list[str], shape: list[int], edges: list[int], eb: float, radius: int, decode: bool):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        def sizes(batch):
             where = np.stack([batch.column(f"t_{a}").to_numpy() for a in axes], axis=1)
-            extents = np.minimum(tile, np.array(shape) - where * tile)
+            return np.minimum(edges, np.array(shape) - where * edges)
+
+        whole = (batch.slice(a, b - a) for batch in batches for a, b in cuts(sizes(batch).prod(axis=1), CELLS))
+        for batch in whole:
+            extents = sizes(batch)
             parts = []
             for extent in np.unique(extents, axis=0):
                 rows = np.flatnonzero((extents == extent).all(axis=1))
@@ -90,19 +111,19 @@ def _wavefront(cells: DataFrame, keys: list[str], axes: list[str], shape: list[i
     spark, folder = cells.sparkSession, f"{ensure_checkpoint_dir(cells.sparkSession)}/wavefront-{uuid.uuid4().hex}"
     tiles = [f"t_{a}" for a in axes]
     types = dict(cells.dtypes)
-    place = F.lit(0)
-    for a, n in zip(axes, shape, strict=True):
-        start = F.floor(F.col(a) / tile) * tile
-        place = place * F.least(F.lit(tile), F.lit(n) - start) + F.col(a) - start
+    place, edges = F.lit(0), tile_edges(shape, tile)
+    for a, n, edge in zip(axes, shape, edges, strict=True):
+        start = F.floor(F.col(a) / edge) * edge
+        place = place * F.least(F.lit(edge), F.lit(n) - start) + F.col(a) - start
     held = [F.col(source).alias("source"), *([F.col(kept).alias("kept")] if kept else [])]
-    placed = cells.select(*keys, *[F.floor(F.col(a) / tile).alias(t) for a, t in zip(axes, tiles, strict=True)], F.struct(place.cast("int").alias("at"), *held).alias("cell"))
+    placed = cells.select(*keys, *[F.floor(F.col(a) / edge).alias(t) for a, t, edge in zip(axes, tiles, edges, strict=True)], F.struct(place.cast("int").alias("at"), *held).alias("cell"))
     packed = placed.groupBy(*keys, *tiles).agg(F.array_sort(F.collect_list("cell")).alias("cells"))  # a tile is bounded
     packed = packed.select(*keys, *tiles, "cells.source", *(["cells.kept"] if kept else []), sum((F.col(t) for t in tiles), F.lit(0)).cast("int").alias("front"))
     packed.write.partitionBy("front").parquet(f"{folder}/tiles")
     work = spark.read.schema(packed.schema).parquet(f"{folder}/tiles")
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{t} long" for t in tiles), "q array<int>", "recon array<double>", *(f"face_{a} array<double>" for a in axes)])
-    run = _runner(keys, axes, shape, tile, eb, radius, kept is not None)
-    last = sum((n - 1) // tile for n in shape)
+    run = _runner(keys, axes, shape, edges, eb, radius, kept is not None)
+    last = sum((n - 1) // edge for n, edge in zip(shape, edges, strict=True))
     for front in range(last + 1):
         now = work.where(F.col("front") == front).drop("front")
         for a, t in zip(axes, tiles, strict=True):
@@ -116,9 +137,9 @@ def _wavefront(cells: DataFrame, keys: list[str], axes: list[str], shape: list[i
     done = spark.read.schema(schema).parquet(*[f"{folder}/done/front={front}" for front in range(last + 1)])
     flat = done.select(*keys, *tiles, F.posexplode(F.arrays_zip("q", "recon")).alias("_at", "_c"))
     coords, left = {}, F.col("_at")
-    for a, t, n in reversed(list(zip(axes, tiles, shape, strict=True))):
-        extent = F.least(F.lit(tile), F.lit(n) - F.col(t) * tile)
-        coords[a], left = (F.col(t) * tile + left % extent).alias(a), F.floor(left / extent)
+    for a, t, n, edge in reversed(list(zip(axes, tiles, shape, edges, strict=True))):
+        extent = F.least(F.lit(edge), F.lit(n) - F.col(t) * edge)
+        coords[a], left = (F.col(t) * edge + left % extent).alias(a), F.floor(left / extent)
     return flat.select(*keys, *[coords[a] for a in axes], F.col("_c.q").alias("q"), F.col("_c.recon").alias("recon"))
 
 

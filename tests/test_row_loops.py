@@ -56,6 +56,24 @@ def test_lorenzo_fronts(spark, shape, tile):
     assert all(abs(r.recon - recon[tuple(r[a] for a in axes)]) < 1e-9 and (r.q == 0 or abs(r.recon - data[tuple(r[a] for a in axes)]) <= 0.01) for r in done)
 
 
+def test_long_arrays_make_few_fronts():
+    """Cells of a tall plane, not its slices, decide how many fronts follow each other."""
+    def fronts(shape):
+        edges = wavefront.tile_edges(shape, 64)
+        assert np.prod(np.minimum(edges, shape)) <= wavefront.CELLS
+        return 1 + sum((n - 1) // e for n, e in zip(shape, edges, strict=True))
+
+    assert fronts([600_000, 64]) == 147 and fronts([1 << 20]) == 4 and fronts([600_000, 128]) < 300
+    assert wavefront.tile_edges([4096, 4096], 64) == [64, 64] and wavefront.tile_edges([0, 64], 64) == [64, 64]
+
+
+@pytest.mark.parametrize(("shape", "tile", "cells"), [((23,), 5, 10), ((41, 4), 4, 40), ((4, 41), 4, 40)])
+def test_lengthened_tiles(spark, monkeypatch, shape, tile, cells):
+    monkeypatch.setattr(wavefront, "CELLS", cells)
+    assert tile < max(wavefront.tile_edges(list(shape), tile)) < max(shape)
+    test_lorenzo_fronts(spark, shape, tile)
+
+
 def plain_coefficients(values, eb, precision, radius, still, patience):
     out, anchor, m, before, run = [], 0.0, 0, 0.0, 0
     for v in values:
