@@ -10,13 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from errbound.config import Config
 from errbound.functions.quantizer import quantize_step
 from errbound.operators import encoders, levels, lossless
 from errbound.operators.closed_loop import _ragged, lorenzo_nd_recover, lorenzo_nd_step
+from errbound.operators.slices import by_slices
 from errbound.operators.transforms import unpivot_axes
-from errbound.plans.array_codec import _doubles, _from_doubles, chunk_bounds
+from errbound.plans.array_codec import chunk_bounds
 from errbound.session import checkpointed
 
 # Method numbers, and batches between two selections.
@@ -24,7 +26,8 @@ ADAPTIVE, VQ, VQT, MT, LR, TS = -1, 0, 1, 2, 3, 4
 SELECT_EVERY = 50
 ATOMS_PER_TILE = 1024
 
-CODED = "struct<q: array<int>, codes: array<int>, unpred: array<double>>"
+STREAMS = ("q", "codes", "unpred")
+PACKED = "struct<" + ", ".join(f"{n}: binary" for n in STREAMS) + ">"
 LEVELS = "struct<start: double, offset: double, levels: int>"
 
 
@@ -140,29 +143,23 @@ def _decode(q: np.ndarray, codes: np.ndarray, stored: np.ndarray, start: np.ndar
     return out
 
 
-def coded(method: Column, radius: int) -> Column:
-    """Struct (q, codes, unpred) of a tile with columns vals, start, width, lv, eb."""
-    @F.arrow_udf(CODED)
+def packed(method: Column, radius: int) -> Column:
+    """Struct (q, codes, unpred) of a tile with columns vals, start, width, lv, eb, as compressed streams; one tile is worked on at a time."""
+    @F.arrow_udf(PACKED)
     def run(vals: pa.Array, start: pa.Array, width: pa.Array, lv: pa.Array, eb: pa.Array, how: pa.Array) -> pa.Array:
         flat, off = _ragged(vals)
         first, first_off = _ragged(start)
-        out = []
+        out: dict[str, list[bytes]] = {n: [] for n in STREAMS}
         for r, (w, level, bound, m) in enumerate(zip(*(c.to_pylist() for c in (width, lv, eb, how)))):
             x = flat[off[r]:off[r + 1]].reshape(-1, w)
             q, codes = _encode(x, first[first_off[r]:first_off[r + 1]], level, bound, m, radius)
-            out.append({"q": q.ravel(), "codes": codes.astype(np.int32), "unpred": x[q == 0]})
-        return pa.array(out, pa.struct([("q", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())),
-                                        ("unpred", pa.list_(pa.float64()))]))
+            streams = (encoders.smaller_pack(q.ravel().astype(np.int64)), encoders.smaller_pack(codes), x[q == 0].astype("<f8").tobytes())
+            for n, raw in zip(STREAMS, streams):
+                out[n].append(lossless.shrink(raw))
+        return pa.StructArray.from_arrays([pa.array(v, pa.binary()) for v in out.values()], list(out))
     return run("vals", "start", "width", "lv", "eb", method)
 
 
-def streams(struct_col: str) -> dict[str, Column]:
-    s = F.col(struct_col)
-    return {"q": lossless.compress(encoders.pack(s["q"], "auto")),
-            "codes": lossless.compress(encoders.pack(s["codes"], "auto")),
-            "unpred": lossless.compress(_doubles(s["unpred"], "<f8"))}
-
-
 def prepared(rows: DataFrame, conf: Config, batch: int, atoms: int = ATOMS_PER_TILE,
              method: int = ADAPTIVE) -> DataFrame:
     """Tiles with level fit (where the method may use it) and the batch's absolute bound."""
@@ -184,9 +181,9 @@ def select_methods(prep: DataFrame, radius: int) -> DataFrame:
     probe = prep.where(F.col("batch") % SELECT_EVERY == 0)
     tried = probe.withColumn("method", F.explode(F.when(
         F.col("lv.levels") > 0, F.array(*map(F.lit, (VQ, VQT, MT)))).otherwise(F.array(F.lit(MT), F.lit(LR)))))
-    sized = tried.withColumn("_c", coded(F.col("method"), radius))
+    sized = tried.withColumn("_c", packed(F.col("method"), radius))
     sizes = sized.groupBy("axis", F.floor(F.col("batch") / SELECT_EVERY).alias("period"), "method").agg(
-        F.sum(sum((F.octet_length(c) for c in streams("_c").values()), F.lit(0))).alias("bytes"))
+        F.sum(sum((F.octet_length(f"_c.{n}") for n in STREAMS), F.lit(0))).alias("bytes"))
     return sizes.groupBy("axis", "period").agg(F.min(F.struct("bytes", "method")).alias("s")).select(
         "axis", "period", F.col("s.method").alias("method"))
 
@@ -202,41 +199,34 @@ def compress(rows: DataFrame, conf: Config, batch: int = 10, method: int = ADAPT
             "method", F.coalesce("method", F.lit(MT)))
     else:
         prep = prep.withColumn("method", F.lit(method))
-    done = prep.withColumn("_c", coded(F.col("method"), conf.radius))
+    done = prep.withColumn("_c", packed(F.col("method"), conf.radius))
     start = F.when(F.col("method") == MT, F.col("start")).otherwise(F.array().cast("array<double>"))
     return done.select("axis", "batch", "tile", "frames", "slot0", "width", "absent", "method", "eb", "lv", start.alias("start"),
-                       *[c.alias(n) for n, c in streams("_c").items()])
+                       "_c.*")
 
 
 def decompress(container: DataFrame, conf: Config) -> DataFrame:
     """Container rows to ``(axis, frame, slot, v)``: the rows that were put in."""
-    @F.arrow_udf("array<struct<i: int, v: double>>")
-    def run(q: pa.Array, codes: pa.Array, unpred: pa.Array, start: pa.Array, width: pa.Array, lv: pa.Array,
-            eb: pa.Array, how: pa.Array, absent: pa.Array) -> pa.Array:
-        idx, off = _ragged(q)
-        code, code_off = _ragged(codes)
-        raw, raw_off = _ragged(unpred)
-        first, first_off = _ragged(start)
-        at, out, ends = [], [], [0]
-        for r, (w, level, bound, m, gone) in enumerate(zip(*(c.to_pylist() for c in (width, lv, eb, how, absent)))):
-            qs = idx[off[r]:off[r + 1]].astype(np.int64).reshape(-1, w)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first, first_off = _ragged(batch.column("start"))
+        frames, absent = batch.column("frames"), batch.column("absent")
+        rows: dict[str, list[np.ndarray]] = {n: [] for n in ("tile", "frame", "slot", "v")}
+        for r, (slot0, w, m, bound, level, q, codes, unpred) in enumerate(zip(*(batch.column(c).to_pylist() for c in (
+                "slot0", "width", "method", "eb", "lv", *STREAMS)))):
+            qs = encoders.smaller_unpack(lossless.restore(q)).reshape(-1, w)
             stored = np.zeros(qs.shape)
-            stored[qs == 0] = raw[raw_off[r]:raw_off[r + 1]]
-            vals = _decode(qs, code[code_off[r]:code_off[r + 1]].astype(np.int64), stored,
+            stored[qs == 0] = np.frombuffer(lossless.restore(unpred), "<f8")
+            vals = _decode(qs, encoders.smaller_unpack(lossless.restore(codes)), stored,
                            first[first_off[r]:first_off[r + 1]], level, bound, m, conf.radius).ravel()
-            kept = np.delete(np.arange(len(vals), dtype=np.int32), gone)
-            at.append(kept)
-            out.append(vals[kept])
-            ends.append(ends[-1] + len(kept))
-        rows = pa.StructArray.from_arrays([pa.array(np.concatenate([*at, np.empty(0, np.int32)])),
-                                           pa.array(np.concatenate([*out, np.empty(0)]))], ["i", "v"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
-
-    opened = container.select("axis", "frames", "slot0", "width", "absent", "method", "eb", "lv", "start",
-                              encoders.unpack(lossless.decompress("q"), "auto").alias("q"),
-                              encoders.unpack(lossless.decompress("codes"), "auto").alias("codes"),
-                              _from_doubles(lossless.decompress("unpred"), "<f8").alias("unpred"))
-    vals = opened.select("axis", "frames", "slot0", "width", F.explode(
-        run("q", "codes", "unpred", "start", "width", "lv", "eb", "method", "absent")).alias("e"))
-    row = F.floor(F.col("e.i") / F.col("width")).cast("int")
-    return vals.select("axis", F.get("frames", row).alias("frame"), (F.col("slot0") + F.col("e.i") % F.col("width")).alias("slot"), "e.v")
+            kept = np.delete(np.arange(len(vals)), absent[r].values.to_numpy())
+            rows["tile"].append(np.full(len(kept), r))
+            rows["frame"].append(frames[r].values.to_numpy()[kept // w])
+            rows["slot"].append(slot0 + kept % w)
+            rows["v"].append(vals[kept])
+        flat = {n: np.concatenate(parts) for n, parts in rows.items()}
+        return pa.RecordBatch.from_pydict({"axis": batch.column("axis").take(pa.array(flat.pop("tile")))} | {n: pa.array(x) for n, x in flat.items()})
+
+    opened = container.select("axis", "frames", "slot0", "width", "absent", "method", "eb", "lv", "start", *STREAMS,
+                              (F.size("frames") * F.col("width")).alias("cells"))
+    schema = StructType([opened.schema["axis"], StructField("frame", LongType()), StructField("slot", LongType()), StructField("v", DoubleType())])
+    return by_slices(opened, schema, "cells", run)

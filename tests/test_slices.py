@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from errbound.config import Algorithm, Config
 from errbound.operators.slices import VALUES, cuts
+from errbound.operators import slices
 from errbound.plans import array_codec as codec
+from errbound.plans import md_codec as md
+from errbound.plans import particle_codec as pc
 
 
 def test_cuts_cover_all_rows_within_the_limit():
@@ -39,3 +42,42 @@ def test_working_arrays_stay_small_and_all_chunks_come_back(spark, conf):
 def _shapes(n):
     import pyarrow as pa
     return pa.array([[64, 8, 8]] * n), pa.array([""] * n)
+
+
+def test_tiles_of_a_run_are_decoded_by_slices(spark, monkeypatch):
+    """300 tiles of 1,000 values in one partition: a slice holds what the limit allows, and every value comes back."""
+    seen = []
+
+    def small(rows, schema, size, run):
+        seen.append([r[size] for r in rows.collect()])
+        return slices.by_slices(rows, schema, size, lambda b: _limited(b, run))
+
+    def _limited(batch, run):
+        if sum(batch.column("cells").to_pylist()) > VALUES:
+            raise ValueError("a slice is too large")
+        return run(batch)
+
+    monkeypatch.setattr(md, "by_slices", small)
+    rows = spark.range(0, 300_000, 1, 1).select(F.lit("x").alias("axis"), F.floor(F.col("id") / 100).alias("frame"),
+                                                (F.col("id") % 100).alias("slot"), F.sin(F.col("id") / 9.0).alias("v"))
+    packed = md.compress(rows, Config(dims=(10, 100), abs_bound=0.01), 10, md.LR, 128).coalesce(1).cache()
+    assert dict(packed.dtypes)["q"] == "binary"
+    back = md.decompress(packed, Config(dims=(10, 100), abs_bound=0.01)).withColumnRenamed("v", "d")
+    worst = rows.join(back, ["axis", "frame", "slot"]).agg(F.count(F.lit(1)), F.max(F.abs(F.col("v") - F.col("d")))).first()
+    assert seen == [[1000] * 300] and worst[0] == 300_000 and worst[1] <= 0.01 * (1 + 1e-9)
+
+
+def test_cells_of_a_frame_are_decoded_by_slices(spark, monkeypatch):
+    """Streams of chunks are decoded by slices whose number of cells is known before; every particle comes back."""
+    seen = []
+
+    def small(rows, schema, size, run):
+        seen.append(sum(r[size] for r in rows.collect()))
+        return slices.by_slices(rows, schema, size, run)
+
+    monkeypatch.setattr(pc, "by_slices", small)
+    pts = spark.range(0, 20_000, 1, 1).select(*[((F.col("id") * k) % 1009).cast("double").alias(a) for a, k in zip("xyz", (1, 31, 517))])
+    packed = pc.compress_frames(pts, [], 0.25, 8)
+    back = pc.decode_cells(packed, []).groupBy(*[F.round(a).alias(a) for a in "xyz"]).agg(F.sum("n").alias("n"))
+    want = pts.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+    assert want.exceptAll(back).count() == 0 and back.exceptAll(want).count() == 0 and seen == [want.count()]
