@@ -155,3 +155,21 @@ def test_exact_medians(spark):
             split |= {2 * node + side: part for side, part in ((0, rows[~right]), (1, rows[right])) if len(part)}
         nodes = split
     assert got == {node: len(rows) for node, rows in nodes.items()}
+
+
+def test_medians_take_two_scans_a_level(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([tuple(map(float, p)) for p in rng.uniform(0, 1e4, (4000, 3))], "x double, y double, z double")
+    scans, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: scans.append(1) or collect(self))
+    cuts = kdtree.kd_cuts(df, 4)
+    assert len(scans) <= 8
+    monkeypatch.undo()
+    assert cuts[0] == sorted(r.x for r in df.collect())[1999]
+
+
+@pytest.mark.parametrize("fine,exact", [(1, 0), (1, 1 << 20), (256, 50)])
+def test_medians_do_not_depend_on_the_scans(spark, monkeypatch, fine, exact):
+    monkeypatch.setattr(kdtree, "FINE", fine)
+    monkeypatch.setattr(kdtree, "EXACT", exact)
+    test_exact_medians(spark)
