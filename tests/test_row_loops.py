@@ -158,14 +158,13 @@ def test_exact_medians(spark):
 
 
 def test_medians_take_two_scans_a_level(spark, monkeypatch):
-    rng = np.random.default_rng(9)
-    df = spark.createDataFrame([tuple(map(float, p)) for p in rng.uniform(0, 1e4, (4000, 3))], "x double, y double, z double")
+    df = spark.range(60_000).select(*[(F.rand(seed) * 1e4).alias(a) for seed, a in enumerate("xyz")])
     scans, collect = [], type(df).collect
     monkeypatch.setattr(type(df), "collect", lambda self: scans.append(1) or collect(self))
     cuts = kdtree.kd_cuts(df, 4)
     assert len(scans) <= 8
     monkeypatch.undo()
-    assert cuts[0] == sorted(r.x for r in df.collect())[1999]
+    assert cuts[0] == sorted(r.x for r in df.collect())[29_999]
 
 
 @pytest.mark.parametrize("fine,exact", [(1, 0), (1, 1 << 20), (256, 50)])
