@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +40,17 @@ _WORD = re.compile(r"\w+")
 HIT_SCHEMA = "doc_id long, item_id long, word_start long, matched long, item_words long, cosine double"
 
 
+#: Small letter of each Latin-1 character that is part of a word, else a blank.
+_SMALL = bytes(ord(chr(b).lower()) if _WORD.match(chr(b).lower()) else 32 for b in range(256))
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    try:
+        return text.encode("latin-1").translate(_SMALL).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text.lower())
 
 
 def answer_length(text: str, n_words: int) -> int:
@@ -167,6 +176,9 @@ class Searcher:
             self.holds[i, [terms[x] for x in w]] = True
             self.rare[i, [terms[x] for x in w if weights[x] >= EVERYDAY]] = True
             self.everyday[i] = sum(weights[x] < EVERYDAY for x in w)
+        # how often an item has a word, by item and code
+        wanted = np.array(sorted((i * (len(terms) + 1) + terms[w], n) for i, c in enumerate(self.counts) for w, n in c.items()), np.int64).reshape(-1, 2)
+        self.wanted, self.wanted_n = wanted[:, 0], wanted[:, 1]
         self.owner, self.passages = np.array(owner, np.int64), self._unit(np.array(rows, np.float32).reshape(len(rows), self.vectors.shape[1]))
         self._list_rare(seen)
 
@@ -234,18 +246,26 @@ class Searcher:
         used = np.flatnonzero((ids < self.n_terms) & needed[place])
         heads = np.flatnonzero(np.diff(place[used], prepend=-1))
         slot = np.full(total, len(heads))
-        slot[place[used[heads]]] = np.arange(len(heads))
+        # a bin's words are added one place after the other, for all bins that have so many, the fullest bins first
+        many = np.diff(np.append(heads, len(used)))
+        order = np.argsort(-many, kind="stable")
+        many, begin, codes = many[order], heads[order], ids[used]
+        slot[place[used[begin]]] = np.arange(len(begin))
         sums = np.zeros((len(heads) + 1, self.vectors.shape[1]), np.float32)
-        for a in range(0, len(heads), 50_000):
-            lo, hi = heads[a], heads[a + 50_000] if a + 50_000 < len(heads) else len(used)
-            sums[a:min(a + 50_000, len(heads))] = np.add.reduceat(self.vectors[ids[used[lo:hi]]], heads[a:a + 50_000] - lo, axis=0)
+        for a in range(0, len(heads), 4096):
+            for k in range(int(many[a])):
+                b = min(a + 4096, int(np.searchsorted(-many, -k)))
+                sums[a:b] += self.vectors[codes[begin[a:b] + k]]
         owner, parts = np.repeat(np.arange(len(split)), bins), []
         for a in range(0, len(asked), 8192):
             at = asked[a:a + 8192]
-            near = (self._unit(sums[slot[at]] + sums[slot[at + 1]]) @ self.passages.T) * covered[at, None]
-            r, c = np.nonzero(near >= self.cosine)
-            if not len(r):
+            near = self._unit(sums[slot[at]] + sums[slot[at + 1]]) @ self.passages.T
+            some = np.flatnonzero(near.max(axis=1) * covered[at] >= self.cosine)
+            if not len(some):
                 continue
+            at = at[some]
+            near = near[some] * covered[at, None]
+            r, c = np.nonzero(near >= self.cosine)
             item = self.owner[c]
             heads = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))  # an item's best passage
             text = owner[at[r[heads]]]
@@ -264,16 +284,49 @@ class Searcher:
         low = np.searchsorted(places, first[text] + np.maximum(0, at * BIN - n))
         high = np.searchsorted(places, first[text] + np.minimum(sizes[text], (at + 2) * BIN + n))
         needed = np.where(cosine >= self.near, min(self.near_share, self.share), self.share) * n
-        order, codes, fine = np.argsort(item, kind="stable"), ids[places], np.zeros(len(item), bool)
-        for group in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
-            if len(group):
-                i = item[group[0]]
-                held = np.full(len(group), len(codes))
-                for table, more in ((self.holds, 0), (self.rare, self.everyday[i])):
-                    upto = np.append(0, np.cumsum(table[i][codes]))
-                    held = np.minimum(held, upto[high[group]] - upto[low[group]] + more)
-                fine[group] = held >= needed[group] - 1e-9
-        return fine
+        codes, width, fine = ids[places], self.n_terms + 1, []
+        for a, b in self._loads(high - low):
+            size, i = (high - low)[a:b], item[a:b]
+            ends = np.cumsum(size)
+            at_item = np.repeat(i * width, size) + codes[np.arange(int(size.sum())) + np.repeat(low[a:b] - ends + size, size)]
+            held = size
+            for table, more in ((self.holds, 0), (self.rare, self.everyday[i])):
+                upto = np.append(0, np.cumsum(table.ravel()[at_item]))
+                held = np.minimum(held, upto[ends] - upto[ends - size] + more)
+            fine.append(held >= needed[a:b] - 1e-9)
+        return np.concatenate(fine) if fine else np.zeros(0, bool)
+
+    @staticmethod
+    def _loads(sizes, most: int = 1_000_000):
+        """Ranges of regions of together about so many words, at least one."""
+        import numpy as np
+
+        load, a = np.cumsum(sizes), 0
+        while a < len(load):
+            b = max(a + 1, int(np.searchsorted(load, (load[a - 1] if a else 0) + most, "right")))
+            yield a, b
+            a = b
+
+    def may_hold_all(self, split: list[list[str]], ids, text, at, item, cosine):
+        """may_hold of many windows' surroundings at once."""
+        import numpy as np
+
+        sizes = np.array([len(x) for x in split], np.int64)
+        first = np.cumsum(sizes) - sizes
+        n, width, fine = np.array([len(w) for w in self.words])[item], self.n_terms + 1, []
+        low = first[text] + np.maximum(0, at * BIN - n)
+        high = np.maximum(low, first[text] + np.minimum(sizes[text], (at + 2) * BIN + n))
+        needed = np.where(cosine >= self.near, self.near_share, self.share) * n
+        for a, b in self._loads(high - low):
+            size = (high - low)[a:b]
+            ends, region = np.cumsum(size), np.repeat(np.arange(b - a), size)
+            codes = ids[np.arange(len(region)) + np.repeat(low[a:b] - ends + size, size)]
+            own = self.holds[item[a:b][region], codes]
+            key, count = np.unique(region[own] * width + codes[own], return_counts=True)
+            region, wanted = key // width, item[a:b][key // width] * width + key % width
+            most = self.wanted_n[np.searchsorted(self.wanted, wanted)]
+            fine.append(np.bincount(region, np.minimum(count, most), b - a) >= needed[a:b])
+        return np.concatenate(fine) if fine else np.zeros(0, bool)
 
     def exact(self, split: list[list[str]], ids):
         """(text, window's first bin, item) of all windows whose surroundings may hold `share` of the item's words.
@@ -358,7 +411,9 @@ class Searcher:
         for d, at, item in self.exact(split, ids):
             cosines.setdefault((d, at, item), -1.0)
         best: dict[tuple, tuple] = {}
-        for (d, at, item), cosine in cosines.items():
+        found = np.array(list(cosines), np.int64).reshape(-1, 3).T
+        held = self.may_hold_all(split, ids, *found, np.fromiter(cosines.values(), float, len(cosines)))
+        for (d, at, item), cosine in compress(cosines.items(), held):
             n = self.matches(split[d], at, item, cosine)
             if n is not None and cosine < 0:
                 cosine = self.score(split[d], at, item)

@@ -84,3 +84,33 @@ def test_latent_candidates_alone_reach_recall(spark, share):
     ids = searcher._ids(split, np.array([len(x) for x in split]))
     latent = {(rows[d][0], items[i][0]) for d, at, i in zip(*(x.tolist() for x in searcher.candidates(split, ids)[:3]), strict=True) if searcher.matches(split[d], at, i, 0.0) is not None}
     assert want and len(latent & want) >= 0.9 * len(want)
+
+
+def test_windows_are_checked_together(monkeypatch):
+    """The words of all candidates are counted in one pass, with the same answer as one by one; few are then looked at alone."""
+    rng = random.Random(8)
+    items, rows, planted = corpus(rng, 0.8)
+    vocabulary = sorted({w for _, t in items for w in decontaminate.words_of(t)})
+    terms, weights = {w: i for i, w in enumerate(vocabulary)}, dict.fromkeys(vocabulary, 3.0)
+    basis = np.linalg.qr(np.random.default_rng(1).standard_normal((len(terms), 64)))[0]
+    own = decontaminate.Searcher(items, weights, terms, basis, 0.05, 0.6, 0.5, {}, 0.45, 0.45)
+    split = [decontaminate.words_of(t) for _, t in rows]
+    ids = own._ids(split, np.array([len(x) for x in split]))
+    near = own.candidates(split, ids)
+    held = own.may_hold_all(split, ids, *near)
+    for d, at, i, cosine, got in zip(*(x.tolist() for x in near), held.tolist(), strict=True):
+        n = len(own.words[i])
+        share = own.near_share if cosine >= own.near else own.share
+        assert got == own.may_hold(split[d][max(0, at * 16 - n):(at + 2) * 16 + n], i, share)
+    fine = own.roomy(split, ids, *near)
+    assert len(held) > 1000 and not (held & ~fine).any()
+    alone, check = [], own.may_hold
+    monkeypatch.setattr(own, "may_hold", lambda *a: alone.append(1) or check(*a))
+    monkeypatch.setattr(own, "exact", lambda *a: [])
+    hits = {(d, i) for d, i, *_ in own.search([d for d, _ in rows], [t for _, t in rows])}
+    assert hits and hits <= {(d, i) for d, i in planted} and len(alone) == held.sum()
+
+
+def test_words_of_latin_texts():
+    for text in ["".join(map(chr, range(k, k + 64))) for k in range(0, 0x500, 64)] + ["É_a-ß\xa0x\x85y\x1cz µÀ÷×ª", "İ ſ Σας", ""]:
+        assert decontaminate.words_of(text) == decontaminate._WORD.findall(text.lower())
