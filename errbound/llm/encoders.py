@@ -23,8 +23,12 @@ _MARKS = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Controls that Python counts as white space and the tokenizers' patterns do not.
 _ODD = re.compile("[\x1c-\x1f]")
 _LETTER, _DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: The memo is begun anew beyond so many characters of chunks.
+#: Beyond so many characters of chunks the memo keeps only those that came back, or none if these are most of them.
 MEMO_CHARS = 2_500_000
+#: Chunks that a call of the library is given at once.
+GLUED = 500
+#: Small letters that no normalizer changes and every pattern takes for letters.
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 
 
 class Cuts:
@@ -92,11 +96,53 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cuts = _cuts(spec)
+        if self.cuts:
+            self._glue(spec)
         self._forget()
 
+    def _glue(self, spec: dict):
+        """How chunks are told apart that are encoded in one call: by a special string between them, which cuts a text before all
+        else, or where words' last ids are known by a suffix, by a blank between plain words."""
+        import numpy as np
+
+        vocabulary, suffix = self.tokenizer.get_vocab(), spec["model"].get("end_of_word_suffix")
+        special = next((x for x in spec.get("added_tokens", []) if x.get("special") and not x["normalized"] and not x["single_word"]), None)
+        self.glue, self.ends, self.words = None, np.zeros(max(vocabulary.values()) + 1, bool), bool(suffix and self.cuts.lower)
+        if self.words:
+            self.glue = " "
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        elif special:
+            self.glue = special["content"]
+            self.ends[special["id"]] = True
+
     def _forget(self):
         self.number: dict[str, int] = {}
-        self.held, self.ids, self.starts, self.sizes = 0, Growing("i4"), Growing("i8"), Growing("i8")
+        self.held, self.ids, self.starts, self.sizes, self.again = 0, Growing("i4"), Growing("i8"), Growing("i8"), Growing(bool)
+
+    def _thin(self):
+        """Keep the chunks that came back since the memo was last thinned, if they are not most of it."""
+        import numpy as np
+
+        number, ids, starts, sizes = self.number, self.ids.room, self.starts.room, self.sizes.room
+        again = self.again.room.tolist()
+        kept = [x for x, i in number.items() if again[i]]
+        at = np.fromiter(map(number.__getitem__, kept), np.int64, len(kept))
+        self._forget()
+        if (held := sum(map(len, kept))) > MEMO_CHARS // 2:
+            return
+        size = sizes[at]
+        upto = np.cumsum(size)
+        self._keep(kept, ids[np.arange(int(size.sum())) + np.repeat(starts[at] - upto + size, size)], size, held)
+
+    def _keep(self, chunks: list[str], ids, sizes, held: int):
+        import numpy as np
+
+        self.held += held
+        self.starts.extend(self.ids.size + np.cumsum(sizes) - sizes)
+        self.ids.extend(ids)
+        self.sizes.extend(sizes)
+        self.again.extend(np.zeros(len(sizes), bool))
+        self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks)), strict=True))
 
     def _library(self, texts: list[str]):
         """Joined ids and the number of ids of each text."""
@@ -109,6 +155,31 @@ class ChunkEncoder:
             ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
         return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
+    def _encoded(self, chunks: list[str]):
+        """The chunks, those first that can be encoded many to a call, their joined ids and the number of ids of each."""
+        import numpy as np
+
+        many = list(filter(_PLAIN.fullmatch if self.words else self._unmarked, chunks)) if self.glue else []
+        held = set(many) if len(many) < len(chunks) else ()
+        rest = [x for x in chunks if x not in held] if len(many) < len(chunks) else []
+        (ids, sizes), (more, their) = self._joined(many), self._library(rest)
+        return many + rest, np.concatenate([ids, more]), np.concatenate([sizes, their])
+
+    def _unmarked(self, chunk: str) -> bool:
+        return "<|" not in chunk
+
+    def _joined(self, chunks: list[str]):
+        """The same as _library for chunks that the glue keeps apart."""
+        import numpy as np
+
+        tail = "" if self.words else self.glue
+        ids, _ = self._library([self.glue.join(chunks[a:a + GLUED]) + tail for a in range(0, len(chunks), GLUED)])
+        ends = self.ends[ids]
+        sizes = np.diff(np.flatnonzero(ends), prepend=-1)
+        if len(sizes) != len(chunks):
+            return self._library(chunks)
+        return (ids, sizes) if self.words else (ids[~ends], sizes - 1)
+
     def _numbers(self, texts: list[str]):
         """Numbers of all chunks of the texts, and how many each text has; new chunks are encoded and kept."""
         import numpy as np
@@ -117,16 +188,15 @@ class ChunkEncoder:
         flat = list(chain.from_iterable(parts))
         at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
         missed = np.flatnonzero(at < 0)
+        self.again.room[at[at >= 0]] = True
         new = list(dict.fromkeys(map(flat.__getitem__, missed.tolist())))
         if self.held + sum(map(len, new)) > MEMO_CHARS:
-            self._forget()
-            new, missed = list(dict.fromkeys(flat)), np.arange(len(flat))
-        self.held += sum(map(len, new))
-        ids, sizes = self._library(new)
-        self.starts.extend(self.ids.size + np.cumsum(sizes) - sizes)
-        self.ids.extend(ids)
-        self.sizes.extend(sizes)
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self._thin()
+            at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+            missed = np.flatnonzero(at < 0)
+            new = list(dict.fromkeys(map(flat.__getitem__, missed.tolist())))
+        new, ids, sizes = self._encoded(new)
+        self._keep(new, ids, sizes, sum(map(len, new)))
         at[missed] = np.fromiter(map(self.number.__getitem__, map(flat.__getitem__, missed.tolist())), np.int64, len(missed))
         return at, np.fromiter(map(len, parts), np.int64, len(parts))
 

@@ -47,3 +47,23 @@ def test_piece_counter():
 def test_version_digest():
     a, b = version_digest(public_path("byte_bpe_50k.json")), version_digest(public_path("piece_bpe_32k.model"))
     assert a != b and a == version_digest(public_path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_chunks_share_calls(name, monkeypatch):
+    own, rng, given = ChunkEncoder(public_path(name)), random.Random(4), []
+    words = ["".join(rng.choices("abcdeghilnorstuß", k=9)) for _ in range(3000)]
+    plain = own._library
+    monkeypatch.setattr(own, "_library", lambda texts: given.extend(texts) or plain(texts))
+    text = " ".join(words)
+    assert own.encode([text]) == library(own, [text]) and len(given) < 20
+
+
+def test_memo_keeps_what_came_back(monkeypatch):
+    monkeypatch.setattr("errbound.llm.encoders.MEMO_CHARS", 4000)
+    own, rng = ChunkEncoder(public_path("word_bpe_49k.json")), random.Random(6)
+    common = ["".join(rng.choices("abcde", k=8)) for _ in range(100)]
+    for _ in range(40):
+        text = " ".join(rng.choices(common, k=200) + ["".join(rng.choices("fghij", k=9)) for _ in range(100)])
+        assert own.encode([text]) == library(own, [text]) and own.held <= 4000
+    assert len(set(common) & own.number.keys()) > 90
