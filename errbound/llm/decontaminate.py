@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, text_slices
+from .common import serve, small_batches, text_slices
 
 BIN = 16
 RANK = 128
@@ -87,6 +87,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[int, di
     def run(batches):
         import pyarrow as pa
 
+        serve("decontamination")
         seen, terms = Counter(), known.value
         for batch in small_batches(batches):
             for text in batch.column("text").to_pylist():
@@ -459,6 +460,7 @@ def _block_matches(docs: DataFrame, bench: DataFrame, cosine: float, share: floa
     def search(batches):
         import pyarrow as pa
 
+        serve("decontamination")
         for batch in small_batches(batches, 1024):
             keys, texts = batch.column("doc_id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
             for a, b in text_slices(texts, 1_000_000):

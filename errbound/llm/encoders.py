@@ -11,10 +11,9 @@ import hashlib
 import json
 import os
 import re
-from functools import lru_cache
 from itertools import chain, repeat
 
-from .common import text_slices
+from .common import kept_for, text_slices
 
 #: Characters beyond these, or the start of a special string, send a text to the coarse pattern.
 _UNUSUAL = re.compile("[\x1c-\x1f\u0130\u0180-\U0010ffff]|<\\|")
@@ -236,7 +235,7 @@ class ChunkEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
+@kept_for("encoders", 2)
 def encoder(path: str) -> ChunkEncoder:
     """One encoder with its memo for each worker process."""
     return ChunkEncoder(path)
@@ -254,7 +253,7 @@ class PieceCounter:
         return [len(x) for x in self.model.encode(texts, num_threads=1)] if texts else []
 
 
-@lru_cache(maxsize=2)
+@kept_for("encoders", 2)
 def counter(path: str):
     return PieceCounter(path) if path.endswith(".model") else encoder(path)
 

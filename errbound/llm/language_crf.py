@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, text_slices
+from .common import serve, small_batches, text_slices
 
 UNDETERMINED = "und"
 FEATURES = 1 << 16
@@ -292,6 +292,7 @@ def train(docs: DataFrame, per_language: int = 200, max_chars: int = 8192, most_
 
 
 def _tagger(known):
+    serve("language")
     return Tagger(known.value) if known.value.labels else None
 
 

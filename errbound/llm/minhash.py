@@ -21,13 +21,11 @@ doc_id are linked with nothing and kept; an empty table gives an empty result; o
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, stored
+from .common import kept_for, small_batches, stored
 from .components import merged
 
 WORDS = 5
@@ -68,7 +66,7 @@ def shingle_set(text: str | None):
     return np.unique(_mixed(total))
 
 
-@lru_cache(maxsize=1)
+@kept_for("minhash", 1)
 def _windows():
     """The rank table as overlapping windows of one value a coordinate, closed to a circle."""
     import numpy as np

@@ -21,19 +21,18 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import kept_for, small_batches
 from .encoders import encoder
 
 ROW_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FIRST_WINDOW = 24
 
 
-@lru_cache(maxsize=2)
+@kept_for("encoders", 2)
 def token_bytes(path: str) -> list[bytes]:
     """Bytes of each id: byte-level alphabet for ordinary tokens, the string itself for added ones."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import weakref
+from types import SimpleNamespace
 
 import numpy as np
 
 import corpus_pipeline
-from errbound.llm import language_crf
+from errbound.llm import language_crf, minhash
+from errbound.llm.common import stored
 from errbound.llm.encoders import encoder, public_path
 
 #: Extra columns whose names the operators use inside.
@@ -76,3 +79,27 @@ def test_words_beyond_64_characters_and_long_texts_count(spark):
     model = language_crf.train(table(spark, rows), max_chars=500)
     found = {r.doc_id: r.lang_pred for r in language_crf.detect_languages(table(spark, rows), model).collect()}
     assert set(model.labels) == {"brief", "long"} and all(found[r[0]] == r[2] for r in rows)
+
+
+def test_worker_gives_up_tables_of_other_stages():
+    encoder(public_path("byte_bpe_50k.json"))
+    held = weakref.ref(encoder(public_path("byte_bpe_50k.json")))
+    assert held() is not None
+    language_crf._tagger(SimpleNamespace(value=language_crf.Model([])))
+    assert held() is None
+    ranks = weakref.ref(minhash._windows())
+    assert ranks() is not None
+    encoder(public_path("byte_bpe_50k.json"))
+    assert ranks() is None
+
+
+def test_stored_tables_move_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    rows = spark.range(300).selectExpr("id", "repeat('some words ', 10000) as text").coalesce(1)
+    found = stored(rows.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r.n for r in found) == 300 and max(r.size for r in found) < 8 << 20
