@@ -16,6 +16,7 @@ from errbound.plans import array_codec as codec
 from errbound.plans import md_codec as md
 from errbound.plans import particle_codec as pc
 from errbound.plans import tuner
+from errbound.session import checkpointed
 
 HEIGHT = 64
 BASE = Config(dims=(HEIGHT, 8, 8), mode=ErrorBoundMode.REL, rel_bound=1e-3)
@@ -145,7 +146,7 @@ PARTICLE_EB = 0.05
 def particle_codec_query(spark, sf_dir):
     """Spatial codec round trip on particles with ids: positions match through the permutation."""
     pts = orders_particles(spark, sf_dir)
-    particles = pc.blocked(pts, [], PARTICLE_EB, 8)
+    particles = checkpointed(pc.blocked(pts, [], PARTICLE_EB, 8).select("pid", *pc.CELL_COLUMNS))
     cells = pc.numbered_cells(particles, [])
     back = pc.expand_cells(pc.decode_cells(pc.compress_cells(cells, [], PARTICLE_EB), []), [])
     order = pc.output_positions(particles, cells, [])

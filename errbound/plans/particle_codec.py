@@ -25,6 +25,8 @@ from errbound.session import checkpointed
 CELLS_PER_CHUNK = 4096
 STREAMS = ("block", "oct", "pos", "fix", "n")
 NO_FIX = 13
+#: What numbering of cells and output positions read of a particle, besides keys and id.
+CELL_COLUMNS = ("block", "ord", "oct", "pos", "fix", *(f"{p}{a}" for p in "pr" for a in pt.AXES), "edge")
 
 
 def _with_fix(df: DataFrame, eb: float) -> DataFrame:
@@ -132,7 +134,7 @@ def compress_frames(df: DataFrame, keys: list[str], eb: float, edge: int | DataF
 def frame_order(df: DataFrame, keys: list[str], eb: float, edge: int | DataFrame | None = None) -> DataFrame:
     """The permutation ``pid -> position`` of :func:`compress_frames` with the same edges."""
     edge = best_edges(df, keys, eb) if edge is None else edge
-    particles = blocked(df, keys, eb, edge)
+    particles = checkpointed(blocked(df, keys, eb, edge).select(*keys, "pid", *CELL_COLUMNS))
     order = output_positions(particles, numbered_cells(particles, keys), keys)
     return order.unionByName(raw_rows(df, keys, eb).select(*keys, "pid", "position"))
 
@@ -254,7 +256,10 @@ def expand_cells(cells: DataFrame, keys: list[str], piece: int = 1 << 16) -> Dat
 
 
 def output_positions(particles: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """The permutation ``pid -> position`` that goes with the container (optional sink)."""
+    """The permutation ``pid -> position`` that goes with the container (optional sink).
+
+    Particles are read three times here and when cells are numbered: give them as a stored table.
+    """
     at = keys + ["block", "ord"]
     ranked = with_position(particles.select(*at, "pid"), at, ["pid"], "_rank", width=pt.CELL_BUCKET)
     return ranked.join(cells.select(*at, "first_position"), at).select(

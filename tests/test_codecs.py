@@ -127,3 +127,12 @@ def test_raw_frames_and_single_cells(spark):
     assert sorted(raw["x"]) == [0.0, 2e6] and set(raw["frame"]) == {1}
     kept = pc.blocked(wide, ["frame"], 0.1, 8).select("frame", "edge").distinct().collect()
     assert [tuple(r) for r in kept] == [(2, 1)]
+
+
+def test_positions_read_stored_particles(spark):
+    """Block ids cost far more than a read, so they are made once: what orders the particles no longer reads the table itself."""
+    import __spark_entry__
+
+    done = __spark_entry__.queries()["particle_codec"](spark, "/root/testdata/sf0.001")
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1  # the comparison with the input
+    assert done.first().bound_ok
