@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from errbound.functions.quantizer import quantize_step
 from errbound.operators import coefficients, interp, kdtree, sweep, temporal, wavefront
+from errbound.session import checkpointed
 
 
 def cells_of(spark, data, axes):
@@ -107,6 +108,21 @@ def test_coefficient_codes(spark):
     assert coefficients.code_coefficients(df.limit(0), ["e"], ["b"], "c", "eb", 0.25).count() == 0
 
 
+def test_chain_of_changes_takes_few_rounds(spark, monkeypatch):
+    """Halfway between multiples every state follows from the one before; such a chain once took a round for each block."""
+    rows, calls = [(0, i, 0.25, 0.25) for i in range(400)], []
+
+    def counted(df):
+        calls.append(1)
+        assert len(calls) < 20
+        return checkpointed(df)
+
+    monkeypatch.setattr(coefficients, "checkpointed", counted)
+    df = spark.createDataFrame(rows, "e int, b long, c double, eb double")
+    got = {r.b: (r.q, r.recon) for r in coefficients.code_coefficients(df, ["e"], ["b"], "c", "eb", 0.25, 512, patience=10_000).collect()}
+    assert got == dict(enumerate(plain_coefficients(np.full(400, 0.25), 0.25, 0.25, 512, 1e-3, 10_000)))
+
+
 def plain_choice(spatial, temporal):
     out, last, skip, limit = [], None, 0, 1
     for own, diff in zip(spatial, temporal, strict=True):
