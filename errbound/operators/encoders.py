@@ -309,7 +309,7 @@ def pack(symbols: str | Column, coder: str = "huffman") -> Column:
     @F.arrow_udf("binary")
     def run(col: pa.Array) -> pa.Array:
         flat, off = _ragged_int(col)
-        return pa.array([encode(flat[a:b]) for a, b in zip(off[:-1], off[1:])], pa.binary())
+        return pa.array([encode(flat[a:b].astype(np.int64)) for a, b in zip(off[:-1], off[1:])], pa.binary())
 
     return run(symbols)
 
@@ -325,9 +325,10 @@ def unpack(payload: str | Column, coder: str = "huffman") -> Column:
 
 
 def _ragged_int(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat integers of an Arrow list column and its offsets: a view of the batch in its own integer type, not a copy."""
     arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
     off = arr.offsets.to_numpy().astype(np.int64)
-    return arr.flatten().to_numpy(zero_copy_only=False).astype(np.int64), off - off[0]
+    return arr.flatten().to_numpy(zero_copy_only=False), off - off[0]
 
 
 def huffman_code_lengths(hist: DataFrame, keys: list[str], symbol: str) -> DataFrame:

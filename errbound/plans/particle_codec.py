@@ -287,7 +287,8 @@ def compress_trajectory(df: DataFrame, eb: float, batch: int, edge: int | None =
     ``anchor``.  The frames after it are quantized against reconstructions, in the anchor's output order,
     and coded per group of particles.  A particle that appears late, or again after a gap, opens a chain of its own in
     that frame; anchors too wide for the grid are raw rows.  A particle is in a frame at most once.  Without an edge each
-    anchor gets the one that codes it best.
+    anchor gets the one that codes it best.  Key frames are stored, so that they are coded once and the workers that code them
+    are the ones that decode them later.
     """
     sizes = tm.spatial_sizes(df, [], eb, ESTIMATE_EDGE if edge is None else edge).join(tm.temporal_sizes(df, [], eb, radius), "frame")
     chains = checkpointed(tm.chain_starts(tm.choose_frames(sizes, []), [], batch).select("frame", "anchor"))
@@ -297,7 +298,7 @@ def compress_trajectory(df: DataFrame, eb: float, batch: int, edge: int | None =
     particles = checkpointed(blocked(anchors, ["anchor"], eb / divisor, edge))
     cells = numbered_cells(particles, ["anchor"])
     raw = checkpointed(raw_rows(anchors, ["anchor"], eb / divisor))
-    key_frames = compress_cells(cells, ["anchor"], eb / divisor).unionByName(raw_chunks(raw, ["anchor"]), allowMissingColumns=True)
+    key_frames = checkpointed(compress_cells(cells, ["anchor"], eb / divisor).unionByName(raw_chunks(raw, ["anchor"]), allowMissingColumns=True))
     order = output_positions(particles, cells, ["anchor"]).unionByName(raw.select("anchor", "pid", "position"))
     start = particles.select("anchor", "pid", *[
         pt.decoded(a, eb / divisor, pt.repair_sign(a, eb / divisor)).alias(f"start_{a}") for a in pt.AXES])

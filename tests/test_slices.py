@@ -81,3 +81,14 @@ def test_cells_of_a_frame_are_decoded_by_slices(spark, monkeypatch):
     back = pc.decode_cells(packed, []).groupBy(*[F.round(a).alias(a) for a in "xyz"]).agg(F.sum("n").alias("n"))
     want = pts.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
     assert want.exceptAll(back).count() == 0 and back.exceptAll(want).count() == 0 and seen == [want.count()]
+
+
+def test_key_frames_are_coded_before_they_are_read(spark):
+    """Whoever decodes key frames reads stored rows: no worker that codes them runs beside the one that decodes them."""
+    rows = spark.range(0, 4000, 1, 2).select((F.col("id") % 100).alias("pid"), F.floor(F.col("id") / 100).alias("frame"),
+                                             *[((F.col("id") * k) % 1009).cast("double").alias(a) for a, k in zip("xyz", (1, 31, 517))])
+    key_frames, batches, order = pc.compress_trajectory(rows, 0.25, 8, 4)
+    assert "ArrowEvalPython" not in key_frames._jdf.queryExecution().toString()
+    back = pc.decompress_trajectory(key_frames, batches, 0.25).join(order, ["anchor", "position"])
+    got = back.select("pid", (F.col("anchor") + F.col("step")).alias("frame"), *[F.round(a).alias(a) for a in "xyz"])
+    assert rows.exceptAll(got).count() == 0 and got.count() == 4000
