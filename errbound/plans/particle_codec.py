@@ -287,12 +287,14 @@ def compress_trajectory(df: DataFrame, eb: float, batch: int, edge: int | None =
     ``anchor``.  The frames after it are quantized against reconstructions, in the anchor's output order,
     and coded per group of particles.  A particle that appears late, or again after a gap, opens a chain of its own in
     that frame; anchors too wide for the grid are raw rows.  A particle is in a frame at most once.  Without an edge each
-    anchor gets the one that codes it best.  Key frames are stored, so that they are coded once and the workers that code them
-    are the ones that decode them later.
+    anchor gets the one that codes it best.  The rows and their anchors are stored, since sizes, boxes, blocks and batches read
+    them in turn.  Key frames are stored, so that they are coded once and the workers that code them are the ones that decode
+    them later.
     """
+    df = checkpointed(df.select("pid", "frame", *pt.AXES))
     sizes = tm.spatial_sizes(df, [], eb, ESTIMATE_EDGE if edge is None else edge).join(tm.temporal_sizes(df, [], eb, radius), "frame")
     chains = checkpointed(tm.chain_starts(tm.choose_frames(sizes, []), [], batch).select("frame", "anchor"))
-    placed = _own_anchors(df.join(chains, "frame"))
+    placed = checkpointed(_own_anchors(df.join(chains, "frame")).select("pid", "frame", "anchor", *pt.AXES))
     anchors = placed.where("frame = anchor").drop("frame")
     edge = best_edges(anchors, ["anchor"], eb / divisor) if edge is None else edge
     particles = checkpointed(blocked(anchors, ["anchor"], eb / divisor, edge))

@@ -89,6 +89,7 @@ def test_key_frames_are_coded_before_they_are_read(spark):
                                              *[((F.col("id") * k) % 1009).cast("double").alias(a) for a, k in zip("xyz", (1, 31, 517))])
     key_frames, batches, order = pc.compress_trajectory(rows, 0.25, 8, 4)
     assert "ArrowEvalPython" not in key_frames._jdf.queryExecution().toString()
+    assert "Range" not in batches._jdf.queryExecution().toString()  # rows and their anchors are stored, not made again from the input
     back = pc.decompress_trajectory(key_frames, batches, 0.25).join(order, ["anchor", "position"])
     got = back.select("pid", (F.col("anchor") + F.col("step")).alias("frame"), *[F.round(a).alias(a) for a in "xyz"])
     assert rows.exceptAll(got).count() == 0 and got.count() == 4000
