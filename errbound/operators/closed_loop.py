@@ -20,10 +20,10 @@ CHUNK = 4096
 
 
 def _ragged(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Flat float64 values and offsets of an Arrow list column."""
+    """Flat float64 values and offsets of an Arrow list column; doubles are a read-only view of the batch, not a copy."""
     arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
     offsets = arr.offsets.to_numpy().astype(np.int64)
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat, offsets - offsets[0]
 
 

@@ -83,6 +83,22 @@ def test_cells_of_a_frame_are_decoded_by_slices(spark, monkeypatch):
     assert want.exceptAll(back).count() == 0 and back.exceptAll(want).count() == 0 and seen == [want.count()]
 
 
+def test_lists_of_a_batch_are_views():
+    """Encoders see a batch's integers and doubles where they lie; a copy would double what a worker holds."""
+    import pyarrow as pa
+
+    from errbound.operators.closed_loop import _ragged
+    from errbound.operators.encoders import _ragged_int
+
+    doubles, ints = pa.array([[1.0, 2.0], [], [3.0]]), pa.array([[1, 2], [], [3]], pa.list_(pa.int64()))
+    for column, read in ((doubles, _ragged), (ints, _ragged_int)):
+        flat, off = read(column.slice(0, 3))
+        assert flat.tolist() == [1, 2, 3] and off.tolist() == [0, 2, 2, 3]
+        assert np.shares_memory(flat, column.values.to_numpy())
+        flat, off = read(column.slice(1, 2))
+        assert flat.tolist() == [3] and off.tolist() == [0, 0, 1]
+
+
 def test_key_frames_are_coded_before_they_are_read(spark):
     """Whoever decodes key frames reads stored rows: no worker that codes them runs beside the one that decodes them."""
     rows = spark.range(0, 4000, 1, 2).select((F.col("id") % 100).alias("pid"), F.floor(F.col("id") / 100).alias("frame"),
